@@ -162,6 +162,8 @@ def exact_dedup(df: DataFrame, owner_rows: int = OWNER_ROWS) -> DataFrame:
     best = F.max(F.struct(F.col("n"), F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("minus_id"), (-F.col("rid")).alias("minus_rid")))
     groups = doubtful.groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).join(verified, "sha", "left_semi")
     flat = groups.select("sha", "group_size", (-F.col("best.minus_id")).alias("keep_id"), (-F.col("best.minus_rid")).alias("keep_rid"))
+    # Written, so that the join below gets exchanges of its own, whose hot partitions Spark can split.
+    flat = common.cut(flat, "groups")
     copied = doubtful.join(flat, "sha").select("rid", "group_size", "keep_id", "keep_rid")
     return prints.join(copied, "rid", "left").select(
         "doc_id",
