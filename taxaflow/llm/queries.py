@@ -8,14 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common
+from . import bpe, common, warc
 from .exact_dedup import exact_dedup
+from .html_extract import extract
 from .packing import pack_documents
 from .sharding import SHARDS, key_shard, size_of, write_shards
 from .simhash import simhash_components
 from .token_counts import token_counts
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(common.table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.table(spark, sf_dir, "documents"))
 
@@ -47,23 +52,40 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
+    root = warc.write_archive(pages, common.shared_path(spark, "warc"), min_bytes=0)
+    return warc.read_captures(warc.keys_of(pages), root)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_extraction": op2_html_extraction,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_sharding": op6_sharding,
         "op7_packing": op7_packing,
         "op8_simhash": op8_simhash,
+        "op9_warc": op9_warc,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_warc": r"""
+            WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+                 d AS (SELECT page_id, last, octet_length(b) AS n, unhex(sha1(b)) AS h FROM p),
+                 bits AS (SELECT page_id, last, n, CAST(h AS BIT)::VARCHAR AS s FROM d)
+            SELECT page_id, n AS payload_bytes,
+                   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(CAST(substr(s, CAST(5 * i + 1 AS BIGINT), 5) AS BIT) AS INTEGER), 1)), '') AS payload_digest,
+                   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+            FROM bits""",
         "op3_exact_dedup": r"""
             WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
                  g AS (SELECT norm, first(doc_id ORDER BY n DESC, doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
