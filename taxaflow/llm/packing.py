@@ -13,13 +13,13 @@ occur; a null doc_id stays null; extra columns are ignored; an empty table gives
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +29,22 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Pieces packed together.
 GROUP_PIECES = 4096
-#: Words whose ids a worker keeps; then it starts anew.
-CACHE_ENTRIES = 400_000
+#: Words, and runs of words, whose ids a worker keeps; then it starts anew.
+CACHE_ENTRIES = 800_000
 
 
 class Words:
     """Ids as little-endian uint32 bytes, by words.
 
-    The tokenizer splits a normalised text into words and merges within them, so words are encoded once
-    and kept. That shortcut is taken where its normalisation is plain lower-casing (Latin letters without
-    combining marks); every other text goes through the tokenizer as a whole.
+    The tokenizer splits a normalised text into words and merges within them, so runs without white space
+    and the words in them are encoded once and kept. That shortcut is taken where its normalisation is
+    plain lower-casing (Latin letters without combining marks, no number signs but 0 to 9); every other
+    text goes through the tokenizer as a whole.
     """
 
-    #: Fixed value: the tokenizer file's own splitting pattern.
-    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: The tokenizer file's own splitting pattern, as it reads on such texts.
+    SPLIT = r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+"
+    ODD = "[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e\u20ac]|<[|]"
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,26 +53,50 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.split = regex.compile(self.SPLIT).findall
-        self.plain = regex.compile(r"[\t-\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞€]*+").fullmatch
-        self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ending[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.split = re.compile(self.SPLIT).findall
+        self.odd = re.compile(self.ODD).search
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, runs: list[str]) -> None:
+        """Encode runs without white space. New words are encoded as one text: each ends with a token
+        that ends a word, which tells them apart."""
+        split = [self.split(r) for r in runs]
+        new = list(set().union(*split) - self.words.keys())
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            ids = self.whole([" ".join(some)])[0]
+            ends = (4 * np.flatnonzero(self.ending[np.frombuffer(ids, dtype="<u4")]) + 4).tolist()
+            if len(ends) == len(some):
+                self.words.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:
+                self.words.update(zip(some, self.whole(some), strict=True))
+        held = self.words.__getitem__
+        self.runs.update(zip(runs, (b"".join(map(held, own)) for own in split), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if "<|" in t or not self.plain(t)]
+        for cache in (self.runs, self.words):
+            if len(cache) > CACHE_ENTRIES:
+                cache.clear()
+        out: list[bytes] = [b""] * len(texts)
+        odd = [i for i, t in enumerate(texts) if self.odd(t)]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
-        words = {i: self.split(t.lower()) for i, t in enumerate(texts) if out[i] is None}
-        new = list(set().union(*words.values()) - self.cache.keys()) if words else []
-        self.cache.update(zip(new, self.whole(new), strict=True))
-        held = self.cache.__getitem__
-        for i, own in words.items():
-            out[i] = b"".join(map(held, own))
+        get = self.runs.get
+        runs = {i: texts[i].lower().split() for i in set(range(len(texts))).difference(odd)}
+        found = {i: list(map(get, own)) for i, own in runs.items()}
+        short = [i for i, ids in found.items() if None in ids]
+        self.learn(list({r for i in short for r, ids in zip(runs[i], found[i], strict=True) if ids is None}))
+        for i in short:
+            found[i] = [get(r) if ids is None else ids for r, ids in zip(runs[i], found[i], strict=True)]
+        for i, ids in found.items():
+            out[i] = b"".join(ids)
         return out
 
 
