@@ -24,51 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker keeps; then it starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 #: Longer pre-tokens aren't kept.
 CACHE_BYTES = 64
 
 
-class RankQueue:
-    """Positions by merge rank; pop gives the leftmost position of the lowest rank."""
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.words: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank >> 8
-            self.words[word] = self.words.get(word, 0) | 1 << (rank & 255)
-            self.top |= 1 << word
-        else:
-            heapq.heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        rank = word << 8 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = bits = bits & (bits - 1)
-            if not bits:
-                self.top &= self.top - 1
-        return rank, position
-
-
 class Codec:
     """Encoder and decoder for one rank file and one splitting pattern."""
 
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        #: Ranks of the pairs of single bytes, -1 for none.
+        self.two = {(a, b): self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)}
         self.tokens = {v: k for k, v in self.ranks.items()}
         # The pattern's white space is Unicode's White_Space property, spelled out.
         space = r"\t-\r \x85\xa0  -     　"
@@ -77,43 +45,81 @@ class Codec:
         self.cache: dict[str, tuple[int, bytes, bytes]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        """The ids of one pre-token.
+
+        top has a bit for each word of 256 ranks in which pairs wait, bits a bit for each rank of a word,
+        buckets a position or a heap of them for each rank; so the leftmost pair of the lowest rank comes first.
+        """
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        ends = list(range(1, n + 1))
-        after = list(range(1, n + 1))
+        ends = list(range(1, n + 1))  # of the part that starts at a position; also the next part's start
         before = list(range(-1, n - 1))
-        waiting = [-1] * n
-        queue = RankQueue()
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                waiting[i] = rank
-                queue.push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
+        waiting = list(map(self.two.__getitem__, zip(piece, piece[1:])))
+        waiting.append(-1)
+        top, bits, buckets = 0, {}, {}
+        for i, rank in enumerate(waiting):
+            if rank >= 0:
+                if rank in buckets:
+                    held = buckets[rank]
+                    if type(held) is int:
+                        buckets[rank] = [held, i]
+                    else:
+                        held.append(i)  # ascending, so a heap
+                else:
+                    buckets[rank] = i
+                    word = rank >> 8
+                    bits[word] = bits.get(word, 0) | 1 << (rank & 255)
+                    top |= 1 << word
+        while top:
+            word = (top & -top).bit_length() - 1
+            own = bits[word]
+            rank = word << 8 | (own & -own).bit_length() - 1
+            held = buckets[rank]
+            if type(held) is not int and len(held) > 1:
+                i = heapq.heappop(held)
+            else:
+                i = held if type(held) is int else held[0]
+                del buckets[rank]
+                own &= own - 1
+                bits[word] = own
+                if not own:
+                    top &= top - 1
             if waiting[i] != rank:
-                continue
-            j = after[i]
-            ends[i], after[i], waiting[j] = ends[j], after[j], -1
-            if after[i] < n:
-                before[after[i]] = i
-            for left in (before[i], i):
-                if left >= 0:
-                    right = after[left]
-                    new = ranks.get(piece[left : ends[right]]) if right < n else None
-                    if new is None:
-                        waiting[left] = -1
-                    elif waiting[left] != new:
-                        waiting[left] = new
-                        queue.push(new, left)
+                continue  # stale: the pair has changed since
+            j = ends[i]
+            end = ends[i] = ends[j]
+            waiting[j] = -1
+            if end < n:
+                before[end] = i
+                found = [(i, rank_of(piece[i : ends[end]], -1))]
+            else:
+                found = [(i, -1)]
+            left = before[i]
+            if left >= 0:
+                found.append((left, rank_of(piece[left:end], -1)))
+            for at, rank in found:
+                if waiting[at] != rank:
+                    waiting[at] = rank
+                    if rank < 0:
+                        continue
+                    if rank in buckets:
+                        held = buckets[rank]
+                        if type(held) is int:
+                            buckets[rank] = [held, at] if held < at else [at, held]
+                        else:
+                            heapq.heappush(held, at)
+                    else:
+                        buckets[rank] = at
+                        word = rank >> 8
+                        bits[word] = bits.get(word, 0) | 1 << (rank & 255)
+                        top |= 1 << word
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : ends[i]]])
-            i = after[i]
+            ids.append(self.ranks[piece[i : ends[i]]])
+            i = ends[i]
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -137,8 +143,11 @@ class Codec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """n_tokens, SHA-256 of the decimal ids joined by a space, SHA-256 of the decoded bytes."""
-        held, make = self.cache.get, self.rendered
-        parts = [held(p) or make(p) for p in self.split(text)]
+        pieces = self.split(text)
+        parts = list(map(self.cache.get, pieces))
+        if None in parts:
+            held, make = self.cache.get, self.rendered
+            parts = [part or held(p) or make(p) for part, p in zip(parts, pieces, strict=True)]
         ids = hashlib.sha256(b" ".join([p[1] for p in parts])).hexdigest()
         return sum([p[0] for p in parts]), ids, hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest()
 
