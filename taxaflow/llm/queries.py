@@ -12,6 +12,7 @@ from . import bpe, common, warc
 from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .packing import pack_documents
+from .quality import quality_rules
 from .sharding import SHARDS, key_shard, size_of, write_shards
 from .simhash import simhash_components
 from .token_counts import token_counts
@@ -29,6 +30,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(common.table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = write_shards(docs, common.shared_path(spark, "shards"))
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_extraction": op2_html_extraction,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_quality_rules": op5_quality_rules,
         "op6_sharding": op6_sharding,
         "op7_packing": op7_packing,
         "op8_simhash": op8_simhash,
@@ -77,6 +83,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_quality_rules": r"""
+            WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t FROM documents),
+                 w AS (SELECT doc_id, host, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+                 win AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w),
+                 rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i : i + 4], ' ')) AS c FROM win),
+                 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT doc_id, i, unnest(range(5)) AS k FROM rep WHERE c > 1) GROUP BY doc_id),
+                 base AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                                 len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
+                 nl AS (SELECT doc_id, host, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')))), lambda x: x <> '') AS l FROM w),
+                 ln AS (SELECT doc_id, host, t, l, unnest(range(1, len(l) + 1)) AS pos FROM nl),
+                 lines AS (SELECT doc_id, host, t, pos, l[pos] AS line, hash(coalesce(CASE WHEN pos > 1 THEN l[pos - 1] END, ''), coalesce(l[pos + 1], '')) AS around, len(string_split(l[pos], ' ')) AS n FROM ln),
+                 firsts AS (SELECT host, line, t, first(around ORDER BY pos) AS around FROM lines GROUP BY ALL),
+                 counts AS (SELECT host, line, count(DISTINCT around) AS docs FROM firsts GROUP BY ALL),
+                 hosts AS (SELECT host, count(DISTINCT t) AS n FROM lines GROUP BY host),
+                 bad AS (SELECT host, line FROM counts JOIN hosts USING (host) WHERE docs > 20 AND docs > 0.1 * n),
+                 removed AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS r FROM lines SEMI JOIN bad USING (host, line) GROUP BY doc_id)
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+                   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words - coalesce(r, 0) AS n_kept_words,
+                   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_words - coalesce(r, 0) < 10 OR n_words - coalesce(r, 0) < 0.3 * n_words) AS kept
+            FROM base LEFT JOIN removed USING (doc_id)""",
         "op9_warc": r"""
             WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
                  d AS (SELECT page_id, last, octet_length(b) AS n, unhex(sha1(b)) AS h FROM p),
