@@ -85,7 +85,8 @@ def line_table(df: DataFrame) -> DataFrame:
     arrays = held.select("doc_id", "host", F.xxhash64("text").alias("text_key"), summary.alias("lines"))
     around = lambda i: F.xxhash64(F.when(i > 0, F.get("lines", i - 1)["line"]), F.get("lines", i + 1)["line"])
     whole = arrays.select("doc_id", "host", "text_key", F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x["line"].alias("line"), x["n"].alias("n"), around(i).alias("around"))).alias("lines"))
-    return whole.select("doc_id", "host", "text_key", F.inline("lines"))
+    # The outer form, since Spark guards the plain one by a filter that computes the arrays again.
+    return whole.select("doc_id", "host", "text_key", F.inline_outer("lines")).where("line IS NOT NULL")
 
 
 def boilerplate(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
