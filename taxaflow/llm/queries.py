@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import bpe, common, warc
 from .exact_dedup import exact_dedup
 from .html_extract import extract
+from .line_dedup import line_report
 from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import SHARDS, key_shard, size_of, write_shards
@@ -18,6 +19,10 @@ from .simhash import simhash_components
 from .token_counts import token_counts
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(common.table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(common.table(spark, sf_dir, "pages"))
 
@@ -69,6 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_html_extraction": op2_html_extraction,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_byte_bpe": op4_byte_bpe,
