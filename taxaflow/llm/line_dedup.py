@@ -185,13 +185,17 @@ def removed_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def line_dedup(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """df with the later matches taken out of its text; rows, their order of lines and other columns stay.
+    """df with the later matches taken out of its text; rows, their order of lines and other columns stay,
+    but for n_chars, which follows the text where df has it.
 
     A text that loses all its lines with words becomes what remains of it, at least the empty string."""
     gone = removed_lines(df, threshold).where(F.size("removed") > 0).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("removed").alias("__removed"))
     joined = df.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(common.text_of()) == F.col("__key")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left)).select(*df.columns)
+    out = joined.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left))
+    if "n_chars" in df.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(df.schema["n_chars"].dataType))
+    return out.select(*df.columns)
 
 
 def line_report(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

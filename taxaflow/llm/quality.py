@@ -28,9 +28,17 @@ LINE_SHARE = 0.1
 KEEP_WORDS = 10
 KEEP_SHARE = 0.3
 
+#: Rows of rejected documents that may be broadcast; beyond that both sides of the join are shuffled.
+BROADCAST_ROWS = 200_000
+
 _RUN = f"{common.WS}+"
 
 
+def _host() -> Column:
+    """A document's host: its source, marked so that a null source differs from any other."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; splitting leaves an empty string at either end at most."""
     return F.filter(F.split(text, _RUN), lambda w: w != "")
@@ -76,7 +84,7 @@ def base_measures(df: DataFrame, text: str = "text") -> DataFrame:
 
 def line_table(df: DataFrame) -> DataFrame:
     """One row for each line with words: its document, host, place, hash, words and neighbours."""
-    held = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("host"), common.text_of().alias("text"))
+    held = df.select(F.col("doc_id").cast("long").alias("doc_id"), _host().alias("host"), common.text_of().alias("text"))
     normal = F.transform(F.split("text", "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, _RUN, " "))))
     summary = F.transform(
         F.filter(normal, lambda x: x != ""),
@@ -99,8 +107,8 @@ def boilerplate(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float
     return counts.join(hosts, "host").where(F.col("docs") > line_share * F.col("of")).select("host", "line")
 
 
-def quality_rules(df: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """doc_id, the base measures, base_failed, n_kept_words and kept for every row of df (doc_id, text, source)."""
+def _judged(df: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+    """quality_rules with host and key, which tell rows of one doc_id apart."""
     lines = line_table(df)
     common_lines = common.cut(boilerplate(lines, line_docs, line_share), "boilerplate")
     # Few lines reach the limits: at most 1 / line_share times the mean lines of a document for each host.
@@ -109,14 +117,27 @@ def quality_rules(df: DataFrame, line_docs: int = LINE_DOCS, line_share: float =
         .groupBy("doc_id", "host", "text_key", "pos").agg(F.first("n").alias("n"))
         .groupBy("doc_id", "host", "text_key").agg(F.sum("n").cast("long").alias("removed"))
     )
-    keyed = df.select(
-        F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("__host"), F.xxhash64(common.text_of()).alias("__key")
-    )
+    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), _host().alias("__host"), F.xxhash64(common.text_of()).alias("__key"))
     base = base_measures(keyed).drop("text")
     on = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__host") == F.col("host")) & (F.col("__key") == F.col("text_key"))
     left = F.col("n_words") - F.coalesce(F.col("removed"), F.lit(0))
     depleted = (left < KEEP_WORDS) | (left < KEEP_SHARE * F.col("n_words"))
     return (
         base.join(removed.withColumnRenamed("doc_id", "__doc"), on, "left")
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", left.alias("n_kept_words"), (~F.col("base_failed") & ~depleted).alias("kept"))
+        .select("doc_id", "__host", "__key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", left.alias("n_kept_words"), (~F.col("base_failed") & ~depleted).alias("kept"))
     )
+
+
+def quality_rules(df: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """doc_id, the base measures, base_failed, n_kept_words and kept for every row of df (doc_id, text, source)."""
+    return _judged(df, line_docs, line_share).drop("__host", "__key")
+
+
+def quality_filter(df: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """The rows of df that the rules keep, with all their columns and whole texts."""
+    judged = _judged(df, line_docs, line_share)
+    gone = common.cut(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__doc"), "__host", "__key").distinct(), "rejected")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (_host() == F.col("__host")) & (F.xxhash64(common.text_of()) == F.col("__key"))
+    return df.join(gone, same, "left_anti")

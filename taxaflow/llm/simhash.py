@@ -99,7 +99,8 @@ def near_dedup(df: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataF
     component has one, and one of them then."""
     marked = simhash_components(df, radius, words)
     stay = marked.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = df.join(stay, df["doc_id"] == F.col("__stay"), "left_semi").dropDuplicates(["doc_id"])
+    order = F.expr("row_number() OVER (PARTITION BY __stay ORDER BY xxhash64(text))")
+    kept = df.join(stay, df["doc_id"] == F.col("__stay")).withColumn("__nth", order).where("__nth = 1").drop("__stay", "__nth")
     orphan = marked.where("component_id IS NULL").select("fp").distinct()
     lone = df.where("doc_id IS NULL")
     if not orphan.isEmpty():
