@@ -25,6 +25,8 @@ SHARDS = 8
 SEED = 20_240_917
 #: Text bytes that a bucket should hold.
 BUCKET_BYTES = 16 << 20
+#: Bucket starts are broadcast up to so many.
+BROADCAST_BUCKETS = 200_000
 
 
 def key_shard(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -76,5 +78,7 @@ def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEE
     counts = back.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias("__rows"))
     before = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(shard, bucket, F.coalesce(F.sum("__rows").over(before), F.lit(0)).cast("long").alias("__start"))
+    if starts.count() <= BROADCAST_BUCKETS:  # 24 bytes each; beyond that both sides are shuffled
+        starts = F.broadcast(starts)
     slot = common.fresh_name(back, "slot")
     return back.join(starts, [shard, bucket]).withColumn(slot, F.col("__start") + F.col(place)).drop("__start")
