@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +65,15 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of results that nothing refers to any more; it does so when the
+    driver collects its garbage, which a driver with little to do puts off for long."""
+    for _ in range(2):  # what Python lets go of first, then what that held in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works beside
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """base, or base with underscores before it if df has such a column (in any case) already."""
     held = {c.lower() for c in df.columns}

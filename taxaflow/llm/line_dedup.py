@@ -13,10 +13,11 @@ line number. So the first line of each kind stays, and what is removed has a sta
    shared, in either set's prefix. Lines that share no prefix pair are never compared. (Pairs in place of
    single words make the lists of the index short.)
 3. Length filter: t n <= m <= n / t. Positional filter: from the places of a shared pair follows how large
-   the overlap can be at most. A parity signature bounds the difference likewise.
-4. Where many lines share a pair they are compared with the earliest one first: a line that is earliest in
-   all its lists stays, what is similar to it goes, both leave the lists. Once that no longer thins the
-   lists, the rest meet pair by pair, and only pairs that pass the filters leave the join.
+   the overlap can be at most. Parity signatures, a wide one once few lines are left, bound the difference likewise.
+4. The lists are worked off in rounds. A line that passes the filters with no earlier line left in its
+   lists stays; the later lines that pass the filters with it are compared with it, and what is similar
+   goes; both leave the lists. The earliest line left always stays, so the rounds end; lines that are alike
+   in their thousands go in one round, without being compared with each other.
 5. What passes is verified by the overlap of the word sets (64-bit hashes of words).
 
 Lines without words are left alone. Null text counts as empty. Rows that repeat a doc_id are told apart by
@@ -37,8 +38,6 @@ THRESHOLD = 0.8
 BUCKET_BITS = 14
 #: Rows of 8 bytes that may be broadcast; beyond that both sides of a join are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Lists longer than this are thinned by their earliest lines first.
-LONG_LIST = 16
 
 # Arrays are exploded in the outer form, since Spark guards the plain one by a filter that computes them again.
 _RUN = f"{common.WS}+"
@@ -46,7 +45,7 @@ _RUN = f"{common.WS}+"
 
 def rarity_ranks(df: DataFrame, bits: int = BUCKET_BITS) -> list[int]:
     """The rank by frequency of each bucket of words, over all words of all texts; rare buckets first."""
-    words = df.select(F.explode_outer(F.split(common.text_of(), _RUN)).alias("w"))
+    words = df.select(F.explode_outer(F.split(F.regexp_replace(common.text_of(), r"[\x09-\x0D]", " "), " ")).alias("w"))
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int").alias("bucket")
     counts = {r["bucket"]: r["count"] for r in words.where("w <> ''").groupBy(bucket).count().collect()}  # 2 ** bits rows at most
     order = sorted(range(1 << bits), key=lambda b: (counts.get(b, 0), b))
@@ -61,12 +60,13 @@ def word_set(line: Column, ranks: list[int], bits: int = BUCKET_BITS) -> Column:
     table = F.split(F.lit(" ".join(map(str, ranks))), " ").cast("array<bigint>")  # folded into one literal
     low = (1 << (64 - bits)) - 1
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def code(h: Column) -> Column:
         return F.shiftleft(F.get(table, F.shiftrightunsigned(h, 64 - bits).cast("int")), 64 - bits).bitwiseOR(h.bitwiseAND(F.lit(low)))
 
-    # A leading or trailing empty string comes from white space at an end.
-    return F.sort_array(F.array_distinct(F.transform(F.split(F.regexp_replace(line, f"^{_RUN}|{_RUN}$", ""), _RUN), code)))
+    # Splitting at one character is much faster than at a pattern; the empty words it leaves go by their hash.
+    words = F.split(F.regexp_replace(line, r"[\x09-\x0D]", " "), " ")
+    hashes = F.array_remove(F.transform(words, lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return F.sort_array(F.array_distinct(F.transform(hashes, code)))
 
 
 def _overlap(n: Column, m: Column, t: float) -> Column:
@@ -85,15 +85,38 @@ def _place() -> Column:
     return F.struct("doc", "key", "at")
 
 
-def _index(lines: DataFrame, ranks: list[int], t: float) -> DataFrame:
-    """list, node, i, n for each prefix pair that two lines or more share; one node for each text of a line."""
-    sets = lines.select("line").distinct().select(F.xxhash64("line").alias("node"), word_set(F.col("line"), ranks).alias("w"))
+def _parity(w: Column) -> Column:
+    """64 bits: of the words whose last six bits say so, whether their number is odd."""
+    return F.aggregate(w, F.lit(0).cast("long"), lambda p, x: p.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _fits(a: dict[str, Column], b: dict[str, Column], t: float) -> Column:
+    """Length, positional and signature filters for two members of one list, by their n, i and parity."""
+    n, m, i, j = a["n"], b["n"], a["i"], b["i"]
+    need = _overlap(n, m, t)
+    reach = F.least(i, j) + 2 + F.least(n - i - 2, m - j - 2)
+    differ = F.bit_count(a["parity"][0].bitwiseXOR(b["parity"][0]))
+    for x, y in zip(a["parity"][1:], b["parity"][1:], strict=True):
+        differ = differ + F.bit_count(x.bitwiseXOR(y))
+    return (F.least(n, m) >= t * F.greatest(n, m) - 1e-9) & (reach >= need) & (differ <= n + m - 2 * need)
+
+
+def _unpacked(alias: str) -> dict[str, Column]:
+    place = F.col(f"{alias}.place")
+    return {"n": F.shiftright(place, 32).cast("int"), "i": place.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), "parity": [F.col(f"{alias}.parity")]}
+
+
+def _index(texts: DataFrame, ranks: list[int], t: float) -> DataFrame:
+    """list, node, n, i for each prefix pair of a line for which its list has a line that passes the
+    filters with it. The semi-join stops at the first such line and emits no pairs."""
+    sets = texts.select("node", word_set(F.col("line"), ranks).alias("w"))
     last = F.least(F.floor(2 * (1 - t) * F.size("w") + 1e-9).cast("int"), F.size("w") - 2)
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))).otherwise(F.array(F.xxhash64(F.get("w", F.lit(0)))))
-    flat = sets.select("node", F.size("w").alias("n"), pairs.alias("pairs")).select("node", "n", F.posexplode_outer("pairs").alias("i", "list"))
-    packed = flat.select("list", "node", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("place"))
-    shared = packed.withColumn("many", F.expr("count(1) OVER (PARTITION BY list)")).where("many > 1")
-    return shared.select("list", "node", F.shiftright("place", 32).cast("int").alias("i"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"))
+    flat = sets.select("node", F.size("w").alias("n"), _parity(F.col("w")).alias("parity"), pairs.alias("pairs")).select("node", "n", "parity", F.posexplode_outer("pairs").alias("i", "list"))
+    packed = flat.select("list", "node", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("place"), "parity")
+    a, b = packed.alias("a"), packed.alias("b")
+    found = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.node") != F.col("b.node")) & _fits(_unpacked("a"), _unpacked("b"), t), "left_semi")
+    return found.select("list", "node", *(c.alias(k) for k, c in _unpacked("a").items() if k != "parity"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -101,15 +124,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _fits(a: str, b: str, t: float) -> Column:
-    """Length, positional and signature filters for members a and b of one list."""
-    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
-    need = _overlap(n, m, t)
-    reach = F.least(i, j) + 2 + F.least(n - i - 2, m - j - 2)
-    differ = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
-    return (F.least(n, m) >= t * F.greatest(n, m) - 1e-9) & (reach >= need) & (differ <= n + m - 2 * need)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """The pairs (a earlier, b later, by node) whose sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("w").alias("x"))
@@ -122,40 +136,53 @@ def _without(members: DataFrame, gone: DataFrame) -> DataFrame:
     return members.join(gone, "node", "left_anti")
 
 
-def near_lines(lines: DataFrame, firsts: DataFrame, ranks: list[int], t: float = THRESHOLD) -> DataFrame:
-    """node of each line (text) that goes because a similar earlier one stays. firsts: node, first."""
-    index = common.cut(_index(lines, ranks, t), "lists")
+#: Words of 64 bits in the signature that members of lists have.
+_WIDE = [f"p{k}" for k in range(4)]
+
+
+def _wide_parity(w: Column) -> list[Column]:
+    """256 bits: of the words whose last eight bits say so, whether their number is odd."""
+
+    def part(k: int) -> Column:
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(w, F.lit(0).cast("long"), lambda p, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k, p.bitwiseXOR(bit(x))).otherwise(p))
+
+    return [part(k).alias(c) for k, c in enumerate(_WIDE)]
+
+
+def _of(alias: str) -> dict[str, Column]:
+    return {c: F.col(f"{alias}.{c}") for c in ("n", "i")} | {"parity": [F.col(f"{alias}.{c}") for c in _WIDE]}
+
+
+def near_lines(texts: DataFrame, firsts: DataFrame, ranks: list[int], t: float = THRESHOLD) -> DataFrame:
+    """node of each line that goes because a similar earlier one stays.
+
+    texts: node, line, one row for each distinct line; firsts: node, first (its place)."""
+    spark = texts.sparkSession
+    index = common.cut(_index(texts, ranks, t), "lists")
+    common.release(spark)
     wanted = common.cut(index.select("node").distinct(), "wanted")
-    found = lines.select("line").withColumn("node", F.xxhash64("line")).join(_small(wanted), "node", "left_semi").distinct()
-    sets = common.cut(found.select("node", word_set(F.col("line"), ranks).alias("w")).withColumn("parity", F.aggregate("w", F.lit(0).cast("long"), lambda p, x: p.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))), "sets")
-    about = sets.select("node", "parity").join(firsts, "node").select("node", "parity", "first")
-    members = common.cut(index.join(about, "node").select("list", "node", "first", "i", "n", "parity"), "members")
-    goes = []
-    size = members.count()
-    while size and not members.groupBy("list").count().where(F.col("count") > LONG_LIST).isEmpty():
-        least = common.cut(members.groupBy("list").agg(F.min(F.struct("first", "node", "i", "n", "parity")).alias("p")), "least")
-        met = members.alias("m").join(least.alias("l"), "list").select("list", F.struct("m.*").alias("m"), F.col("l.p").alias("p"))
-        ahead = met.groupBy("m.node").agg(F.min(F.col("m.node") == F.col("p.node")).alias("stays")).where("stays").select("node")
-        stays = common.cut(ahead, "stays")
-        pairs = met.where((F.col("m.node") != F.col("p.node")) & _fits("p", "m", t)).select(F.col("p.node").alias("a"), F.col("m.node").alias("b"))
-        sure = pairs.join(stays.withColumnRenamed("node", "a"), "a", "left_semi").distinct()
-        out = common.cut(_verified(sure, sets, t).select(F.col("b").alias("node")).distinct(), "goes")
-        goes.append(out)
-        members = common.cut(_without(_without(members, stays), out), "members")
-        left = members.count()
-        if left > 0.9 * size:  # what is left in the long lists isn't alike
-            break
-        size = left
+    sets = common.cut(texts.join(_small(wanted), "node", "left_semi").select("node", word_set(F.col("line"), ranks).alias("w")), "sets")
+    known = common.cut(firsts.join(sets.select("node", *_wide_parity(F.col("w"))), "node"), "known")
+    members = index.join(known, "node").select("list", "node", "first", "n", "i", *_WIDE)
     a, b = members.alias("a"), members.alias("b")
-    pairs = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.first") < F.col("b.first")) & _fits("a", "b", t)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    edges = common.cut(_verified(pairs, sets, t), "edges")
-    while not edges.isEmpty():
-        # What has no earlier neighbour left stays; its later neighbours go, and so do their edges.
-        stays = edges.select(F.col("a").alias("node")).distinct().join(edges.select(F.col("b").alias("node")), "node", "left_anti")
-        out = common.cut(edges.join(stays.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct(), "goes")
+    both = (F.col("a.list") == F.col("b.list")) & (F.col("a.node") != F.col("b.node")) & _fits(_of("a"), _of("b"), t)
+    members = common.cut(a.join(b, both, "left_semi"), "members")
+    common.release(spark)
+    goes = []
+    while not members.isEmpty():
+        # What fits no earlier line that is left stays; it meets the later ones, and what is alike goes.
+        a, b = members.alias("a"), members.alias("b")
+        earlier = (F.col("a.list") == F.col("b.list")) & (F.col("b.first") < F.col("a.first")) & _fits(_of("a"), _of("b"), t)
+        doubtful = common.cut(a.join(b, earlier, "left_semi").select("node").distinct(), "doubtful")
+        a = common.cut(_without(members, doubtful), "stays").alias("a")
+        b = _without(members, common.cut(a.select("node").distinct(), "stays")).alias("b")
+        later = (F.col("a.list") == F.col("b.list")) & (F.col("a.first") < F.col("b.first")) & _fits(_of("a"), _of("b"), t)
+        pairs = common.cut(a.join(b, later).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
+        out = common.cut(_verified(pairs, sets, t).select(F.col("b").alias("node")).distinct(), "goes")
         goes.append(out)
-        gone = out.select(F.col("node").alias("a"))
-        edges = common.cut(edges.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"), "edges")
+        members = common.cut(_without(members.join(doubtful, "node", "left_semi"), out), "members")
+        common.release(spark)
     if not goes:
         return wanted.limit(0)
     every = goes[0]
@@ -173,7 +200,9 @@ def line_decisions(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = _lines(df)
     every = common.cut(lines.select("doc", "key", "at", F.xxhash64("line").alias("node")), "lines")
     firsts = common.cut(every.groupBy("node").agg(F.min(_place()).alias("first")), "firsts")
-    gone = common.cut(near_lines(lines, firsts, ranks, threshold).withColumn("near", F.lit(True)), "gone")
+    texts = common.cut(lines.select("line").distinct().select(F.xxhash64("line").alias("node"), "line"), "texts")
+    common.release(df.sparkSession)
+    gone = common.cut(near_lines(texts, firsts, ranks, threshold).withColumn("near", F.lit(True)), "gone")
     known = common.cut(firsts.join(gone, "node", "left"), "known")
     return every.join(known, "node").select("doc", "key", "at", (F.col("near").isNull() & _place().eqNullSafe(F.col("first"))).alias("stays"))
 
