@@ -85,38 +85,53 @@ def _place() -> Column:
     return F.struct("doc", "key", "at")
 
 
+#: A member of a list is packed into one long: its signature's bits, then its set's size and its pair's place with this limit.
+SIGNATURE_BITS, PACKED_LIMIT = 44, 1023
+
+
 def _parity(w: Column) -> Column:
-    """64 bits: of the words whose last six bits say so, whether their number is odd."""
-    return F.aggregate(w, F.lit(0).cast("long"), lambda p, x: p.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    """For each bit of the signature, whether the number of words that fall to it is odd."""
+    return F.aggregate(w, F.lit(0).cast("long"), lambda p, x: p.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(SIGNATURE_BITS)).cast("int"))))
 
 
 def _fits(a: dict[str, Column], b: dict[str, Column], t: float) -> Column:
-    """Length, positional and signature filters for two members of one list, by their n, i and parity."""
+    """Length, positional and signature filters for two members of one list, by their n, i and parity.
+
+    A place at the limit may be a later one, so the positional filter lets it through."""
     n, m, i, j = a["n"], b["n"], a["i"], b["i"]
     need = _overlap(n, m, t)
     reach = F.least(i, j) + 2 + F.least(n - i - 2, m - j - 2)
     differ = F.bit_count(a["parity"][0].bitwiseXOR(b["parity"][0]))
     for x, y in zip(a["parity"][1:], b["parity"][1:], strict=True):
         differ = differ + F.bit_count(x.bitwiseXOR(y))
-    return (F.least(n, m) >= t * F.greatest(n, m) - 1e-9) & (reach >= need) & (differ <= n + m - 2 * need)
+    return (F.least(n, m) >= t * F.greatest(n, m) - 1e-9) & ((F.greatest(i, j) >= PACKED_LIMIT) | (reach >= need)) & (differ <= n + m - 2 * need)
+
+
+def _packed(n: Column, i: Column, parity: Column) -> Column:
+    held = [F.least(c.cast("long"), F.lit(PACKED_LIMIT)) for c in (n, i)]
+    return F.shiftleft(parity, 20).bitwiseOR(F.shiftleft(held[0], 10)).bitwiseOR(held[1])
 
 
 def _unpacked(alias: str) -> dict[str, Column]:
-    place = F.col(f"{alias}.place")
-    return {"n": F.shiftright(place, 32).cast("int"), "i": place.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), "parity": [F.col(f"{alias}.parity")]}
+    member = F.col(f"{alias}.member")
+    low = F.lit(PACKED_LIMIT)
+    return {"n": F.shiftrightunsigned(member, 10).bitwiseAND(low).cast("int"), "i": member.bitwiseAND(low).cast("int"), "parity": [F.shiftrightunsigned(member, 20)]}
 
 
 def _index(texts: DataFrame, ranks: list[int], t: float) -> DataFrame:
-    """list, node, n, i for each prefix pair of a line for which its list has a line that passes the
-    filters with it. The semi-join stops at the first such line and emits no pairs."""
+    """list, node, i for each prefix pair of a line for which its list has a line that passes the
+    filters with it. The semi-join stops at the first such line and emits no pairs. Sets too large for
+    the packed size pass unseen; the filters meet them again with their true sizes."""
     sets = texts.select("node", word_set(F.col("line"), ranks).alias("w"))
     last = F.least(F.floor(2 * (1 - t) * F.size("w") + 1e-9).cast("int"), F.size("w") - 2)
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))).otherwise(F.array(F.xxhash64(F.get("w", F.lit(0)))))
     flat = sets.select("node", F.size("w").alias("n"), _parity(F.col("w")).alias("parity"), pairs.alias("pairs")).select("node", "n", "parity", F.posexplode_outer("pairs").alias("i", "list"))
-    packed = flat.select("list", "node", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("place"), "parity")
+    packed = flat.select("list", _packed(F.col("n"), F.col("i"), F.col("parity")).alias("member"), "node")
     a, b = packed.alias("a"), packed.alias("b")
-    found = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.node") != F.col("b.node")) & _fits(_unpacked("a"), _unpacked("b"), t), "left_semi")
-    return found.select("list", "node", *(c.alias(k) for k, c in _unpacked("a").items() if k != "parity"))
+    x, y = _unpacked("a"), _unpacked("b")
+    large = F.greatest(x["n"], y["n"]) >= PACKED_LIMIT
+    found = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.node") != F.col("b.node")) & (large | _fits(x, y, t)), "left_semi")
+    return found.select("list", "node", x["i"].alias("i"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -155,15 +170,16 @@ def _of(alias: str) -> dict[str, Column]:
 
 
 def near_lines(texts: DataFrame, firsts: DataFrame, ranks: list[int], t: float = THRESHOLD) -> DataFrame:
-    """node of each line that goes because a similar earlier one stays.
+    """hash of each line that goes because a similar earlier one stays.
 
-    texts: node, line, one row for each distinct line; firsts: node, first (its place)."""
+    texts: node, hash, line, one row for each distinct line; firsts: hash, first (its place). Nodes are
+    numbers in the order of the written texts, which shuffle files hold in less room than hashes."""
     spark = texts.sparkSession
     index = common.cut(_index(texts, ranks, t), "lists")
     common.release(spark)
     wanted = common.cut(index.select("node").distinct(), "wanted")
-    sets = common.cut(texts.join(_small(wanted), "node", "left_semi").select("node", word_set(F.col("line"), ranks).alias("w")), "sets")
-    known = common.cut(firsts.join(sets.select("node", *_wide_parity(F.col("w"))), "node"), "known")
+    sets = common.cut(texts.join(_small(wanted), "node", "left_semi").select("node", "hash", word_set(F.col("line"), ranks).alias("w")), "sets")
+    known = common.cut(firsts.join(sets.select("node", "hash", F.size("w").alias("n"), *_wide_parity(F.col("w"))), "hash"), "known")
     members = index.join(known, "node").select("list", "node", "first", "n", "i", *_WIDE)
     a, b = members.alias("a"), members.alias("b")
     both = (F.col("a.list") == F.col("b.list")) & (F.col("a.node") != F.col("b.node")) & _fits(_of("a"), _of("b"), t)
@@ -184,11 +200,11 @@ def near_lines(texts: DataFrame, firsts: DataFrame, ranks: list[int], t: float =
         members = common.cut(_without(members.join(doubtful, "node", "left_semi"), out), "members")
         common.release(spark)
     if not goes:
-        return wanted.limit(0)
+        return known.select("hash").limit(0)
     every = goes[0]
     for more in goes[1:]:
         every = every.union(more)
-    return every.distinct()
+    return known.join(every.distinct(), "node", "left_semi").select("hash")
 
 
 def line_decisions(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -198,13 +214,13 @@ def line_decisions(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         raise ValueError("the prefix of neighbour pairs needs a threshold over 0.75")
     ranks = rarity_ranks(df)
     lines = _lines(df)
-    every = common.cut(lines.select("doc", "key", "at", F.xxhash64("line").alias("node")), "lines")
-    firsts = common.cut(every.groupBy("node").agg(F.min(_place()).alias("first")), "firsts")
-    texts = common.cut(lines.select("line").distinct().select(F.xxhash64("line").alias("node"), "line"), "texts")
+    every = common.cut(lines.select("doc", "key", "at", F.xxhash64("line").alias("hash")), "lines")
+    firsts = common.cut(every.groupBy("hash").agg(F.min(_place()).alias("first")), "firsts")
+    texts = common.cut(lines.select("line").distinct().select(F.monotonically_increasing_id().alias("node"), F.xxhash64("line").alias("hash"), "line"), "texts", "zstd")
     common.release(df.sparkSession)
     gone = common.cut(near_lines(texts, firsts, ranks, threshold).withColumn("near", F.lit(True)), "gone")
-    known = common.cut(firsts.join(gone, "node", "left"), "known")
-    return every.join(known, "node").select("doc", "key", "at", (F.col("near").isNull() & _place().eqNullSafe(F.col("first"))).alias("stays"))
+    known = common.cut(firsts.join(gone, "hash", "left"), "known")
+    return every.join(known, "hash").select("doc", "key", "at", (F.col("near").isNull() & _place().eqNullSafe(F.col("first"))).alias("stays"))
 
 
 def removed_lines(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
