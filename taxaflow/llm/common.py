@@ -65,6 +65,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once everything made from them is itself written."""
+    for df in tables:
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            remove(df.sparkSession, path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of results that nothing refers to any more; it does so when the
     driver collects its garbage, which a driver with little to do puts off for long."""

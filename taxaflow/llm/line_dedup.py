@@ -173,38 +173,49 @@ def near_lines(texts: DataFrame, firsts: DataFrame, ranks: list[int], t: float =
     """hash of each line that goes because a similar earlier one stays.
 
     texts: node, hash, line, one row for each distinct line; firsts: hash, first (its place). Nodes are
-    numbers in the order of the written texts, which shuffle files hold in less room than hashes."""
+    numbers in the order of the written texts, which shuffle files hold in less room than hashes. The
+    table texts is deleted once its lines of interest are known."""
     spark = texts.sparkSession
     index = common.cut(_index(texts, ranks, t), "lists")
     common.release(spark)
     wanted = common.cut(index.select("node").distinct(), "wanted")
     sets = common.cut(texts.join(_small(wanted), "node", "left_semi").select("node", "hash", word_set(F.col("line"), ranks).alias("w")), "sets")
-    known = common.cut(firsts.join(sets.select("node", "hash", F.size("w").alias("n"), *_wide_parity(F.col("w"))), "hash"), "known")
-    members = index.join(known, "node").select("list", "node", "first", "n", "i", *_WIDE)
-    a, b = members.alias("a"), members.alias("b")
-    both = (F.col("a.list") == F.col("b.list")) & (F.col("a.node") != F.col("b.node")) & _fits(_of("a"), _of("b"), t)
-    members = common.cut(a.join(b, both, "left_semi"), "members")
+    common.discard(texts, wanted)
+    # Numbered by their first places, so that one number tells lines apart and which is earlier.
+    placed = firsts.join(sets, "hash").orderBy("first").select(F.monotonically_increasing_id().alias("number"), "node", "hash", "w", F.size("w").alias("n"), *_wide_parity(F.col("w")))
+    known = common.cut(placed, "known")
+    common.discard(sets)
+    sets = known.select(F.col("number").alias("node"), "w")
+    members = common.cut(index.join(known.select("number", "node", "n", *_WIDE), "node").select("list", F.col("number").alias("node"), "n", "i", *_WIDE), "members")
+    common.discard(index)
     common.release(spark)
     goes = []
-    while not members.isEmpty():
+    while True:
         # What fits no earlier line that is left stays; it meets the later ones, and what is alike goes.
         a, b = members.alias("a"), members.alias("b")
-        earlier = (F.col("a.list") == F.col("b.list")) & (F.col("b.first") < F.col("a.first")) & _fits(_of("a"), _of("b"), t)
+        earlier = (F.col("a.list") == F.col("b.list")) & (F.col("b.node") < F.col("a.node")) & _fits(_of("a"), _of("b"), t)
         doubtful = common.cut(a.join(b, earlier, "left_semi").select("node").distinct(), "doubtful")
-        a = common.cut(_without(members, doubtful), "stays").alias("a")
-        b = _without(members, common.cut(a.select("node").distinct(), "stays")).alias("b")
-        later = (F.col("a.list") == F.col("b.list")) & (F.col("a.first") < F.col("b.first")) & _fits(_of("a"), _of("b"), t)
+        if doubtful.isEmpty():
+            break
+        common.release(spark)
+        doubtful = _small(doubtful)
+        later_ones = members.join(doubtful, "node", "left_semi")
+        a, b = _without(members, doubtful).alias("a"), later_ones.alias("b")
+        later = (F.col("a.list") == F.col("b.list")) & (F.col("a.node") < F.col("b.node")) & _fits(_of("a"), _of("b"), t)
         pairs = common.cut(a.join(b, later).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
         out = common.cut(_verified(pairs, sets, t).select(F.col("b").alias("node")).distinct(), "goes")
         goes.append(out)
-        members = common.cut(_without(members.join(doubtful, "node", "left_semi"), out), "members")
+        left = common.cut(_without(later_ones, _small(out)), "members")
+        common.discard(members, pairs, doubtful)
+        members = left
         common.release(spark)
+    common.discard(members)
     if not goes:
         return known.select("hash").limit(0)
     every = goes[0]
     for more in goes[1:]:
         every = every.union(more)
-    return known.join(every.distinct(), "node", "left_semi").select("hash")
+    return known.select(F.col("number").alias("node"), "hash").join(every.distinct(), "node", "left_semi").select("hash")
 
 
 def line_decisions(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
