@@ -17,7 +17,9 @@ line number. So the first line of each kind stays, and what is removed has a sta
 4. The lists are worked off in rounds. A line that passes the filters with no earlier line left in its
    lists stays; the later lines that pass the filters with it are compared with it, and what is similar
    goes; both leave the lists. The earliest line left always stays, so the rounds end; lines that are alike
-   in their thousands go in one round, without being compared with each other.
+   in their thousands go in one round, without being compared with each other. From the second round on the
+   lines bring their words to the lists, and fitting means being similar: lines of one large group that are
+   almost, but not quite, alike would otherwise stay one a round.
 5. What passes is verified by the overlap of the word sets (64-bit hashes of words).
 
 Lines without words are left alone. Null text counts as empty. Rows that repeat a doc_id are told apart by
@@ -189,11 +191,11 @@ def near_lines(texts: DataFrame, firsts: DataFrame, ranks: list[int], t: float =
     members = common.cut(index.join(known.select("number", "node", "n", *_WIDE), "node").select("list", F.col("number").alias("node"), "n", "i", *_WIDE), "members")
     common.discard(index)
     common.release(spark)
-    goes = []
+    goes, similar = [], F.lit(True)
     while True:
-        # What fits no earlier line that is left stays; it meets the later ones, and what is alike goes.
+        # What fits no earlier line that is left stays; what is like a later one lets it go.
         a, b = members.alias("a"), members.alias("b")
-        earlier = (F.col("a.list") == F.col("b.list")) & (F.col("b.node") < F.col("a.node")) & _fits(_of("a"), _of("b"), t)
+        earlier = (F.col("a.list") == F.col("b.list")) & (F.col("b.node") < F.col("a.node")) & _fits(_of("a"), _of("b"), t) & similar
         doubtful = common.cut(a.join(b, earlier, "left_semi").select("node").distinct(), "doubtful")
         if doubtful.isEmpty():
             break
@@ -201,12 +203,20 @@ def near_lines(texts: DataFrame, firsts: DataFrame, ranks: list[int], t: float =
         doubtful = _small(doubtful)
         later_ones = members.join(doubtful, "node", "left_semi")
         a, b = _without(members, doubtful).alias("a"), later_ones.alias("b")
-        later = (F.col("a.list") == F.col("b.list")) & (F.col("a.node") < F.col("b.node")) & _fits(_of("a"), _of("b"), t)
-        pairs = common.cut(a.join(b, later).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
-        out = common.cut(_verified(pairs, sets, t).select(F.col("b").alias("node")).distinct(), "goes")
+        later = (F.col("a.list") == F.col("b.list")) & (F.col("a.node") < F.col("b.node")) & _fits(_of("a"), _of("b"), t) & similar
+        if "w" in members.columns:
+            out = common.cut(b.join(a, later, "left_semi").select("node").distinct(), "goes")
+        else:
+            pairs = common.cut(a.join(b, later).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
+            out = common.cut(_verified(pairs, sets, t).select(F.col("b").alias("node")).distinct(), "goes")
+            common.discard(pairs)
         goes.append(out)
-        left = common.cut(_without(later_ones, _small(out)), "members")
-        common.discard(members, pairs, doubtful)
+        left = _without(later_ones, _small(out))
+        if "w" not in members.columns:  # few are left, so from here on they bring their words
+            left = left.join(sets, "node")
+            similar = F.size(F.array_intersect("a.w", "b.w")) >= _overlap(F.col("a.n"), F.col("b.n"), t)
+        left = common.cut(left, "members")
+        common.discard(members, doubtful)
         members = left
         common.release(spark)
     common.discard(members)
