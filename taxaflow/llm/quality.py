@@ -2,9 +2,10 @@
 
 Lines are normalised (words joined by one space, lower case) and hashed. For each host (source) the
 distinct documents that hold a line are counted; lines above the host's limit are boilerplate and are
-removed; a document of which too little remains is rejected. Documents in which a line first stands
-between the same two neighbours count as one for that line: copies and near copies of a document don't
-make its lines boilerplate, they are left to the dedup stages.
+removed; a document of which too little remains is rejected. Equal texts count as one, and so do near
+copies: texts that consist almost wholly of lines above the limits, and share the least of these by hash.
+Copies and near copies of a document thus don't make its lines boilerplate, they are left to the dedup
+stages; the lines of a block that stands in different documents are counted whatever their neighbours.
 
 Null text counts as empty (no words: base_failed). A null source is a host of its own. Repeated rows get
 equal results; an empty table gives none; extra columns are ignored.
@@ -24,6 +25,8 @@ MAX_REPEAT_PERCENT = 20
 #: A line is boilerplate for a host if its distinct documents are more than both limits.
 LINE_DOCS = 20
 LINE_SHARE = 0.1
+#: Texts with at least this share of words in lines above the limits may be near copies.
+COPY_SHARE = 0.8
 #: A document is depleted if fewer words, or a smaller share of them, remain without boilerplate.
 KEEP_WORDS = 10
 KEEP_SHARE = 0.3
@@ -83,7 +86,7 @@ def base_measures(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def line_table(df: DataFrame) -> DataFrame:
-    """One row for each line with words: its document, host, place, hash, words and neighbours."""
+    """One row for each line with words: its document, host, place, hash and words, and the words of its text."""
     held = df.select(F.col("doc_id").cast("long").alias("doc_id"), _host().alias("host"), common.text_of().alias("text"))
     normal = F.transform(F.split("text", "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, _RUN, " "))))
     summary = F.transform(
@@ -91,20 +94,32 @@ def line_table(df: DataFrame) -> DataFrame:
         lambda x: F.struct(F.xxhash64(x).alias("line"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")),
     )
     arrays = held.select("doc_id", "host", F.xxhash64("text").alias("text_key"), summary.alias("lines"))
-    around = lambda i: F.xxhash64(F.when(i > 0, F.get("lines", i - 1)["line"]), F.get("lines", i + 1)["line"])
-    whole = arrays.select("doc_id", "host", "text_key", F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x["line"].alias("line"), x["n"].alias("n"), around(i).alias("around"))).alias("lines"))
+    total = F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"])
+    whole = arrays.select("doc_id", "host", "text_key", total.alias("of_words"), F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x["line"].alias("line"), x["n"].alias("n"))).alias("lines"))
     # The outer form, since Spark guards the plain one by a filter that computes the arrays again.
-    return whole.select("doc_id", "host", "text_key", F.inline_outer("lines")).where("line IS NOT NULL")
+    return whole.select("doc_id", "host", "text_key", "of_words", F.inline_outer("lines")).where("line IS NOT NULL")
 
 
 def boilerplate(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """host, line of each line that more than line_docs distinct documents of its host hold, and more than
     line_share of them. Counts are combined before they are shuffled; a frequent line is no hot key."""
-    firsts = lines.groupBy("host", "line", "text_key").agg(F.min(F.struct("pos", "around")).alias("first"))
-    seen = firsts.groupBy("host", "line", F.col("first.around").alias("around")).agg(F.lit(1).alias("one"))
-    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > line_docs)
     hosts = lines.groupBy("host", "text_key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    return counts.join(hosts, "host").where(F.col("docs") > line_share * F.col("of")).select("host", "line")
+
+    def above(seen: DataFrame) -> DataFrame:
+        counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > line_docs)
+        return counts.join(hosts, "host").where(F.col("docs") > line_share * F.col("of")).select("host", "line", "of")
+
+    # First by equal texts; near copies can only lower a count, so what is not frequent here never is.
+    frequent = common.cut(above(lines.groupBy("host", "line", "text_key").agg(F.lit(1).alias("one"))), "frequent")
+    texts = (
+        lines.join(frequent, ["host", "line"])
+        .groupBy("host", "text_key", "pos").agg(F.first("line").alias("line"), F.first("n").alias("n"), F.first("of_words").alias("of_words"), F.first("of").alias("of"))
+        .groupBy("host", "text_key").agg(F.collect_set("line").alias("held"), (F.sum("n") >= COPY_SHARE * F.first("of_words")).alias("copy"), F.first("of").alias("of"))
+    )
+    key = F.when(F.col("copy"), F.array_min("held")).otherwise(F.col("text_key"))
+    seen = texts.select("host", "of", "copy", key.alias("key"), F.explode_outer("held").alias("line")).groupBy("host", "line", "copy", "key").agg(F.first("of").alias("of"))
+    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.first("of").alias("of"))
+    return counts.where((F.col("docs") > line_docs) & (F.col("docs") > line_share * F.col("of"))).select("host", "line")
 
 
 def _judged(df: DataFrame, line_docs: int, line_share: float) -> DataFrame:

@@ -66,6 +66,21 @@ def test_rules(spark):
     assert quality.quality_rules(df.limit(0)).count() == 0
 
 
+def test_blocks_of_lines(spark):
+    block = ["Read more stories like this on our site", "All rights reserved by the publisher of this site", "Contact the editors by mail or telephone"]
+    own = lambda i, n: " ".join(f"w{i}_{k}" for k in range(n))
+    rows = [(i, "\n".join([f"start {i}", own(i, 30), *block]), "foot") for i in range(60)]
+    rows += [(100 + i, "\n".join([*block, own(i, 30)]), "head") for i in range(60)]
+    rows += [(200, "\n".join([*block, "five words of its own"]), "foot")]
+    lines = [own(900 + k, 6) for k in range(40)]  # near copies: one line of forty differs in each
+    rows += [(300 + i, "\n".join([*lines[:i], f"changed in copy {i}", *lines[i + 1 :]]), "near") for i in range(40)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    words = sum(len(x.split()) for x in block)
+    assert {got[i].n_words - got[i].n_kept_words for i in (*range(60), *range(100, 160), 200)} == {words}
+    assert got[3].kept and got[103].kept and not got[200].kept and not got[200].base_failed
+    assert all(got[300 + i].kept and got[300 + i].n_kept_words == got[300 + i].n_words for i in range(40))
+
+
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, source string")
     plan = quality.quality_rules(df)._jdf.queryExecution().toString()
