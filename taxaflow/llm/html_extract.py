@@ -3,9 +3,11 @@
 Markup is stripped so that each block element gives a line, in page order. Lines in menus, headers,
 footers, sidebars, notices, adverts, forms and comments weigh nothing, as do lines that are mostly links.
 The text lengths are summed over sliding windows of lines; a surge point is where the sums rise from
-nothing, a dive point where they return to it. The text between the surge and the dive with the most
-text is the main text, short paragraphs in between included; where a page marks its article, the marked
-part alone has weight, and all of it is between surge and dive.
+nothing, a dive point where they return to it. The run between the surge and the dive with the most
+text finds the main text, short paragraphs in between included: the runs of the same container (the
+nearest common box, and boxes beside it that are named alike) are joined with it, with the lists of links
+between them. Where a page marks its article, the marked part alone has weight, and all of it is between
+surge and dive.
 
 Null or empty html, and pages without text that has weight, give an empty text. Rows are independent: repeated rows
 give repeated results, nulls in other columns stay, extra columns are ignored, nothing is shuffled.
@@ -14,6 +16,7 @@ give repeated results, nulls in other columns stay, extra columns are ignored, n
 from __future__ import annotations
 
 import html as entities
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,25 +54,30 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main "
     "menu nav ol p pre section summary table tbody td tfoot th thead title tr ul caption head".split()
 )
+#: Elements that set parts of a page apart; others, such as lists and sections, are parts of a text.
+_BOXES = frozenset("body div html td".split())
+_DIGITS = regex.compile("[0-9]+")
 #: Elements whose start ends an open one of the same kind.
 _ENDS = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}}
 
 
 class _Line:
-    __slots__ = ("dropped", "links", "marked", "text")
+    __slots__ = ("box", "dropped", "links", "marked", "text")
 
-    def __init__(self, text: str, links: int, dropped: bool, marked: bool) -> None:
-        self.text, self.links, self.dropped, self.marked = text, links, dropped, marked
+    def __init__(self, text: str, links: int, dropped: bool, marked: bool, box: int) -> None:
+        self.text, self.links, self.dropped, self.marked, self.box = text, links, dropped, marked, box
 
     @property
     def weight(self) -> int:
         return 0 if self.dropped or self.links > LINKS * len(self.text) else len(self.text)
 
 
-def lines(page: str) -> list[_Line]:
-    """A line for each run of text between the borders of blocks."""
+def lines(page: str) -> tuple[list[_Line], list[tuple[int, str, str]]]:
+    """A line for each run of text between the borders of blocks, and the boxes they are in: each one's
+    outer box, name, and class and id without digits. The first box is the page."""
     out: list[_Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, marked as article
+    boxes = [(0, "", "")]
+    stack: list[tuple[str, bool, bool, int]] = []  # name, dropped, marked as article, box
     parts: list[str] = []
     links = 0
     linked = 0  # open links
@@ -79,7 +87,7 @@ def lines(page: str) -> list[_Line]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append(_Line(text, links, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]))
+            out.append(_Line(text, links, *(stack[-1][1:] if stack else (False, False, 0))))
         links = 0
 
     def take(text: str) -> None:
@@ -111,7 +119,7 @@ def lines(page: str) -> list[_Line]:
             flush()
         if name in _VOID:
             continue
-        dropped, marked = stack[-1][1:] if stack else (False, False)
+        dropped, marked, box = stack[-1][1:] if stack else (False, False, 0)
         if m["close"]:
             if name in _BLOCK:
                 flush()
@@ -133,19 +141,50 @@ def lines(page: str) -> list[_Line]:
         if name in _BLOCK:
             while stack and stack[-1][0] in _ENDS.get(name, ()) or (stack and stack[-1][0] not in _BLOCK and not stack[-1][1]):
                 stack.pop()
-            dropped, marked = stack[-1][1:] if stack else (False, False)
+            dropped, marked, box = stack[-1][1:] if stack else (False, False, 0)
             drop = drop and (dropped or name in _DROPPED or name == "header" or bool(names or attrs))
         if name in _BLOCK or drop != dropped:
-            stack.append((name, drop, marked or name in ("article", "main") or bool(names and _ARTICLE_NAMES.search(names))))
+            if name in _BOXES:
+                boxes.append((box, name, _DIGITS.sub("", names)))
+                box = len(boxes) - 1
+            stack.append((name, drop, marked or name in ("article", "main") or bool(names and _ARTICLE_NAMES.search(names)), box))
     if at < len(page):
         take(page[at:])
     flush()
-    return out
+    return out, boxes
+
+
+def _container(found: list[_Line], weight: list[int], boxes: list[tuple[int, str, str]], start: int, end: int) -> tuple[int, list[bool]]:
+    """The box that holds the lines from start to end, or boxes like it, and for each box whether it is in it."""
+    way = [next(x.box for x, w in zip(found[start:end], weight[start:end], strict=True) if w)]
+    while way[-1]:
+        way.append(boxes[way[-1]][0])
+    meets = {b: k for k, b in enumerate(way)}  # for each box, how far up the way it meets it
+    at = 0
+    for x, w in zip(found[start:end], weight[start:end], strict=True):
+        b, passed = x.box, []
+        while w and b not in meets:
+            passed.append(b)
+            b = boxes[b][0]
+        meets.update((c, meets[b]) for c in passed)
+        at = max(at, meets[b]) if w else at
+    held = [0] * len(boxes)
+    for x, w in zip(found, weight, strict=True):
+        held[x.box] += w
+    for b in range(len(boxes) - 1, 0, -1):  # an outer box comes before those in it
+        held[boxes[b][0]] += held[b]
+    alike = Counter(boxes[b] for b in range(1, len(boxes)) if held[b] >= SURGE)
+    while way[at] and alike[boxes[way[at]]] > 1:
+        at += 1
+    inside = [b == way[at] for b in range(len(boxes))]
+    for b in range(1, len(boxes)):
+        inside[b] = inside[b] or inside[boxes[b][0]]
+    return way[at], inside
 
 
 def main_text(page: str | None) -> str:
     """The text between the surge and the dive point of the heaviest run of lines."""
-    found = lines(page or "")
+    found, boxes = lines(page or "")
     marked = any(x.marked and not x.dropped for x in found)
     weight = [x.weight if not marked or x.marked else 0 for x in found]
     if marked:  # inside a marked article, link lines are part of it
@@ -153,6 +192,7 @@ def main_text(page: str | None) -> str:
     sums = [sum(weight[k : k + WINDOW]) for k in range(len(weight))]
     need = SURGE if not marked and max(sums, default=0) >= SURGE else 1  # a page of short lines may surge lower
     best, best_sum, k = (0, 0), 0, 0
+    runs = []
     while k < len(sums):
         if sums[k] < need:
             k += 1
@@ -161,14 +201,24 @@ def main_text(page: str | None) -> str:
         while k < len(sums) and sums[k] > 0:
             k += 1
         dive = k
+        runs.append((surge, dive))
         if marked and best_sum:  # an article has one start and one end, whatever lies within
             best, best_sum = (best[0], dive), best_sum + sum(weight[surge:dive])
         elif sum(weight[surge:dive]) > best_sum:
             best, best_sum = (surge, dive), sum(weight[surge:dive])
-    start = best[0]
-    while not marked and start > 0 and weight[start - 1]:  # short lines just before the surge
+    start, end = best
+    if marked or not best_sum:
+        return "\n\n".join(x.text for x, w in zip(found[start:end], weight[start:end], strict=True) if w)
+    box, inside = _container(found, weight, boxes, start, end)
+    if boxes[box][1] == "div":  # a part of the page: all of it
+        joined = [k for k, x in enumerate(found) if weight[k] and inside[x.box]]
+    else:  # the page: what surges
+        joined = [k for surge, dive in runs for k in range(surge, dive) if weight[k] and inside[found[k].box]]
+    start, end = min(start, joined[0]), max(end, joined[-1] + 1)
+    while start > 0 and weight[start - 1]:  # short lines just before the surge
         start -= 1
-    return "\n\n".join(x.text for x, w in zip(found[start : best[1]], weight[start : best[1]], strict=True) if w)
+    kept = [k for k in range(start, end) if weight[k]]
+    return "\n\n".join(x.text for x in found[kept[0] : kept[-1] + 1] if not x.dropped)
 
 
 def extract(df: DataFrame) -> DataFrame:

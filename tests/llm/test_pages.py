@@ -25,6 +25,22 @@ def test_unmarked_article():
     assert html_extract.main_text(page).startswith("Head & line\n\nFirst")
 
 
+def test_unmarked_article_with_lists():
+    first = [f"Paragraph {i} of the first part, with a good many words of plain text in it, so that windows surge." for i in range(4)]
+    last = [f"Paragraph {i} of the last part, which is lighter." for i in range(4)]
+    links = [f"Link number {i}" for i in range(4)]
+    tags = lambda parts: "".join(f"<p>{x}</p>" for x in parts)
+    items = "<ul>" + "".join(f'<li><a href="/{i}">{x}</a></li>' for i, x in enumerate(links)) + "</ul>"
+    whole = "\n\n".join([*first, *links, *last])
+    menu = '<div id="top"><a href="/">Home</a></div>'
+    side = '<div id="side">' + items + "<p>A text beside the article that is not part of it, though it is long enough to surge by itself, alas.</p></div>"
+    parts = tags(first) + items + tags(last)
+    for body in (parts, f'<div id="text">{parts}</div>{side}', f"<div><section>{tags(first)}</section>{items}<section>{tags(last)}</section></div>", f'<div class="x"><div id="part1">{tags(first)}</div>{items}<div id="part2">{tags(last)}</div></div>{side}'):
+        assert html_extract.main_text(f"<html><body>{menu}{body}</body></html>") == whole
+    advert = '<div class="ad">' + tags(links) + "</div>"
+    assert html_extract.main_text(f"<body><div>{tags(first)}{advert}{tags(last)}</div></body>") == "\n\n".join([*first, *last])
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<!--", "<script>x", "<article></article>", "<nav>only</nav>"])
 def test_nothing(page):
     assert html_extract.main_text(page) in ("", "<", "<p")
