@@ -119,7 +119,7 @@ def _infer(df: DataFrame, rank: Column, code: Column) -> DataFrame:
     has_sp, has_isp = F.col("__sp").isNotNull(), F.col("__isp").isNotNull()
     lookup = lambda table, key: F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in table.items()))
     read = (
-        F.when(F.col("__pinned_rank").isNotNull(), F.col("__pinned_rank"))
+        F.when(F.col("__pinned_rank").isNotNull(), F.when(code == "ZOOLOGICAL", F.regexp_replace("__pinned_rank", r"_BOTANY\z", "_ZOOLOGY")).otherwise(F.col("__pinned_rank")))
         .when(F.col("__aggregate") & has_sp, F.lit("SPECIES_AGGREGATE"))
         .when(has_isp & F.col("__mark").isNotNull(), lookup(vocab.INFRASPECIFIC, F.col("__mark")))
         .when(has_isp & F.col("__four"), F.lit("INFRASUBSPECIFIC_NAME"))

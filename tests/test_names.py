@@ -56,6 +56,36 @@ def test_case(parsed, name, result, want):
     assert {k: p.get(k) for k in want} == want
 
 
+#: Rows of SURVEY 2.3: the row, a name, and the fields that differ from their defaults.
+STRIPPED = [
+    (9, "Abies alba RNA2x", {"phrase": "RNA2x", "type": "INFORMAL", "specificEpithet": "alba"}),
+    (22, "Abies alba Hort. ex Mill.", {"ex": ["hort."], "comb": ["Mill."]}),
+    (26, "Abies alba t.infr. minor Mill.", {"specificEpithet": "alba", "infraspecificEpithet": "minor"}),
+    (33, "Abies species.", {"uninomial": "Abies"}),
+    (38, "Abies alba Anon", {"comb": ["anon."]}),
+    (42, "Abies alba Mill. s. lat. rest of it", {"taxonomicNote": "s.lat.", "unparsed": "rest of it", "comb": ["Mill."]}),
+    (43, "Abies alba Mill. s.s. rest", {"taxonomicNote": "s.s.", "unparsed": "rest", "comb": ["Mill."]}),
+    (50, "Abies alba Mill., Title 12: 3 nom. illeg. (1988).", {"publishedIn": "Title 12: 3 (1988)", "nomenclaturalNote": "nom. illeg.", "comb": ["Mill."], "year": "1988"}),
+    (51, "Abies alba Miller. Journal of Trees 12, 1988.", {"publishedIn": "Journal of Trees 12, 1988", "comb": ["Miller"], "year": "1988"}),
+    (51, "Abies alba Miller. Journal of Trees 12: 123-145.", {"publishedIn": "Journal of Trees 12: 123-145", "comb": ["Miller"], "warnings": ["nomenclatural reference removed"]}),
+    (52, "Abies alba Mill., Journal of Trees 12", {"publishedIn": "Journal of Trees 12", "comb": ["Mill."], "warnings": ["nomenclatural reference removed"]}),
+    (55, "sect. Taeda", {"uninomial": "Taeda", "rank": "SECTION_BOTANY", "code": "BOTANICAL"}),
+    (55, "subgen. Trematostoma Sacc.", {"uninomial": "Trematostoma", "rank": "SUBGENUS", "comb": ["Sacc."]}),
+]
+
+
+def test_annotation_rules(spark):
+    rows = parse_names(spark.createDataFrame([(n,) for _, n, _ in STRIPPED], "name string")).select("name", F.to_json("parsed").alias("p"), F.to_json("error").alias("e")).collect()
+    got = {r.name: json.loads(r.p or "{}") | {"error": r.e} for r in rows}
+    wrong = []
+    for k, name, want in STRIPPED:
+        p = got[name]
+        comb = p.get("combinationAuthorship", {})
+        p |= {"comb": comb.get("authors"), "ex": comb.get("exAuthors"), "year": comb.get("year")}
+        wrong += [(k, name, p)] if {f: p.get(f) for f in want} != want else []
+    assert not wrong
+
+
 @pytest.mark.parametrize(("name", "kind"), ERRORS)
 def test_error(parsed, name, kind):
     assert parsed[name].result == "error" and json.loads(parsed[name].e)["type"] == kind
