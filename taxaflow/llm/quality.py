@@ -85,10 +85,14 @@ def base_measures(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _normal(line: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(line, _RUN, " ")))
+
+
 def line_table(df: DataFrame) -> DataFrame:
     """One row for each line with words: its document, host, place, hash and words, and the words of its text."""
     held = df.select(F.col("doc_id").cast("long").alias("doc_id"), _host().alias("host"), common.text_of().alias("text"))
-    normal = F.transform(F.split("text", "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, _RUN, " "))))
+    normal = F.transform(F.split("text", "\n"), _normal)
     summary = F.transform(
         F.filter(normal, lambda x: x != ""),
         lambda x: F.struct(F.xxhash64(x).alias("line"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")),
@@ -156,3 +160,14 @@ def quality_filter(df: DataFrame, line_docs: int = LINE_DOCS, line_share: float
         gone = F.broadcast(gone)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (_host() == F.col("__host")) & (F.xxhash64(common.text_of()) == F.col("__key"))
     return df.join(gone, same, "left_anti")
+
+
+def without_boilerplate(df: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """Every row of df, with all its columns, its text without the lines that are boilerplate for its host."""
+    held = boilerplate(line_table(df), line_docs, line_share).groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__lines"))
+    held = common.cut(held, "boilerplate")  # a row a host, with as few lines as _judged tells
+    if held.count() <= BROADCAST_ROWS:
+        held = F.broadcast(held)
+    left = F.filter(F.split(F.col("text"), "\n"), lambda x: ~F.array_contains("__lines", F.xxhash64(_normal(x))))
+    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return df.join(held, _host() == F.col("__host"), "left").select(*(text.alias(c) if c == "text" else F.col(c) for c in df.columns))

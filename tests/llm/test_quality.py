@@ -81,6 +81,13 @@ def test_blocks_of_lines(spark):
     assert all(got[300 + i].kept and got[300 + i].n_kept_words == got[300 + i].n_words for i in range(40))
 
 
+def test_without_boilerplate(spark):
+    rows = [(i, f"Start {i}\n\n  Shared  line of this HOST\n" + f"own {i} text\t", "a") for i in range(60)] + [(100, "shared line of this host\n", None), (101, None, "a"), (102, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in quality.without_boilerplate(df).collect()}
+    assert got == {i: f"Start {i}\n\nown {i} text\t" for i in range(60)} | {100: "shared line of this host\n", 101: None, 102: ""}
+
+
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, source string")
     plan = quality.quality_rules(df)._jdf.queryExecution().toString()
