@@ -96,28 +96,35 @@ def fingerprints(df: DataFrame) -> DataFrame:
     )
 
 
+def code_block(block: pa.Table, owners: int) -> pa.Table:
+    """For each owner the block's distinct fingerprints, coded, and a bit for each that the block holds twice."""
+    values, counts = np.unique(block.column("fp").to_numpy().view(np.uint64), return_counts=True)
+    owner = _owner_split(values, owners)
+    out = {"owner": [], "src": [], "n": [], "bits": [], "code": [], "twice": []}
+    src = block.column("src")[0].as_py()
+    for o in np.unique(owner):
+        own = values[owner == o]
+        bits = rice_bits(64 - max(0, owners.bit_length() - 1), len(own))
+        base = np.uint64(int(-(-(int(o) << 32) // owners)) << 32)
+        row = (int(o), src, len(own), bits, golomb_encode(own - base, bits), np.packbits(counts[owner == o] > 1).tobytes())
+        for k, v in zip(out, row, strict=True):
+            out[k].append(v)
+    return pa.table(out, schema=pa.schema([("owner", pa.int64()), ("src", pa.string()), ("n", pa.int64()), ("bits", pa.int32()), ("code", pa.binary()), ("twice", pa.binary())]))
+
+
 def suspects(prints: DataFrame, owner_rows: int = OWNER_ROWS) -> DataFrame:
     """The rids whose fingerprint occurs more than once, by the exchange of coded blocks and bitmaps."""
     owners = max(1, -(-prints.count() // owner_rows))
 
     def send(block: pa.Table) -> pa.Table:
-        values = np.sort(block.column("fp").to_numpy().view(np.uint64))
-        owner = _owner_split(values, owners)
-        out = {"owner": [], "src": [], "n": [], "bits": [], "code": []}
-        src = block.column("src")[0].as_py()
-        for o in np.unique(owner):
-            own = values[owner == o]
-            bits = rice_bits(64 - max(0, owners.bit_length() - 1), len(own))
-            base = np.uint64(int(-(-(int(o) << 32) // owners)) << 32)
-            for k, v in (("owner", int(o)), ("src", src), ("n", len(own)), ("bits", bits), ("code", golomb_encode(own - base, bits))):
-                out[k].append(v)
-        return pa.table(out, schema=pa.schema([("owner", pa.int64()), ("src", pa.string()), ("n", pa.int64()), ("bits", pa.int32()), ("code", pa.binary())]))
+        return code_block(block, owners)
 
     def answer(blocks: pa.Table) -> pa.Table:
         rows = blocks.to_pylist()
         held = [golomb_decode(r["code"], r["n"], r["bits"]) for r in rows]
+        own_twice = [own[np.unpackbits(np.frombuffer(r["twice"], dtype=np.uint8))[: len(own)].astype(bool)] for r, own in zip(rows, held, strict=True)]
         seen, counts = np.unique(np.concatenate(held), return_counts=True)
-        twice = seen[counts > 1]
+        twice = np.concatenate([seen[counts > 1], *own_twice])
         out = {"src": [], "owner": [], "bitmap": []}
         for r, own in zip(rows, held, strict=True):
             marked = np.isin(own, twice)
@@ -128,17 +135,16 @@ def suspects(prints: DataFrame, owner_rows: int = OWNER_ROWS) -> DataFrame:
         return pa.table(out, schema=pa.schema([("src", pa.string()), ("owner", pa.int64()), ("bitmap", pa.binary())]))
 
     def receive(block: pa.Table, bitmaps: pa.Table) -> pa.Table:
-        values = block.column("fp").to_numpy().view(np.uint64)
-        order = np.argsort(values, kind="stable")
-        owner = _owner_split(values[order], owners)
+        values, place = np.unique(block.column("fp").to_numpy().view(np.uint64), return_inverse=True)
+        owner = _owner_split(values, owners)
         marked = np.zeros(len(values), dtype=bool)
         for r in bitmaps.to_pylist():
             own = np.flatnonzero(owner == r["owner"])
             marked[own] = np.unpackbits(np.frombuffer(r["bitmap"], dtype=np.uint8))[: len(own)].astype(bool)
-        return pa.table({"rid": block.column("rid").to_numpy()[order[marked]]}, schema=pa.schema([("rid", pa.int64())]))
+        return pa.table({"rid": block.column("rid").to_numpy()[marked[place]]}, schema=pa.schema([("rid", pa.int64())]))
 
     small = prints.select("src", "rid", "fp")
-    codes = small.select("src", "fp").groupBy("src").applyInArrow(send, "owner long, src string, n long, bits int, code binary")
+    codes = small.select("src", "fp").groupBy("src").applyInArrow(send, "owner long, src string, n long, bits int, code binary, twice binary")
     bitmaps = codes.groupBy("owner").applyInArrow(answer, "src string, owner long, bitmap binary")
     return small.groupBy("src").cogroup(bitmaps.groupBy("src")).applyInArrow(receive, "rid long")
 
