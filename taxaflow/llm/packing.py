@@ -30,14 +30,14 @@ SEPARATOR = 0
 #: Pieces packed together.
 GROUP_PIECES = 4096
 #: Words, and runs of words, whose ids a worker keeps; then it starts anew.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_200_000
 
 
 class Words:
     """Ids as little-endian uint32 bytes, by words.
 
-    The tokenizer splits a normalised text into words and merges within them, so runs without white space
-    and the words in them are encoded once and kept. That shortcut is taken where its normalisation is
+    The tokenizer splits a normalised text into words and merges within them, so runs without white
+    space and the words in them are encoded once and kept. That shortcut is taken where its normalisation is
     plain lower-casing (Latin letters without combining marks, no number signs but 0 to 9); every other
     text goes through the tokenizer as a whole.
     """
@@ -58,8 +58,7 @@ class Words:
         self.ending[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.split = re.compile(self.SPLIT).findall
         self.odd = re.compile(self.ODD).search
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.held: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,36 +66,32 @@ class Words:
     def learn(self, runs: list[str]) -> None:
         """Encode runs without white space. New words are encoded as one text: each ends with a token
         that ends a word, which tells them apart."""
-        split = [self.split(r) for r in runs]
-        new = list(set().union(*split) - self.words.keys())
+        mixed = [r for r in runs if not r.isalpha()]
+        parts = list(map(self.split, mixed))
+        new = list(set(runs).difference(mixed).union(*parts).difference(self.held))
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
             ids = self.whole([" ".join(some)])[0]
             ends = (4 * np.flatnonzero(self.ending[np.frombuffer(ids, dtype="<u4")]) + 4).tolist()
             if len(ends) == len(some):
-                self.words.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+                self.held.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             else:
-                self.words.update(zip(some, self.whole(some), strict=True))
-        held = self.words.__getitem__
-        self.runs.update(zip(runs, (b"".join(map(held, own)) for own in split), strict=True))
+                self.held.update(zip(some, self.whole(some), strict=True))
+        held = self.held.__getitem__
+        self.held.update([(r, b"".join(map(held, own))) for r, own in zip(mixed, parts, strict=True)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.runs, self.words):
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
+        if len(self.held) > CACHE_ENTRIES:
+            self.held.clear()
         out: list[bytes] = [b""] * len(texts)
         odd = [i for i, t in enumerate(texts) if self.odd(t)]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
-        get = self.runs.get
         runs = {i: texts[i].lower().split() for i in set(range(len(texts))).difference(odd)}
-        found = {i: list(map(get, own)) for i, own in runs.items()}
-        short = [i for i, ids in found.items() if None in ids]
-        self.learn(list({r for i in short for r, ids in zip(runs[i], found[i], strict=True) if ids is None}))
-        for i in short:
-            found[i] = [get(r) if ids is None else ids for r, ids in zip(runs[i], found[i], strict=True)]
-        for i, ids in found.items():
-            out[i] = b"".join(ids)
+        self.learn(list(set().union(*runs.values()).difference(self.held)))
+        held = self.held.__getitem__
+        for i, own in runs.items():
+            out[i] = b"".join(map(held, own))
         return out
 
 
