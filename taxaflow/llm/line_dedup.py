@@ -4,8 +4,8 @@ Lines are compared as sets of words. A line is removed if an earlier line that s
 similarity of at least the threshold with it; earlier means a smaller doc_id (null first), then a smaller
 line number. So the first line of each kind stays, and what is removed has a stand-in that stays.
 
-1. Words are hashed and ordered by rarity: the top bits of a hash pick one of a fixed number of buckets,
-   and are replaced by the bucket's rank by frequency, which keeps hashes apart.
+1. Words are hashed and ordered by rarity: a first hash picks one of a fixed number of buckets, whose rank
+   by frequency goes before the bits of a second hash.
 2. Prefix filter. Let two sets of n and m words have overlap s, a = n - s, b = m - s. In the first set's
    rarity order, a pair of neighbours is also a pair of neighbours in the other set unless one of the a
    words is in it or one of the b words falls between: at most 2a + b pairs are lost. With Jaccard t or
@@ -37,7 +37,7 @@ from . import common
 
 THRESHOLD = 0.8
 #: Buckets of word frequencies: 2 to this power. Their ranks are the only thing that is sent to all tasks.
-BUCKET_BITS = 14
+BUCKET_BITS = 16
 #: Rows of 8 bytes that may be broadcast; beyond that both sides of a join are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -48,27 +48,30 @@ _RUN = f"{common.WS}+"
 def rarity_ranks(df: DataFrame, bits: int = BUCKET_BITS) -> list[int]:
     """The rank by frequency of each bucket of words, over all words of all texts; rare buckets first."""
     words = df.select(F.explode_outer(F.split(F.regexp_replace(common.text_of(), r"[\x09-\x0D]", " "), " ")).alias("w"))
-    bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int").alias("bucket")
+    bucket = _bucket(F.col("w"), bits).alias("bucket")
     counts = {r["bucket"]: r["count"] for r in words.where("w <> ''").groupBy(bucket).count().collect()}  # 2 ** bits rows at most
     order = sorted(range(1 << bits), key=lambda b: (counts.get(b, 0), b))
     ranks = [0] * (1 << bits)
     for rank, b in enumerate(order):
-        ranks[b] = rank
+        ranks[b] = rank - (1 << (bits - 1))  # the codes are signed, so the rarest come first
     return ranks
 
 
+def _bucket(word: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.hash(word), 32 - bits)
+
+
 def word_set(line: Column, ranks: list[int], bits: int = BUCKET_BITS) -> Column:
-    """The line's distinct words as sorted longs: the rank of the bucket, then the rest of the hash."""
+    """The line's distinct words as sorted longs: the rank of the word's bucket, then bits of another hash."""
     table = F.split(F.lit(" ".join(map(str, ranks))), " ").cast("array<bigint>")  # folded into one literal
     low = (1 << (64 - bits)) - 1
 
-    def code(h: Column) -> Column:
-        return F.shiftleft(F.get(table, F.shiftrightunsigned(h, 64 - bits).cast("int")), 64 - bits).bitwiseOR(h.bitwiseAND(F.lit(low)))
+    def code(w: Column) -> Column:
+        return F.shiftleft(F.get(table, _bucket(w, bits)), 64 - bits).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(low)))
 
-    # Splitting at one character is much faster than at a pattern; the empty words it leaves go by their hash.
-    words = F.split(F.regexp_replace(line, r"[\x09-\x0D]", " "), " ")
-    hashes = F.array_remove(F.transform(words, lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-    return F.sort_array(F.array_distinct(F.transform(hashes, code)))
+    # Splitting at one character is much faster than at a pattern.
+    words = F.array_distinct(F.array_remove(F.split(F.regexp_replace(line, r"[\x09-\x0D]", " "), " "), ""))
+    return F.sort_array(F.transform(words, code))
 
 
 def _overlap(n: Column, m: Column, t: float) -> Column:
