@@ -5,45 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from taxaflow.functions.text import filled, groups, let
+
 AUTHORSHIP = "struct<authors:array<string>,exAuthors:array<string>,year:string,imprintYear:string>"
-#: A year at the end: an optional imprint year, then an optional letter.
-_YEAR = r"(?:^|[\s,(])([0-9]{3,4}\??)(?:-[0-9]{2,4})?[a-z]?\)?\s*(?:,\s*([0-9]{4})|\[\s*\"?([0-9]{4})\"?\s*\])?\s*\.?\s*\z"
+#: A year at the end, of a range the first, with an optional imprint year or second year and an optional letter.
+_YEAR = r"^(|.*?[\s,(])([0-9]{3,4}\??)(?:[-–][0-9]{2,4})?[a-z]?\)?\s*(?:,\s*([0-9]{4})(?:[-–][0-9]{2,4})?|\[\s*\"?([0-9]{4})\"?\s*\])?\s*\.?\s*\z"
+_RANGE = r"[0-9]{4}[-–][0-9]{2,4}(?![0-9])"
 _SEPARATOR = r"\s*(?:&|;|,|\s(?:and|et|y)\s)\s*"
-
-
-def _nullif(x: Column) -> Column:
-    return F.nullif(F.trim(x), F.lit(""))
+_SUFFIX = "(?:f|fil|filius|Jr|jr|Sr|sr|II|III|IV)"
+_INITIALS = r"(?:\p{Lu}[a-z]?\.[\s-]?)+"
+_EMPTY = "array<string>"
 
 
 def author(x: Column) -> Column:
     """One author: initials before the surname, dotted, without spaces; shouted surnames in title case."""
     dotted = r"^(\p{Lu}[\p{L}'-]*\p{Ll})\s+((?:\p{Lu}\.?-?){1,3})\z"
-    initials = F.regexp_replace(F.regexp_replace(F.regexp_extract(x, dotted, 2), r"[.\s]", ""), r"(\p{Lu})", r"$1.")
-    turned = F.when(F.regexp_like(x, F.lit(dotted)), F.concat(initials, F.regexp_extract(x, dotted, 1))).otherwise(x)
-    lone = F.regexp_replace(turned, r"(?<![\p{L}.'-])(\p{Lu})\s+(?=\p{Lu}\p{Ll})", "$1.")
-    close = F.regexp_replace(lone, r"(?<=\p{Lu}\.)\s+(?=\p{Lu})", "")
-    shout = F.regexp_like(close, F.lit(r"^\p{Lu}{4,}\z"))
-    return F.when(shout, F.initcap(close)).otherwise(close)
+
+    def full(x: Column) -> Column:
+        initials = F.regexp_replace(F.regexp_replace(F.regexp_extract(x, dotted, 2), r"[.\s]", ""), r"(\p{Lu})", r"$1.")
+        turned = F.when(F.regexp_like(x, F.lit(dotted)), F.concat(initials, F.regexp_extract(x, dotted, 1))).otherwise(x)
+        lone = F.regexp_replace(turned, r"(?<![\p{L}.'-])(\p{Lu})\s+(?=\p{Lu}\p{Ll})", "$1.")
+        close = F.regexp_replace(lone, r"(?<=\p{Lu}\.)\s+(?=\p{Lu})", "")
+        shout = F.regexp_like(close, F.lit(r"^(?:\p{Lu}\.)*\p{Lu}{4,}(?:-\p{Lu}{2,})*\z"))
+        titled = F.replace(F.initcap(F.regexp_replace(F.lower(close), r"([.-])", "$1 ")), F.lit(" "), F.lit(""))
+        return F.when(shout, titled).otherwise(close)
+
+    return F.when(F.regexp_like(x, F.lit(r"^(?:\p{Lu}\.)*\p{Lu}\p{Ll}+\.?\z")), x).otherwise(full(x))
 
 
 def team(x: Column) -> Column:
-    """The authors of a list, in order; suffixes such as f. and Jr. stay with the author before them."""
-    joined = F.regexp_replace(x, r"\s*,\s*(?=(?:f|fil|filius|Jr|jr|Sr|sr|II|III|IV)\.?(?:\s|,|&|\z))", " ")
-    joined = F.regexp_replace(joined, r"\s+(?=(?:f|fil)\.(?:\s|,|&|\z))", " ")
-    parts = F.filter(F.transform(F.split(joined, _SEPARATOR), lambda a: author(F.trim(a))), lambda a: a != "")
-    return F.coalesce(parts, F.array().cast("array<string>"))
+    """The authors of a list, in order; suffixes such as f. and Jr. stay with the author before them, initials
+    after every surname go before it."""
+
+    def parts(x: Column) -> Column:
+        listed = F.when(F.contains(x, F.lit(",")), F.regexp_replace(x, rf"\s*,\s*(?={_SUFFIX}\.?(?:\s|,|&|\z))", " ")).otherwise(x)
+        listed = F.when(F.contains(listed, F.lit(" f")), F.regexp_replace(listed, r"\s+(?=(?:f|fil)\.(?:\s|,|&|\z))", " ")).otherwise(listed)
+        turned = F.regexp_replace(listed, rf"(?<![\p{{L}}.'-])(\p{{Lu}}[\p{{L}}'-]*\p{{Ll}}),\s*({_INITIALS})(?=\s*(?:,|&|;|\z|and\s|et\s))", "$2$1")
+        listed = F.when(F.regexp_like(listed, F.lit(r",\s*\p{Lu}[a-z]?\.")), turned).otherwise(listed)
+        return F.filter(F.transform(F.split(listed, _SEPARATOR), lambda a: author(F.trim(a))), lambda a: a != "")
+
+    none = F.array().cast(_EMPTY)
+    one = F.regexp_like(x, F.lit(r"^\p{Lu}[\p{L}.]*\z"))
+    return F.when(x == "", none).when(one, F.array(author(x))).otherwise(F.coalesce(parts(x), none))
+
+
+def has_range(x: Column) -> Column:
+    return F.coalesce(F.regexp_like(x, F.lit(_RANGE)), F.lit(False))
 
 
 def authorship(x: Column) -> Column:
     """AUTHORSHIP of a string such as "Hook.f. ex Mill. & L., 1753" (null or empty: nothing)."""
+    none = F.array().cast(_EMPTY)
     text = F.coalesce(F.trim(x), F.lit(""))
-    year = _nullif(F.regexp_extract(text, _YEAR, 1))
-    imprint = F.coalesce(_nullif(F.regexp_extract(text, _YEAR, 2)), _nullif(F.regexp_extract(text, _YEAR, 3)))
-    names = F.regexp_replace(F.regexp_replace(text, _YEAR, ""), r"[\s,(]+\z", "")
-    has_ex = F.regexp_like(names, F.lit(r"\sex\.?\s"))
-    before = F.when(has_ex, F.regexp_extract(names, r"^(.*?)\sex\.?\s", 1)).otherwise("")
-    after = F.when(has_ex, F.regexp_extract(names, r"^.*?\sex\.?\s+(.*)\z", 1)).otherwise(names)
-    return F.struct(team(after).alias("authors"), team(before).alias("exAuthors"), year.alias("year"), imprint.alias("imprintYear"))
+
+    def named(names: Column, year: Column, imprint: Column) -> Column:
+        has_ex = F.contains(names, F.lit(" ex")) & F.regexp_like(names, F.lit(r"\sex\.?\s"))
+        before = F.when(has_ex, F.regexp_extract(names, r"^(.*?)\sex\.?\s", 1)).otherwise("")
+        after = F.when(has_ex, F.regexp_extract(names, r"^.*?\sex\.?\s+(.*)\z", 1)).otherwise(names)
+        return F.struct(team(after).alias("authors"), team(before).alias("exAuthors"), year.alias("year"), imprint.alias("imprintYear"))
+
+    def read(t: Column) -> Column:
+        years = F.when(F.regexp_like(t, F.lit("[0-9]{3}")), groups(t, _YEAR, 4))
+        return let(years, lambda y: named(F.regexp_replace(F.coalesce(F.get(y, F.lit(0)), t), r"[\s,(]+\z", ""), filled(y, 2), F.coalesce(filled(y, 3), filled(y, 4))))
+
+    null = F.lit(None).cast("string")
+    nothing = F.struct(none.alias("authors"), none.alias("exAuthors"), null.alias("year"), null.alias("imprintYear"))
+    return F.when(text == "", nothing).otherwise(read(text))
 
 
 def exists(a: Column) -> Column:

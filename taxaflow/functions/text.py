@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,10 +13,28 @@ from taxaflow.plans import vocab
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it.
+
+    A projection that holds such a function over arrays is also a piece of its own to Spark's code generator,
+    which else joins a chain of projections into methods too large to be compiled."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def code_break(x: Column) -> Column:
-    """x itself. Spark generates one piece of code for a chain of projections, which must fit into methods
-    of 64 KB; a function over arrays, as here, ends a piece."""
-    return F.get(F.transform(F.array(x), lambda y: y), F.lit(0))
+    """x itself, see let."""
+    return let(x, lambda y: y)
+
+
+def groups(x: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern that takes the whole text, as an array ('' for a group that took no part); null
+    where it doesn't match. One replacement gives all groups; the text holds no tabs."""
+    return F.when(F.regexp_like(x, F.lit(pattern)), F.split(F.regexp_replace(x, pattern, "\t".join(f"${k}" for k in range(1, n + 1))), "\t"))
+
+
+def filled(groups: Column, k: int) -> Column:
+    """Group k (from 1) without spaces around it, null if it is empty."""
+    return F.nullif(F.trim(F.get(groups, F.lit(k - 1))), F.lit(""))
 
 
 def trim_control(x: Column) -> Column:
@@ -27,24 +47,21 @@ def normalise_quotes(x: Column) -> Column:
     return F.translate(x, vocab.SINGLE_QUOTES + vocab.DOUBLE_QUOTES, "'" * len(vocab.SINGLE_QUOTES) + '"' * len(vocab.DOUBLE_QUOTES))
 
 
-def normalise_hyphens(x: Column) -> Column:
-    return F.translate(x, vocab.HYPHENS, "-" * len(vocab.HYPHENS))
-
-
 def repair_win1252(x: Column) -> Column:
     return F.translate(x, "".join(vocab.WIN1252), "".join(vocab.WIN1252.values()))
 
 
-def collapse_space(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"[ \t\n\x0B\f\r]+", " "))
+def fold_lookalikes(x: Column) -> Column:
+    """Letters of other scripts that look like Latin ones, and full-width forms, as the latter."""
+    return F.translate(x, "".join(vocab.LOOKALIKES), "".join(vocab.LOOKALIKES.values()))
 
 
-def is_viral(word: Column) -> Column:
-    return F.regexp_like(word, F.lit(vocab.VIRAL_SUFFIX))
+def collapse_space(x: Column | str) -> Column:
+    return F.trim(F.regexp_replace(x, r"[ \t-\r\x1C-\x1F]+", " "))
 
 
-def is_particle(word: Column) -> Column:
-    return F.lower(word).isin(*vocab.PARTICLES)
+def is_viral(word: Column) -> Column:
+    return F.regexp_like(word, F.lit(vocab.VIRAL_SUFFIX))
 
 
 def is_unlikely_year(year: Column) -> Column:

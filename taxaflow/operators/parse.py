@@ -7,12 +7,15 @@ row is data (an error struct), never an exception.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaflow.functions import authors, text
 from taxaflow.functions.classify import error_message, with_kind
 from taxaflow.plans import ranks, strip, vocab
+from taxaflow.plans.recorded import Steps, recorded
 
 _MARK = "|".join(sorted(vocab.INFRASPECIFIC, key=lambda m: (-len(m), m)))
 _INFRA = "|".join(sorted(vocab.INFRAGENERIC, key=lambda m: (-len(m), m)))
@@ -27,116 +30,207 @@ _QUALIFIED = rf"^\s+(cf|aff|near)\.?\s+({_EPITHET})(?=[\s,(]|\z)(.*)\z"
 _MARKED = rf"^(.*?)\s+(notho|n(?=var|subsp|f))?({_MARK})(?:\.\s*|\s+)(×\s*)?({_EPITHET})(?=[\s,(]|\z)(.*)\z"
 _BARE = rf"^\s+(×\s*)?({_EPITHET})(?=[\s,(]|\z)(.*)\z"
 _BASIONYM = r"^\(([^()]*)\)\s*(.*)\z"
+_PUBLISHED_SPEC = r"^\s+spec\s+[\p{Lu}(]"
+_HAS_MARK = rf"\s(?:notho|n(?=var|subsp|f))?(?:{_MARK})[.\s]"
 _SANCTION = r"^(.*?\S)\s*:\s*(\p{Lu}[^:]*)\z"
 _NONE = "cast(null as string)"
 
 
-def _part(x: Column, pattern: str, k: int) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(x, pattern, k)), F.lit(""))
+#: A plain name: genus, subgenus, up to two epithets and an authorship of names, initials, commas and a year.
+_SURNAME = r"\p{Lu}[\p{Ll}']*\p{Ll}(?:-\p{Lu}\p{Ll}+)?\.?|\p{Lu}\."
+_TEAM = rf"(?:{_SURNAME})(?:(?:\s?&\s|,\s|\s)?(?:{_SURNAME}))*+"
+_YEARS = r"(?:,? (?:1[5-9]|20)[0-9]{2})?"
+_PLAIN = rf"^(\p{{Lu}}\p{{Ll}}{{2,}}+)(?: \((\p{{Lu}}\p{{Ll}}{{2,}}+)\)(?= \p{{Ll}}))?(?: (\p{{Ll}}{{3,}}+(?:-\p{{Ll}}{{3,}}+)?)(?: (\p{{Ll}}{{4,}}+))?)?(?: (?:\(({_TEAM}{_YEARS})\)(?: (?=\p{{Lu}})|\z))?({_TEAM}{_YEARS})?)?\z"
+#: Words that mean something in a name; names with one of them are read in full.
+_WORDS = sorted(
+    {*vocab.PARTICLES, *vocab.INFRASPECIFIC, *vocab.INFRAGENERIC}
+    | set("sp spp spec species cf aff near indet undet hort anon apud non nec not null ex and sensu sec auct auctt fide emend ss sic corrig group complex aggregate agg lineage clade grex strain nov nomen nom comb orth ined ms msc".split())
+    | set("unpublished press mihi delete unknown unassigned unaccepted unidentified undetermined uncultured undescribed indeterminate incertae sedis dummy temp Group Candidatus Missing Unident Unidentified Undescribed Undet Unknown Approved".split())
+    | set("Incertae Unassigned Uncultured Undetermined Not Anon Hort Auct Sensu Gen Vector Vectors Prion Prions Particle Particles Replicon Replicons Rna".split())
+)
+_VIRAL_HINTS = ("vir", "phage", "satellite", "vector", "prion", "particle", "replicon")
 
 
 def _like(x: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_like(x, F.lit(pattern)), F.lit(False))
 
 
-def _read_words(df: DataFrame) -> DataFrame:
-    """Genus, epithets, markers, qualifiers and the authorship text from __text."""
+def _recover_case(t: Column) -> Column:
+    """A shouted or lower-case first word in title case, shouted epithets after a shouted genus in lower case."""
+    caps = text.groups(t, r"^(\p{Lu}[\p{Lu}-]*\p{Lu})((?:\s\p{Lu}[\p{Lu}-]*\p{Lu}(?=\s|\z))*)(|[\s,(].*)\z", 3)
+    lower = text.groups(t, r"^(\p{Ll}[\p{Ll}-]*\p{Ll})(|\s.*)\z", 2)
+    title = lambda w: F.replace(F.initcap(F.replace(F.lower(w), F.lit("-"), F.lit("- "))), F.lit("- "), F.lit("-"))
+    shouted = F.when(_like(t, r"^\p{Lu}[\p{Lu}-]"), text.let(caps, lambda g: F.concat(title(F.get(g, F.lit(0))), F.lower(F.get(g, F.lit(1))), F.get(g, F.lit(2)))))
+    small = F.when(_like(t, r"^\p{Ll}"), text.let(lower, lambda g: F.concat(title(F.get(g, F.lit(0))), F.get(g, F.lit(1)))))
+    return F.coalesce(shouted, small, t)
+
+
+def _read_words(df: Steps) -> Steps:
+    """Genus, epithets, markers, qualifiers and the authorship text, from __text.
+
+    Each pattern gives all its groups at once; what a step leaves goes on to the next."""
     t = F.col("__text")
-    df = df.withColumns({
-        "__hyb": _part(t, _GENUS, 1), "__genus": _part(t, _GENUS, 2), "__sub": _part(t, _GENUS, 3), "__r1": text.code_break(F.when(_like(t, _GENUS), F.regexp_extract(t, _GENUS, 4))),
-    })
-    # What is read is dropped at once: Spark keeps what it knows of columns that stay, and with many
-    # columns computed from each other that knowledge outgrows the driver as soon as a filter asks for it.
-    df = df.drop("__text")
+    filled, let, groups = text.filled, text.let, text.groups
+    df = df.withColumn("__g", let(F.when(F.col("__open"), _recover_case(t)), lambda x: groups(x, _GENUS, 4))).drop("__text")
+    g = F.col("__g")
     # "(Word)" with nothing but an author after it is a basionym author, not a subgenus.
-    r1 = F.col("__r1")
-    lone = F.col("__sub").isNotNull() & ~_like(r1, _SUBGENUS_ONLY)
-    df = df.withColumns({"__r1": F.when(lone, F.concat(F.lit(" ("), F.col("__sub"), F.lit(")"), r1)).otherwise(r1), "__sub": F.when(~lone, F.col("__sub"))})
-    infra = _like(r1, _INFRAGENERIC) & ~_like(r1, _SPECIES)
+    r1 = F.get(g, F.lit(3))
+    lone = filled(g, 3).isNotNull() & ~_like(r1, _SUBGENUS_ONLY)
     df = df.withColumns({
-        "__isub": F.when(infra, _part(r1, _INFRAGENERIC, 4)), "__imark": F.when(infra, _part(r1, _INFRAGENERIC, 3)), "__gauth": F.when(infra, _part(r1, _INFRAGENERIC, 1)),
-        "__inotho": infra & (F.regexp_extract(r1, _INFRAGENERIC, 2) != ""), "__r2": F.when(infra, F.regexp_extract(r1, _INFRAGENERIC, 5)).otherwise(r1),
-    })
-    df = df.drop("__r1")
+        "__r1": let(F.when(lone, F.concat(F.lit(" ("), filled(g, 3), F.lit(")"), r1)).otherwise(r1), lambda x: x),
+        "__hyb": filled(g, 1).isNotNull(), "__genus": filled(g, 2), "__sub": F.when(~lone, filled(g, 3)),
+    }).drop("__g")
+    r1 = F.col("__r1")
+    df = df.withColumn("__i", let(r1, lambda r: F.when(_like(r, rf"\s(?:notho)?(?:{_INFRA})[.\s]") & ~_like(r, _SPECIES), groups(r, _INFRAGENERIC, 5))))
+    i = F.col("__i")
+    df = df.withColumns({"__r2": text.code_break(F.when(i.isNotNull(), F.get(i, F.lit(4))).otherwise(r1)), "__gauth": filled(i, 1), "__inotho": filled(i, 2).isNotNull(), "__imark": filled(i, 3), "__isub": filled(i, 4)}).drop("__r1", "__i")
     r2 = F.col("__r2")
-    qualified, indet, species = _like(r2, _QUALIFIED), _like(r2, _INDET), _like(r2, _SPECIES)
+    df = df.withColumn("__q", let(r2, lambda r: F.coalesce(
+        F.when(_like(r, r"^\s(?:cf|aff|near)[.\s]"), F.concat(F.array(F.lit("q")), groups(r, _QUALIFIED, 3))),
+        F.when(_like(r, r"^\s(?:sp|indet)") & ~_like(r, _PUBLISHED_SPEC), F.concat(F.array(F.lit("i")), groups(r, _INDET, 2))),
+        F.concat(F.array(F.lit("s")), groups(r, _SPECIES, 3)),
+    )))
+    q = F.col("__q")
+    kind = F.get(q, F.lit(0))
+    qualified, indet, species = (F.coalesce(kind == k, F.lit(False)) for k in "qis")
     df = df.withColumns({
-        "__qual": text.code_break(F.when(qualified, _part(r2, _QUALIFIED, 1))),
-        "__indet": indet & ~qualified,
-        "__iphrase": F.when(indet & ~qualified & (_part(r2, _INDET, 2).isNotNull()), F.trim(r2)),
-        "__sp": F.when(qualified, _part(r2, _QUALIFIED, 2)).when(species & ~indet, _part(r2, _SPECIES, 2)),
-        "__spx": ~qualified & species & (F.trim(F.regexp_extract(r2, _SPECIES, 1)) != ""),
-        "__r3": F.when(qualified, F.regexp_extract(r2, _QUALIFIED, 3)).when(indet, F.lit("")).when(species, F.regexp_extract(r2, _SPECIES, 3)).otherwise(r2),
-    })
-    df = df.drop("__r2")
+        "__qual": F.when(qualified, filled(q, 2)), "__indet": indet, "__iphrase": F.when(indet & filled(q, 3).isNotNull(), F.trim(r2)),
+        "__sp": F.when(qualified | species, filled(q, 3)), "__spx": species & filled(q, 2).isNotNull(),
+        "__r3": text.code_break(F.when(qualified | species, F.get(q, F.lit(3))).when(indet, F.lit("")).otherwise(r2)),
+    }).drop("__r2", "__q")
     r3, has_species = F.col("__r3"), F.col("__sp").isNotNull()
-    marked = has_species & _like(r3, _MARKED)
-    bare = has_species & ~marked & _like(r3, _BARE)
+    following = lambda r: F.coalesce(F.when(_like(r, _HAS_MARK), F.concat(F.array(F.lit("m")), groups(r, _MARKED, 6))), F.concat(F.array(F.lit("b")), groups(r, _BARE, 3)))
+    df = df.withColumn("__m", F.when(has_species & (r3 != ""), let(r3, following)))
+    m = F.col("__m")
+    marked, bare = (F.coalesce(F.get(m, F.lit(0)) == k, F.lit(False)) for k in "mb")
     df = df.withColumns({
-        "__sauth": F.when(marked, _part(r3, _MARKED, 1)),
-        "__mark": text.code_break(F.when(marked, _part(r3, _MARKED, 3))),
-        "__notho": marked & (F.regexp_extract(r3, _MARKED, 2) != ""),
-        "__isp": F.when(marked, _part(r3, _MARKED, 5)).when(bare, _part(r3, _BARE, 2)),
-        "__ispx": F.when(marked, F.trim(F.regexp_extract(r3, _MARKED, 4)) != "").otherwise(bare & (F.trim(F.regexp_extract(r3, _BARE, 1)) != "")),
-        "__r4": F.when(marked, F.regexp_extract(r3, _MARKED, 6)).when(bare, F.regexp_extract(r3, _BARE, 3)).otherwise(r3),
-    })
-    # A second marker or epithet: the last one counts, what is dropped is told in a warning.
-    df = df.drop("__r3")
+        "__sauth": F.when(marked, filled(m, 2)), "__notho": marked & filled(m, 3).isNotNull(), "__mark": F.when(marked, filled(m, 4)),
+        "__isp": F.when(marked, filled(m, 6)).when(bare, filled(m, 3)), "__ispx": (marked & filled(m, 5).isNotNull()) | (bare & filled(m, 2).isNotNull()),
+        "__r4": text.code_break(F.when(marked, F.get(m, F.lit(6))).when(bare, F.get(m, F.lit(3))).otherwise(r3)),
+    }).drop("__r3", "__m")
+    # A second marker or epithet: the last one counts, what is dropped is told in a warning; more are left unread.
     r4 = F.col("__r4")
-    more = F.col("__isp").isNotNull() & _like(r4, _MARKED) & ~_like(r4, r"^.*\(.*\).*" + _MARKED[1:])
-    again = F.col("__isp").isNotNull() & ~more & _like(r4, _BARE)
+    further = lambda r: F.coalesce(
+        F.when(_like(r, _HAS_MARK) & ~_like(r, r"^.*\(.*\).*" + _MARKED[1:]), F.concat(F.array(F.lit("m")), groups(r, _MARKED, 6))), F.when(~_like(r, r"^[\s,]*(?:\(|\z)"), F.concat(F.array(F.lit("b")), groups(r, _BARE, 3)))
+    )
+    df = df.withColumn("__n", F.when(F.col("__isp").isNotNull() & (r4 != ""), let(r4, further)))
+    n = F.col("__n")
+    more, again = (F.coalesce(F.get(n, F.lit(0)) == k, F.lit(False)) for k in "mb")
     dropped = F.concat(F.lit("Removed: "), F.coalesce(F.concat("__mark", F.lit(". ")), F.lit("")), F.col("__isp"))
+    rest = F.when(more, F.get(n, F.lit(6))).when(again, F.get(n, F.lit(3))).otherwise(r4)
     return df.withColumns({
         "__warnings": F.when(more, F.array_union("__warnings", F.array(dropped, F.lit(vocab.WARNINGS["quadrinomial"])))).otherwise(F.col("__warnings")),
-        "__mark": F.when(more, _part(r4, _MARKED, 3)).otherwise(F.col("__mark")),
-        "__isp": F.when(more, _part(r4, _MARKED, 5)).when(again, _part(r4, _BARE, 2)).otherwise(F.col("__isp")),
-        "__four": again,
-        "__auth": F.trim(F.regexp_replace(F.when(more, F.regexp_extract(r4, _MARKED, 6)).when(again, F.regexp_extract(r4, _BARE, 3)).otherwise(r4), r"^[\s,]+", "")),
-    }).drop("__r4")
+        "__mark": F.when(more, filled(n, 4)).otherwise(F.col("__mark")), "__four": again,
+        "__isp": F.when(more, filled(n, 6)).when(again, filled(n, 3)).otherwise(F.col("__isp")),
+        "__auth": text.code_break(F.when(F.col("__open"), F.trim(F.regexp_replace(rest, r"^[\s,]+", "")))),
+    }).drop("__r4", "__n")
 
 
-def _read_authors(df: DataFrame) -> DataFrame:
+def _read_authors(df: Steps) -> Steps:
     """Combination, basionym and sanctioning author; a separate authorship goes before the name's own."""
-    own = F.coalesce(_part(F.col("__given"), r"^(.*)\z", 1), F.when(F.col("__phrase").isNull() & F.col("__iphrase").isNull(), F.col("__auth")), F.lit(""))
-    df = df.withColumn("__a", own).drop("__auth", "__given")
+    none, let = F.lit(None).cast("string"), text.let
+    written = F.nullif(F.trim(F.col("__given")), F.lit(""))
+    own = F.coalesce(written, F.when(F.col("__phrase").isNull() & F.col("__iphrase").isNull(), F.col("__auth")), F.lit(""))
+    whole = F.when(F.col("__open"), own)
+    df = df.withColumn("__a", let(whole, lambda a: F.struct(
+        a.alias("whole"), F.when(F.startswith(a, F.lit("(")), text.groups(a, _BASIONYM, 2)).alias("bas"),
+        _like(F.when(F.contains(a, F.lit("f")), a), r"(?<=\S)\s*(?:(?<=[\s.])f\.|\bfil\.)").alias("filius"), authors.has_range(a).alias("ranged"),
+    ))).drop("__auth", "__given")
     a = F.col("__a")
-    bas = _like(a, _BASIONYM)
-    df = df.withColumns({"__bas": F.when(bas, F.regexp_extract(a, _BASIONYM, 1)), "__comb": F.when(bas, F.regexp_extract(a, _BASIONYM, 2)).otherwise(a), "__filius": _like(a, r"(?<=\S)\s*(?:(?<=[\s.])f\.|\bfil\.)")}).drop("__a")
-    comb = F.col("__comb")
-    sanct = _like(comb, _SANCTION)
+    comb = F.coalesce(F.get(a["bas"], F.lit(1)), a["whole"])
+    sanct = F.when(F.contains(comb, F.lit(":")), text.groups(comb, _SANCTION, 2))
     df = df.withColumns({
-        "__sanct": F.when(sanct, _part(comb, _SANCTION, 2)),
-        "__comb": F.when(sanct, F.regexp_extract(comb, _SANCTION, 1)).otherwise(comb),
-        "__bas": F.regexp_replace("__bas", r"\s*:.*\z", ""),
-    })
-    df = df.withColumns({"__combA": authors.authorship(F.col("__comb")), "__basA": authors.authorship(F.col("__bas")), "__has_bas": F.col("__bas").isNotNull()}).drop("__comb", "__bas")
+        "__sn": text.code_break(sanct), "__comb": comb,
+        "__bas": F.regexp_replace(F.get(a["bas"], F.lit(0)), r"\s*:.*\z", ""), "__filius": F.coalesce(a["filius"], F.lit(False)), "__ranged": F.coalesce(a["ranged"], F.lit(False)),
+    }).drop("__a")
+    df = df.withColumns({"__sanct": text.filled(F.col("__sn"), 2), "__has_bas": F.col("__bas").isNotNull(), "__combA": authors.authorship(F.coalesce(F.get("__sn", F.lit(0)), "__comb")), "__basA": authors.authorship(F.col("__bas"))}).drop("__sn", "__comb", "__bas")
     late = F.coalesce(F.col("__combA.year"), F.when(~authors.exists(F.col("__basA")), F.col("__reference_year")))
-    return df.withColumn("__combA", F.col("__combA").withField("year", late).withField("imprintYear", F.coalesce("__combA.imprintYear", "__imprint_year"))).drop("__reference_year", "__imprint_year")
+    comb = F.col("__combA")
+    return df.withColumn("__combA", text.code_break(F.struct(comb["authors"].alias("authors"), comb["exAuthors"].alias("exAuthors"), late.alias("year"), F.coalesce(comb["imprintYear"], "__imprint_year", none).alias("imprintYear")))).drop("__reference_year", "__imprint_year")
+
+
+#: The fields of the parsed struct, with their types and what they are where nothing else is known.
+_PARSED = (
+    ("rank", "string", "UNRANKED"), ("code", "string", None), ("uninomial", "string", None), ("genus", "string", None), ("genericAuthorship", authors.AUTHORSHIP, None), ("infragenericEpithet", "string", None),
+    ("specificEpithet", "string", None), ("specificAuthorship", authors.AUTHORSHIP, None), ("infraspecificEpithet", "string", None), ("cultivarEpithet", "string", None), ("phrase", "string", None),
+    ("candidatus", "boolean", False), ("notho", "array<string>", None), ("originalSpelling", "boolean", None), ("epithetQualifier", "map<string,string>", None), ("type", "string", "SCIENTIFIC"),
+    ("extinct", "boolean", False), ("taxonomicNote", "string", None), ("nomenclaturalNote", "string", None), ("publishedIn", "string", None), ("publishedInYear", "int", None), ("publishedInPage", "string", None),
+    ("unparsed", "string", None), ("doubtful", "boolean", False), ("manuscript", "boolean", False), ("state", "string", "COMPLETE"), ("warnings", "array<string>", []), ("combinationAuthorship", authors.AUTHORSHIP, ()),
+    ("basionymAuthorship", authors.AUTHORSHIP, ()), ("sanctioningAuthor", "string", None),
+)
+
+
+def _struct(**known: Column) -> Column:
+    """The parsed struct of the fields that are known."""
+
+    def start(kind: str, value: object) -> Column:
+        return F.array().cast(kind) if value == [] else _nobody() if value == () else F.lit(value).cast(kind)
+
+    return F.struct(*(known.get(name, start(kind, value)).alias(name) for name, kind, value in _PARSED))
+
+
+def _plain_name(g: Column) -> Column:
+    """The parsed struct of a plain name, from its groups; nothing in it needs the rules."""
+    part = lambda k: text.filled(g, k)
+    people = text.let(F.struct(authors.authorship(part(6)).alias("c"), authors.authorship(part(5)).alias("b")), lambda x: x)
+
+    def whole(who: Column) -> Column:
+        comb, bas = who["c"], who["b"]
+        combined, based = F.size(comb["authors"]) > 0, F.size(bas["authors"]) > 0
+        year = comb["year"].isNotNull() | bas["year"].isNotNull()
+        code = F.when(year & ~(combined & based), F.lit("ZOOLOGICAL")).when(combined & based & ~year, F.lit("BOTANICAL")).when(based & ~combined, F.lit("ZOOLOGICAL"))
+        epithets = part(3).isNotNull() | part(2).isNotNull()
+        rank = (
+            F.when(part(4).isNotNull(), F.when(code == "ZOOLOGICAL", F.lit("SUBSPECIES")).otherwise("INFRASPECIFIC_NAME")).when(part(3).isNotNull(), F.lit("SPECIES")).when(epithets, F.lit("INFRAGENERIC_NAME"))
+            .otherwise(F.coalesce(text.suffix_rank(part(1), F.lit(None).cast("string")), F.lit("UNRANKED")))
+        )
+        return _struct(
+            rank=rank, code=code, uninomial=F.when(~epithets, part(1)), genus=F.when(epithets, part(1)), infragenericEpithet=part(2), specificEpithet=part(3), infraspecificEpithet=part(4),
+            combinationAuthorship=comb, basionymAuthorship=bas,
+        )
+
+    return text.let(people, whole)
+
+
+def _nobody() -> Column:
+    return F.struct(*(F.array().cast("array<string>").alias(c) for c in ("authors", "exAuthors")), *(F.lit(None).cast("string").alias(c) for c in ("year", "imprintYear")))
+
+
+def _among(column: str, values: list[str]) -> Column:
+    """column IN values, as SQL text: one call for a long list."""
+    return F.expr(f"{column} IN (" + ", ".join(f"'{v}'" for v in values) + ")")
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """The value of a key, as one comparison with all keys of each value."""
+    values = dict.fromkeys(table.values())
+    return reduce(lambda c, v: c.when(key.isin(*[k for k, x in table.items() if x == v]), F.lit(v)), values, F)
 
 
-def _infer(df: DataFrame, rank: Column, code: Column) -> DataFrame:
+def _infer(df: Steps, rank: Column, code: Column) -> Steps:
     """Rank and code, and what their conflict tells."""
     has_sp, has_isp = F.col("__sp").isNotNull(), F.col("__isp").isNotNull()
-    lookup = lambda table, key: F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in table.items()))
+    marker = F.when(F.col("__marker").isNotNull(), _lookup(strip.MARKER_RANKS, F.lower("__marker")))
+    before = F.coalesce(marker, F.col("__pinned_rank"))
     read = (
-        F.when(F.col("__pinned_rank").isNotNull(), F.when(code == "ZOOLOGICAL", F.regexp_replace("__pinned_rank", r"_BOTANY\z", "_ZOOLOGY")).otherwise(F.col("__pinned_rank")))
+        F.when(before.isNotNull(), F.when(code == "ZOOLOGICAL", F.regexp_replace(before, r"_BOTANY\z", "_ZOOLOGY")).otherwise(before))
         .when(F.col("__aggregate") & has_sp, F.lit("SPECIES_AGGREGATE"))
-        .when(has_isp & F.col("__mark").isNotNull(), lookup(vocab.INFRASPECIFIC, F.col("__mark")))
+        .when(has_isp & F.col("__mark").isNotNull(), _lookup(vocab.INFRASPECIFIC, F.col("__mark")))
         .when(has_isp & F.col("__four"), F.lit("INFRASUBSPECIFIC_NAME"))
         .when(has_isp, F.lit("INFRASPECIFIC_NAME"))
         .when(has_sp | F.col("__indet"), F.lit("SPECIES"))
-        .when(F.col("__isub").isNotNull(), lookup(vocab.INFRAGENERIC, F.col("__imark")))
+        .when(F.col("__isub").isNotNull(), _lookup(vocab.INFRAGENERIC, F.col("__imark")))
         .when(F.col("__sub").isNotNull(), F.lit("INFRAGENERIC_NAME"))
     )
-    known = F.when(rank.isin(*ranks.NAMES), rank)
-    asked = F.when(known.isNotNull() & (known != "UNRANKED") & read.isNull(), known).when(has_isp & F.col("__mark").isNull() & known.isin(*(n for n in ranks.NAMES if ranks._infraspecific(n))), known)
-    df = df.withColumn("__rank0", F.coalesce(asked, read))
-    rank_code = lookup({n: c for n in ranks.NAMES if (c := ranks._code(n))}, F.col("__rank0"))
-    note = F.lower(F.coalesce("__nom_note", F.lit("")))
-    pinned = F.coalesce(
-        F.when(code.isin(*vocab.CODES), code), F.col("__pinned_code"), F.when(F.col("__kind.viral"), F.lit("VIRUS")), rank_code,
-        F.when(_like(note, rf"{text.EDGE}(?:illeg|inval|superfl|super|cons|rej|ambig|confus)"), F.lit("BOTANICAL")).when(_like(note, rf"{text.EDGE}(?:oblitum|protectum){text.EDGE}"), F.lit("ZOOLOGICAL")),
-    )
+    known = F.when(_among("__rankh", ranks.NAMES) & (rank != "UNRANKED"), rank)
+    below = [n for n in ranks.NAMES if ranks.INFO[n]["infraspecific"]]
+    asked = F.when(read.isNull(), known).when(has_isp & F.col("__mark").isNull() & _among("__rankh", below), known)
+    df = df.withColumn("__rank0", text.code_break(F.coalesce(asked, read)))
+    rank_code = reduce(lambda c, own: c.when(_among("__rank0", [n for n in ranks.NAMES if ranks.INFO[n]["code"] == own]), F.lit(own)), [c for c in vocab.CODES if any(i["code"] == c for i in ranks.INFO.values())], F)
+    note = F.lower(F.col("__nom_note"))
+    noted = F.when(_like(note, rf"{text.EDGE}(?:illeg|inval|superfl|super|cons|rej|ambig|confus)"), F.lit("BOTANICAL")).when(_like(note, rf"{text.EDGE}(?:oblitum|protectum){text.EDGE}"), F.lit("ZOOLOGICAL"))
+    own_code = F.when(code.isin(*vocab.CODES), code)
+    pinned = F.coalesce(own_code, F.col("__pinned_code"), rank_code, F.when(note.isNotNull(), noted))
     comb, bas = F.col("__combA"), F.col("__basA")
     has_comb, has_bas = F.size(comb["authors"]) > 0, F.col("__has_bas")
     year = (has_comb & comb["year"].isNotNull()) | (has_bas & (F.size(bas["authors"]) > 0) & bas["year"].isNotNull())
@@ -146,25 +240,34 @@ def _infer(df: DataFrame, rank: Column, code: Column) -> DataFrame:
         F.when(F.col("__sanct").isNotNull() | (has_bas & has_comb) | (filius & ~year), F.lit("BOTANICAL")),
         F.when((has_bas & ~has_comb) | year, F.lit("ZOOLOGICAL")),
     )
-    df = df.withColumn("__code", F.coalesce(pinned, text.code_vote(votes)))
+    df = df.withColumns({"__code": text.code_break(F.coalesce(pinned, text.code_vote(votes), F.when(F.col("__kind.viral"), F.lit("VIRUS")))), "__rank_code": rank_code})
+    misfit = F.coalesce(F.col("__rank_code").isNotNull() & own_code.isNotNull() & (F.col("__code") != F.col("__rank_code")), F.lit(False))
+    df = df.withColumns({"__misfit": misfit, "__code": F.when(misfit, F.col("__rank_code")).otherwise(F.col("__code"))}).drop("__rank_code")
     uni = ~has_sp & ~F.col("__indet") & F.col("__isub").isNull() & F.col("__sub").isNull()
-    by_suffix = F.when(uni, text.suffix_rank(F.col("__genus"), F.coalesce(F.when(code.isin(*vocab.CODES), code), F.when(F.col("__kind.viral"), F.lit("VIRUS")))))
-    zoo = (F.col("__rank0") == "INFRASPECIFIC_NAME") & (F.col("__code") == "ZOOLOGICAL")
-    return df.withColumn("__rank", F.when(zoo, F.lit("SUBSPECIES")).otherwise(F.coalesce("__rank0", by_suffix, F.lit("UNRANKED"))))
-
+    by_suffix = F.when(uni, text.suffix_rank(F.col("__genus"), F.coalesce(own_code, F.when(F.col("__kind.viral"), F.lit("VIRUS")))))
+    zoo = has_isp & (F.col("__rank0") == "INFRASPECIFIC_NAME") & (F.col("__code") == "ZOOLOGICAL")
+    return df.withColumn("__rank", F.when(zoo, F.lit("SUBSPECIES")).otherwise(F.coalesce("__rank0", by_suffix, F.lit("UNRANKED")))).drop("__rank0")
 
-def parse_names(df: DataFrame, name: str = "name", authorship: str | None = None, rank: str | None = None, code: str | None = None, blacklist: list[str] | None = None) -> DataFrame:
-    """df with result ('parsed', 'informal' or 'error') and the structs parsed, informal and error.
 
-    authorship, rank and code name optional columns with hints; unknown hints count as absent. blacklist
-    is the list of epithets that get a warning (words of other languages, say). Null names are errors.
-    """
-    own = lambda c: (F.col(c) if c else F.expr(_NONE)).cast("string")
-    raw, given, rank_hint, code_hint = own(name), own(authorship), own(rank), own(code)
-    work = df.withColumns({"__raw": raw, "__given": text.normalise_quotes(given), "__rankh": rank_hint, "__codeh": F.when(code_hint.isin(*vocab.CODES), code_hint)})
-    work = with_kind(work, "__raw", "__given", "__codeh", "__kind")
-    clean = text.collapse_space(text.repair_win1252(text.normalise_quotes(text.trim_control(F.coalesce("__raw", F.lit(""))))))
-    work = strip.apply(strip.start(work, clean))
+@recorded
+def _steps(blacklist: tuple[str, ...]) -> Steps:
+    """From __raw, __given, __rankh and __codeh to __p (the parsed struct), __etype and __kind."""
+    work = Steps()
+    # Printable ASCII with single spaces needs no repair.
+    tidy = _like(F.col("__raw"), r"^(?:[!-~]++(?: (?=[!-~]))?)++\z")
+    work = work.withColumn("__s", text.code_break(F.when(tidy, F.col("__raw")).otherwise(text.normalise_quotes(text.trim_control(F.coalesce("__raw", F.lit("")))))))
+    fits = F.char_length("__raw") <= vocab.LONG_LENGTH
+    unasked = F.col("__given").isNull() & F.col("__rankh").isNull() & F.col("__codeh").isNull()
+    special = F.expr("exists(split(__s, ' '), w -> w IN (" + ", ".join(f"'{w}'" for w in _WORDS) + "))") | reduce(lambda a, b: a | b, (F.contains(F.lower("__s"), F.lit(h)) for h in _VIRAL_HINTS))
+    plain = text.let(F.col("__s"), lambda x: F.when(unasked & fits & ~special, text.groups(x, _PLAIN, 6)))
+    work = work.withColumn("__plain", text.let(plain, lambda g: F.when(g.isNotNull(), _plain_name(g))))
+    work = with_kind(work, "__raw", "__given", "__codeh", "__kind", F.col("__s"), F.col("__plain").isNotNull())
+    open_ = F.col("__plain").isNull() & F.col("__kind.type").isNull() & F.col("__kind.rescue_taxon").isNull()
+    repaired = text.let(F.col("__s"), lambda x: text.collapse_space(text.repair_win1252(text.fold_lookalikes(x))))
+    work = work.withColumns({"__open": open_, "__clean": F.when(open_, F.when(tidy, F.col("__s")).otherwise(repaired))})
+    work = strip.apply(work, "__clean", F.col("__open"))
+    odd = F.col("__open") & ~tidy & (text.collapse_space(F.col("__s")) != F.col("__clean"))
+    work = work.withColumn("__warnings", text.code_break(F.when(odd, F.array_union("__warnings", F.array(F.lit(vocab.WARNINGS["homoglyphs"])))).otherwise(F.col("__warnings")))).drop("__clean", "__s")
     work = _read_words(work)
     work = _read_authors(work)
     work = _infer(work, F.col("__rankh"), F.col("__codeh"))
@@ -172,60 +275,90 @@ def parse_names(df: DataFrame, name: str = "name", authorship: str | None = None
     has_sp = F.col("__sp").isNotNull()
     abbreviated = _like(F.col("__genus"), r"\.\z")
     informal_type = rescue | F.col("__informal") | F.col("__indet") | F.col("__qual").isNotNull() | abbreviated
+    # Text that begins like no name at all is left unread as a whole; without a letter it is no name.
+    lost = F.col("__open") & F.col("__genus").isNull()
+    no_letter = lost & ~_like(F.col("__raw"), r"\p{L}")
+    error_type = F.coalesce(F.col("__kind.type"), F.when(no_letter, F.lit("OTHER")))
+    known = F.when(_among("__rankh", ranks.NAMES) & (F.col("__rankh") != "UNRANKED"), F.col("__rankh"))
+    species_down = ["SPECIES", "CULTIVAR", "CULTIVAR_GROUP", "GREX", *(n for n in ranks.NAMES if ranks.INFO[n]["infraspecific"])]
+    between = [n for n in ranks.NAMES if ranks.INFO[n]["infrageneric_strictly"]]
+    above = [n for n in ranks.NAMES if ranks.ORDINAL[n] < ranks.ORDINAL["SPECIES"]]
+    alone = ~has_sp & ~F.col("__indet") & F.col("__isub").isNull() & F.col("__sub").isNull() & F.col("__phrase").isNull() & F.col("__cultivar").isNull() & F.col("__genus").isNotNull()
+    # A monomial of a rank that needs an epithet, one of a rank below genus, a binomial of a rank above species.
+    unfinished = F.coalesce(alone & _among("__rankh", species_down) & ~F.col("__informal"), F.lit(False))
+    moved = F.coalesce(alone & F.coalesce(known, F.col("__rank")).isin(*between), F.lit(False))
+    too_high = F.coalesce(has_sp & _among("__rankh", above) & (known != F.col("__rank")), F.lit(False))
+    no_infra = F.coalesce(has_sp & F.col("__isp").isNull() & _among("__rankh", species_down[4:]), F.lit(False))
+    work = work.withColumns({"__unfinished": unfinished, "__moved": moved, "__too_high": too_high, "__no_infra": no_infra, "__lost": lost, "__known": text.code_break(known)})
+    unfinished, moved, too_high, no_infra, lost, known = (F.col(c) for c in ("__unfinished", "__moved", "__too_high", "__no_infra", "__lost", "__known"))
+    informal_type = informal_type | unfinished | too_high | no_infra
     kind = F.when(rescue, F.lit("INFORMAL")).when(F.col("__genus") == "?", F.lit("PLACEHOLDER")).when(informal_type & F.col("__cultivar").isNull(), F.lit("INFORMAL")).otherwise("SCIENTIFIC")
-    # Text that begins like no name at all is no name.
-    lost = ~rescue & F.col("__kind.type").isNull() & F.col("__genus").isNull()
-    error_type = F.coalesce(F.col("__kind.type"), F.when(lost, F.lit("OTHER")))
-    as_genus = has_sp | F.col("__indet") | F.col("__isub").isNotNull() | F.col("__sub").isNotNull() | F.col("__phrase").isNotNull() | F.col("__cultivar").isNotNull()
-    years = F.array(F.col("__combA.year"), F.col("__basA.year"))
-    epithets = F.array_compact(F.array("__sp", "__isp"))
-    warn = F.array_compact(F.array(
+    as_genus = has_sp | F.col("__indet") | F.col("__isub").isNotNull() | F.col("__sub").isNotNull() | (F.col("__phrase").isNotNull() & ~F.col("__monomial")) | F.col("__cultivar").isNotNull() | unfinished
+    quoted = F.col("__quoted")
+    found = (
         F.when(F.char_length("__raw") > vocab.LONG_LENGTH, F.lit(vocab.WARNINGS["long"])),
-        F.when(F.col("__indet") & F.col("__iphrase").isNull(), F.lit(vocab.WARNINGS["indet"])),
+        F.when((F.col("__indet") & F.col("__iphrase").isNull()) | unfinished | no_infra, F.lit(vocab.WARNINGS["indet"])),
+        F.when(too_high, F.lit(vocab.WARNINGS["rank_mismatch"])), F.when(F.col("__misfit"), F.lit(vocab.WARNINGS["code_mismatch"])), F.when(F.col("__ranged"), F.lit(vocab.WARNINGS["year"])),
+        F.when((known == "SPECIES") & F.col("__isp").isNotNull(), F.lit(vocab.WARNINGS["subspecies"])),
         F.when(abbreviated, F.lit(vocab.WARNINGS["abbreviated"])),
-        F.when(F.exists(years, lambda y: F.coalesce(text.is_unlikely_year(y), F.lit(False))), F.lit(vocab.WARNINGS["unlikely_year"])),
-        F.when(F.array_contains(epithets, F.lit("null")), F.lit(vocab.WARNINGS["null"])),
-        F.when(F.arrays_overlap(epithets, F.array(*map(F.lit, blacklist))) if blacklist else F.lit(False), F.lit(vocab.WARNINGS["blacklisted"])),
-    ))
-    notho = F.array_compact(F.array(
-        F.when((F.col("__hyb").isNotNull() & F.col("__genus").isNotNull()), F.lit("GENERIC")), F.when(F.col("__inotho"), F.lit("INFRAGENERIC")),
+        F.when(F.coalesce(text.is_unlikely_year(F.col("__combA.year")), F.lit(False)) | F.coalesce(text.is_unlikely_year(F.col("__basA.year")), F.lit(False)), F.lit(vocab.WARNINGS["unlikely_year"])),
+        F.when((F.col("__sp") == "null") | (F.col("__isp") == "null"), F.lit(vocab.WARNINGS["null"])),
+        F.when(F.lower("__sp").isin(*blacklist) | F.lower("__isp").isin(*blacklist) if blacklist else F.lit(False), F.lit(vocab.WARNINGS["blacklisted"])),
+    )
+    warn = F.when(F.coalesce(*found).isNotNull(), F.array_compact(F.array(*found)))
+    crosses = (
+        F.when(F.col("__hyb") & F.col("__genus").isNotNull(), F.lit("GENERIC")), F.when(F.col("__inotho"), F.lit("INFRAGENERIC")),
         F.when(F.col("__spx"), F.lit("SPECIFIC")), F.when(F.col("__ispx") | F.col("__notho"), F.lit("INFRASPECIFIC")),
-    ))
+    )
+    notho = F.when(F.coalesce(*crosses).isNotNull(), F.array_compact(F.array(*crosses)))
     sure = lambda c: F.when(~rescue, c)
     combined = lambda c: F.when(F.col(c).isNotNull(), authors.authorship(F.col(c)))
-    parsed = F.struct(
-        F.when(rescue, F.lit("UNRANKED")).otherwise(F.col("__rank")).alias("rank"),
-        sure(F.col("__code")).alias("code"),
-        sure(F.when(~as_genus, F.col("__genus"))).alias("uninomial"),
-        F.when(rescue, F.col("__kind.rescue_taxon")).otherwise(F.when(as_genus, F.col("__genus"))).alias("genus"),
-        sure(combined("__gauth")).alias("genericAuthorship"),
-        sure(F.coalesce("__isub", "__sub")).alias("infragenericEpithet"),
-        sure(F.col("__sp")).alias("specificEpithet"),
-        sure(combined("__sauth")).alias("specificAuthorship"),
-        sure(F.col("__isp")).alias("infraspecificEpithet"),
-        sure(F.col("__cultivar")).alias("cultivarEpithet"),
-        F.when(rescue, F.col("__kind.rescue_phrase")).otherwise(F.coalesce("__phrase", "__iphrase")).alias("phrase"),
-        F.col("__candidatus").alias("candidatus"),
-        sure(F.when(F.size(notho) > 0, notho)).alias("notho"),
-        F.col("__original_spelling").alias("originalSpelling"),
-        sure(F.when(F.col("__qual").isNotNull(), F.create_map(F.lit("SPECIFIC"), F.concat("__qual", F.lit("."))))).alias("epithetQualifier"),
-        kind.alias("type"),
-        F.col("__extinct").alias("extinct"),
-        sure(F.col("__tax_note")).alias("taxonomicNote"),
-        sure(F.col("__nom_note")).alias("nomenclaturalNote"),
-        sure(F.col("__published_in")).alias("publishedIn"),
-        sure(text.published_year(F.coalesce("__published_in", F.lit("")))).alias("publishedInYear"),
-        sure(F.col("__page")).alias("publishedInPage"),
-        sure(F.col("__unparsed")).alias("unparsed"),
-        F.col("__doubtful").alias("doubtful"),
-        F.col("__manuscript").alias("manuscript"),
-        F.when(~rescue & F.col("__unparsed").isNotNull(), F.lit("PARTIAL")).otherwise("COMPLETE").alias("state"),
-        F.array_sort(F.array_union("__warnings", warn)).alias("warnings"),
-        F.when(rescue, authors.authorship(F.lit(""))).otherwise(F.col("__combA")).alias("combinationAuthorship"),
-        F.when(rescue, authors.authorship(F.lit(""))).otherwise(F.col("__basA")).alias("basionymAuthorship"),
-        sure(F.col("__sanct")).alias("sanctioningAuthor"),
+    parsed = _struct(
+        rank=F.when(rescue | lost, F.lit("UNRANKED")).when(unfinished | too_high | no_infra, known).otherwise(F.col("__rank")),
+        code=sure(F.col("__code")),
+        uninomial=sure(F.when(~as_genus & ~moved, F.concat(F.coalesce(quoted, F.lit("")), F.col("__genus"), F.coalesce(quoted, F.lit(""))))),
+        genus=F.when(rescue, F.col("__kind.rescue_taxon")).otherwise(F.when(as_genus, F.col("__genus"))),
+        genericAuthorship=sure(combined("__gauth")),
+        infragenericEpithet=sure(F.coalesce("__isub", "__sub", F.when(moved, F.col("__genus")))),
+        specificEpithet=sure(F.col("__sp")),
+        specificAuthorship=sure(combined("__sauth")),
+        infraspecificEpithet=sure(F.col("__isp")),
+        cultivarEpithet=sure(F.col("__cultivar")),
+        phrase=F.when(rescue, F.col("__kind.rescue_phrase")).otherwise(F.coalesce("__phrase", "__iphrase")),
+        candidatus=F.col("__candidatus"),
+        notho=sure(notho),
+        originalSpelling=(F.col("__original_spelling") == "true"),
+        epithetQualifier=sure(F.when(F.col("__qual").isNotNull(), F.create_map(F.lit("SPECIFIC"), F.concat("__qual", F.lit("."))))),
+        type=kind,
+        extinct=F.col("__extinct"),
+        taxonomicNote=sure(F.col("__tax_note")),
+        nomenclaturalNote=sure(F.col("__nom_note")),
+        publishedIn=sure(F.col("__published_in")),
+        publishedInYear=sure(text.published_year(F.coalesce("__published_in", F.lit("")))),
+        publishedInPage=sure(F.col("__page")),
+        unparsed=sure(F.when(lost, F.trim("__raw")).otherwise(F.col("__unparsed"))),
+        doubtful=(F.col("__doubtful") | too_high),
+        manuscript=F.col("__manuscript"),
+        state=F.when(~rescue & (lost | F.col("__unparsed").isNotNull()), F.lit("PARTIAL")).otherwise("COMPLETE"),
+        warnings=F.when(warn.isNull() & (F.size("__warnings") < 2), F.col("__warnings")).otherwise(F.sort_array(F.array_union("__warnings", F.coalesce(warn, F.array().cast("array<string>"))))),
+        combinationAuthorship=F.when(rescue | unfinished | lost, _nobody()).otherwise(F.col("__combA")),
+        basionymAuthorship=F.when(rescue | unfinished | lost, _nobody()).otherwise(F.col("__basA")),
+        sanctioningAuthor=sure(F.col("__sanct")),
     )
-    work = work.withColumns({"__p": F.when(error_type.isNull(), parsed), "__etype": error_type})
+    work = work.withColumns({"__p": text.code_break(F.coalesce(F.col("__plain"), F.when(error_type.isNull(), parsed))), "__etype": error_type})
+    return work
+
+
+def parse_names(df: DataFrame, name: str = "name", authorship: str | None = None, rank: str | None = None, code: str | None = None, blacklist: list[str] | None = None) -> DataFrame:
+    """df with result ('parsed', 'informal' or 'error') and the structs parsed, informal and error.
+
+    authorship, rank and code name optional columns with hints; unknown hints count as absent. blacklist
+    is the list of epithets that get a warning (words of other languages, say). Null names are errors.
+    """
+    own = lambda c: (F.col(c) if c else F.expr(_NONE)).cast("string")
+    raw, given, rank_hint, code_hint = own(name), own(authorship), own(rank), own(code)
+    work = df.withColumns({"__raw": raw, "__given": text.normalise_quotes(given), "__rankh": rank_hint, "__codeh": F.when(code_hint.isin(*vocab.CODES), code_hint)})
+    work = _steps(tuple(blacklist or ())).over(work)
     informal = (F.col("__p.type") == "INFORMAL") & F.col("__p.specificEpithet").isNull() & F.coalesce("__p.genus", "__p.uninomial", "__p.infragenericEpithet").isNotNull()
     taxon = F.struct(
         F.coalesce("__p.genus", "__p.uninomial", "__p.infragenericEpithet").alias("taxon"),

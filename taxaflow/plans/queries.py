@@ -24,22 +24,26 @@ _SPECIAL = (
     "dalla dalle dallo degli della delle delli dello ofver forma prole proles natio sensu emend clade group virus phage prion indet undet strain variety complex aggregate unknown species "
     "satellite vector particle replicon unassigned uncultured undescribed delete corrig missing candidatus incertae sedis convar subsp mutatio agamosp subforma"
 ).split()
-_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}]+'), lambda x: regexp_full_match(x, '[a-z]{5,12}') AND x NOT IN (" + ", ".join(f"'{w}'" for w in _SPECIAL) + "))"
-_BASE = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), n AS (
-    SELECT doc_id, upper(substr(w[1], 1, 1)) || substr(w[1], 2) || 'us' AS genus, w[2] || 'ensis' AS species, w[3] || 'anus' AS infra, upper(substr(w[4], 1, 1)) || substr(w[4], 2) AS author,
-           CAST(1758 + doc_id % 250 AS VARCHAR) AS y, doc_id % 3 AS k FROM d WHERE len(w) >= 4)
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: regexp_full_match(x, '[a-z]{5,12}') AND x NOT IN (" + ", ".join(f"'{w}'" for w in _SPECIAL) + "))"
+#: Every four words of a text in turn are the parts of one name.
+_BASE = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, w, unnest(range(len(w) // 4)) AS pos FROM d), n AS (
+    SELECT doc_id, pos, upper(substr(w[4 * pos + 1], 1, 1)) || substr(w[4 * pos + 1], 2) || 'us' AS genus, w[4 * pos + 2] || 'ensis' AS species, w[4 * pos + 3] || 'anus' AS infra,
+           upper(substr(w[4 * pos + 4], 1, 1)) || substr(w[4 * pos + 4], 2) AS author, CAST(1758 + (doc_id + pos) % 250 AS VARCHAR) AS y, (doc_id + pos) % 3 AS k FROM g)
 """
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, genus, species, infra, author, y, k: the parts of names."""
+    """doc_id, pos, genus, species, infra, author, y, k: the parts of names, from all words of all texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda x: F.regexp_like(x, F.lit(r"^[a-z]{5,12}\z")) & ~x.isin(*_SPECIAL))
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: F.length(x).between(5, 12) & ~x.isin(*_SPECIAL))
+    held = docs.select("doc_id", text.code_break(words).alias("w")).where(F.size("w") >= 4)
+    fours = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 4).cast("int") - 1), lambda i: F.slice("w", 4 * i + 1, 4))
     title = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 99))
     w = lambda k: F.get("w", F.lit(k))
-    return docs.select("doc_id", words.alias("w")).where(F.size("w") >= 4).select(
-        "doc_id", F.concat(title(w(0)), F.lit("us")).alias("genus"), F.concat(w(1), F.lit("ensis")).alias("species"), F.concat(w(2), F.lit("anus")).alias("infra"), title(w(3)).alias("author"),
-        (1758 + F.col("doc_id") % 250).cast("string").alias("y"), (F.col("doc_id") % 3).alias("k"),
+    number = F.col("doc_id") + F.col("pos")
+    return held.select("doc_id", F.posexplode_outer(fours).alias("pos", "w")).select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), F.concat(title(w(0)), F.lit("us")).alias("genus"), F.concat(w(1), F.lit("ensis")).alias("species"), F.concat(w(2), F.lit("anus")).alias("infra"),
+        title(w(3)).alias("author"), (1758 + number % 250).cast("string").alias("y"), (number % 3).alias("k"),
     )
 
 
@@ -47,32 +51,32 @@ def _parsed(spark: SparkSession, sf_dir: str, *pieces: Column | str, **hints: Co
     """The parse of names put together from pieces (column names, or texts between them)."""
     parts = _parts(spark, sf_dir)
     whole = F.concat(*(F.col(p) if isinstance(p, str) and p in parts.columns else F.lit(p) if isinstance(p, str) else p for p in pieces))
-    named = parts.select("doc_id", whole.alias("name"), *(c.alias(f"h_{k}") for k, c in hints.items()))
+    named = parts.select("doc_id", "pos", whole.alias("name"), *(c.alias(f"h_{k}") for k, c in hints.items()))
     return parse_names(named, **{k: f"h_{k}" for k in hints})
 
 
 def parse_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir, "genus", " ", "species").select("doc_id", "result", "parsed.genus", F.col("parsed.specificEpithet").alias("species"), "parsed.rank", "parsed.type")
+    return _parsed(spark, sf_dir, "genus", " ", "species").select("doc_id", "pos", "result", "parsed.genus", F.col("parsed.specificEpithet").alias("species"), "parsed.rank", "parsed.type")
 
 
 def parse_author_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ", "species", " ", "author", " & Mill., ", "y")
-    return p.select("doc_id", "parsed.genus", F.array_join("parsed.combinationAuthorship.authors", "|").alias("authors"), F.col("parsed.combinationAuthorship.year").alias("y"), "parsed.code")
+    return p.select("doc_id", "pos", "parsed.genus", F.array_join("parsed.combinationAuthorship.authors", "|").alias("authors"), F.col("parsed.combinationAuthorship.year").alias("y"), "parsed.code")
 
 
 def parse_basionym(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ", "species", " (", "author", ") Hook.f.")
-    return p.select("doc_id", F.col("parsed.specificEpithet").alias("species"), F.array_join("parsed.basionymAuthorship.authors", "|").alias("basionym"), F.array_join("parsed.combinationAuthorship.authors", "|").alias("combination"), "parsed.code")
+    return p.select("doc_id", "pos", F.col("parsed.specificEpithet").alias("species"), F.array_join("parsed.basionymAuthorship.authors", "|").alias("basionym"), F.array_join("parsed.combinationAuthorship.authors", "|").alias("combination"), "parsed.code")
 
 
 def parse_ex_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ", "species", " ", "author", " ex J. Smith : Fr.")
-    return p.select("doc_id", F.array_join("parsed.combinationAuthorship.exAuthors", "|").alias("ex"), F.array_join("parsed.combinationAuthorship.authors", "|").alias("authors"), F.col("parsed.sanctioningAuthor").alias("sanctioning"), "parsed.code")
+    return p.select("doc_id", "pos", F.array_join("parsed.combinationAuthorship.exAuthors", "|").alias("ex"), F.array_join("parsed.combinationAuthorship.authors", "|").alias("authors"), F.col("parsed.sanctioningAuthor").alias("sanctioning"), "parsed.code")
 
 
 def parse_separate_authorship(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ", "species", " Linnaeus", authorship=F.concat("author", F.lit(" JB, "), "y"))
-    return p.select("doc_id", F.array_join("parsed.combinationAuthorship.authors", "|").alias("authors"), F.col("parsed.combinationAuthorship.year").alias("y"))
+    return p.select("doc_id", "pos", F.array_join("parsed.combinationAuthorship.authors", "|").alias("authors"), F.col("parsed.combinationAuthorship.year").alias("y"))
 
 
 def _marker(k: Column) -> Column:
@@ -81,90 +85,90 @@ def _marker(k: Column) -> Column:
 
 def parse_trinomial_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ", "species", " L. ", _marker(F.col("k")), " ", "infra")
-    return p.select("doc_id", F.col("parsed.infraspecificEpithet").alias("infra"), "parsed.rank", F.array_join("parsed.specificAuthorship.authors", "|").alias("species_author"))
+    return p.select("doc_id", "pos", F.col("parsed.infraspecificEpithet").alias("infra"), "parsed.rank", F.array_join("parsed.specificAuthorship.authors", "|").alias("species_author"))
 
 
 def parse_trinomial_bare(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ", "species", " ", "infra", " ", "author", ", ", "y")
-    return p.select("doc_id", F.col("parsed.infraspecificEpithet").alias("infra"), "parsed.rank", "parsed.code")
+    return p.select("doc_id", "pos", F.col("parsed.infraspecificEpithet").alias("infra"), "parsed.rank", "parsed.code")
 
 
 def parse_subgenus(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " (", "author", ") ", "species")
-    return p.select("doc_id", F.col("parsed.infragenericEpithet").alias("subgenus"), F.col("parsed.specificEpithet").alias("species"))
+    return p.select("doc_id", "pos", F.col("parsed.infragenericEpithet").alias("subgenus"), F.col("parsed.specificEpithet").alias("species"))
 
 
 def parse_infrageneric(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " sect. ", "author")
-    return p.select("doc_id", "parsed.genus", F.col("parsed.infragenericEpithet").alias("section"), "parsed.rank", "parsed.code")
+    return p.select("doc_id", "pos", "parsed.genus", F.col("parsed.infragenericEpithet").alias("section"), "parsed.rank", "parsed.code")
 
 
 def parse_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ×", "species", " ", "author")
-    return p.select("doc_id", F.array_join("parsed.notho", "|").alias("notho"), F.col("parsed.specificEpithet").alias("species"), F.array_join("parsed.combinationAuthorship.authors", "|").alias("authors"))
+    return p.select("doc_id", "pos", F.array_join("parsed.notho", "|").alias("notho"), F.col("parsed.specificEpithet").alias("species"), F.array_join("parsed.combinationAuthorship.authors", "|").alias("authors"))
 
 
 def parse_cultivar(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ", "species", " '", "author", "'")
-    return p.select("doc_id", F.col("parsed.cultivarEpithet").alias("cultivar"), "parsed.rank", "parsed.code")
+    return p.select("doc_id", "pos", F.col("parsed.cultivarEpithet").alias("cultivar"), "parsed.rank", "parsed.code")
 
 
 def parse_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.when(F.col("k") == 0, F.lit(", nom. illeg.")).when(F.col("k") == 1, F.concat(F.lit(" sensu "), "author", F.lit(", 1900"))).otherwise(" [sic]")
     p = _parsed(spark, sf_dir, "genus", " ", "species", " L.", note)
-    return p.select("doc_id", F.col("parsed.nomenclaturalNote").alias("nom_note"), F.col("parsed.taxonomicNote").alias("tax_note"), F.col("parsed.originalSpelling").alias("spelling"), F.array_join("parsed.combinationAuthorship.authors", "|").alias("authors"))
+    return p.select("doc_id", "pos", F.col("parsed.nomenclaturalNote").alias("nom_note"), F.col("parsed.taxonomicNote").alias("tax_note"), F.col("parsed.originalSpelling").alias("spelling"), F.array_join("parsed.combinationAuthorship.authors", "|").alias("authors"))
 
 
 def parse_informal(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " sp. RE", "y")
-    return p.select("doc_id", "result", "informal.taxon", "informal.taxonRank", "informal.rank", "informal.phrase")
+    return p.select("doc_id", "pos", "result", "informal.taxon", "informal.taxonRank", "informal.rank", "informal.phrase")
 
 
 def parse_qualifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " cf. ", "species")
-    return p.select("doc_id", "result", "parsed.type", F.col("parsed.specificEpithet").alias("species"), F.col("parsed.epithetQualifier")["SPECIFIC"].alias("qualifier"))
+    return p.select("doc_id", "pos", "result", "parsed.type", F.col("parsed.specificEpithet").alias("species"), F.col("parsed.epithetQualifier")["SPECIFIC"].alias("qualifier"))
 
 
 def parse_published_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ", "species", " Smith in ", "author", ", ", "y")
-    return p.select("doc_id", F.col("parsed.publishedIn").alias("published_in"), F.col("parsed.publishedInYear").cast("bigint").alias("published_year"), F.col("parsed.combinationAuthorship.year").alias("y"))
+    return p.select("doc_id", "pos", F.col("parsed.publishedIn").alias("published_in"), F.col("parsed.publishedInYear").cast("bigint").alias("published_year"), F.col("parsed.combinationAuthorship.year").alias("y"))
 
 
 def parse_candidatus(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "Candidatus ", "genus", " ", "species")
-    return p.select("doc_id", "parsed.genus", "parsed.candidatus", "parsed.code")
+    return p.select("doc_id", "pos", "parsed.genus", "parsed.candidatus", "parsed.code")
 
 
 def parse_quadrinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ", "species", " subsp. ", "species", " f. ", "infra")
-    return p.select("doc_id", F.col("parsed.infraspecificEpithet").alias("infra"), "parsed.rank", F.array_join("parsed.warnings", "|").alias("warnings"))
+    return p.select("doc_id", "pos", F.col("parsed.infraspecificEpithet").alias("infra"), "parsed.rank", F.array_join("parsed.warnings", "|").alias("warnings"))
 
 
 def parse_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "<i>", "genus", "</i> <i>", "species", "</i> †")
-    return p.select("doc_id", "parsed.genus", F.col("parsed.specificEpithet").alias("species"), "parsed.extinct", F.array_join("parsed.warnings", "|").alias("warnings"))
+    return p.select("doc_id", "pos", "parsed.genus", F.col("parsed.specificEpithet").alias("species"), "parsed.extinct", F.array_join("parsed.warnings", "|").alias("warnings"))
 
 
 def preflight_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("k") == 0, F.concat(F.lit("BOLD:AAA"), "y")).when(F.col("k") == 1, F.concat(F.lit("sh12"), "y", F.lit(".07fu"))).otherwise(F.concat(F.lit("ATCC "), "y"))
-    return _parsed(spark, sf_dir, name).select("doc_id", "result", "error.type", "error.name")
+    return _parsed(spark, sf_dir, name).select("doc_id", "pos", "result", "error.type", "error.name")
 
 
 def preflight_virus(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "author", " mosaic virus ", "y")
-    return p.select("doc_id", "result", "error.type", "error.code", "error.message")
+    return p.select("doc_id", "pos", "result", "error.type", "error.code", "error.message")
 
 
 def preflight_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir, "genus", " incertae sedis").select("doc_id", "result", "error.type", "error.message")
+    return _parsed(spark, sf_dir, "genus", " incertae sedis").select("doc_id", "pos", "result", "error.type", "error.message")
 
 
 def preflight_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir, "genus", "-group").select("doc_id", "result", "informal.taxon", "informal.phrase", "informal.rank")
+    return _parsed(spark, sf_dir, "genus", "-group").select("doc_id", "pos", "result", "informal.taxon", "informal.phrase", "informal.rank")
 
 
 def hybrid_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir, "genus", " ", "species", " × ", "genus", " ", "infra").select("doc_id", "result", "error.type", "error.name")
+    return _parsed(spark, sf_dir, "genus", " ", "species", " × ", "genus", " ", "infra").select("doc_id", "pos", "result", "error.type", "error.name")
 
 
 def three_way_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,19 +188,20 @@ def band_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interesting_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("k") == 0, F.concat("genus", F.lit(" "), "species")).when(F.col("k") == 1, F.concat("genus", F.lit(" "), "species", F.lit(" ?"))).otherwise(F.lit("unknown"))
-    return _parsed(spark, sf_dir, name).where(reports.is_interesting()).select("doc_id", "result")
+    return _parsed(spark, sf_dir, name).where(reports.is_interesting()).select("doc_id", "pos", "result")
 
 
 def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _parsed(spark, sf_dir, "genus", " ", "species", " ", "author", ", ", "y")
     right = _parsed(spark, sf_dir, "genus", " ", F.when(F.col("k") == 0, F.col("infra")).when(F.col("k") == 1, F.col("species")).otherwise(F.lit("sp.")), " ", "author", ", ", "y")
-    return reports.compare_runs(left, right, "doc_id").select("doc_id", "change", F.array_join("paths", "|").alias("paths"))
+    row = F.concat_ws("/", "doc_id", "pos")
+    return reports.compare_runs(left.withColumn("row", row), right.withColumn("row", row), "row").select("row", "change", F.array_join("paths", "|").alias("paths"))
 
 
 def canonical_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ", "species", " var. ", "infra", " (L.) ", "author")
     n = F.col("parsed")
-    return p.select("doc_id", render.canonical(n).alias("full"), render.canonical(n, with_authorship=False).alias("bare"), render.canonical(n, minimal=True).alias("minimal"), render.authorship_complete(n).alias("authorship"))
+    return p.select("doc_id", "pos", render.canonical(n).alias("full"), render.canonical(n, with_authorship=False).alias("bare"), render.canonical(n, minimal=True).alias("minimal"), render.authorship_complete(n).alias("authorship"))
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,34 +211,34 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rank_dimension_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ", "species", " ", _marker(F.col("k")), " ", "infra")
-    return ranks.with_rank(p.select("doc_id", F.col("parsed.rank").alias("rank"))).select("doc_id", "rank", "rank_info.marker", "rank_info.major", "rank_info.infraspecific")
+    return ranks.with_rank(p.select("doc_id", "pos", F.col("parsed.rank").alias("rank"))).select("doc_id", "pos", "rank", "rank_info.marker", "rank_info.major", "rank_info.infraspecific")
 
 
 def suffix_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql_functions.register(spark)
     name = F.concat("genus", F.when(F.col("k") == 0, F.lit("idae")).when(F.col("k") == 1, "aceae").otherwise("ales"))
     code = F.when(F.col("k") == 0, F.lit("ZOOLOGICAL")).when(F.col("k") == 2, "BOTANICAL")
-    return _parts(spark, sf_dir).select("doc_id", name.alias("name"), code.alias("code")).selectExpr("doc_id", "suffix_rank(name, code) AS rank")
+    return _parts(spark, sf_dir).select("doc_id", "pos", name.alias("name"), code.alias("code")).selectExpr("doc_id", "suffix_rank(name, code) AS rank")
 
 
 def unlikely_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.when(F.col("k") == 0, F.col("y")).when(F.col("k") == 1, F.concat(F.lit("9"), "y")).otherwise(F.concat(F.substring("y", 1, 3), F.lit("?")))
-    return _parts(spark, sf_dir).select("doc_id", text.is_unlikely_year(year).alias("unlikely"))
+    return _parts(spark, sf_dir).select("doc_id", "pos", text.is_unlikely_year(year).alias("unlikely"))
 
 
 def code_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = F.array(F.when(F.col("k") == 0, F.lit("BOTANICAL")), F.when(F.col("k") < 2, F.lit("ZOOLOGICAL")), F.lit(None).cast("string"))
-    return _parts(spark, sf_dir).select("doc_id", text.code_vote(votes).alias("code"))
+    return _parts(spark, sf_dir).select("doc_id", "pos", text.code_vote(votes).alias("code"))
 
 
 def quote_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", text.normalise_quotes(F.concat(F.lit("‘"), F.substring(F.coalesce("text", F.lit("")), 1, 40), F.lit("”"))).alias("quoted"))
+    return docs.select("doc_id", text.normalise_quotes(F.concat(F.lit("‘"), F.coalesce("text", F.lit("")), F.lit("”"))).alias("quoted"))
 
 
 def otu_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("k") == 0, F.concat(F.lit("BOLD:ABC"), "y")).when(F.col("k") == 1, F.concat(F.lit("SH00"), "y", F.lit(".08FU"))).otherwise(F.col("genus"))
-    return _parts(spark, sf_dir).select("doc_id", name.alias("name")).where(~text.is_barcode_otu(F.col("name")))
+    return _parts(spark, sf_dir).select("doc_id", "pos", name.alias("name")).where(~text.is_barcode_otu(F.col("name")))
 
 
 def benchmark_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,8 +250,8 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = _parts(spark, sf_dir).select("doc_id", F.concat("genus", F.lit(" "), F.when(F.col("k") == 0, F.lit("vulgaris")).otherwise(F.col("species"))).alias("name"))
-    return reports.parse_distinct(named, ["name"], parse_names).select("doc_id", "parsed.genus", F.col("parsed.specificEpithet").alias("species"))
+    named = _parts(spark, sf_dir).select("doc_id", "pos", F.concat("genus", F.lit(" "), F.when(F.col("k") == 0, F.lit("vulgaris")).otherwise(F.col("species"))).alias("name"))
+    return reports.parse_distinct(named, ["name"], parse_names).select("doc_id", "pos", "parsed.genus", F.col("parsed.specificEpithet").alias("species"))
 
 
 def parse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,50 +260,50 @@ def parse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/taxaflow-stream"
     out = f"{root}/stream-{uuid.uuid4().hex}"
-    held = _parts(spark, sf_dir).select("doc_id", F.concat("genus", F.lit(" "), "species").alias("name"))
+    held = _parts(spark, sf_dir).select("doc_id", "pos", F.concat("genus", F.lit(" "), "species").alias("name"))
     held.write.parquet(f"{out}/in")
     stream = spark.readStream.schema(held.schema).parquet(f"{out}/in")
-    parsed = streaming.parse_stream(stream).select("doc_id", "result", F.col("parsed.genus").alias("genus"))
+    parsed = streaming.parse_stream(stream).select("doc_id", "pos", "result", F.col("parsed.genus").alias("genus"))
     query = parsed.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/out").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(parsed.schema).parquet(f"{out}/out")
 
 
 _SELECT = {
-    "parse_binomial": "doc_id, 'parsed' AS result, genus, species, 'SPECIES' AS rank, 'SCIENTIFIC' AS type",
-    "parse_author_year": "doc_id, genus, author || '|Mill.' AS authors, y, 'ZOOLOGICAL' AS code",
-    "parse_basionym": "doc_id, species, author AS basionym, 'Hook.f.' AS combination, 'BOTANICAL' AS code",
-    "parse_ex_authors": "doc_id, author AS ex, 'J.Smith' AS authors, 'Fr.' AS sanctioning, 'BOTANICAL' AS code",
-    "parse_separate_authorship": "doc_id, 'J.B.' || author AS authors, y",
-    "parse_trinomial_marker": "doc_id, infra, CASE k WHEN 0 THEN 'VARIETY' WHEN 1 THEN 'SUBSPECIES' ELSE 'FORM' END AS rank, 'L.' AS species_author",
-    "parse_trinomial_bare": "doc_id, infra, 'SUBSPECIES' AS rank, 'ZOOLOGICAL' AS code",
-    "parse_subgenus": "doc_id, author AS subgenus, species",
-    "parse_infrageneric": "doc_id, genus, author AS section, 'SECTION_BOTANY' AS rank, 'BOTANICAL' AS code",
-    "parse_hybrid": "doc_id, 'SPECIFIC' AS notho, species, author AS authors",
-    "parse_cultivar": "doc_id, author AS cultivar, 'CULTIVAR' AS rank, 'CULTIVARS' AS code",
-    "parse_notes": "doc_id, CASE k WHEN 0 THEN 'nom. illeg.' END AS nom_note, CASE k WHEN 1 THEN 'sensu ' || author || ', 1900' END AS tax_note, CASE k WHEN 2 THEN true END AS spelling, 'L.' AS authors",
-    "parse_informal": "doc_id, 'informal' AS result, genus AS taxon, 'GENUS' AS \"taxonRank\", 'SPECIES' AS rank, 'sp. RE' || y AS phrase",
-    "parse_qualifier": "doc_id, 'parsed' AS result, 'INFORMAL' AS type, species, 'cf.' AS qualifier",
-    "parse_published_in": "doc_id, author || ', ' || y AS published_in, CAST(y AS BIGINT) AS published_year, y",
-    "parse_candidatus": "doc_id, genus, true AS candidatus, 'BACTERIAL' AS code",
-    "parse_quadrinomial": "doc_id, infra, 'FORM' AS rank, 'Removed: subsp. ' || species || '|name was quadrinomial' AS warnings",
-    "parse_markup": "doc_id, genus, species, true AS extinct, 'xml tags removed' AS warnings",
-    "preflight_identifier": "doc_id, 'error' AS result, 'IDENTIFIER' AS type, CASE k WHEN 0 THEN 'BOLD:AAA' || y WHEN 1 THEN 'SH12' || y || '.07FU' ELSE 'ATCC ' || y END AS name",
-    "preflight_virus": "doc_id, 'error' AS result, 'OTHER' AS type, 'VIRUS' AS code, 'Unparsable OTHER name: ' || author || ' mosaic virus ' || y AS message",
-    "preflight_placeholder": "doc_id, 'error' AS result, 'PLACEHOLDER' AS type, 'Unparsable PLACEHOLDER name: ' || genus || ' incertae sedis' AS message",
-    "preflight_rescue": "doc_id, 'informal' AS result, genus AS taxon, 'group' AS phrase, 'UNRANKED' AS rank",
-    "hybrid_formula": "doc_id, 'error' AS result, 'FORMULA' AS type, genus || ' ' || species || ' × ' || genus || ' ' || infra AS name",
-    "canonical_name": "doc_id, genus || ' ' || species || ' var. ' || infra || ' (L.) ' || author AS \"full\", genus || ' ' || species || ' var. ' || infra AS bare, genus || ' ' || species || ' ' || infra AS minimal, '(L.) ' || author AS authorship",
+    "parse_binomial": "doc_id, pos, 'parsed' AS result, genus, species, 'SPECIES' AS rank, 'SCIENTIFIC' AS type",
+    "parse_author_year": "doc_id, pos, genus, author || '|Mill.' AS authors, y, 'ZOOLOGICAL' AS code",
+    "parse_basionym": "doc_id, pos, species, author AS basionym, 'Hook.f.' AS combination, 'BOTANICAL' AS code",
+    "parse_ex_authors": "doc_id, pos, author AS ex, 'J.Smith' AS authors, 'Fr.' AS sanctioning, 'BOTANICAL' AS code",
+    "parse_separate_authorship": "doc_id, pos, 'J.B.' || author AS authors, y",
+    "parse_trinomial_marker": "doc_id, pos, infra, CASE k WHEN 0 THEN 'VARIETY' WHEN 1 THEN 'SUBSPECIES' ELSE 'FORM' END AS rank, 'L.' AS species_author",
+    "parse_trinomial_bare": "doc_id, pos, infra, 'SUBSPECIES' AS rank, 'ZOOLOGICAL' AS code",
+    "parse_subgenus": "doc_id, pos, author AS subgenus, species",
+    "parse_infrageneric": "doc_id, pos, genus, author AS section, 'SECTION_BOTANY' AS rank, 'BOTANICAL' AS code",
+    "parse_hybrid": "doc_id, pos, 'SPECIFIC' AS notho, species, author AS authors",
+    "parse_cultivar": "doc_id, pos, author AS cultivar, 'CULTIVAR' AS rank, 'CULTIVARS' AS code",
+    "parse_notes": "doc_id, pos, CASE k WHEN 0 THEN 'nom. illeg.' END AS nom_note, CASE k WHEN 1 THEN 'sensu ' || author || ', 1900' END AS tax_note, CASE k WHEN 2 THEN true END AS spelling, 'L.' AS authors",
+    "parse_informal": "doc_id, pos, 'informal' AS result, genus AS taxon, 'GENUS' AS \"taxonRank\", 'SPECIES' AS rank, 'sp. RE' || y AS phrase",
+    "parse_qualifier": "doc_id, pos, 'parsed' AS result, 'INFORMAL' AS type, species, 'cf.' AS qualifier",
+    "parse_published_in": "doc_id, pos, author || ', ' || y AS published_in, CAST(y AS BIGINT) AS published_year, y",
+    "parse_candidatus": "doc_id, pos, genus, true AS candidatus, 'BACTERIAL' AS code",
+    "parse_quadrinomial": "doc_id, pos, infra, 'FORM' AS rank, 'Removed: subsp. ' || species || '|name was quadrinomial' AS warnings",
+    "parse_markup": "doc_id, pos, genus, species, true AS extinct, 'xml tags removed' AS warnings",
+    "preflight_identifier": "doc_id, pos, 'error' AS result, 'IDENTIFIER' AS type, CASE k WHEN 0 THEN 'BOLD:AAA' || y WHEN 1 THEN 'SH12' || y || '.07FU' ELSE 'ATCC ' || y END AS name",
+    "preflight_virus": "doc_id, pos, 'error' AS result, 'OTHER' AS type, 'VIRUS' AS code, 'Unparsable OTHER name: ' || author || ' mosaic virus ' || y AS message",
+    "preflight_placeholder": "doc_id, pos, 'error' AS result, 'PLACEHOLDER' AS type, 'Unparsable PLACEHOLDER name: ' || genus || ' incertae sedis' AS message",
+    "preflight_rescue": "doc_id, pos, 'informal' AS result, genus AS taxon, 'group' AS phrase, 'UNRANKED' AS rank",
+    "hybrid_formula": "doc_id, pos, 'error' AS result, 'FORMULA' AS type, genus || ' ' || species || ' × ' || genus || ' ' || infra AS name",
+    "canonical_name": "doc_id, pos, genus || ' ' || species || ' var. ' || infra || ' (L.) ' || author AS \"full\", genus || ' ' || species || ' var. ' || infra AS bare, genus || ' ' || species || ' ' || infra AS minimal, '(L.) ' || author AS authorship",
     "flat_view": "genus || ' ' || species || ' ' || author || ', ' || y AS \"scientificName\", 'parsed' AS result, 'SPECIES' AS rank, genus, species AS \"specificEpithet\", author AS \"combinationAuthors\", y AS \"combinationYear\", genus || ' ' || species AS \"canonicalWithoutAuthorship\"",
-    "rank_dimension_join": "doc_id, CASE k WHEN 0 THEN 'VARIETY' WHEN 1 THEN 'SUBSPECIES' ELSE 'FORM' END AS rank, CASE k WHEN 0 THEN 'var.' WHEN 1 THEN 'subsp.' ELSE 'f.' END AS marker, 'INFRASPECIFIC_NAME' AS major, true AS infraspecific",
-    "suffix_rank": "doc_id, CASE k WHEN 2 THEN 'ORDER' ELSE 'FAMILY' END AS rank",
-    "unlikely_year": "doc_id, k = 1 AS unlikely",
-    "code_votes": "doc_id, CASE k WHEN 1 THEN 'ZOOLOGICAL' END AS code",
-    "parse_distinct": "doc_id, genus, CASE k WHEN 0 THEN 'vulgaris' ELSE species END AS species",
-    "parse_stream": "doc_id, 'parsed' AS result, genus",
-    "compare_runs": "doc_id, CASE k WHEN 0 THEN 'fields' ELSE 'parsed -> informal' END AS change, CASE k WHEN 0 THEN 'specificEpithet' ELSE 'code|combinationAuthorship.authors|combinationAuthorship.year|phrase|specificEpithet|type' END AS paths FROM n WHERE k <> 1",
-    "interesting_filter": "doc_id, CASE k WHEN 1 THEN 'parsed' ELSE 'error' END AS result FROM n WHERE k > 0",
-    "otu_filter": "doc_id, genus AS name FROM n WHERE k = 2",
+    "rank_dimension_join": "doc_id, pos, CASE k WHEN 0 THEN 'VARIETY' WHEN 1 THEN 'SUBSPECIES' ELSE 'FORM' END AS rank, CASE k WHEN 0 THEN 'var.' WHEN 1 THEN 'subsp.' ELSE 'f.' END AS marker, 'INFRASPECIFIC_NAME' AS major, true AS infraspecific",
+    "suffix_rank": "doc_id, pos, CASE k WHEN 2 THEN 'ORDER' ELSE 'FAMILY' END AS rank",
+    "unlikely_year": "doc_id, pos, k = 1 AS unlikely",
+    "code_votes": "doc_id, pos, CASE k WHEN 1 THEN 'ZOOLOGICAL' END AS code",
+    "parse_distinct": "doc_id, pos, genus, CASE k WHEN 0 THEN 'vulgaris' ELSE species END AS species",
+    "parse_stream": "doc_id, pos, 'parsed' AS result, genus",
+    "compare_runs": "doc_id || '/' || pos AS row, CASE k WHEN 0 THEN 'fields' ELSE 'parsed -> informal' END AS change, CASE k WHEN 0 THEN 'specificEpithet' ELSE 'code|combinationAuthorship.authors|combinationAuthorship.year|phrase|specificEpithet|type' END AS paths FROM n WHERE k <> 1",
+    "interesting_filter": "doc_id, pos, CASE k WHEN 1 THEN 'parsed' ELSE 'error' END AS result FROM n WHERE k > 0",
+    "otu_filter": "doc_id, pos, genus AS name FROM n WHERE k = 2",
     "three_way_split": "CASE k WHEN 0 THEN 'parsed' WHEN 1 THEN 'informal' ELSE 'error' END AS result, count(*) AS n FROM n GROUP BY 1",
     "type_breakdown": "CASE k WHEN 0 THEN 'SCIENTIFIC' WHEN 1 THEN 'INFORMAL' ELSE 'IDENTIFIER' END AS type, count(*) AS n FROM n GROUP BY 1",
     "band_report": "CASE k WHEN 0 THEN '1:determined+annotated' WHEN 1 THEN '2:indetermined' ELSE '3:phrase' END AS band, 'SPECIES' AS rank, 'genus' AS anchor, count(*) AS n FROM n GROUP BY 1",
@@ -313,7 +318,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     found = {name: f"{_BASE} SELECT {cols}" + ("" if " FROM n" in cols else " FROM n") for name, cols in _SELECT.items()}
-    found["quote_normalise"] = "SELECT doc_id, chr(39) || translate(substr(coalesce(text, ''), 1, 40), '’‘“”', chr(39) || chr(39) || '\"\"') || '\"' AS quoted FROM documents"
+    found["quote_normalise"] = "SELECT doc_id, chr(39) || translate(coalesce(text, ''), '’‘“”', chr(39) || chr(39) || '\"\"') || '\"' AS quoted FROM documents"
     found["benchmark_percentiles"] = (
         "SELECT count(n_chars) AS n, CAST(sum(n_chars) AS BIGINT) AS total, min(n_chars) AS min, avg(n_chars) AS avg, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS max FROM documents"
     )

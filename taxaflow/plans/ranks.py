@@ -1,110 +1,162 @@
-"""The rank dimension: order, code, marker and groups of taxonomic ranks."""
+"""The rank dimension: order, code, marker, plural and groups of taxonomic ranks, and their comparison."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ---- Fixed values: ranks from high to low; a marker where it isn't a rule's (see _marker). ----
-_RANKS = """
-SUPERDOMAIN DOMAIN SUBDOMAIN INFRADOMAIN EMPIRE REALM SUBREALM SUPERKINGDOM KINGDOM SUBKINGDOM INFRAKINGDOM SUPERPHYLUM PHYLUM SUBPHYLUM INFRAPHYLUM PARVPHYLUM MICROPHYLUM NANOPHYLUM
-CLAUDIUS GIGACLASS MEGACLASS SUPERCLASS CLASS SUBCLASS INFRACLASS SUBTERCLASS PARVCLASS SUPERDIVISION DIVISION_ZOOLOGY SUBDIVISION INFRADIVISION SUPERLEGION LEGION SUBLEGION INFRALEGION
-MEGACOHORT SUPERCOHORT COHORT SUBCOHORT INFRACOHORT GIGAORDER MAGNORDER GRANDORDER MIRORDER SUPERORDER ORDER NANORDER HYPOORDER MINORDER SUBORDER INFRAORDER PARVORDER
-SUPERSECTION_ZOOLOGY SECTION_ZOOLOGY SUBSECTION_ZOOLOGY SUPERSERIES_ZOOLOGY SERIES_ZOOLOGY SUBSERIES_ZOOLOGY FALANX GIGAFAMILY MEGAFAMILY GRANDFAMILY SUPERFAMILY EPIFAMILY FAMILY SUBFAMILY
-INFRAFAMILY SUPERTRIBE TRIBE SUBTRIBE INFRATRIBE SUPRAGENERIC_NAME SUPERGENUS GENUS SUBGENUS INFRAGENUS DIVISION_BOTANY SUPERSECTION_BOTANY SECTION_BOTANY SUBSECTION_BOTANY
-SUPERSERIES_BOTANY SERIES_BOTANY SUBSERIES_BOTANY INFRAGENERIC_NAME SPECIES_AGGREGATE SPECIES INFRASPECIFIC_NAME GREX KLEPTON SUBSPECIES CULTIVAR_GROUP CONVARIETY INFRASUBSPECIFIC_NAME PROLES
-NATIO ABERRATION MORPH SUPERVARIETY VARIETY SUBVARIETY SUPERFORM FORM SUBFORM PATHOVAR BIOVAR CHEMOVAR MORPHOVAR PHAGOVAR SEROVAR CHEMOFORM FORMA_SPECIALIS LUSUS CULTIVAR MUTATIO STRAIN
-OTHER UNRANKED
+# ---- Fixed values: one line a rank, from high to low: name, code, marker, plural, major rank, flags. ----
+_TABLE = """
+SUPERDOMAIN - superdom. superdomains DOMAIN -
+DOMAIN - dom. domains DOMAIN -
+SUBDOMAIN - subdom. subdomains DOMAIN -
+INFRADOMAIN - infradom. infradomains DOMAIN -
+EMPIRE - imp. empires EMPIRE -
+REALM VIRUS realm realms REALM -
+SUBREALM VIRUS subrealm subrealms REALM -
+SUPERKINGDOM - superreg. superkingdoms KINGDOM -
+KINGDOM - regn. kingdoms KINGDOM linnean
+SUBKINGDOM - subreg. subkingdoms KINGDOM -
+INFRAKINGDOM - infrareg. infrakingdoms KINGDOM -
+SUPERPHYLUM - superphyl. superphyla PHYLUM -
+PHYLUM - phyl. phyla PHYLUM linnean
+SUBPHYLUM - subphyl. subphyla PHYLUM -
+INFRAPHYLUM - infraphyl. infraphyla PHYLUM -
+PARVPHYLUM ZOOLOGICAL parvphyl. parvphyla PHYLUM -
+MICROPHYLUM ZOOLOGICAL microphyl. microphyla PHYLUM -
+NANOPHYLUM ZOOLOGICAL nanophyl. nanophyla PHYLUM -
+CLAUDIUS ZOOLOGICAL claud. claudius CLAUDIUS -
+GIGACLASS ZOOLOGICAL gigacl. gigaclasses CLASS -
+MEGACLASS ZOOLOGICAL megacl. megaclasses CLASS -
+SUPERCLASS - supercl. superclasses CLASS -
+CLASS - cl. classes CLASS linnean
+SUBCLASS - subcl. subclasses CLASS -
+INFRACLASS - infracl. infraclasses CLASS -
+SUBTERCLASS ZOOLOGICAL subtercl. subterclasses CLASS -
+PARVCLASS ZOOLOGICAL parvcl. parvclasses CLASS -
+SUPERDIVISION ZOOLOGICAL superdiv. superdivisions DIVISION_ZOOLOGY -
+DIVISION_ZOOLOGY ZOOLOGICAL div. division_zoologys DIVISION_ZOOLOGY -
+SUBDIVISION ZOOLOGICAL subdiv. subdivisions DIVISION_ZOOLOGY -
+INFRADIVISION ZOOLOGICAL infradiv. infradivisions DIVISION_ZOOLOGY -
+SUPERLEGION ZOOLOGICAL superleg. superlegions LEGION -
+LEGION ZOOLOGICAL leg. legions LEGION -
+SUBLEGION ZOOLOGICAL subleg. sublegions LEGION -
+INFRALEGION ZOOLOGICAL infraleg. infralegions LEGION -
+MEGACOHORT ZOOLOGICAL megacohort megacohorts COHORT -
+SUPERCOHORT ZOOLOGICAL supercohort supercohorts COHORT -
+COHORT ZOOLOGICAL cohort cohorts COHORT -
+SUBCOHORT ZOOLOGICAL subcohort subcohorts COHORT -
+INFRACOHORT ZOOLOGICAL infracohort infracohorts COHORT -
+GIGAORDER ZOOLOGICAL gigaord. gigaorders ORDER -
+MAGNORDER ZOOLOGICAL magnord. magnorders ORDER -
+GRANDORDER ZOOLOGICAL grandord. grandorders ORDER -
+MIRORDER ZOOLOGICAL mirord. mirorders ORDER -
+SUPERORDER - superord. superorders ORDER -
+ORDER - ord. orders ORDER linnean
+NANORDER ZOOLOGICAL nanord. nanorders ORDER -
+HYPOORDER ZOOLOGICAL hypoord. hypoorders ORDER -
+MINORDER ZOOLOGICAL minord. minorders ORDER -
+SUBORDER - subord. suborders ORDER -
+INFRAORDER - infraord. infraorders ORDER -
+PARVORDER ZOOLOGICAL parvord. parvorders ORDER -
+SUPERSECTION_ZOOLOGY ZOOLOGICAL supersect. supersection_zoologys SECTION_ZOOLOGY -
+SECTION_ZOOLOGY ZOOLOGICAL sect. section_zoologys SECTION_ZOOLOGY -
+SUBSECTION_ZOOLOGY ZOOLOGICAL subsect. subsection_zoologys SECTION_ZOOLOGY -
+SUPERSERIES_ZOOLOGY ZOOLOGICAL superser. superseries SERIES_ZOOLOGY -
+SERIES_ZOOLOGY ZOOLOGICAL ser. series SERIES_ZOOLOGY -
+SUBSERIES_ZOOLOGY ZOOLOGICAL subser. subseries SERIES_ZOOLOGY -
+FALANX - falanx falanges FALANX legacy
+GIGAFAMILY ZOOLOGICAL gigafam. gigafamilies FAMILY -
+MEGAFAMILY ZOOLOGICAL megafam. megafamilies FAMILY -
+GRANDFAMILY ZOOLOGICAL grandfam. grandfamilies FAMILY -
+SUPERFAMILY - superfam. superfamilies FAMILY -
+EPIFAMILY ZOOLOGICAL epifam. epifamilies FAMILY -
+FAMILY - fam. families FAMILY linnean
+SUBFAMILY - subfam. subfamilies FAMILY -
+INFRAFAMILY - infrafam. infrafamilies FAMILY -
+SUPERTRIBE - supertrib. supertribes TRIBE -
+TRIBE - trib. tribes TRIBE -
+SUBTRIBE - subtrib. subtribes TRIBE -
+INFRATRIBE - infratrib. infratribes TRIBE -
+SUPRAGENERIC_NAME - supragen. suprageneric_names SUPRAGENERIC_NAME uncomparable
+SUPERGENUS - supergen. supergenera GENUS -
+GENUS - gen. genera GENUS linnean
+SUBGENUS - subgen. subgenera GENUS -
+INFRAGENUS - infrag. infragenera GENUS -
+DIVISION_BOTANY BOTANICAL div. divisions DIVISION_BOTANY -
+SUPERSECTION_BOTANY BOTANICAL supersect. supersection_botanys SECTION_BOTANY -
+SECTION_BOTANY BOTANICAL sect. section_botanys SECTION_BOTANY -
+SUBSECTION_BOTANY BOTANICAL subsect. subsection_botanys SECTION_BOTANY -
+SUPERSERIES_BOTANY BOTANICAL superser. superseries SERIES_BOTANY -
+SERIES_BOTANY BOTANICAL ser. series SERIES_BOTANY -
+SUBSERIES_BOTANY BOTANICAL subser. subseries SERIES_BOTANY -
+INFRAGENERIC_NAME - infragen. infrageneric_names GENUS uncomparable
+SPECIES_AGGREGATE - agg. species_aggregates SPECIES -
+SPECIES - sp. species SPECIES linnean
+INFRASPECIFIC_NAME - infrasp. infraspecific_names INFRASPECIFIC_NAME uncomparable
+GREX CULTIVARS gx grexs INFRASPECIFIC_NAME -
+KLEPTON ZOOLOGICAL klepton kleptons INFRASPECIFIC_NAME legacy
+SUBSPECIES - subsp. subspecies INFRASPECIFIC_NAME -
+CULTIVAR_GROUP CULTIVARS - - INFRASPECIFIC_NAME -
+CONVARIETY CULTIVARS convar. convarieties INFRASPECIFIC_NAME legacy
+INFRASUBSPECIFIC_NAME - infrasubsp. infrasubspecific_names INFRASPECIFIC_NAME uncomparable
+PROLES BOTANICAL prol. proles INFRASPECIFIC_NAME legacy
+NATIO ZOOLOGICAL natio natios INFRASPECIFIC_NAME legacy
+ABERRATION ZOOLOGICAL ab. aberrations INFRASPECIFIC_NAME legacy
+MORPH ZOOLOGICAL morph morphs INFRASPECIFIC_NAME legacy
+SUPERVARIETY - supervar. supervarieties INFRASPECIFIC_NAME -
+VARIETY - var. varieties INFRASPECIFIC_NAME -
+SUBVARIETY - subvar. subvarieties INFRASPECIFIC_NAME -
+SUPERFORM - superf. superforms INFRASPECIFIC_NAME -
+FORM - f. forms INFRASPECIFIC_NAME -
+SUBFORM - subf. subforms INFRASPECIFIC_NAME -
+PATHOVAR BACTERIAL pv. pathovars INFRASPECIFIC_NAME -
+BIOVAR BACTERIAL biovar biovars INFRASPECIFIC_NAME -
+CHEMOVAR BACTERIAL chemovar chemovars INFRASPECIFIC_NAME -
+MORPHOVAR BACTERIAL morphovar morphovars INFRASPECIFIC_NAME -
+PHAGOVAR BACTERIAL phagovar phagovars INFRASPECIFIC_NAME -
+SEROVAR BACTERIAL serovar serovars INFRASPECIFIC_NAME -
+CHEMOFORM BACTERIAL chemoform chemoforms INFRASPECIFIC_NAME -
+FORMA_SPECIALIS BOTANICAL f.sp. forma_specialiss INFRASPECIFIC_NAME -
+LUSUS BOTANICAL lusus lusi INFRASPECIFIC_NAME legacy
+CULTIVAR CULTIVARS cv. cultivars INFRASPECIFIC_NAME -
+MUTATIO ZOOLOGICAL mut. mutatios INFRASPECIFIC_NAME -
+STRAIN - strain strains INFRASPECIFIC_NAME -
+OTHER - - - OTHER uncomparable
+UNRANKED - - - UNRANKED uncomparable
 """
-_ZOOLOGICAL = (
-    "PARVPHYLUM MICROPHYLUM NANOPHYLUM CLAUDIUS GIGACLASS MEGACLASS SUBTERCLASS PARVCLASS SUPERDIVISION DIVISION_ZOOLOGY SUBDIVISION INFRADIVISION SUPERLEGION LEGION SUBLEGION INFRALEGION "
-    "MEGACOHORT SUPERCOHORT COHORT SUBCOHORT INFRACOHORT GIGAORDER MAGNORDER GRANDORDER MIRORDER NANORDER HYPOORDER MINORDER PARVORDER SUPERSECTION_ZOOLOGY SECTION_ZOOLOGY SUBSECTION_ZOOLOGY "
-    "SUPERSERIES_ZOOLOGY SERIES_ZOOLOGY SUBSERIES_ZOOLOGY GIGAFAMILY MEGAFAMILY GRANDFAMILY EPIFAMILY KLEPTON NATIO ABERRATION MORPH MUTATIO"
-).split()
-_BOTANICAL = "DIVISION_BOTANY SUPERSECTION_BOTANY SECTION_BOTANY SUBSECTION_BOTANY SUPERSERIES_BOTANY SERIES_BOTANY SUBSERIES_BOTANY PROLES FORMA_SPECIALIS LUSUS".split()
-_CULTIVARS = "GREX CULTIVAR_GROUP CONVARIETY CULTIVAR".split()
-_BACTERIAL = "PATHOVAR BIOVAR CHEMOVAR MORPHOVAR PHAGOVAR SEROVAR CHEMOFORM".split()
-_VIRUS = "REALM SUBREALM".split()
-#: Abbreviations of the stems that prefixes go with.
-_STEMS = {
-    "DOMAIN": "dom.", "KINGDOM": "reg.", "PHYLUM": "phyl.", "CLASS": "cl.", "DIVISION": "div.", "LEGION": "leg.", "ORDER": "ord.", "SECTION": "sect.", "SERIES": "ser.", "FAMILY": "fam.",
-    "TRIBE": "trib.", "GENUS": "gen.", "VARIETY": "var.", "FORM": "f.",
-}
-_MARKERS = {
-    "KINGDOM": "regn.", "EMPIRE": "imp.", "CLAUDIUS": "claud.", "SUPRAGENERIC_NAME": "supragen.", "INFRAGENUS": "infrag.", "INFRAGENERIC_NAME": "infragen.", "SPECIES_AGGREGATE": "agg.",
-    "SPECIES": "sp.", "INFRASPECIFIC_NAME": "infrasp.", "GREX": "gx", "SUBSPECIES": "subsp.", "CONVARIETY": "convar.", "INFRASUBSPECIFIC_NAME": "infrasubsp.", "PROLES": "prol.",
-    "ABERRATION": "ab.", "PATHOVAR": "pv.", "FORMA_SPECIALIS": "f.sp.", "CULTIVAR": "cv.", "MUTATIO": "mut.",
-}
-_NO_MARKER = {"CULTIVAR_GROUP", "OTHER", "UNRANKED"}
-_PREFIXES = "SUPER SUBTER SUB INFRA MICRO NANO GIGA MAGN GRAND MIR NAN HYPO MIN PARV MEGA EPI".split()
-_UNCOMPARABLE = {"SUPRAGENERIC_NAME", "INFRAGENERIC_NAME", "INFRASPECIFIC_NAME", "INFRASUBSPECIFIC_NAME", "OTHER", "UNRANKED"}
-_LEGACY = {"MORPH", "ABERRATION", "NATIO", "PROLES", "CONVARIETY", "KLEPTON", "FALANX", "LUSUS"}
-_LINNEAN = {"KINGDOM", "PHYLUM", "CLASS", "ORDER", "FAMILY", "GENUS", "SPECIES"}
-_MAJOR = {"NANORDER": "ORDER", "SPECIES_AGGREGATE": "SPECIES", "INFRAGENERIC_NAME": "GENUS", "SUPERDIVISION": "DIVISION_ZOOLOGY", "SUBDIVISION": "DIVISION_ZOOLOGY", "INFRADIVISION": "DIVISION_ZOOLOGY"}
-
-NAMES = _RANKS.split()
-ORDINAL = {name: k for k, name in enumerate(NAMES)}
-
-
-def _split(name: str) -> tuple[str, str]:
-    """Prefix and stem of a rank, the code's suffix left off."""
-    bare = name.removesuffix("_ZOOLOGY").removesuffix("_BOTANY")
-    for p in _PREFIXES:
-        if bare.startswith(p) and bare[len(p) :] in _STEMS:
-            return p, bare[len(p) :]
-    return "", bare
-
-
-def _marker(name: str) -> str | None:
-    """A marker of its own, or the prefix with the stem's abbreviation, or the name itself."""
-    if name in _NO_MARKER:
-        return None
-    prefix, stem = _split(name)
-    return _MARKERS.get(name) or (prefix.lower() + _STEMS[stem] if stem in _STEMS else name.lower())
-
-
-def _code(name: str) -> str | None:
-    groups = (("ZOOLOGICAL", _ZOOLOGICAL), ("BOTANICAL", _BOTANICAL), ("CULTIVARS", _CULTIVARS), ("BACTERIAL", _BACTERIAL), ("VIRUS", _VIRUS))
-    return next((code for code, names in groups if name in names), None)
-
-
-def _infraspecific(name: str) -> bool:
-    return ORDINAL[name] > ORDINAL["SPECIES"] and name not in ("OTHER", "UNRANKED")
-
-
-def _major(name: str) -> str:
-    if name in _MAJOR:
-        return _MAJOR[name]
-    if _infraspecific(name):
-        return "INFRASPECIFIC_NAME"
-    rest = next((name[len(p) :] for p in _PREFIXES if name.startswith(p)), None)
-    return rest if rest in ORDINAL else name
-
-
-def rank_rows() -> list[tuple]:
-    """One row for each rank, in order; the columns are those of SCHEMA."""
-    markers = [_marker(n) for n in NAMES]
-    rows = []
-    for name, marker in zip(NAMES, markers, strict=True):
-        k, ranked = ORDINAL[name], name not in ("OTHER", "UNRANKED")
-        below_genus = k > ORDINAL["GENUS"] and ranked
-        rows.append((
-            name, k, _code(name), marker, _major(name), marker is not None and markers.count(marker) > 1, _infraspecific(name), below_genus,
-            below_genus and k < ORDINAL["SPECIES_AGGREGATE"], k >= ORDINAL["SPECIES_AGGREGATE"] and ranked, ORDINAL["GIGAFAMILY"] <= k < ORDINAL["SUPRAGENERIC_NAME"],
-            ORDINAL["SUPERGENUS"] <= k < ORDINAL["SPECIES_AGGREGATE"], k < ORDINAL["GENUS"], name in _LINNEAN, name in _UNCOMPARABLE, name in _LEGACY,
-        ))
-    return rows
 
 
+def _read() -> dict[str, dict[str, object]]:
+    """The table's lines with the groups that follow from the order of the ranks."""
+    lines = [line.split() for line in _TABLE.split("\n") if line]
+    place = {line[0]: k for k, line in enumerate(lines)}
+    markers = [line[2] for line in lines]
+    found = {}
+    for name, code, marker, plural, major, flags in lines:
+        k, ranked = place[name], name not in ("OTHER", "UNRANKED")
+        found[name] = {
+            "rank": name, "ordinal": k, "code": None if code == "-" else code, "marker": None if marker == "-" else marker, "plural": None if plural == "-" else plural, "major": major,
+            "ambiguous_marker": marker != "-" and markers.count(marker) > 1, "other_or_unranked": not ranked, "infraspecific": k > place["SPECIES"] and ranked, "infrageneric": k > place["GENUS"] and ranked,
+            "infrageneric_strictly": place["GENUS"] < k < place["SPECIES_AGGREGATE"], "species_or_below": k >= place["SPECIES_AGGREGATE"] and ranked,
+            "family_group": place["GIGAFAMILY"] <= k < place["SUPRAGENERIC_NAME"], "genus_group": place["SUPERGENUS"] <= k < place["SPECIES_AGGREGATE"], "suprageneric": k < place["GENUS"],
+        } | {flag: flag in flags.split(",") for flag in ("linnean", "uncomparable", "legacy")}
+    return found
+
+
+INFO = _read()
+NAMES = list(INFO)
+ORDINAL = {name: row["ordinal"] for name, row in INFO.items()}
+
 SCHEMA = (
-    "rank string, ordinal int, code string, marker string, major string, ambiguous_marker boolean, infraspecific boolean, infrageneric boolean, infrageneric_strictly boolean, "
-    "species_or_below boolean, family_group boolean, genus_group boolean, suprageneric boolean, linnean boolean, uncomparable boolean, legacy boolean"
+    "rank string, ordinal int, code string, marker string, plural string, major string, ambiguous_marker boolean, other_or_unranked boolean, infraspecific boolean, infrageneric boolean, "
+    "infrageneric_strictly boolean, species_or_below boolean, family_group boolean, genus_group boolean, suprageneric boolean, linnean boolean, uncomparable boolean, legacy boolean"
 )
 
 
 def rank_dimension(spark: SparkSession) -> DataFrame:
     """The ranks as a table of fixed size, to be broadcast in joins on rank."""
-    return spark.createDataFrame(rank_rows(), SCHEMA)
+    return spark.createDataFrame([tuple(row.values()) for row in INFO.values()], SCHEMA)
 
 
 def with_rank(df: DataFrame, column: str = "rank") -> DataFrame:
@@ -112,3 +164,23 @@ def with_rank(df: DataFrame, column: str = "rank") -> DataFrame:
     ranks = rank_dimension(df.sparkSession)
     side = ranks.select(F.col("rank").alias("__rank"), F.struct(*(c for c in ranks.columns if c != "rank")).alias("rank_info"))
     return df.join(F.broadcast(side), F.col(column) == F.col("__rank"), "left").drop("__rank")
+
+
+def from_name(name: Column) -> Column:
+    """The rank of exactly this name, null for any other text."""
+    return F.when(name.isin(*NAMES), name)
+
+
+def ordinal(rank: Column) -> Column:
+    """The place of a rank, 0 for the highest; null for what is no rank."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, NAMES)), rank).cast("int"), F.lit(0)) - 1
+
+
+def higher_than(rank: Column, other: Column) -> Column:
+    """Whether a rank stands above another one; nothing stands above OTHER and UNRANKED."""
+    return (ordinal(rank) < ordinal(other)) & ~other.isin("OTHER", "UNRANKED")
+
+
+def lower_than(rank: Column, other: Column) -> Column:
+    """Whether a rank stands below another one; OTHER and UNRANKED stand below nothing."""
+    return (ordinal(rank) > ordinal(other)) & ~rank.isin("OTHER", "UNRANKED")

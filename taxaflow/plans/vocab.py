@@ -9,6 +9,9 @@ DOUBLE_QUOTES = "\u0093\u0094“”„‟″‶❝❞〝〞〟＂"
 HYPHENS = "‐‑‒–—"
 WIN1252 = {"¡": "i", "¢": "c", "£": "L", "‚": "e", "„": "a", "‰": "e"}
 
+#: Cyrillic and Greek letters that look like Latin ones, in alphabetical order.
+LOOKALIKES = {"ſ": "s"} | dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTYXaesijopcyxhdqw", strict=True)) | dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo", strict=True)) | {chr(0xFEE0 + k): chr(k) for k in range(0x21, 0x7F)}
+
 PARTICLES = (
     "a ab af ap auf d da dal dalla dalle dallo das de degli dei del della delle delli dello der des di do dos du el in la las le les lo los of ofver te ten ter und v van vd ven "
     "vom von y zu zum zur"
@@ -27,7 +30,7 @@ INFRASPECIFIC = {
     "pv": "PATHOVAR", "pathovar": "PATHOVAR", "bv": "BIOVAR", "biovar": "BIOVAR", "ct": "CHEMOFORM", "chemoform": "CHEMOFORM", "sv": "SEROVAR", "serovar": "SEROVAR",
     "morph": "MORPH", "morphovar": "MORPHOVAR", "phagovar": "PHAGOVAR", "nat": "NATIO", "natio": "NATIO", "mut": "MUTATIO", "mutatio": "MUTATIO", "agamosp": "SPECIES",
     "conv": "CONVARIETY", "convar": "CONVARIETY", "prol": "PROLES", "proles": "PROLES", "ab": "ABERRATION", "aberration": "ABERRATION", "strain": "STRAIN", "str": "STRAIN",
-    "st": "INFRASPECIFIC_NAME",
+    "st": "INFRASPECIFIC_NAME", "fsp": "FORMA_SPECIALIS", "infrasubdivision": "OTHER",
 }
 #: Markers of infrageneric epithets, without their dot.
 INFRAGENERIC = {
@@ -41,6 +44,7 @@ WARNINGS = {
     "unusual": "unusual characters",
     "indet": "indetermined name missing its terminal epithet",
     "question": "question marks removed",
+    "subspecies": "Name was considered species but contains infraspecific epithet",
     "missing_genus": "epithet without genus",
     "doubtful_genus": "genus quoted or in square brackets",
     "rank_mismatch": "rank does not fit the parsed name",
@@ -58,6 +62,8 @@ WARNINGS = {
     "long": "unusually long name",
 }
 MAX_LENGTH, LONG_LENGTH = 1000, 250
+#: A genus with a label stuck to it.
+GLUED_PHRASE = r"^(\p{Lu}\p{Ll}+)(\p{Lu}{2,}[\p{Lu}0-9_]*)\z"
 
 VIRAL_SUFFIX = r"(?i)(?:virus|viroid|satellite|viriform|viridae|viroidae|satellitidae|virinae|viroinae|satellitinae|virales|virineae|viricetes|viricetidae|viricotina|viricota|virites|viria|virae)\z"
 
