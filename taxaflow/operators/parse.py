@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaflow.functions import authors, text
-from taxaflow.functions.classify import error_message, with_kind
+from taxaflow.functions.classify import error_message, kind_of
 from taxaflow.plans import ranks, strip, vocab
 from taxaflow.plans.recorded import Steps, recorded
 
@@ -65,88 +65,91 @@ def _recover_case(t: Column) -> Column:
     return F.coalesce(shouted, small, t)
 
 
-def _read_words(df: Steps) -> Steps:
-    """Genus, epithets, markers, qualifiers and the authorship text, from __text.
+def _read_words(t: Column, wanted: Column) -> Column:
+    """A struct of genus, epithets, markers, qualifiers and the authorship's text.
 
     Each pattern gives all its groups at once; what a step leaves goes on to the next."""
-    t = F.col("__text")
     filled, let, groups = text.filled, text.let, text.groups
-    df = df.withColumn("__g", let(F.when(F.col("__open"), _recover_case(t)), lambda x: groups(x, _GENUS, 4))).drop("__text")
-    g = F.col("__g")
-    # "(Word)" with nothing but an author after it is a basionym author, not a subgenus.
-    r1 = F.get(g, F.lit(3))
-    lone = filled(g, 3).isNotNull() & ~_like(r1, _SUBGENUS_ONLY)
-    df = df.withColumns({
-        "__r1": let(F.when(lone, F.concat(F.lit(" ("), filled(g, 3), F.lit(")"), r1)).otherwise(r1), lambda x: x),
-        "__hyb": filled(g, 1).isNotNull(), "__genus": filled(g, 2), "__sub": F.when(~lone, filled(g, 3)),
-    }).drop("__g")
-    r1 = F.col("__r1")
-    df = df.withColumn("__i", let(r1, lambda r: F.when(_like(r, rf"\s(?:notho)?(?:{_INFRA})[.\s]") & ~_like(r, _SPECIES), groups(r, _INFRAGENERIC, 5))))
-    i = F.col("__i")
-    df = df.withColumns({"__r2": text.code_break(F.when(i.isNotNull(), F.get(i, F.lit(4))).otherwise(r1)), "__gauth": filled(i, 1), "__inotho": filled(i, 2).isNotNull(), "__imark": filled(i, 3), "__isub": filled(i, 4)}).drop("__r1", "__i")
-    r2 = F.col("__r2")
-    df = df.withColumn("__q", let(r2, lambda r: F.coalesce(
-        F.when(_like(r, r"^\s(?:cf|aff|near)[.\s]"), F.concat(F.array(F.lit("q")), groups(r, _QUALIFIED, 3))),
-        F.when(_like(r, r"^\s(?:sp|indet)") & ~_like(r, _PUBLISHED_SPEC), F.concat(F.array(F.lit("i")), groups(r, _INDET, 2))),
-        F.concat(F.array(F.lit("s")), groups(r, _SPECIES, 3)),
-    )))
-    q = F.col("__q")
-    kind = F.get(q, F.lit(0))
-    qualified, indet, species = (F.coalesce(kind == k, F.lit(False)) for k in "qis")
-    df = df.withColumns({
-        "__qual": F.when(qualified, filled(q, 2)), "__indet": indet, "__iphrase": F.when(indet & filled(q, 3).isNotNull(), F.trim(r2)),
-        "__sp": F.when(qualified | species, filled(q, 3)), "__spx": species & filled(q, 2).isNotNull(),
-        "__r3": text.code_break(F.when(qualified | species, F.get(q, F.lit(3))).when(indet, F.lit("")).otherwise(r2)),
-    }).drop("__r2", "__q")
-    r3, has_species = F.col("__r3"), F.col("__sp").isNotNull()
-    following = lambda r: F.coalesce(F.when(_like(r, _HAS_MARK), F.concat(F.array(F.lit("m")), groups(r, _MARKED, 6))), F.concat(F.array(F.lit("b")), groups(r, _BARE, 3)))
-    df = df.withColumn("__m", F.when(has_species & (r3 != ""), let(r3, following)))
-    m = F.col("__m")
-    marked, bare = (F.coalesce(F.get(m, F.lit(0)) == k, F.lit(False)) for k in "mb")
-    df = df.withColumns({
-        "__sauth": F.when(marked, filled(m, 2)), "__notho": marked & filled(m, 3).isNotNull(), "__mark": F.when(marked, filled(m, 4)),
-        "__isp": F.when(marked, filled(m, 6)).when(bare, filled(m, 3)), "__ispx": (marked & filled(m, 5).isNotNull()) | (bare & filled(m, 2).isNotNull()),
-        "__r4": text.code_break(F.when(marked, F.get(m, F.lit(6))).when(bare, F.get(m, F.lit(3))).otherwise(r3)),
-    }).drop("__r3", "__m")
-    # A second marker or epithet: the last one counts, what is dropped is told in a warning; more are left unread.
-    r4 = F.col("__r4")
-    further = lambda r: F.coalesce(
-        F.when(_like(r, _HAS_MARK) & ~_like(r, r"^.*\(.*\).*" + _MARKED[1:]), F.concat(F.array(F.lit("m")), groups(r, _MARKED, 6))), F.when(~_like(r, r"^[\s,]*(?:\(|\z)"), F.concat(F.array(F.lit("b")), groups(r, _BARE, 3)))
-    )
-    df = df.withColumn("__n", F.when(F.col("__isp").isNotNull() & (r4 != ""), let(r4, further)))
-    n = F.col("__n")
-    more, again = (F.coalesce(F.get(n, F.lit(0)) == k, F.lit(False)) for k in "mb")
-    dropped = F.concat(F.lit("Removed: "), F.coalesce(F.concat("__mark", F.lit(". ")), F.lit("")), F.col("__isp"))
-    rest = F.when(more, F.get(n, F.lit(6))).when(again, F.get(n, F.lit(3))).otherwise(r4)
-    return df.withColumns({
-        "__warnings": F.when(more, F.array_union("__warnings", F.array(dropped, F.lit(vocab.WARNINGS["quadrinomial"])))).otherwise(F.col("__warnings")),
-        "__mark": F.when(more, filled(n, 4)).otherwise(F.col("__mark")), "__four": again,
-        "__isp": F.when(more, filled(n, 6)).when(again, filled(n, 3)).otherwise(F.col("__isp")),
-        "__auth": text.code_break(F.when(F.col("__open"), F.trim(F.regexp_replace(rest, r"^[\s,]+", "")))),
-    }).drop("__r4", "__n")
-
-
-def _read_authors(df: Steps) -> Steps:
-    """Combination, basionym and sanctioning author; a separate authorship goes before the name's own."""
-    none, let = F.lit(None).cast("string"), text.let
-    written = F.nullif(F.trim(F.col("__given")), F.lit(""))
-    own = F.coalesce(written, F.when(F.col("__phrase").isNull() & F.col("__iphrase").isNull(), F.col("__auth")), F.lit(""))
-    whole = F.when(F.col("__open"), own)
-    df = df.withColumn("__a", let(whole, lambda a: F.struct(
-        a.alias("whole"), F.when(F.startswith(a, F.lit("(")), text.groups(a, _BASIONYM, 2)).alias("bas"),
-        _like(F.when(F.contains(a, F.lit("f")), a), r"(?<=\S)\s*(?:(?<=[\s.])f\.|\bfil\.)").alias("filius"), authors.has_range(a).alias("ranged"),
-    ))).drop("__auth", "__given")
-    a = F.col("__a")
-    comb = F.coalesce(F.get(a["bas"], F.lit(1)), a["whole"])
-    sanct = F.when(F.contains(comb, F.lit(":")), text.groups(comb, _SANCTION, 2))
-    df = df.withColumns({
-        "__sn": text.code_break(sanct), "__comb": comb,
-        "__bas": F.regexp_replace(F.get(a["bas"], F.lit(0)), r"\s*:.*\z", ""), "__filius": F.coalesce(a["filius"], F.lit(False)), "__ranged": F.coalesce(a["ranged"], F.lit(False)),
-    }).drop("__a")
-    df = df.withColumns({"__sanct": text.filled(F.col("__sn"), 2), "__has_bas": F.col("__bas").isNotNull(), "__combA": authors.authorship(F.coalesce(F.get("__sn", F.lit(0)), "__comb")), "__basA": authors.authorship(F.col("__bas"))}).drop("__sn", "__comb", "__bas")
-    late = F.coalesce(F.col("__combA.year"), F.when(~authors.exists(F.col("__basA")), F.col("__reference_year")))
-    comb = F.col("__combA")
-    return df.withColumn("__combA", text.code_break(F.struct(comb["authors"].alias("authors"), comb["exAuthors"].alias("exAuthors"), late.alias("year"), F.coalesce(comb["imprintYear"], "__imprint_year", none).alias("imprintYear")))).drop("__reference_year", "__imprint_year")
+    no = F.lit(False)
+
+    def genus(g: Column) -> Column:
+        # "(Word)" with nothing but an author after it is a basionym author, not a subgenus.
+        lone = filled(g, 3).isNotNull() & ~_like(F.get(g, F.lit(3)), _SUBGENUS_ONLY)
+        rest = F.when(lone, F.concat(F.lit(" ("), filled(g, 3), F.lit(")"), F.get(g, F.lit(3)))).otherwise(F.get(g, F.lit(3)))
+        head = {"hyb": filled(g, 1).isNotNull(), "genus": filled(g, 2), "sub": F.when(~lone, filled(g, 3))}
+        return let(rest, lambda r: let(F.when(_like(r, rf"\s(?:notho)?(?:{_INFRA})[.\s]") & ~_like(r, _SPECIES), groups(r, _INFRAGENERIC, 5)), lambda i: infrageneric(head, r, i)))
+
+    def infrageneric(head: dict[str, Column], r: Column, i: Column) -> Column:
+        head = head | {"gauth": filled(i, 1), "inotho": filled(i, 2).isNotNull(), "imark": filled(i, 3), "isub": filled(i, 4)}
+
+        def kinds(r: Column) -> Column:
+            return F.coalesce(
+                F.when(_like(r, r"^\s(?:cf|aff|near)[.\s]"), F.concat(F.array(F.lit("q")), groups(r, _QUALIFIED, 3))),
+                F.when(_like(r, r"^\s(?:sp|indet)") & ~_like(r, _PUBLISHED_SPEC), F.concat(F.array(F.lit("i")), groups(r, _INDET, 2))),
+                F.concat(F.array(F.lit("s")), groups(r, _SPECIES, 3)),
+            )
+
+        return let(F.when(i.isNotNull(), F.get(i, F.lit(4))).otherwise(r), lambda r: let(kinds(r), lambda q: species(head, r, q)))
+
+    def species(head: dict[str, Column], r: Column, q: Column) -> Column:
+        qualified, indet, plain = (F.coalesce(F.get(q, F.lit(0)) == k, no) for k in "qis")
+        head = head | {
+            "qual": F.when(qualified, filled(q, 2)), "indet": indet, "iphrase": F.when(indet & filled(q, 3).isNotNull(), F.trim(r)), "sp": F.when(qualified | plain, filled(q, 3)), "spx": plain & filled(q, 2).isNotNull(),
+        }
+
+        def following(r: Column) -> Column:
+            marked = F.when(_like(r, _HAS_MARK), F.concat(F.array(F.lit("m")), groups(r, _MARKED, 6)))
+            return F.when(r != "", F.coalesce(marked, F.concat(F.array(F.lit("b")), groups(r, _BARE, 3))))
+
+        rest = F.when(qualified | plain, F.get(q, F.lit(3))).when(indet, F.lit("")).otherwise(r)
+        return let(rest, lambda r: let(F.when(qualified | plain, following(r)), lambda m: infraspecific(head, r, m)))
+
+    def infraspecific(head: dict[str, Column], r: Column, m: Column) -> Column:
+        marked, bare = (F.coalesce(F.get(m, F.lit(0)) == k, no) for k in "mb")
+        head = head | {"sauth": F.when(marked, filled(m, 2)), "notho": marked & filled(m, 3).isNotNull(), "ispx": (marked & filled(m, 5).isNotNull()) | (bare & filled(m, 2).isNotNull())}
+        mark, epithet = F.when(marked, filled(m, 4)), F.when(marked, filled(m, 6)).when(bare, filled(m, 3))
+        rest = F.when(marked, F.get(m, F.lit(6))).when(bare, F.get(m, F.lit(3))).otherwise(r)
+
+        def further(r: Column) -> Column:
+            more = F.when(_like(r, _HAS_MARK) & ~_like(r, r"^.*\(.*\).*" + _MARKED[1:]), F.concat(F.array(F.lit("m")), groups(r, _MARKED, 6)))
+            again = F.when(~_like(r, r"^[\s,]*(?:\(|\z)"), F.concat(F.array(F.lit("b")), groups(r, _BARE, 3)))
+            return F.when((r != "") & (marked | bare), F.coalesce(more, again))
+
+        return let(F.struct(mark.alias("mark"), epithet.alias("isp")), lambda own: let(rest, lambda r: let(further(r), lambda n: last(head, own, r, n))))
+
+    def last(head: dict[str, Column], own: Column, r: Column, n: Column) -> Column:
+        # A second marker or epithet: the last one counts, what is dropped is told in a warning.
+        more, again = (F.coalesce(F.get(n, F.lit(0)) == k, no) for k in "mb")
+        rest = F.when(more, F.get(n, F.lit(6))).when(again, F.get(n, F.lit(3))).otherwise(r)
+        head = head | {
+            "mark": F.when(more, filled(n, 4)).otherwise(own["mark"]), "four": again, "isp": F.when(more, filled(n, 6)).when(again, filled(n, 3)).otherwise(own["isp"]),
+            "dropped": F.when(more, F.concat(F.lit("Removed: "), F.coalesce(F.concat(own["mark"], F.lit(". ")), F.lit("")), own["isp"])), "auth": F.trim(F.regexp_replace(rest, r"^[\s,]+", "")),
+        }
+        return F.struct(*(c.alias(name) for name, c in head.items()))
+
+    return let(let(F.when(wanted, _recover_case(t)), lambda x: groups(x, _GENUS, 4)), genus)
+
+
+def _read_authors(given: Column, own: Column, wanted: Column, reference_year: Column, imprint_year: Column) -> Column:
+    """A struct of combination, basionym and sanctioning author; a separate authorship goes before the name's own."""
+    let, filled = text.let, text.filled
+
+    def split(a: Column) -> Column:
+        return let(F.when(F.startswith(a, F.lit("(")), text.groups(a, _BASIONYM, 2)), lambda bas: let(F.coalesce(F.get(bas, F.lit(1)), a), lambda comb: sanctioned(a, bas, comb)))
+
+    def sanctioned(a: Column, bas: Column, comb: Column) -> Column:
+        return let(F.when(F.contains(comb, F.lit(":")), text.groups(comb, _SANCTION, 2)), lambda s: let(F.struct(
+            authors.authorship(F.coalesce(F.get(s, F.lit(0)), comb)).alias("c"), authors.authorship(F.regexp_replace(F.get(bas, F.lit(0)), r"\s*:.*\z", "")).alias("b"),
+        ), lambda who: read(a, bas, s, who)))
+
+    def read(a: Column, bas: Column, s: Column, who: Column) -> Column:
+        comb = who["c"]
+        late = F.coalesce(comb["year"], F.when(~authors.exists(who["b"]), reference_year))
+        dated = F.struct(comb["authors"].alias("authors"), comb["exAuthors"].alias("exAuthors"), late.alias("year"), F.coalesce(comb["imprintYear"], imprint_year).alias("imprintYear"))
+        filius = F.contains(a, F.lit("f")) & _like(a, r"(?<=\S)\s*(?:(?<=[\s.])f\.|\bfil\.)")
+        return F.struct(dated.alias("comb"), who["b"].alias("bas"), filled(s, 2).alias("sanct"), bas.isNotNull().alias("has_bas"), F.coalesce(filius, F.lit(False)).alias("filius"), authors.has_range(a).alias("ranged"))
+
+    return let(F.when(wanted, F.coalesce(F.nullif(F.trim(given), F.lit("")), own, F.lit(""))), split)
 
 
 #: The fields of the parsed struct, with their types and what they are where nothing else is known.
@@ -207,46 +210,51 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return reduce(lambda c, v: c.when(key.isin(*[k for k, x in table.items() if x == v]), F.lit(v)), values, F)
 
 
-def _infer(df: Steps, rank: Column, code: Column) -> Steps:
-    """Rank and code, and what their conflict tells."""
-    has_sp, has_isp = F.col("__sp").isNotNull(), F.col("__isp").isNotNull()
-    marker = F.when(F.col("__marker").isNotNull(), _lookup(strip.MARKER_RANKS, F.lower("__marker")))
-    before = F.coalesce(marker, F.col("__pinned_rank"))
+def _infer(work: Steps, rank: Column, code: Column) -> Steps:
+    """work with __i, a struct of rank, code and whether they conflict, from the structs __w, __a, __f and __kind."""
+    has_sp, has_isp = F.col("__w.sp").isNotNull(), F.col("__w.isp").isNotNull()
+    marker = F.when(F.col("__f.marker").isNotNull(), _lookup(strip.MARKER_RANKS, F.lower("__f.marker")))
+    before = F.coalesce(marker, F.col("__f.pinned_rank"))
     read = (
         F.when(before.isNotNull(), F.when(code == "ZOOLOGICAL", F.regexp_replace(before, r"_BOTANY\z", "_ZOOLOGY")).otherwise(before))
-        .when(F.col("__aggregate") & has_sp, F.lit("SPECIES_AGGREGATE"))
-        .when(has_isp & F.col("__mark").isNotNull(), _lookup(vocab.INFRASPECIFIC, F.col("__mark")))
-        .when(has_isp & F.col("__four"), F.lit("INFRASUBSPECIFIC_NAME"))
+        .when(F.col("__f.aggregate") & has_sp, F.lit("SPECIES_AGGREGATE"))
+        .when(has_isp & F.col("__w.mark").isNotNull(), _lookup(vocab.INFRASPECIFIC, F.col("__w.mark")))
+        .when(has_isp & F.col("__w.four"), F.lit("INFRASUBSPECIFIC_NAME"))
         .when(has_isp, F.lit("INFRASPECIFIC_NAME"))
-        .when(has_sp | F.col("__indet"), F.lit("SPECIES"))
-        .when(F.col("__isub").isNotNull(), _lookup(vocab.INFRAGENERIC, F.col("__imark")))
-        .when(F.col("__sub").isNotNull(), F.lit("INFRAGENERIC_NAME"))
+        .when(has_sp | F.col("__w.indet"), F.lit("SPECIES"))
+        .when(F.col("__w.isub").isNotNull(), _lookup(vocab.INFRAGENERIC, F.col("__w.imark")))
+        .when(F.col("__w.sub").isNotNull(), F.lit("INFRAGENERIC_NAME"))
     )
     known = F.when(_among("__rankh", ranks.NAMES) & (rank != "UNRANKED"), rank)
     below = [n for n in ranks.NAMES if ranks.INFO[n]["infraspecific"]]
-    asked = F.when(read.isNull(), known).when(has_isp & F.col("__mark").isNull() & _among("__rankh", below), known)
-    df = df.withColumn("__rank0", text.code_break(F.coalesce(asked, read)))
+    asked = F.when(read.isNull(), known).when(has_isp & F.col("__w.mark").isNull() & _among("__rankh", below), known)
+    work = work.withColumn("__rank0", text.code_break(F.when(F.col("__open"), F.coalesce(asked, read))))
     rank_code = reduce(lambda c, own: c.when(_among("__rank0", [n for n in ranks.NAMES if ranks.INFO[n]["code"] == own]), F.lit(own)), [c for c in vocab.CODES if any(i["code"] == c for i in ranks.INFO.values())], F)
-    note = F.lower(F.col("__nom_note"))
+    note = F.lower(F.col("__f.nom_note"))
     noted = F.when(_like(note, rf"{text.EDGE}(?:illeg|inval|superfl|super|cons|rej|ambig|confus)"), F.lit("BOTANICAL")).when(_like(note, rf"{text.EDGE}(?:oblitum|protectum){text.EDGE}"), F.lit("ZOOLOGICAL"))
     own_code = F.when(code.isin(*vocab.CODES), code)
-    pinned = F.coalesce(own_code, F.col("__pinned_code"), rank_code, F.when(note.isNotNull(), noted))
-    comb, bas = F.col("__combA"), F.col("__basA")
-    has_comb, has_bas = F.size(comb["authors"]) > 0, F.col("__has_bas")
+    pinned = F.coalesce(own_code, F.col("__f.pinned_code"), rank_code, F.when(note.isNotNull(), noted))
+    comb, bas = F.col("__a.comb"), F.col("__a.bas")
+    has_comb, has_bas = F.size(comb["authors"]) > 0, F.col("__a.has_bas")
     year = (has_comb & comb["year"].isNotNull()) | (has_bas & (F.size(bas["authors"]) > 0) & bas["year"].isNotNull())
-    filius = F.col("__filius")
+    filius = F.col("__a.filius")
     votes = F.array(
-        F.when(F.col("__candidatus"), F.lit("BACTERIAL")),
-        F.when(F.col("__sanct").isNotNull() | (has_bas & has_comb) | (filius & ~year), F.lit("BOTANICAL")),
+        F.when(F.col("__f.candidatus"), F.lit("BACTERIAL")),
+        F.when(F.col("__a.sanct").isNotNull() | (has_bas & has_comb) | (filius & ~year), F.lit("BOTANICAL")),
         F.when((has_bas & ~has_comb) | year, F.lit("ZOOLOGICAL")),
     )
-    df = df.withColumns({"__code": text.code_break(F.coalesce(pinned, text.code_vote(votes), F.when(F.col("__kind.viral"), F.lit("VIRUS")))), "__rank_code": rank_code})
-    misfit = F.coalesce(F.col("__rank_code").isNotNull() & own_code.isNotNull() & (F.col("__code") != F.col("__rank_code")), F.lit(False))
-    df = df.withColumns({"__misfit": misfit, "__code": F.when(misfit, F.col("__rank_code")).otherwise(F.col("__code"))}).drop("__rank_code")
-    uni = ~has_sp & ~F.col("__indet") & F.col("__isub").isNull() & F.col("__sub").isNull()
-    by_suffix = F.when(uni, text.suffix_rank(F.col("__genus"), F.coalesce(own_code, F.when(F.col("__kind.viral"), F.lit("VIRUS")))))
-    zoo = has_isp & (F.col("__rank0") == "INFRASPECIFIC_NAME") & (F.col("__code") == "ZOOLOGICAL")
-    return df.withColumn("__rank", F.when(zoo, F.lit("SUBSPECIES")).otherwise(F.coalesce("__rank0", by_suffix, F.lit("UNRANKED")))).drop("__rank0")
+    uni = ~has_sp & ~F.col("__w.indet") & F.col("__w.isub").isNull() & F.col("__w.sub").isNull()
+    by_suffix = F.when(uni, text.suffix_rank(F.col("__w.genus"), F.coalesce(own_code, F.when(F.col("__kind.viral"), F.lit("VIRUS")))))
+
+    def told(codes: Column) -> Column:
+        needed, found = codes["needed"], codes["found"]
+        misfit = F.coalesce(needed.isNotNull() & own_code.isNotNull() & (found != needed), F.lit(False))
+        zoo = has_isp & (F.col("__rank0") == "INFRASPECIFIC_NAME") & (found == "ZOOLOGICAL")
+        full = F.when(zoo, F.lit("SUBSPECIES")).otherwise(F.coalesce("__rank0", by_suffix, F.lit("UNRANKED")))
+        return F.struct(full.alias("rank"), F.when(misfit, needed).otherwise(found).alias("code"), misfit.alias("misfit"))
+
+    found = F.coalesce(pinned, text.code_vote(votes), F.when(F.col("__kind.viral"), F.lit("VIRUS")))
+    return work.withColumn("__i", text.let(F.when(F.col("__open"), F.struct(rank_code.alias("needed"), found.alias("found"))), told))
 
 
 @recorded
@@ -261,92 +269,94 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
     special = F.expr("exists(split(__s, ' '), w -> w IN (" + ", ".join(f"'{w}'" for w in _WORDS) + "))") | reduce(lambda a, b: a | b, (F.contains(F.lower("__s"), F.lit(h)) for h in _VIRAL_HINTS))
     plain = text.let(F.col("__s"), lambda x: F.when(unasked & fits & ~special, text.groups(x, _PLAIN, 6)))
     work = work.withColumn("__plain", text.let(plain, lambda g: F.when(g.isNotNull(), _plain_name(g))))
-    work = with_kind(work, "__raw", "__given", "__codeh", "__kind", F.col("__s"), F.col("__plain").isNotNull())
+    work = work.withColumn("__kind", kind_of(F.col("__raw"), F.col("__given"), F.col("__codeh"), F.col("__s"), F.col("__plain").isNotNull()))
     open_ = F.col("__plain").isNull() & F.col("__kind.type").isNull() & F.col("__kind.rescue_taxon").isNull()
     repaired = text.let(F.col("__s"), lambda x: text.collapse_space(text.repair_win1252(text.fold_lookalikes(x))))
     work = work.withColumns({"__open": open_, "__clean": F.when(open_, F.when(tidy, F.col("__s")).otherwise(repaired))})
-    work = strip.apply(work, "__clean", F.col("__open"))
+    work = work.withColumn("__f", strip.fields(F.col("__clean"), F.col("__open")))
     odd = F.col("__open") & ~tidy & (text.collapse_space(F.col("__s")) != F.col("__clean"))
-    work = work.withColumn("__warnings", text.code_break(F.when(odd, F.array_union("__warnings", F.array(F.lit(vocab.WARNINGS["homoglyphs"])))).otherwise(F.col("__warnings")))).drop("__clean", "__s")
-    work = _read_words(work)
-    work = _read_authors(work)
+    work = work.withColumns({"__w": _read_words(F.col("__f.text"), F.col("__open")), "__odd": odd}).drop("__clean", "__s")
+    own = F.when(F.col("__f.phrase").isNull() & F.col("__w.iphrase").isNull(), F.col("__w.auth"))
+    work = work.withColumn("__a", _read_authors(F.col("__given"), own, F.col("__open"), F.col("__f.reference_year"), F.col("__f.imprint_year")))
     work = _infer(work, F.col("__rankh"), F.col("__codeh"))
     rescue = F.col("__kind.rescue_taxon").isNotNull()
-    has_sp = F.col("__sp").isNotNull()
-    abbreviated = _like(F.col("__genus"), r"\.\z")
-    informal_type = rescue | F.col("__informal") | F.col("__indet") | F.col("__qual").isNotNull() | abbreviated
+    has_sp = F.col("__w.sp").isNotNull()
+    abbreviated = _like(F.col("__w.genus"), r"\.\z")
+    informal_type = rescue | F.col("__f.informal") | F.col("__w.indet") | F.col("__w.qual").isNotNull() | abbreviated
     # Text that begins like no name at all is left unread as a whole; without a letter it is no name.
-    lost = F.col("__open") & F.col("__genus").isNull()
+    lost = F.col("__open") & F.col("__w.genus").isNull()
     no_letter = lost & ~_like(F.col("__raw"), r"\p{L}")
     error_type = F.coalesce(F.col("__kind.type"), F.when(no_letter, F.lit("OTHER")))
     known = F.when(_among("__rankh", ranks.NAMES) & (F.col("__rankh") != "UNRANKED"), F.col("__rankh"))
     species_down = ["SPECIES", "CULTIVAR", "CULTIVAR_GROUP", "GREX", *(n for n in ranks.NAMES if ranks.INFO[n]["infraspecific"])]
     between = [n for n in ranks.NAMES if ranks.INFO[n]["infrageneric_strictly"]]
     above = [n for n in ranks.NAMES if ranks.ORDINAL[n] < ranks.ORDINAL["SPECIES"]]
-    alone = ~has_sp & ~F.col("__indet") & F.col("__isub").isNull() & F.col("__sub").isNull() & F.col("__phrase").isNull() & F.col("__cultivar").isNull() & F.col("__genus").isNotNull()
+    alone = ~has_sp & ~F.col("__w.indet") & F.col("__w.isub").isNull() & F.col("__w.sub").isNull() & F.col("__f.phrase").isNull() & F.col("__f.cultivar").isNull() & F.col("__w.genus").isNotNull()
     # A monomial of a rank that needs an epithet, one of a rank below genus, a binomial of a rank above species.
-    unfinished = F.coalesce(alone & _among("__rankh", species_down) & ~F.col("__informal"), F.lit(False))
-    moved = F.coalesce(alone & F.coalesce(known, F.col("__rank")).isin(*between), F.lit(False))
-    too_high = F.coalesce(has_sp & _among("__rankh", above) & (known != F.col("__rank")), F.lit(False))
-    no_infra = F.coalesce(has_sp & F.col("__isp").isNull() & _among("__rankh", species_down[4:]), F.lit(False))
-    work = work.withColumns({"__unfinished": unfinished, "__moved": moved, "__too_high": too_high, "__no_infra": no_infra, "__lost": lost, "__known": text.code_break(known)})
-    unfinished, moved, too_high, no_infra, lost, known = (F.col(c) for c in ("__unfinished", "__moved", "__too_high", "__no_infra", "__lost", "__known"))
+    unfinished = F.coalesce(alone & _among("__rankh", species_down) & ~F.col("__f.informal"), F.lit(False))
+    moved = F.coalesce(alone & F.coalesce(known, F.col("__i.rank")).isin(*between), F.lit(False))
+    too_high = F.coalesce(has_sp & _among("__rankh", above) & (known != F.col("__i.rank")), F.lit(False))
+    no_infra = F.coalesce(has_sp & F.col("__w.isp").isNull() & _among("__rankh", species_down[4:]), F.lit(False))
+    flags = F.struct(*(c.alias(n) for n, c in (("unfinished", unfinished), ("moved", moved), ("too_high", too_high), ("no_infra", no_infra), ("lost", lost), ("known", known))))
+    work = work.withColumn("__b", text.code_break(F.when(F.col("__open"), flags)))
+    unfinished, moved, too_high, no_infra, lost = (F.coalesce(F.col(f"__b.{c}"), F.lit(False)) for c in ("unfinished", "moved", "too_high", "no_infra", "lost"))
+    known = F.col("__b.known")
     informal_type = informal_type | unfinished | too_high | no_infra
-    kind = F.when(rescue, F.lit("INFORMAL")).when(F.col("__genus") == "?", F.lit("PLACEHOLDER")).when(informal_type & F.col("__cultivar").isNull(), F.lit("INFORMAL")).otherwise("SCIENTIFIC")
-    as_genus = has_sp | F.col("__indet") | F.col("__isub").isNotNull() | F.col("__sub").isNotNull() | (F.col("__phrase").isNotNull() & ~F.col("__monomial")) | F.col("__cultivar").isNotNull() | unfinished
-    quoted = F.col("__quoted")
+    kind = F.when(rescue, F.lit("INFORMAL")).when(F.col("__w.genus") == "?", F.lit("PLACEHOLDER")).when(informal_type & F.col("__f.cultivar").isNull(), F.lit("INFORMAL")).otherwise("SCIENTIFIC")
+    as_genus = has_sp | F.col("__w.indet") | F.col("__w.isub").isNotNull() | F.col("__w.sub").isNotNull() | (F.col("__f.phrase").isNotNull() & ~F.col("__f.monomial")) | F.col("__f.cultivar").isNotNull() | unfinished
+    quoted = F.col("__f.quoted")
     found = (
         F.when(F.char_length("__raw") > vocab.LONG_LENGTH, F.lit(vocab.WARNINGS["long"])),
-        F.when((F.col("__indet") & F.col("__iphrase").isNull()) | unfinished | no_infra, F.lit(vocab.WARNINGS["indet"])),
-        F.when(too_high, F.lit(vocab.WARNINGS["rank_mismatch"])), F.when(F.col("__misfit"), F.lit(vocab.WARNINGS["code_mismatch"])), F.when(F.col("__ranged"), F.lit(vocab.WARNINGS["year"])),
-        F.when((known == "SPECIES") & F.col("__isp").isNotNull(), F.lit(vocab.WARNINGS["subspecies"])),
+        F.when((F.col("__w.indet") & F.col("__w.iphrase").isNull()) | unfinished | no_infra, F.lit(vocab.WARNINGS["indet"])),
+        F.col("__w.dropped"), F.when(F.col("__w.dropped").isNotNull(), F.lit(vocab.WARNINGS["quadrinomial"])), F.when(F.col("__odd"), F.lit(vocab.WARNINGS["homoglyphs"])),
+        F.when(too_high, F.lit(vocab.WARNINGS["rank_mismatch"])), F.when(F.col("__i.misfit"), F.lit(vocab.WARNINGS["code_mismatch"])), F.when(F.col("__a.ranged"), F.lit(vocab.WARNINGS["year"])),
+        F.when((known == "SPECIES") & F.col("__w.isp").isNotNull(), F.lit(vocab.WARNINGS["subspecies"])),
         F.when(abbreviated, F.lit(vocab.WARNINGS["abbreviated"])),
-        F.when(F.coalesce(text.is_unlikely_year(F.col("__combA.year")), F.lit(False)) | F.coalesce(text.is_unlikely_year(F.col("__basA.year")), F.lit(False)), F.lit(vocab.WARNINGS["unlikely_year"])),
-        F.when((F.col("__sp") == "null") | (F.col("__isp") == "null"), F.lit(vocab.WARNINGS["null"])),
-        F.when(F.lower("__sp").isin(*blacklist) | F.lower("__isp").isin(*blacklist) if blacklist else F.lit(False), F.lit(vocab.WARNINGS["blacklisted"])),
+        F.when(F.coalesce(text.is_unlikely_year(F.col("__a.comb.year")), F.lit(False)) | F.coalesce(text.is_unlikely_year(F.col("__a.bas.year")), F.lit(False)), F.lit(vocab.WARNINGS["unlikely_year"])),
+        F.when((F.col("__w.sp") == "null") | (F.col("__w.isp") == "null"), F.lit(vocab.WARNINGS["null"])),
+        F.when(F.lower("__w.sp").isin(*blacklist) | F.lower("__w.isp").isin(*blacklist) if blacklist else F.lit(False), F.lit(vocab.WARNINGS["blacklisted"])),
     )
     warn = F.when(F.coalesce(*found).isNotNull(), F.array_compact(F.array(*found)))
     crosses = (
-        F.when(F.col("__hyb") & F.col("__genus").isNotNull(), F.lit("GENERIC")), F.when(F.col("__inotho"), F.lit("INFRAGENERIC")),
-        F.when(F.col("__spx"), F.lit("SPECIFIC")), F.when(F.col("__ispx") | F.col("__notho"), F.lit("INFRASPECIFIC")),
+        F.when(F.col("__w.hyb") & F.col("__w.genus").isNotNull(), F.lit("GENERIC")), F.when(F.col("__w.inotho"), F.lit("INFRAGENERIC")),
+        F.when(F.col("__w.spx"), F.lit("SPECIFIC")), F.when(F.col("__w.ispx") | F.col("__w.notho"), F.lit("INFRASPECIFIC")),
     )
     notho = F.when(F.coalesce(*crosses).isNotNull(), F.array_compact(F.array(*crosses)))
     sure = lambda c: F.when(~rescue, c)
     combined = lambda c: F.when(F.col(c).isNotNull(), authors.authorship(F.col(c)))
     parsed = _struct(
-        rank=F.when(rescue | lost, F.lit("UNRANKED")).when(unfinished | too_high | no_infra, known).otherwise(F.col("__rank")),
-        code=sure(F.col("__code")),
-        uninomial=sure(F.when(~as_genus & ~moved, F.concat(F.coalesce(quoted, F.lit("")), F.col("__genus"), F.coalesce(quoted, F.lit(""))))),
-        genus=F.when(rescue, F.col("__kind.rescue_taxon")).otherwise(F.when(as_genus, F.col("__genus"))),
-        genericAuthorship=sure(combined("__gauth")),
-        infragenericEpithet=sure(F.coalesce("__isub", "__sub", F.when(moved, F.col("__genus")))),
-        specificEpithet=sure(F.col("__sp")),
-        specificAuthorship=sure(combined("__sauth")),
-        infraspecificEpithet=sure(F.col("__isp")),
-        cultivarEpithet=sure(F.col("__cultivar")),
-        phrase=F.when(rescue, F.col("__kind.rescue_phrase")).otherwise(F.coalesce("__phrase", "__iphrase")),
-        candidatus=F.col("__candidatus"),
+        rank=F.when(rescue | lost, F.lit("UNRANKED")).when(unfinished | too_high | no_infra, known).otherwise(F.col("__i.rank")),
+        code=sure(F.col("__i.code")),
+        uninomial=sure(F.when(~as_genus & ~moved, F.concat(F.coalesce(quoted, F.lit("")), F.col("__w.genus"), F.coalesce(quoted, F.lit(""))))),
+        genus=F.when(rescue, F.col("__kind.rescue_taxon")).otherwise(F.when(as_genus, F.col("__w.genus"))),
+        genericAuthorship=sure(combined("__w.gauth")),
+        infragenericEpithet=sure(F.coalesce("__w.isub", "__w.sub", F.when(moved, F.col("__w.genus")))),
+        specificEpithet=sure(F.col("__w.sp")),
+        specificAuthorship=sure(combined("__w.sauth")),
+        infraspecificEpithet=sure(F.col("__w.isp")),
+        cultivarEpithet=sure(F.col("__f.cultivar")),
+        phrase=F.when(rescue, F.col("__kind.rescue_phrase")).otherwise(F.coalesce("__f.phrase", "__w.iphrase")),
+        candidatus=F.col("__f.candidatus"),
         notho=sure(notho),
-        originalSpelling=(F.col("__original_spelling") == "true"),
-        epithetQualifier=sure(F.when(F.col("__qual").isNotNull(), F.create_map(F.lit("SPECIFIC"), F.concat("__qual", F.lit("."))))),
+        originalSpelling=(F.col("__f.original_spelling") == "true"),
+        epithetQualifier=sure(F.when(F.col("__w.qual").isNotNull(), F.create_map(F.lit("SPECIFIC"), F.concat("__w.qual", F.lit("."))))),
         type=kind,
-        extinct=F.col("__extinct"),
-        taxonomicNote=sure(F.col("__tax_note")),
-        nomenclaturalNote=sure(F.col("__nom_note")),
-        publishedIn=sure(F.col("__published_in")),
-        publishedInYear=sure(text.published_year(F.coalesce("__published_in", F.lit("")))),
-        publishedInPage=sure(F.col("__page")),
-        unparsed=sure(F.when(lost, F.trim("__raw")).otherwise(F.col("__unparsed"))),
-        doubtful=(F.col("__doubtful") | too_high),
-        manuscript=F.col("__manuscript"),
-        state=F.when(~rescue & (lost | F.col("__unparsed").isNotNull()), F.lit("PARTIAL")).otherwise("COMPLETE"),
-        warnings=F.when(warn.isNull() & (F.size("__warnings") < 2), F.col("__warnings")).otherwise(F.sort_array(F.array_union("__warnings", F.coalesce(warn, F.array().cast("array<string>"))))),
-        combinationAuthorship=F.when(rescue | unfinished | lost, _nobody()).otherwise(F.col("__combA")),
-        basionymAuthorship=F.when(rescue | unfinished | lost, _nobody()).otherwise(F.col("__basA")),
-        sanctioningAuthor=sure(F.col("__sanct")),
+        extinct=F.col("__f.extinct"),
+        taxonomicNote=sure(F.col("__f.tax_note")),
+        nomenclaturalNote=sure(F.col("__f.nom_note")),
+        publishedIn=sure(F.col("__f.published_in")),
+        publishedInYear=sure(text.published_year(F.coalesce("__f.published_in", F.lit("")))),
+        publishedInPage=sure(F.col("__f.page")),
+        unparsed=sure(F.when(lost, F.trim("__raw")).otherwise(F.col("__f.unparsed"))),
+        doubtful=(F.col("__f.doubtful") | too_high),
+        manuscript=F.col("__f.manuscript"),
+        state=F.when(~rescue & (lost | F.col("__f.unparsed").isNotNull()), F.lit("PARTIAL")).otherwise("COMPLETE"),
+        warnings=F.when(warn.isNull() & (F.size("__f.warnings") < 2), F.col("__f.warnings")).otherwise(F.sort_array(F.array_union("__f.warnings", F.coalesce(warn, F.array().cast("array<string>"))))),
+        combinationAuthorship=F.when(rescue | unfinished | lost, _nobody()).otherwise(F.col("__a.comb")),
+        basionymAuthorship=F.when(rescue | unfinished | lost, _nobody()).otherwise(F.col("__a.bas")),
+        sanctioningAuthor=sure(F.col("__a.sanct")),
     )
-    work = work.withColumns({"__p": text.code_break(F.coalesce(F.col("__plain"), F.when(error_type.isNull(), parsed))), "__etype": error_type})
-    return work
+    return work.withColumns({"__p": text.code_break(F.coalesce(F.col("__plain"), F.when(error_type.isNull(), parsed))), "__etype": text.code_break(error_type)})
 
 
 def parse_names(df: DataFrame, name: str = "name", authorship: str | None = None, rank: str | None = None, code: str | None = None, blacklist: list[str] | None = None) -> DataFrame:
@@ -365,10 +375,10 @@ def parse_names(df: DataFrame, name: str = "name", authorship: str | None = None
         F.when(F.col("__p.genus").isNotNull(), F.lit("GENUS")).otherwise(F.col("__p.rank")).alias("taxonRank"),
         F.col("__p.rank").alias("rank"), F.col("__p.phrase").alias("phrase"), F.col("__p.code").alias("code"),
     )
-    failed = F.struct(F.col("__etype").alias("type"), F.col("__kind.code").alias("code"), F.coalesce("__kind.name", F.lit("")).alias("name"), error_message(F.col("__etype"), F.coalesce("__kind.name", F.lit(""))).alias("message"))
+    reported = F.coalesce("__kind.name", F.lit(""))
+    failed = F.struct(F.col("__etype").alias("type"), F.col("__kind.code").alias("code"), reported.alias("name"), error_message(F.col("__etype"), reported).alias("message"))
     state = F.when(F.col("__etype").isNotNull(), F.lit("error")).when(informal, F.lit("informal")).otherwise("parsed")
-    done = work.withColumns({"__state": state, "__informal3": F.when(informal, taxon), "__error3": F.when(F.col("__etype").isNotNull(), failed)})
     # Out of a generator, so that Spark doesn't push a filter on the result through all the projections
     # above, which would copy their expressions over and over.
-    row = F.struct(*(F.col(c).alias(name) for c, name in (("__state", "result"), ("__p", "parsed"), ("__informal3", "informal"), ("__error3", "error"))))
-    return done.select(*df.columns, F.inline_outer(F.array(row)))
+    row = F.struct(state.alias("result"), F.col("__p").alias("parsed"), F.when(informal, taxon).alias("informal"), F.when(F.col("__etype").isNotNull(), failed).alias("error"))
+    return work.select(*df.columns, F.inline_outer(F.array(row)))

@@ -1,7 +1,7 @@
 """The annotation rules: an ordered table of what is taken out of a name before its words are read.
 
 A rule has a pattern and, for each field it touches, an effect; where the pattern is found the match is
-replaced. The table is data. `apply` first asks for each rule whether the name holds one of the texts that
+replaced. The table is data. `fields` first asks for each rule whether the name holds one of the texts that
 the rule can't do without, which is much cheaper than its pattern; what is left, none or a few rules for
 most names, is worked off by one `aggregate` over the rules' numbers. So a rule costs next to nothing where it
 doesn't apply, and the plan stays small however many rules there are.
@@ -12,10 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from taxaflow.functions.text import EDGE, code_break
+from taxaflow.functions.text import EDGE, let
 from taxaflow.plans import vocab
 
 #: The fields that rules fill, with their types, beside the text that is left of the name.
@@ -179,29 +179,40 @@ def _step(rules: tuple[Rule, ...], state: Column, number: Column) -> Column:
     return branches.otherwise(state)
 
 
-def apply(df: DataFrame, text: str, wanted: Column, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """df with the fields of FIELDS, prefixed by two underscores, after all rules; where wanted is false none is tried.
+def fields(text: Column, wanted: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of text and FIELDS after all rules; where wanted is false none is tried.
 
-    text names a column that holds no white space but single spaces."""
-    df = df.withColumns({"__low": F.lower(F.when(wanted, F.col(text)).otherwise("")), "__digit": F.regexp_like(F.col(text), F.lit("[0-9]"))})
-    low, digit = F.col("__low"), F.col("__digit")
-    df = df.withColumn("__todo", code_break(F.when(low != "", F.array_compact(F.array(*(F.when(_guard(low, digit, r), F.lit(k)) for k, r in enumerate(rules)))))))
-    begin = F.struct(F.col(text).alias("t"), F.array().cast(_ENTRIES).alias("log"))
-    df = df.withColumn("__st", F.when(F.size("__todo") > 0, F.aggregate("__todo", begin, lambda st, k: _step(rules, st, k))).otherwise(begin)).drop("__low", "__digit", "__todo")
-    log = F.col("__st.log")
-    some = F.size(log) > 0
+    text holds no white space but single spaces."""
+    none = F.array().cast(_ENTRIES)
+
+    def guarded(low: Column) -> Column:
+        digit = F.regexp_like(low, F.lit("[0-9]"))
+        return F.when(wanted, F.filter(F.array(*(F.when(_guard(low, digit, r), F.lit(k)) for k, r in enumerate(rules))), lambda k: k.isNotNull()))
+
+    def worked(todo: Column) -> Column:
+        begin = F.struct(text.alias("t"), none.alias("log"))
+        return F.when(F.size(todo) > 0, F.aggregate(todo, begin, lambda st, k: _step(rules, st, k))).otherwise(begin)
+
+    return let(let(F.lower(text), guarded), lambda todo: let(worked(todo), lambda st: F.when(F.size(st["log"]) > 0, _told(st)).otherwise(_untold(st["t"]))))
+
+
+def _untold(text: Column) -> Column:
+    return F.struct(text.alias("text"), *((F.array().cast(kind) if kind == "array<string>" else F.lit(False if kind == "boolean" else None).cast(kind)).alias(name) for name, kind in FIELDS.items()))
+
+
+def _told(state: Column) -> Column:
+    """The fields from the entries that the rules made."""
 
     def held(name: str) -> Column:
-        return F.transform(F.filter(log, lambda e: (e["f"] == name) & e["v"].isNotNull()), lambda e: e["v"])
+        return F.transform(F.filter(state["log"], lambda e: (e["f"] == name) & e["v"].isNotNull()), lambda e: e["v"])
 
-    new = {"__text": F.col("__st.t")}
-    for name, kind in FIELDS.items():
+    def read(name: str, kind: str) -> Column:
         if kind == "array<string>":
-            new[f"__{name}"] = F.when(some, F.array_distinct(held(name))).otherwise(F.array().cast(kind))
-        elif kind == "boolean":
-            new[f"__{name}"] = some & (F.size(held(name)) > 0)
-        elif name in JOINED:
-            new[f"__{name}"] = F.when(some, F.nullif(F.regexp_replace(F.array_join(held(name), " "), f"^.*{_ANEW}", ""), F.lit("")))
-        else:
-            new[f"__{name}"] = F.when(some, F.try_element_at(held(name), F.lit(1 if name in FIRST else -1)))
-    return df.withColumns(new).drop("__st")
+            return F.array_distinct(held(name))
+        if kind == "boolean":
+            return F.size(held(name)) > 0
+        if name in JOINED:
+            return F.nullif(F.regexp_replace(F.array_join(held(name), " "), f"^.*{_ANEW}", ""), F.lit(""))
+        return F.try_element_at(held(name), F.lit(1 if name in FIRST else -1))
+
+    return F.struct(state["t"].alias("text"), *(read(name, kind).alias(name) for name, kind in FIELDS.items()))
