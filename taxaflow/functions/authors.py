@@ -9,8 +9,8 @@ from taxaflow.functions.text import filled, groups, let
 
 AUTHORSHIP = "struct<authors:array<string>,exAuthors:array<string>,year:string,imprintYear:string>"
 #: A year at the end, of a range the first, with an optional imprint year or second year and an optional letter.
-_YEAR = r"^(|.*?[\s,(])([0-9]{3,4}\??)(?:[-–][0-9]{2,4})?[a-z]?\)?\s*(?:,\s*([0-9]{4})(?:[-–][0-9]{2,4})?|\[\s*\"?([0-9]{4})\"?\s*\])?\s*\.?\s*\z"
-_RANGE = r"[0-9]{4}[-–][0-9]{2,4}(?![0-9])"
+_YEAR = r"^(|.*?[\s,(\[])([0-9]{3,4}\??)(?:[-–/][0-9]{2,4})?[A-Za-z]?\]?\s*\)?\s*(?:,\s*([0-9]{4})(?:[-–][0-9]{2,4})?|[\[(]\s*\"?([0-9]{4})\"?\s*[\])])?\s*\.?\s*\z"
+_RANGE = r"[0-9]{4}[-–/][0-9]{2,4}(?![0-9])"
 _SEPARATOR = r"\s*(?:&|;|,|\s(?:and|et|y)\s)\s*"
 _SUFFIX = "(?:f|fil|filius|Jr|jr|Sr|sr|II|III|IV)"
 _INITIALS = r"(?:\p{Lu}[a-z]?\.[\s-]?)+"
@@ -19,13 +19,13 @@ _EMPTY = "array<string>"
 
 def author(x: Column) -> Column:
     """One author: initials before the surname, dotted, without spaces; shouted surnames in title case."""
-    dotted = r"^(\p{Lu}[\p{L}'-]*\p{Ll})\s+((?:\p{Lu}\.?-?){1,3})\z"
+    dotted = r"^(\p{Lu}[\p{L}'-]*\p{Ll})\s+(?!(?:II|III|IV)\z)((?:\p{Lu}\.?-?){1,3})\z"
 
     def full(x: Column) -> Column:
         initials = F.regexp_replace(F.regexp_replace(F.regexp_extract(x, dotted, 2), r"[.\s]", ""), r"(\p{Lu})", r"$1.")
         turned = F.when(F.regexp_like(x, F.lit(dotted)), F.concat(initials, F.regexp_extract(x, dotted, 1))).otherwise(x)
         lone = F.regexp_replace(turned, r"(?<![\p{L}.'-])(\p{Lu})\s+(?=\p{Lu}\p{Ll})", "$1.")
-        close = F.regexp_replace(lone, r"(?<=\p{Lu}\.)\s+(?=\p{Lu})", "")
+        close = F.regexp_replace(lone, r"(?<=\.)\s+", "")
         shout = F.regexp_like(close, F.lit(r"^(?:\p{Lu}\.)*\p{Lu}{4,}(?:-\p{Lu}{2,})*\z"))
         titled = F.replace(F.initcap(F.regexp_replace(F.lower(close), r"([.-])", "$1 ")), F.lit(" "), F.lit(""))
         return F.when(shout, titled).otherwise(close)
@@ -66,7 +66,7 @@ def authorship(x: Column) -> Column:
 
     def read(t: Column) -> Column:
         years = F.when(F.regexp_like(t, F.lit("[0-9]{3}")), groups(t, _YEAR, 4))
-        return let(years, lambda y: named(F.regexp_replace(F.coalesce(F.get(y, F.lit(0)), t), r"[\s,(]+\z", ""), filled(y, 2), F.coalesce(filled(y, 3), filled(y, 4))))
+        return let(years, lambda y: named(F.regexp_replace(F.replace(F.coalesce(F.get(y, F.lit(0)), t), F.lit("?"), F.lit("")), r"[\s,(\[]+\z", ""), filled(y, 2), F.coalesce(filled(y, 3), filled(y, 4))))
 
     null = F.lit(None).cast("string")
     nothing = F.struct(none.alias("authors"), none.alias("exAuthors"), null.alias("year"), null.alias("imprintYear"))

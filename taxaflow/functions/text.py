@@ -57,7 +57,7 @@ def fold_lookalikes(x: Column) -> Column:
 
 
 def collapse_space(x: Column | str) -> Column:
-    return F.trim(F.regexp_replace(x, r"[ \t-\r\x1C-\x1F]+", " "))
+    return F.trim(F.regexp_replace(x, r"[ \t-\r\x1C-\x1F\u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000]+", " "))
 
 
 def is_viral(word: Column) -> Column:

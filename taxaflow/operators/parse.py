@@ -20,14 +20,14 @@ from taxaflow.plans.recorded import Steps, recorded
 _MARK = "|".join(sorted(vocab.INFRASPECIFIC, key=lambda m: (-len(m), m)))
 _INFRA = "|".join(sorted(vocab.INFRAGENERIC, key=lambda m: (-len(m), m)))
 _STOP = "(?!(?:" + "|".join(sorted({*vocab.PARTICLES, *vocab.INFRASPECIFIC, *vocab.INFRAGENERIC, "ex", "et", "and", "sp", "spec", "cf", "aff", "indet", "hort", "anon", "apud", "non", "nec"})) + r")(?:[\s.,)]|\z))"
-_EPITHET = rf"{_STOP}\p{{Ll}}[\p{{Ll}}0-9'-]*[\p{{Ll}}0-9]"
-_GENUS = r"^(×\s*|[xX]\s+(?=\p{Lu}))?(\p{Lu}[\p{Ll}-]*[\p{Ll}]|\p{Lu}\p{Ll}{0,3}\.|\?)(?=[\s(,]|\z)(?:\s*\((\p{Lu}\p{Ll}+)\.?\)(?=\s+[\p{Ll}×]|\s+\p{Lu}|\s*\z))?(.*)\z"
-_SUBGENUS_ONLY = r"^\s*\z|^\s+[\p{Ll}×]"
-_INFRAGENERIC = rf"^(.*?)\s+(notho)?({_INFRA})\.?\s+(\p{{Lu}}\p{{L}}+)(.*)\z"
-_SPECIES = rf"^\s+(×\s*)?({_EPITHET})(?=[\s,(]|\z)(.*)\z"
+_EPITHET = rf"{_STOP}(?:[0-9]+-)?\p{{Ll}}[\p{{Ll}}0-9'!-]*[\p{{Ll}}0-9]"
+_GENUS = r"^(×\s*|[xX]\s+(?=\p{Lu})|x(?=\p{Lu}\p{Ll})|\+\s+)?(\p{Lu}\p{Ll}*(?:-\p{L}\p{Ll}*)*\p{Ll}|\p{Lu}\p{Ll}{0,3}\.|\?)(?=[\s(,]|\z)(?:\s*\((\p{Lu}\p{Ll}+|\p{Lu}\p{Ll}{0,3}\.(?=\)\s+\p{Ll})|\p{Ll}{3,}(?=\)\s+\p{Ll}))\)(?=\s+[\p{Ll}×]|\s+\p{Lu}|\s*\z))?(.*)\z"
+_SUBGENUS_ONLY = r"^\s*\z|^\s+[\p{Ll}×]|^\s+\p{Lu}[^()]*,?\s[12][0-9]{3}\s*\z"
+_INFRAGENERIC = rf"^(.*?)\s+(notho)?({_INFRA})(?:\.\s*|\s+)(\p{{Lu}}\p{{L}}+)(.*)\z"
+_SPECIES = rf"^\s+(×\s*|[xX]\s+)?({_EPITHET}|spec(?=\s+[\p{{Lu}}(]))(?=[\s,(]|\z)(.*)\z"
 _INDET = r"^\s+(sp|spec|species|indet|spp)(?:\.|(?=\s|\z))\s*(.*)\z"
-_QUALIFIED = rf"^\s+(cf|aff|near)\.?\s+({_EPITHET})(?=[\s,(]|\z)(.*)\z"
-_MARKED = rf"^(.*?)\s+(notho|n(?=var|subsp|f))?({_MARK})(?:\.\s*|\s+)(×\s*)?({_EPITHET})(?=[\s,(]|\z)(.*)\z"
+_QUALIFIED = rf"^\s+(cf|aff|near)\.?\s+(?:\p{{Lu}}(?:\.|\p{{Ll}}+)\s+)?({_EPITHET})(?=[\s,(]|\z)(.*)\z"
+_MARKED = rf"^(.*?)\s+(notho|n(?=var|subsp|f))?({_MARK})(?:\.\s*|\s+)(×\s*|[xX]\s+)?({_EPITHET})(?=[\s,(]|\z)(.*)\z"
 _BARE = rf"^\s+(×\s*)?({_EPITHET})(?=[\s,(]|\z)(.*)\z"
 _BASIONYM = r"^\(([^()]*)\)\s*(.*)\z"
 _PUBLISHED_SPEC = r"^\s+spec\s+[\p{Lu}(]"
@@ -40,13 +40,13 @@ _NONE = "cast(null as string)"
 _SURNAME = r"\p{Lu}[\p{Ll}']*\p{Ll}(?:-\p{Lu}\p{Ll}+)?\.?|\p{Lu}\."
 _TEAM = rf"(?:{_SURNAME})(?:(?:\s?&\s|,\s|\s)?(?:{_SURNAME}))*+"
 _YEARS = r"(?:,? (?:1[5-9]|20)[0-9]{2})?"
-_PLAIN = rf"^(\p{{Lu}}\p{{Ll}}{{2,}}+)(?: \((\p{{Lu}}\p{{Ll}}{{2,}}+)\)(?= \p{{Ll}}))?(?: (\p{{Ll}}{{3,}}+(?:-\p{{Ll}}{{3,}}+)?)(?: (\p{{Ll}}{{4,}}+))?)?(?: (?:\(({_TEAM}{_YEARS})\)(?: (?=\p{{Lu}})|\z))?({_TEAM}{_YEARS})?)?\z"
+_PLAIN = rf"^(\p{{Lu}}\p{{Ll}}{{2,}}+)(?: \((\p{{Lu}}\p{{Ll}}{{2,}}+)\)(?= \p{{Ll}}))?(?: (\p{{Ll}}{{3,}}+(?:-\p{{Ll}}{{3,}}+)?)(?: (\p{{Ll}}{{4,}}+))?(?: \(({_TEAM}{_YEARS})\)(?= \p{{Lu}}|\z))?)?(?: ({_TEAM}{_YEARS}))?\z"
 #: Words that mean something in a name; names with one of them are read in full.
 _WORDS = sorted(
     {*vocab.PARTICLES, *vocab.INFRASPECIFIC, *vocab.INFRAGENERIC}
     | set("sp spp spec species cf aff near indet undet hort anon apud non nec not null ex and sensu sec auct auctt fide emend ss sic corrig group complex aggregate agg lineage clade grex strain nov nomen nom comb orth ined ms msc".split())
     | set("unpublished press mihi delete unknown unassigned unaccepted unidentified undetermined uncultured undescribed indeterminate incertae sedis dummy temp Group Candidatus Missing Unident Unidentified Undescribed Undet Unknown Approved".split())
-    | set("Incertae Unassigned Uncultured Undetermined Not Anon Hort Auct Sensu Gen Vector Vectors Prion Prions Particle Particles Replicon Replicons Rna".split())
+    | set("Incertae Unassigned Uncultured Undetermined Not Anon Hort Auct Sensu Gen Anon. Hort. Auct. Nom. Comb. Gen. Fam. Vector Vectors Prion Prions Particle Particles Replicon Replicons Rna".split())
 )
 _VIRAL_HINTS = ("vir", "phage", "satellite", "vector", "prion", "particle", "replicon")
 
@@ -62,7 +62,10 @@ def _recover_case(t: Column) -> Column:
     title = lambda w: F.replace(F.initcap(F.replace(F.lower(w), F.lit("-"), F.lit("- "))), F.lit("- "), F.lit("-"))
     shouted = F.when(_like(t, r"^\p{Lu}[\p{Lu}-]"), text.let(caps, lambda g: F.concat(title(F.get(g, F.lit(0))), F.lower(F.get(g, F.lit(1))), F.get(g, F.lit(2)))))
     small = F.when(_like(t, r"^\p{Ll}"), text.let(lower, lambda g: F.concat(title(F.get(g, F.lit(0))), F.get(g, F.lit(1)))))
-    return F.coalesce(shouted, small, t)
+    # A capital after the hyphen of a short first part, or in a name of three parts or more, is none.
+    word = F.substring_index(t, " ", 1)
+    parts = F.when(_like(t, r"^\p{Lu}\p{Ll}{0,2}-\p{Lu}|^\p{Lu}\p{Ll}+-\p{L}+-\p{L}"), F.concat(F.substring(word, 1, 1), F.lower(F.substring(word, 2, 999)), F.substr(t, F.char_length(word) + 1)))
+    return F.coalesce(shouted, small, parts, t)
 
 
 def _read_words(t: Column, wanted: Column) -> Column:
@@ -76,7 +79,7 @@ def _read_words(t: Column, wanted: Column) -> Column:
         # "(Word)" with nothing but an author after it is a basionym author, not a subgenus.
         lone = filled(g, 3).isNotNull() & ~_like(F.get(g, F.lit(3)), _SUBGENUS_ONLY)
         rest = F.when(lone, F.concat(F.lit(" ("), filled(g, 3), F.lit(")"), F.get(g, F.lit(3)))).otherwise(F.get(g, F.lit(3)))
-        head = {"hyb": filled(g, 1).isNotNull(), "genus": filled(g, 2), "sub": F.when(~lone, filled(g, 3))}
+        head = {"hyb": filled(g, 1).isNotNull(), "genus": filled(g, 2), "sub": F.when(~lone, F.initcap(filled(g, 3)))}
         return let(rest, lambda r: let(F.when(_like(r, rf"\s(?:notho)?(?:{_INFRA})[.\s]") & ~_like(r, _SPECIES), groups(r, _INFRAGENERIC, 5)), lambda i: infrageneric(head, r, i)))
 
     def infrageneric(head: dict[str, Column], r: Column, i: Column) -> Column:
@@ -135,6 +138,9 @@ def _read_authors(given: Column, own: Column, wanted: Column, reference_year: Co
     let, filled = text.let, text.filled
 
     def split(a: Column) -> Column:
+        return let(F.when(F.startswith(a, F.lit("(")) & ~F.contains(a, F.lit(")")), F.concat(a, F.lit(")"))).otherwise(a), closed)
+
+    def closed(a: Column) -> Column:
         return let(F.when(F.startswith(a, F.lit("(")), text.groups(a, _BASIONYM, 2)), lambda bas: let(F.coalesce(F.get(bas, F.lit(1)), a), lambda comb: sanctioned(a, bas, comb)))
 
     def sanctioned(a: Column, bas: Column, comb: Column) -> Column:
@@ -267,7 +273,7 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
     fits = F.char_length("__raw") <= vocab.LONG_LENGTH
     unasked = F.col("__given").isNull() & F.col("__rankh").isNull() & F.col("__codeh").isNull()
     special = F.expr("exists(split(__s, ' '), w -> w IN (" + ", ".join(f"'{w}'" for w in _WORDS) + "))") | reduce(lambda a, b: a | b, (F.contains(F.lower("__s"), F.lit(h)) for h in _VIRAL_HINTS))
-    plain = text.let(F.col("__s"), lambda x: F.when(unasked & fits & ~special, text.groups(x, _PLAIN, 6)))
+    plain = text.let(F.col("__s"), lambda x: F.when(unasked & fits & ~special & (tidy | ~_like(x, r"[ſ\u0370-\u04FF\uFF00-\uFFEF\u3000]")), text.groups(x, _PLAIN, 6)))
     work = work.withColumn("__plain", text.let(plain, lambda g: F.when(g.isNotNull(), _plain_name(g))))
     work = work.withColumn("__kind", kind_of(F.col("__raw"), F.col("__given"), F.col("__codeh"), F.col("__s"), F.col("__plain").isNotNull()))
     open_ = F.col("__plain").isNull() & F.col("__kind.type").isNull() & F.col("__kind.rescue_taxon").isNull()
@@ -276,7 +282,9 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
     work = work.withColumn("__f", strip.fields(F.col("__clean"), F.col("__open")))
     odd = F.col("__open") & ~tidy & (text.collapse_space(F.col("__s")) != F.col("__clean"))
     work = work.withColumns({"__w": _read_words(F.col("__f.text"), F.col("__open")), "__odd": odd}).drop("__clean", "__s")
-    own = F.when(F.col("__f.phrase").isNull() & F.col("__w.iphrase").isNull(), F.col("__w.auth"))
+    # The author within an autonym is that of the whole name.
+    autonym = F.when((F.col("__w.isp") == F.col("__w.sp")) & (F.col("__w.auth") == ""), F.col("__w.sauth"))
+    own = F.when(F.col("__f.phrase").isNull() & F.col("__w.iphrase").isNull(), F.coalesce(autonym, F.col("__w.auth")))
     work = work.withColumn("__a", _read_authors(F.col("__given"), own, F.col("__open"), F.col("__f.reference_year"), F.col("__f.imprint_year")))
     work = _infer(work, F.col("__rankh"), F.col("__codeh"))
     rescue = F.col("__kind.rescue_taxon").isNotNull()

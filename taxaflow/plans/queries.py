@@ -218,7 +218,7 @@ def suffix_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql_functions.register(spark)
     name = F.concat("genus", F.when(F.col("k") == 0, F.lit("idae")).when(F.col("k") == 1, "aceae").otherwise("ales"))
     code = F.when(F.col("k") == 0, F.lit("ZOOLOGICAL")).when(F.col("k") == 2, "BOTANICAL")
-    return _parts(spark, sf_dir).select("doc_id", "pos", name.alias("name"), code.alias("code")).selectExpr("doc_id", "suffix_rank(name, code) AS rank")
+    return _parts(spark, sf_dir).select("doc_id", "pos", name.alias("name"), code.alias("code")).selectExpr("doc_id", "pos", "suffix_rank(name, code) AS rank")
 
 
 def unlikely_year(spark: SparkSession, sf_dir: str) -> DataFrame:
