@@ -18,6 +18,7 @@ from taxaflow.operators import reports
 from taxaflow.operators.flat import flat_view
 from taxaflow.operators.parse import parse_names
 from taxaflow.plans import ranks
+from taxaflow.plans.cases import CASES
 
 #: Words that mean something to the parser are no epithets or authors here.
 _SPECIAL = (
@@ -269,6 +270,34 @@ def parse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(parsed.schema).parquet(f"{out}/out")
 
 
+def name_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each field looked at of each name in CASES, as parsed."""
+    held = spark.createDataFrame([(name, list(found)) for name, found in CASES], "name string, fields array<string>")
+    p = F.col("parsed")
+    people = lambda c: F.array_join(p[f"{c}Authorship"]["authors"], "|")
+    read = {
+        "genus": p["genus"], "uni": p["uninomial"], "sub": p["infragenericEpithet"], "sp": p["specificEpithet"], "isp": p["infraspecificEpithet"], "rank": p["rank"], "code": p["code"], "phrase": p["phrase"],
+        "tax": p["taxonomicNote"], "nom": p["nomenclaturalNote"], "unparsed": p["unparsed"], "comb": people("combination"), "bas": people("basionym"), "year": p["combinationAuthorship"]["year"],
+    }
+    table = F.create_map(*(x for k, v in read.items() for x in (F.lit(k), F.coalesce(v, F.lit("")))))
+    return parse_names(held).select("name", F.explode("fields").alias("field"), table.alias("t")).select("name", "field", F.col("t")[F.col("field")].alias("value"))
+
+
+def rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rank with its groups, and how it compares with SPECIES."""
+    held = ranks.rank_dimension(spark)
+    species = F.lit("SPECIES")
+    return held.select(
+        "rank", F.col("ordinal").cast("long").alias("ordinal"), "code", "marker", "plural", "major", "infraspecific", "infrageneric_strictly", "family_group", "genus_group", "suprageneric", "ambiguous_marker",
+        ranks.higher_than(F.col("rank"), species).alias("higher"), ranks.lower_than(F.col("rank"), species).alias("lower"), ranks.from_name(F.lower("rank")).isNull().alias("exact"),
+    )
+
+
+def _values(rows: list[tuple]) -> str:
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
+
+
 _SELECT = {
     "parse_binomial": "doc_id, pos, 'parsed' AS result, genus, species, 'SPECIES' AS rank, 'SCIENTIFIC' AS type",
     "parse_author_year": "doc_id, pos, genus, author || '|Mill.' AS authors, y, 'ZOOLOGICAL' AS code",
@@ -312,12 +341,20 @@ _SELECT = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: globals()[name] for name in _SELECT if name in globals() and name not in ("flat_view",)}
-    others = (quote_normalise, benchmark_percentiles, html_strip)
+    others = (name_cases, rank_table, quote_normalise, benchmark_percentiles, html_strip)
     return own | {"flat_view": flat} | {f.__name__: f for f in others}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: f"{_BASE} SELECT {cols}" + ("" if " FROM n" in cols else " FROM n") for name, cols in _SELECT.items()}
+    found["name_cases"] = "SELECT * FROM (VALUES " + _values([(name, k, v) for name, fields in CASES for k, v in fields.items()]) + ") AS t(name, field, value)"
+    found["rank_table"] = f"""
+        WITH r AS (SELECT * FROM (VALUES {_values([tuple(i[c] for c in ("rank", "ordinal", "code", "marker", "plural", "major")) for i in ranks.INFO.values()])}) AS t(rank, ordinal, code, marker, plural, major)),
+             o AS (SELECT max(ordinal) FILTER (rank = 'SPECIES') AS s, max(ordinal) FILTER (rank = 'GENUS') AS g, max(ordinal) FILTER (rank = 'SPECIES_AGGREGATE') AS a, max(ordinal) FILTER (rank = 'GIGAFAMILY') AS f,
+                          max(ordinal) FILTER (rank = 'SUPRAGENERIC_NAME') AS u, max(ordinal) FILTER (rank = 'SUPERGENUS') AS v FROM r)
+        SELECT rank, CAST(ordinal AS BIGINT) AS ordinal, code, marker, plural, major, ordinal > s AND rank NOT IN ('OTHER', 'UNRANKED') AS infraspecific, ordinal > g AND ordinal < a AS infrageneric_strictly,
+               ordinal >= f AND ordinal < u AS family_group, ordinal >= v AND ordinal < a AS genus_group, ordinal < g AS suprageneric, marker IS NOT NULL AND count(*) OVER (PARTITION BY marker) > 1 AS ambiguous_marker,
+               ordinal < s AS higher, ordinal > s AND rank NOT IN ('OTHER', 'UNRANKED') AS lower, true AS exact FROM r, o"""
     found["quote_normalise"] = "SELECT doc_id, chr(39) || translate(coalesce(text, ''), '’‘“”', chr(39) || chr(39) || '\"\"') || '\"' AS quoted FROM documents"
     found["benchmark_percentiles"] = (
         "SELECT count(n_chars) AS n, CAST(sum(n_chars) AS BIGINT) AS total, min(n_chars) AS min, avg(n_chars) AS avg, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS max FROM documents"
