@@ -37,6 +37,8 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster sees")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='taxaflow-')}")
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")

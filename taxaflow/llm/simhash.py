@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -50,14 +51,18 @@ def simhash(text: str, words: int = WORDS) -> int:
 
 
 def fingerprints(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) for each row of df (doc_id, text)."""
+    """doc_id, key (XXH64 of the text) and fp (the fingerprint as a signed long) for each row of df (doc_id, text)."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = np.array([simhash(t or "", words) for t in part.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([simhash(t or "", words) for t in part.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(batches, "doc_id long, fp long")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text")).mapInArrow(batches, "doc_id long, key long, fp long")
+
+
+def _key() -> Column:
+    return F.xxhash64(common.text_of())
 
 
 def variants(fp: Column, radius: int) -> Column:
@@ -82,29 +87,29 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def simhash_components(df: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable) for every row of df (doc_id, text)."""
+    """doc_id, key (XXH64 of the text), fp, root (a name of the component) and component_id (smallest doc_id reachable)
+    for every row of df (doc_id, text). Long texts are hashed whole, a chunk of shingles at a time."""
     prints = common.cut(fingerprints(df, words), "simhash")
     classes = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = components(links(classes, radius)).withColumnRenamed("component", "root")
+    # The table is small, but each of its rows emits all variants: spread it over all cores first.
+    spread = classes.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism), "fp")
+    found = components(links(spread, radius)).withColumnRenamed("component", "root")
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    # Written, so that Spark may split a fingerprint that a large part of all rows share.
+    ids = common.cut(rooted.join(named, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(ids, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def near_dedup(df: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """The rows of df that stay: of each component the one with the smallest doc_id, all columns kept.
 
-    Repeated rows of that doc_id count once; rows with a null doc_id stay only where no row of their
-    component has one, and one of them then."""
+    Where several texts of a component have that doc_id, that with the least hash stays, and of repeated rows one; a
+    doc_id that stands for texts of several components stays once for each. Null counts as a doc_id that is only
+    taken where the component has no other."""
+    doc, key, nth = (common.fresh_name(df, n) for n in ("__doc", "__key", "__nth"))
     marked = simhash_components(df, radius, words)
-    stay = marked.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    order = F.expr("row_number() OVER (PARTITION BY __stay ORDER BY xxhash64(text))")
-    kept = df.join(stay, df["doc_id"] == F.col("__stay")).withColumn("__nth", order).where("__nth = 1").drop("__stay", "__nth")
-    orphan = marked.where("component_id IS NULL").select("fp").distinct()
-    lone = df.where("doc_id IS NULL")
-    if not orphan.isEmpty():
-        named = fingerprints(lone.select(F.xxhash64("text").alias("doc_id"), "text"), words).withColumnRenamed("doc_id", "__text")
-        pick = named.join(orphan, "fp", "left_semi").groupBy("fp").agg(F.min("__text").alias("__text")).select("__text")
-        kept = kept.unionByName(lone.join(pick, F.xxhash64("text") == F.col("__text"), "left_semi").dropDuplicates(["text"]))
-    return kept
+    stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias(doc), F.min("key").alias(key)).drop("root")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (_key() == F.col(key))
+    order = F.row_number().over(Window.partitionBy(F.col("doc_id"), _key()).orderBy(_key()))
+    return df.join(stay, same, "left_semi").withColumn(nth, order).where(F.col(nth) == 1).select(*df.columns)

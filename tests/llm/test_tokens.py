@@ -140,3 +140,11 @@ def test_simhash_and_components(spark):
     kept = simhash.near_dedup(df, 2).collect()
     assert sorted((r.doc_id for r in kept), key=lambda x: -1 if x is None else x) == sorted(set(ids), key=lambda x: -1 if x is None else x)
     assert simhash.simhash_components(df.limit(0)).count() == 0
+
+
+def test_near_dedup_keeps_a_text_whose_doc_id_repeats(spark):
+    one, two = "the quick brown fox jumps over the lazy dog at dawn", "completely different words stand in this other little text here"
+    df = spark.createDataFrame([(1, one, 5), (1, two, 6), (2, one, 7), (1, one, 5), (None, two + " now and then", 8), (None, None, 9)], "doc_id long, text string, __key int")
+    kept = simhash.near_dedup(df).collect()
+    assert df.columns == list(kept[0].asDict())
+    assert {(r.doc_id, r.text) for r in kept} >= {(1, one), (1, two)} and sum(r.text == one for r in kept) == 1
