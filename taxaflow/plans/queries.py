@@ -6,6 +6,7 @@ parts that went in, the queries parse the whole and must find the same parts.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -259,7 +260,11 @@ def parse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream, parsed and written as a stream, read back as a batch."""
     from taxaflow.streaming import names as streaming
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/taxaflow-stream"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster sees")
+        root = tempfile.mkdtemp(prefix="taxaflow-")
     out = f"{root}/stream-{uuid.uuid4().hex}"
     held = _parts(spark, sf_dir).select("doc_id", "pos", F.concat("genus", F.lit(" "), "species").alias("name"))
     held.write.parquet(f"{out}/in")
