@@ -69,8 +69,8 @@ STRIPPED = [
     (51, "Abies alba Miller. Journal of Trees 12, 1988.", {"publishedIn": "Journal of Trees 12, 1988", "comb": ["Miller"], "year": "1988"}),
     (51, "Abies alba Miller. Journal of Trees 12: 123-145.", {"publishedIn": "Journal of Trees 12: 123-145", "comb": ["Miller"], "warnings": ["nomenclatural reference removed"]}),
     (52, "Abies alba Mill., Journal of Trees 12", {"publishedIn": "Journal of Trees 12", "comb": ["Mill."], "warnings": ["nomenclatural reference removed"]}),
-    (55, "sect. Taeda", {"uninomial": "Taeda", "rank": "SECTION_BOTANY", "code": "BOTANICAL"}),
-    (55, "subgen. Trematostoma Sacc.", {"uninomial": "Trematostoma", "rank": "SUBGENUS", "comb": ["Sacc."]}),
+    (55, "sect. Taeda", {"infragenericEpithet": "Taeda", "rank": "SECTION_BOTANY", "code": "BOTANICAL"}),
+    (55, "subgen. Trematostoma Sacc.", {"infragenericEpithet": "Trematostoma", "rank": "SUBGENUS", "comb": ["Sacc."]}),
 ]
 
 
@@ -102,11 +102,41 @@ def test_long_inputs_return(spark):
     assert parse_names(spark.createDataFrame([(n,) for n in names], "name string")).count() == 4
 
 
-def test_ranks():
-    rows = {r[0]: r for r in ranks.rank_rows()}
+def test_ranks(spark):
+    rows = ranks.INFO
     assert len(rows) == 117
-    assert rows["SUBSPECIES"][2:5] == (None, "subsp.", "INFRASPECIFIC_NAME") and rows["SUPERKINGDOM"][3] == "superreg." and rows["KINGDOM"][3] == "regn." and rows["MEGACOHORT"][3] == "megacohort"
-    assert rows["SECTION_BOTANY"][5] and rows["SECTION_ZOOLOGY"][3] == "sect." and rows["NANORDER"][4] == "ORDER" and rows["NANORDER"][3] == "nanord." and rows["SUBFORM"][3] == "subf."
+    assert (rows["SUBSPECIES"]["code"], rows["SUBSPECIES"]["marker"], rows["SUBSPECIES"]["major"]) == (None, "subsp.", "INFRASPECIFIC_NAME")
+    assert [rows[n]["marker"] for n in ("SUPERKINGDOM", "KINGDOM", "MEGACOHORT", "NANORDER", "SUBFORM")] == ["superreg.", "regn.", "megacohort", "nanord.", "subf."]
+    assert rows["SECTION_BOTANY"]["ambiguous_marker"] and rows["SECTION_ZOOLOGY"]["marker"] == "sect." and rows["NANORDER"]["major"] == "ORDER"
+    assert [rows[n]["plural"] for n in ("GENUS", "PHYLUM", "SERIES_BOTANY", "OTHER")] == ["genera", "phyla", "series", None]
+    got = spark.createDataFrame([("GENUS", "SPECIES"), ("OTHER", "SPECIES"), ("SPECIES", "OTHER"), ("x", "SPECIES")], "a string, b string").select(
+        ranks.higher_than(F.col("a"), F.col("b")), ranks.lower_than(F.col("a"), F.col("b")), ranks.from_name(F.col("a"))
+    )
+    assert [tuple(r) for r in got.collect()] == [(True, False, "GENUS"), (False, False, "OTHER"), (False, False, "SPECIES"), (None, None, None)]
+
+
+def test_requested_ranks_and_codes(spark):
+    rows = [("Polygonum", "SPECIES", None), ("Polygonum", "SUBGENUS", None), ("Polygonum alba", "GENUS", None), ("Aus supersect. Bus", None, "ZOOLOGICAL"), ("Lepidoptera alba DC.", "SUBSPECIES", None)]
+    got = [r.parsed for r in parse_names(spark.createDataFrame(rows, "name string, r string, c string"), rank="r", code="c").collect()]
+    assert (got[0].genus, got[0].rank, got[0].type, got[0].warnings) == ("Polygonum", "SPECIES", "INFORMAL", ["indetermined name missing its terminal epithet"])
+    assert (got[1].infragenericEpithet, got[1].uninomial, got[1].rank) == ("Polygonum", None, "SUBGENUS")
+    assert (got[2].rank, got[2].doubtful, got[2].warnings) == ("GENUS", True, ["rank does not fit the parsed name"])
+    assert (got[3].code, got[3].warnings) == ("BOTANICAL", ["nomenclatural code does not fit the parsed name"])
+    assert (got[4].rank, got[4].type) == ("SUBSPECIES", "INFORMAL")
+
+
+def test_unread_text_is_partial_and_text_without_letters_is_no_name(spark):
+    got = parse_names(spark.createDataFrame([("(1234) [Foo]",), ("12 34",)], "name string")).collect()
+    assert (got[0].result, got[0].parsed.state, got[0].parsed.unparsed) == ("parsed", "PARTIAL", "(1234) [Foo]")
+    assert (got[1].result, got[1].error.type) == ("error", "OTHER")
+
+
+def test_name_cases(spark):
+    from taxaflow.plans import queries
+    from taxaflow.plans.cases import CASES
+
+    want = {(name, field): value for name, fields in CASES for field, value in fields.items()}
+    assert {(r.name, r.field): r.value for r in queries.name_cases(spark, "").collect()} == want
 
 
 def test_text_functions(spark):
@@ -144,6 +174,7 @@ def test_reports(spark):
     assert {r.line: r.change for r in reports.compare_runs(a, b).collect()} == {2: "informal -> parsed", 4: "left only", 5: "right only"}
     assert reports.sample_for_review(a, 3, 1).count() == 3
     assert reports.path_counts(reports.compare_runs(a, b)).count() > 0
+    assert [r[0] for r in a.orderBy("line").select(reports.canonical_or_input()).collect()] == ["Abies alba", "Poa", "unknown", "Poa annua"]
     assert flat_view(a).where("result = 'error'").first().error == "Unparsable PLACEHOLDER name: unknown"
 
 
