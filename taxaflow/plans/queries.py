@@ -26,7 +26,9 @@ _SPECIAL = (
     "dalla dalle dallo degli della delle delli dello ofver forma prole proles natio sensu emend clade group virus phage prion indet undet strain variety complex aggregate unknown species "
     "satellite vector particle replicon unassigned uncultured undescribed delete corrig missing candidatus incertae sedis convar subsp mutatio agamosp subforma"
 ).split()
-_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: regexp_full_match(x, '[a-z]{5,12}') AND x NOT IN (" + ", ".join(f"'{w}'" for w in _SPECIAL) + "))"
+#: Words that, with the endings put to them here or alone, name a virus.
+_VIRAL = "vir$|phage|viroid|virion|satellite"
+_WORDS = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: regexp_full_match(x, '[a-z]{{5,12}}') AND NOT regexp_matches(x, '{_VIRAL}') AND x NOT IN (" + ", ".join(f"'{w}'" for w in _SPECIAL) + "))"
 #: Every four words of a text in turn are the parts of one name.
 _BASE = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, w, unnest(range(len(w) // 4)) AS pos FROM d), n AS (
     SELECT doc_id, pos, upper(substr(w[4 * pos + 1], 1, 1)) || substr(w[4 * pos + 1], 2) || 'us' AS genus, w[4 * pos + 2] || 'ensis' AS species, w[4 * pos + 3] || 'anus' AS infra,
@@ -37,7 +39,7 @@ _BASE = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELEC
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, genus, species, infra, author, y, k: the parts of names, from all words of all texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: F.length(x).between(5, 12) & ~x.isin(*_SPECIAL))
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: F.length(x).between(5, 12) & ~F.regexp_like(x, F.lit(_VIRAL)) & ~x.isin(*_SPECIAL))
     held = docs.select("doc_id", text.code_break(words).alias("w")).where(F.size("w") >= 4)
     fours = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 4).cast("int") - 1), lambda i: F.slice("w", 4 * i + 1, 4))
     title = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 99))
