@@ -17,6 +17,7 @@ from .quality import quality_rules
 from .sharding import SHARDS, key_shard, size_of, write_shards
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .vector_codes import vector_codes
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,10 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(common.table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_token_counts": op10_token_counts,
         "op11_piece_bpe": op11_piece_bpe,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
