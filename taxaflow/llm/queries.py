@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import bpe, common, piece_bpe, warc
 from .exact_dedup import exact_dedup
 from .html_extract import extract
+from .lexical import ranked_search
 from .line_dedup import line_report
 from .packing import pack_documents
 from .quality import quality_rules
@@ -81,6 +82,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(common.table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -95,11 +100,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_counts": op10_token_counts,
         "op11_piece_bpe": op11_piece_bpe,
         "op12_vector_codes": op12_vector_codes,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
+def _vector_codes_sql() -> str:
+    """Product quantization in SQL: one pair of steps (assign, move) a round."""
+    near = "SELECT x.vec_id, x.p, first(c.e ORDER BY list_sum(list_transform(list_zip(x.a, c.a), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.e) AS e, min(list_sum(list_transform(list_zip(x.a, c.a), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS far FROM x JOIN c{k} c USING (p) GROUP BY x.vec_id, x.p"
+    steps = []
+    for k in range(6):
+        steps.append(f"n{k} AS MATERIALIZED ({near.format(k=k)})")
+        steps.append(
+            f"""c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.a, c.a) AS a FROM c{k} c LEFT JOIN (
+                    SELECT p, e, list(s ORDER BY d) AS a FROM (SELECT n.p, n.e, d, CAST(floor(CAST(sum(x.a[d]) AS DOUBLE) / count(*)) AS BIGINT) AS s FROM n{k} n JOIN x USING (vec_id, p), (SELECT unnest(range(1, 9)) AS d) GROUP BY ALL) GROUP BY p, e) m USING (p, e))"""
+        )
+    return f"""
+            WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS a FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+                 x AS MATERIALIZED (SELECT vec_id, p, a[1 + p * len(a) // 8 : (p + 1) * len(a) // 8] AS a FROM v, (SELECT unnest(range(8)) AS p)),
+                 c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, a FROM x QUALIFY e < 16),
+                 {", ".join(steps)},
+                 n6 AS MATERIALIZED ({near.format(k=6)}),
+                 sha AS (SELECT sha256(string_agg(array_to_string(a, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c6),
+                 found AS (SELECT vec_id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM n6 GROUP BY vec_id)
+            SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM found JOIN v USING (vec_id), sha"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_vector_codes": _vector_codes_sql(),
+        "op13_lexical_search": r"""
+            WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+                 d AS (SELECT doc_id, w, len(w) AS n FROM t WHERE len(w) > 0),
+                 c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+                 q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+                 u AS (SELECT doc_id, n, unnest(w) AS term FROM d),
+                 p AS (SELECT doc_id, n, term, count(*) AS tf FROM u SEMI JOIN q USING (term) GROUP BY ALL),
+                 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+                 s AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * c.docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * c.docs) // c.total)))) AS BIGINT) AS score
+                       FROM q JOIN p USING (term) JOIN f USING (term), c GROUP BY ALL)
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
         "op5_quality_rules": r"""
             WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t FROM documents),
                  w AS (SELECT doc_id, host, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
