@@ -12,26 +12,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.functions import authors, text
+from taxaflow.functions import authors, text, words
 from taxaflow.functions.classify import error_message, kind_of
 from taxaflow.plans import ranks, strip, vocab
 from taxaflow.plans.recorded import Steps, recorded
 
-_MARK = "|".join(sorted(vocab.INFRASPECIFIC, key=lambda m: (-len(m), m)))
-_INFRA = "|".join(sorted(vocab.INFRAGENERIC, key=lambda m: (-len(m), m)))
-_STOP = "(?!(?:" + "|".join(sorted({*vocab.PARTICLES, *vocab.INFRASPECIFIC, *vocab.INFRAGENERIC, "ex", "et", "and", "sp", "spec", "cf", "aff", "indet", "hort", "anon", "apud", "non", "nec"})) + r")(?:[\s.,)]|\z))"
-_EPITHET = rf"{_STOP}(?:[0-9]+-)?\p{{Ll}}[\p{{Ll}}0-9'!-]*[\p{{Ll}}0-9]"
-_GENUS = r"^(×\s*|[xX]\s+(?=\p{Lu})|x(?=\p{Lu}\p{Ll})|\+\s+)?(\p{Lu}\p{Ll}*(?:-\p{L}\p{Ll}*)*\p{Ll}|\p{Lu}\p{Ll}{0,3}\.|\?)(?=[\s(,]|\z)(?:\s*\((\p{Lu}\p{Ll}+|\p{Lu}\p{Ll}{0,3}\.(?=\)\s+\p{Ll})|\p{Ll}{3,}(?=\)\s+\p{Ll}))\)(?=\s+[\p{Ll}×]|\s+\p{Lu}|\s*\z))?(.*)\z"
-_SUBGENUS_ONLY = r"^\s*\z|^\s+[\p{Ll}×]|^\s+\p{Lu}[^()]*,?\s[12][0-9]{3}\s*\z"
-_INFRAGENERIC = rf"^(.*?)\s+(notho)?({_INFRA})(?:\.\s*|\s+)(\p{{Lu}}\p{{L}}+)(.*)\z"
-_SPECIES = rf"^\s+(×\s*|[xX]\s+)?({_EPITHET}|spec(?=\s+[\p{{Lu}}(]))(?=[\s,(]|\z)(.*)\z"
-_INDET = r"^\s+(sp|spec|species|indet|spp)(?:\.|(?=\s|\z))\s*(.*)\z"
-_QUALIFIED = rf"^\s+(cf|aff|near)\.?\s+(?:\p{{Lu}}(?:\.|\p{{Ll}}+)\s+)?({_EPITHET})(?=[\s,(]|\z)(.*)\z"
-_MARKED = rf"^(.*?)\s+(notho|n(?=var|subsp|f))?({_MARK})(?:\.\s*|\s+)(×\s*|[xX]\s+)?({_EPITHET})(?=[\s,(]|\z)(.*)\z"
-_BARE = rf"^\s+(×\s*)?({_EPITHET})(?=[\s,(]|\z)(.*)\z"
+#: Markers with a mere n for "notho", and ranks of species and below.
+_NOTHO = ("nvar", "nsubsp", "nssp", "nf", "nsubvar")
+_SPECIES_DOWN = ("SPECIES", "CULTIVAR", "CULTIVAR_GROUP", "GREX", *(n for n in ranks.NAMES if ranks.INFO[n]["infraspecific"]))
 _BASIONYM = r"^\(([^()]*)\)\s*(.*)\z"
-_PUBLISHED_SPEC = r"^\s+spec\s+[\p{Lu}(]"
-_HAS_MARK = rf"\s(?:notho|n(?=var|subsp|f))?(?:{_MARK})[.\s]"
 _SANCTION = r"^(.*?\S)\s*:\s*(\p{Lu}[^:]*)\z"
 _NONE = "cast(null as string)"
 
@@ -68,69 +57,43 @@ def _recover_case(t: Column) -> Column:
     return F.coalesce(shouted, small, parts, t)
 
 
-def _read_words(t: Column, wanted: Column) -> Column:
-    """A struct of genus, epithets, markers, qualifiers and the authorship's text.
-
-    Each pattern gives all its groups at once; what a step leaves goes on to the next."""
-    filled, let, groups = text.filled, text.let, text.groups
+def _read_words(t: Column, wanted: Column, rank: Column) -> Column:
+    """A struct of genus, epithets, markers, qualifiers and the authorship's text."""
     no = F.lit(False)
+    given = lambda c: c.isNotNull()
+    bare_mark = lambda m: F.when(m.isin(*_NOTHO), F.substring(m, 2, 99)).otherwise(F.regexp_replace(m, "^notho", ""))
+
+    def found(g: Column) -> Column:
+        own = lambda name: words.part(g, name)
+        units = [{c: own(f"{c}{k}") for c in ("by", "mark", "fsp", "x", "isp", "q", "bx", "bare")} for k in (1, 2, 3)]
+        one, two, three = units
+        of = lambda c: F.when(given(three["mark"]), three[c]).when(given(two["mark"]), two[c]).when(given(one["mark"]), one[c])
+        marked = given(one["mark"]) | given(two["mark"]) | given(three["mark"])
+        bare = F.concat_ws(" ", *(u["bare"] for u in units), own("extra"))
+        # After the last marker one epithet counts and the others are left unread; without one the last counts.
+        rest = F.when(given(three["mark"]), own("extra")).when(given(two["mark"]), F.concat_ws(" ", three["bare"], own("extra"))).when(given(one["mark"]), F.concat_ws(" ", two["bare"], three["bare"], own("extra")))
+        removed = lambda u, by: F.concat_ws(" ", F.concat(F.lit("Removed: "), bare_mark(u["mark"]), F.lit(".")), u["isp"], by)
+        dropped = F.when(given(three["mark"]), F.coalesce(removed(two, three["by"]), removed(one, three["by"]))).when(given(two["mark"]) & given(one["mark"]), removed(one, two["by"]))
+        mark, epithet, qualifier = F.regexp_replace(of("mark"), r"\Asp\z", "subsp"), F.lower(own("sp")), F.coalesce(own("qual"), one["q"], two["q"])
+        late = F.coalesce(own("late"), own("last"))
+        ending = "(?:" + "|".join(words.AGGREGATES) + r")\z"
+        grouped = F.coalesce(F.regexp_like(epithet, F.lit(ending)), no)
+        sub = own("sub")
+        return F.struct(
+            given(own("hyb")).alias("hyb"), own("genus").alias("genus"), F.concat(F.upper(F.substring(sub, 1, 1)), F.substring(sub, 2, 999)).alias("sub"), F.coalesce(F.regexp_like(sub, F.lit(r"^\p{Ll}")), no).alias("lowsub"),
+            F.coalesce(F.endswith(sub, F.lit(".")), no).alias("shortsub"), own("gauth").alias("gauth"), F.coalesce(F.startswith(own("imark"), F.lit("notho")), no).alias("inotho"), bare_mark(own("imark")).alias("imark"), own("isub").alias("isub"),
+            F.when(F.startswith(qualifier, F.lit("?")), F.lit("?")).when(F.startswith(qualifier, F.lit("near")), F.lit("near")).otherwise(F.concat(F.regexp_extract(qualifier, r"^\p{L}+", 0), F.lit("."))).alias("qual"),
+            (given(own("indet")) | given(late) | F.coalesce(F.regexp_like(of("isp"), F.lit(r"^\p{Lu}\z")), no)).alias("indet"), F.when(F.regexp_like(own("indet"), F.lit(r"^\p{L}+\.?\s*\S")) & ~F.regexp_like(own("indet"), F.lit(r"^\p{L}+\.\z")), own("indet")).alias("iphrase"),
+            F.when(grouped, F.regexp_replace(epithet, ending, "")).otherwise(F.coalesce(F.when(F.regexp_like(own("sp"), F.lit(r"^\p{Lu}")), epithet), own("sp"))).alias("sp"), given(own("spx")).alias("spx"), (grouped | given(own("agg"))).alias("grouped"),
+            F.coalesce(of("by"), own("sauth"), one["by"]).alias("sauth"), F.coalesce(F.startswith(of("mark"), F.lit("notho")) | of("mark").isin(*_NOTHO), no).alias("notho"),
+            given(F.coalesce(of("x"), F.when(~marked, F.coalesce(three["bx"], two["bx"], one["bx"])))).alias("ispx"), F.when(given(of("fsp")), F.lit("fsp")).otherwise(bare_mark(mark)).alias("mark"), bare_mark(late).alias("late"),
+            (~marked & F.contains(bare, F.lit(" "))).alias("four"), F.coalesce(of("isp"), F.nullif(F.substring_index(bare, " ", -1), F.lit(""))).alias("isp"), F.when(marked, F.nullif(rest, F.lit(""))).alias("unread"), dropped.alias("dropped"),
+            F.when(given(own("number")), F.when(given(own("more")), F.concat_ws(" ", own("tag"), own("number"), own("more"))).when(own("tag") == "species", F.concat_ws(" ", own("tag"), own("number"))).otherwise(own("number"))).alias("tag"),
+            F.trim(F.regexp_replace(F.coalesce(own("auth"), F.lit("")), r"^[\s,]+", "")).alias("auth"),
+        )
 
-    def genus(g: Column) -> Column:
-        # "(Word)" with nothing but an author after it is a basionym author, not a subgenus.
-        lone = filled(g, 3).isNotNull() & ~_like(F.get(g, F.lit(3)), _SUBGENUS_ONLY)
-        rest = F.when(lone, F.concat(F.lit(" ("), filled(g, 3), F.lit(")"), F.get(g, F.lit(3)))).otherwise(F.get(g, F.lit(3)))
-        head = {"hyb": filled(g, 1).isNotNull(), "genus": filled(g, 2), "sub": F.when(~lone, F.initcap(filled(g, 3)))}
-        return let(rest, lambda r: let(F.when(_like(r, rf"\s(?:notho)?(?:{_INFRA})[.\s]") & ~_like(r, _SPECIES), groups(r, _INFRAGENERIC, 5)), lambda i: infrageneric(head, r, i)))
-
-    def infrageneric(head: dict[str, Column], r: Column, i: Column) -> Column:
-        head = head | {"gauth": filled(i, 1), "inotho": filled(i, 2).isNotNull(), "imark": filled(i, 3), "isub": filled(i, 4)}
-
-        def kinds(r: Column) -> Column:
-            return F.coalesce(
-                F.when(_like(r, r"^\s(?:cf|aff|near)[.\s]"), F.concat(F.array(F.lit("q")), groups(r, _QUALIFIED, 3))),
-                F.when(_like(r, r"^\s(?:sp|indet)") & ~_like(r, _PUBLISHED_SPEC), F.concat(F.array(F.lit("i")), groups(r, _INDET, 2))),
-                F.concat(F.array(F.lit("s")), groups(r, _SPECIES, 3)),
-            )
-
-        return let(F.when(i.isNotNull(), F.get(i, F.lit(4))).otherwise(r), lambda r: let(kinds(r), lambda q: species(head, r, q)))
-
-    def species(head: dict[str, Column], r: Column, q: Column) -> Column:
-        qualified, indet, plain = (F.coalesce(F.get(q, F.lit(0)) == k, no) for k in "qis")
-        head = head | {
-            "qual": F.when(qualified, filled(q, 2)), "indet": indet, "iphrase": F.when(indet & filled(q, 3).isNotNull(), F.trim(r)), "sp": F.when(qualified | plain, filled(q, 3)), "spx": plain & filled(q, 2).isNotNull(),
-        }
-
-        def following(r: Column) -> Column:
-            marked = F.when(_like(r, _HAS_MARK), F.concat(F.array(F.lit("m")), groups(r, _MARKED, 6)))
-            return F.when(r != "", F.coalesce(marked, F.concat(F.array(F.lit("b")), groups(r, _BARE, 3))))
-
-        rest = F.when(qualified | plain, F.get(q, F.lit(3))).when(indet, F.lit("")).otherwise(r)
-        return let(rest, lambda r: let(F.when(qualified | plain, following(r)), lambda m: infraspecific(head, r, m)))
-
-    def infraspecific(head: dict[str, Column], r: Column, m: Column) -> Column:
-        marked, bare = (F.coalesce(F.get(m, F.lit(0)) == k, no) for k in "mb")
-        head = head | {"sauth": F.when(marked, filled(m, 2)), "notho": marked & filled(m, 3).isNotNull(), "ispx": (marked & filled(m, 5).isNotNull()) | (bare & filled(m, 2).isNotNull())}
-        mark, epithet = F.when(marked, filled(m, 4)), F.when(marked, filled(m, 6)).when(bare, filled(m, 3))
-        rest = F.when(marked, F.get(m, F.lit(6))).when(bare, F.get(m, F.lit(3))).otherwise(r)
-
-        def further(r: Column) -> Column:
-            more = F.when(_like(r, _HAS_MARK) & ~_like(r, r"^.*\(.*\).*" + _MARKED[1:]), F.concat(F.array(F.lit("m")), groups(r, _MARKED, 6)))
-            again = F.when(~_like(r, r"^[\s,]*(?:\(|\z)"), F.concat(F.array(F.lit("b")), groups(r, _BARE, 3)))
-            return F.when((r != "") & (marked | bare), F.coalesce(more, again))
-
-        return let(F.struct(mark.alias("mark"), epithet.alias("isp")), lambda own: let(rest, lambda r: let(further(r), lambda n: last(head, own, r, n))))
-
-    def last(head: dict[str, Column], own: Column, r: Column, n: Column) -> Column:
-        # A second marker or epithet: the last one counts, what is dropped is told in a warning.
-        more, again = (F.coalesce(F.get(n, F.lit(0)) == k, no) for k in "mb")
-        rest = F.when(more, F.get(n, F.lit(6))).when(again, F.get(n, F.lit(3))).otherwise(r)
-        head = head | {
-            "mark": F.when(more, filled(n, 4)).otherwise(own["mark"]), "four": again, "isp": F.when(more, filled(n, 6)).when(again, filled(n, 3)).otherwise(own["isp"]),
-            "dropped": F.when(more, F.concat(F.lit("Removed: "), F.coalesce(F.concat(own["mark"], F.lit(". ")), F.lit("")), own["isp"])), "auth": F.trim(F.regexp_replace(rest, r"^[\s,]+", "")),
-        }
-        return F.struct(*(c.alias(name) for name, c in head.items()))
-
-    return let(let(F.when(wanted, _recover_case(t)), lambda x: groups(x, _GENUS, 4)), genus)
+    particle = F.coalesce(rank.isin(*_SPECIES_DOWN), no)
+    return text.let(F.when(wanted, words.read(_recover_case(t), particle)), lambda g: F.when(g.isNotNull(), found(g)))
 
 
 def _read_authors(given: Column, own: Column, wanted: Column, reference_year: Column, imprint_year: Column) -> Column:
@@ -220,13 +183,15 @@ def _infer(work: Steps, rank: Column, code: Column) -> Steps:
     """work with __i, a struct of rank, code and whether they conflict, from the structs __w, __a, __f and __kind."""
     has_sp, has_isp = F.col("__w.sp").isNotNull(), F.col("__w.isp").isNotNull()
     marker = F.when(F.col("__f.marker").isNotNull(), _lookup(strip.MARKER_RANKS, F.lower("__f.marker")))
+    late = F.when(F.col("__w.late").isNotNull(), _lookup(vocab.INFRASPECIFIC, F.col("__w.late")))
     before = F.coalesce(marker, F.col("__f.pinned_rank"))
     read = (
         F.when(before.isNotNull(), F.when(code == "ZOOLOGICAL", F.regexp_replace(before, r"_BOTANY\z", "_ZOOLOGY")).otherwise(before))
-        .when(F.col("__f.aggregate") & has_sp, F.lit("SPECIES_AGGREGATE"))
+        .when((F.col("__f.aggregate") | F.col("__w.grouped")) & has_sp & ~has_isp, F.lit("SPECIES_AGGREGATE"))
         .when(has_isp & F.col("__w.mark").isNotNull(), _lookup(vocab.INFRASPECIFIC, F.col("__w.mark")))
         .when(has_isp & F.col("__w.four"), F.lit("INFRASUBSPECIFIC_NAME"))
         .when(has_isp, F.lit("INFRASPECIFIC_NAME"))
+        .when(late.isNotNull(), late)
         .when(has_sp | F.col("__w.indet"), F.lit("SPECIES"))
         .when(F.col("__w.isub").isNotNull(), _lookup(vocab.INFRAGENERIC, F.col("__w.imark")))
         .when(F.col("__w.sub").isNotNull(), F.lit("INFRAGENERIC_NAME"))
@@ -281,7 +246,7 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
     work = work.withColumns({"__open": open_, "__clean": F.when(open_, F.when(tidy, F.col("__s")).otherwise(repaired))})
     work = work.withColumn("__f", strip.fields(F.col("__clean"), F.col("__open")))
     odd = F.col("__open") & ~tidy & (text.collapse_space(F.col("__s")) != F.col("__clean"))
-    work = work.withColumns({"__w": _read_words(F.col("__f.text"), F.col("__open")), "__odd": odd}).drop("__clean", "__s")
+    work = work.withColumns({"__w": _read_words(F.col("__f.text"), F.col("__open"), F.col("__rankh")), "__odd": odd}).drop("__clean", "__s")
     # The author within an autonym is that of the whole name.
     autonym = F.when((F.col("__w.isp") == F.col("__w.sp")) & (F.col("__w.auth") == ""), F.col("__w.sauth"))
     own = F.when(F.col("__f.phrase").isNull() & F.col("__w.iphrase").isNull(), F.coalesce(autonym, F.col("__w.auth")))
@@ -290,21 +255,20 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
     rescue = F.col("__kind.rescue_taxon").isNotNull()
     has_sp = F.col("__w.sp").isNotNull()
     abbreviated = _like(F.col("__w.genus"), r"\.\z")
-    informal_type = rescue | F.col("__f.informal") | F.col("__w.indet") | F.col("__w.qual").isNotNull() | abbreviated
+    informal_type = rescue | F.col("__f.informal") | F.col("__w.indet") | F.col("__w.tag").isNotNull() | F.col("__w.qual").isNotNull() | abbreviated
     # Text that begins like no name at all is left unread as a whole; without a letter it is no name.
     lost = F.col("__open") & F.col("__w.genus").isNull()
     no_letter = lost & ~_like(F.col("__raw"), r"\p{L}")
     error_type = F.coalesce(F.col("__kind.type"), F.when(no_letter, F.lit("OTHER")))
     known = F.when(_among("__rankh", ranks.NAMES) & (F.col("__rankh") != "UNRANKED"), F.col("__rankh"))
-    species_down = ["SPECIES", "CULTIVAR", "CULTIVAR_GROUP", "GREX", *(n for n in ranks.NAMES if ranks.INFO[n]["infraspecific"])]
     between = [n for n in ranks.NAMES if ranks.INFO[n]["infrageneric_strictly"]]
     above = [n for n in ranks.NAMES if ranks.ORDINAL[n] < ranks.ORDINAL["SPECIES"]]
     alone = ~has_sp & ~F.col("__w.indet") & F.col("__w.isub").isNull() & F.col("__w.sub").isNull() & F.col("__f.phrase").isNull() & F.col("__f.cultivar").isNull() & F.col("__w.genus").isNotNull()
     # A monomial of a rank that needs an epithet, one of a rank below genus, a binomial of a rank above species.
-    unfinished = F.coalesce(alone & _among("__rankh", species_down) & ~F.col("__f.informal"), F.lit(False))
+    unfinished = F.coalesce(alone & _among("__rankh", list(_SPECIES_DOWN)) & ~F.col("__f.informal"), F.lit(False))
     moved = F.coalesce(alone & F.coalesce(known, F.col("__i.rank")).isin(*between), F.lit(False))
     too_high = F.coalesce(has_sp & _among("__rankh", above) & (known != F.col("__i.rank")), F.lit(False))
-    no_infra = F.coalesce(has_sp & F.col("__w.isp").isNull() & _among("__rankh", species_down[4:]), F.lit(False))
+    no_infra = F.coalesce(has_sp & F.col("__w.isp").isNull() & _among("__rankh", list(_SPECIES_DOWN[4:])), F.lit(False))
     flags = F.struct(*(c.alias(n) for n, c in (("unfinished", unfinished), ("moved", moved), ("too_high", too_high), ("no_infra", no_infra), ("lost", lost), ("known", known))))
     work = work.withColumn("__b", text.code_break(F.when(F.col("__open"), flags)))
     unfinished, moved, too_high, no_infra, lost = (F.coalesce(F.col(f"__b.{c}"), F.lit(False)) for c in ("unfinished", "moved", "too_high", "no_infra", "lost"))
@@ -315,11 +279,11 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
     quoted = F.col("__f.quoted")
     found = (
         F.when(F.char_length("__raw") > vocab.LONG_LENGTH, F.lit(vocab.WARNINGS["long"])),
-        F.when((F.col("__w.indet") & F.col("__w.iphrase").isNull()) | unfinished | no_infra, F.lit(vocab.WARNINGS["indet"])),
+        F.when((F.col("__w.indet") & F.col("__w.iphrase").isNull() & F.col("__w.isp").isNull()) | unfinished | no_infra, F.lit(vocab.WARNINGS["indet"])),
         F.col("__w.dropped"), F.when(F.col("__w.dropped").isNotNull(), F.lit(vocab.WARNINGS["quadrinomial"])), F.when(F.col("__odd"), F.lit(vocab.WARNINGS["homoglyphs"])),
         F.when(too_high, F.lit(vocab.WARNINGS["rank_mismatch"])), F.when(F.col("__i.misfit"), F.lit(vocab.WARNINGS["code_mismatch"])), F.when(F.col("__a.ranged"), F.lit(vocab.WARNINGS["year"])),
         F.when((known == "SPECIES") & F.col("__w.isp").isNotNull(), F.lit(vocab.WARNINGS["subspecies"])),
-        F.when(abbreviated, F.lit(vocab.WARNINGS["abbreviated"])),
+        F.when(abbreviated, F.lit(vocab.WARNINGS["abbreviated"])), F.when(F.col("__w.shortsub"), F.lit(vocab.WARNINGS["abbreviated_subgenus"])), F.when(F.col("__w.qual") == "?", F.lit(vocab.WARNINGS["question"])),
         F.when(F.coalesce(text.is_unlikely_year(F.col("__a.comb.year")), F.lit(False)) | F.coalesce(text.is_unlikely_year(F.col("__a.bas.year")), F.lit(False)), F.lit(vocab.WARNINGS["unlikely_year"])),
         F.when((F.col("__w.sp") == "null") | (F.col("__w.isp") == "null"), F.lit(vocab.WARNINGS["null"])),
         F.when(F.lower("__w.sp").isin(*blacklist) | F.lower("__w.isp").isin(*blacklist) if blacklist else F.lit(False), F.lit(vocab.WARNINGS["blacklisted"])),
@@ -343,11 +307,11 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
         specificAuthorship=sure(combined("__w.sauth")),
         infraspecificEpithet=sure(F.col("__w.isp")),
         cultivarEpithet=sure(F.col("__f.cultivar")),
-        phrase=F.when(rescue, F.col("__kind.rescue_phrase")).otherwise(F.coalesce("__f.phrase", "__w.iphrase")),
+        phrase=F.when(rescue, F.col("__kind.rescue_phrase")).otherwise(F.coalesce("__f.phrase", "__w.iphrase", "__w.tag")),
         candidatus=F.col("__f.candidatus"),
         notho=sure(notho),
         originalSpelling=(F.col("__f.original_spelling") == "true"),
-        epithetQualifier=sure(F.when(F.col("__w.qual").isNotNull(), F.create_map(F.lit("SPECIFIC"), F.concat("__w.qual", F.lit("."))))),
+        epithetQualifier=sure(F.when(F.col("__w.qual").isNotNull(), F.create_map(F.when(F.col("__w.isp").isNotNull(), F.lit("INFRASPECIFIC")).otherwise("SPECIFIC"), F.col("__w.qual")))),
         type=kind,
         extinct=F.col("__f.extinct"),
         taxonomicNote=sure(F.col("__f.tax_note")),
@@ -355,10 +319,10 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
         publishedIn=sure(F.col("__f.published_in")),
         publishedInYear=sure(text.published_year(F.coalesce("__f.published_in", F.lit("")))),
         publishedInPage=sure(F.col("__f.page")),
-        unparsed=sure(F.when(lost, F.trim("__raw")).otherwise(F.col("__f.unparsed"))),
-        doubtful=(F.col("__f.doubtful") | too_high),
+        unparsed=sure(F.when(lost, F.trim("__raw")).otherwise(F.coalesce("__f.unparsed", "__w.unread"))),
+        doubtful=(F.col("__f.doubtful") | too_high | F.col("__w.lowsub") | (F.col("__w.qual") == "?")),
         manuscript=F.col("__f.manuscript"),
-        state=F.when(~rescue & (lost | F.col("__f.unparsed").isNotNull()), F.lit("PARTIAL")).otherwise("COMPLETE"),
+        state=F.when(~rescue & (lost | F.col("__f.unparsed").isNotNull() | F.col("__w.unread").isNotNull()), F.lit("PARTIAL")).otherwise("COMPLETE"),
         warnings=F.when(warn.isNull() & (F.size("__f.warnings") < 2), F.col("__f.warnings")).otherwise(F.sort_array(F.array_union("__f.warnings", F.coalesce(warn, F.array().cast("array<string>"))))),
         combinationAuthorship=F.when(rescue | unfinished | lost, _nobody()).otherwise(F.col("__a.comb")),
         basionymAuthorship=F.when(rescue | unfinished | lost, _nobody()).otherwise(F.col("__a.bas")),

@@ -1,16 +1,15 @@
 """The annotation rules: an ordered table of what is taken out of a name before its words are read.
 
 A rule has a pattern and, for each field it touches, an effect; where the pattern is found the match is
-replaced. The table is data. `fields` first asks for each rule whether the name holds one of the texts that
-the rule can't do without, which is much cheaper than its pattern; what is left, none or a few rules for
-most names, is worked off by one `aggregate` over the rules' numbers. So a rule costs next to nothing where it
-doesn't apply, and the plan stays small however many rules there are.
+replaced. The table is data, one array literal in the plan. `fields` first asks for each rule whether the name
+holds one of the texts that the rule can't do without, which is much cheaper than its pattern; the rules that
+are left, none or a few for most names, are worked off by one `aggregate` with one step for all of them. A
+rule's replacement holds both what is left of the text and the entries for the fields, so a rule is one match.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,7 +108,7 @@ RULES = (
     Rule("pro parte", ("p",), r"(?i)\s*,\s*(?:pro\s+parte|p\.\s*p\.[A-Z]?)\s*\z", put={"doubtful": True}),
     Rule("pro species", ("pro ",), rf"(?i)\s+\(\s*pro\s+(?:sp|spec|syn|hyb){_E}\.?\s*\)\s*\.?\s*\z"),
     Rule("approved lists", ("approved",), r"(?i)\s*\(\s*Approved\s+Lists\s+[0-9]{4}\s*\)\s*\.?\s*\z"),
-    Rule("mihi", (" mihi",), r"\s+mihi(?=\s|\z|,)", warn=("authorship",)),
+    Rule("mihi", (" mihi",), r"\s+mihi\.?(?=\s|\z|,)", warn=("authorship",)),
     Rule("anonymous", ("anon",), rf"(?<=\s)(?:Anon{_E}\.?|anon{_E}(?!\.))", "anon."),
     Rule("concept reference", (": ",), r"\s*:\s+(\p{Lu}[^:]*,\s*[0-9]{3,4})\s*\.?\s*\z", add={"tax_note": 1}),
     Rule("concept in brackets", ("[",), rf"(?i)\s*\[\s*((?:auctt?|sensu|sec|non|nec|misspelling|misapplied|misident){_E}[^\]]*)\]\s*\.?\s*\z", add={"tax_note": 1}),
@@ -144,41 +143,57 @@ MARKER_RANKS = (
 _ENTRIES = "array<struct<f:string,v:string>>"
 #: In a joined field, what stands before this mark is overwritten.
 _ANEW = "\u0001"
+#: Marks in a replacement: around an entry, and between its field and its value.
+_ENTRY, _OF = "\u0002", "\u0003"
+#: Before the letter that tells that a name holds a digit, or matches a needed pattern.
+_FLAG = "\u0004"
 
 
-def _value(text: Column, rule: Rule, effect: object) -> Column:
-    """A literal, a group, the first filled one of two groups, or two parts (groups or texts) with a text between them."""
-    group = lambda k: F.nullif(F.trim(F.regexp_extract(text, rule.pattern, k)), F.lit(""))
+def _value(effect: object) -> str:
+    """The replacement text of a literal, a group, the filled one of two groups, or two parts with a text between them."""
+    group = lambda k: f"${k}" if isinstance(k, int) else _plain(k)
     if isinstance(effect, bool):
-        return F.lit(str(effect).lower())
-    if isinstance(effect, tuple) and len(effect) == 3:
-        if isinstance(effect[0], str):
-            return F.concat(F.lit(effect[0]), group(effect[1]), F.lit(effect[2]))
-        return F.concat(group(effect[0]), F.coalesce(F.concat(F.lit(effect[1]), group(effect[2])), F.lit("")))
-    if isinstance(effect, str):
-        return F.lit(effect)
-    return F.coalesce(*(group(k) for k in (effect if isinstance(effect, tuple) else (effect,))))
-
-
-def _guard(low: Column, digit: Column, rule: Rule) -> Column:
-    """Whether the rule need be tried on a name, by its lower-case text."""
-    tests = [F.lit(True) if n == "*" else digit if n == "0" else F.regexp_like(low, F.lit(n[1:-1])) if len(n) > 2 and n[0] == n[-1] == "/" else F.contains(low, F.lit(n)) for n in rule.needs]
-    return reduce(lambda a, b: a | b, tests)
-
-
-def _step(rules: tuple[Rule, ...], state: Column, number: Column) -> Column:
-    """The state (text and entries) after the rule of this number."""
-    text, branches = state["t"], F
-    for k, rule in enumerate(rules):
-        hit = F.regexp_like(text, F.lit(rule.pattern))
-        if rule.unless:
-            hit = hit & ~F.regexp_like(text, F.lit(rule.unless))
-        entries = [(n, _value(text, rule, e) if n not in JOINED else F.concat(F.lit(_ANEW), _value(text, rule, e))) for n, e in rule.put.items()]
-        entries += [(n, _value(text, rule, e)) for n, e in (*rule.first.items(), *rule.add.items())] + [("warnings", F.lit(vocab.WARNINGS[w])) for w in rule.warn]
-        log = F.concat(state["log"], F.array(*(F.struct(F.lit(n).alias("f"), v.alias("v")) for n, v in entries))) if entries else state["log"]
-        after = F.struct(F.trim(F.regexp_replace(text, rule.pattern, rule.become)).alias("t"), log.cast(_ENTRIES).alias("log"))
-        branches = branches.when(number == k, F.when(hit, after).otherwise(state))
-    return branches.otherwise(state)
+        return str(effect).lower()
+    if isinstance(effect, tuple):
+        return "".join(group(x) for x in effect)
+    return group(effect)
+
+
+def _plain(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def _template(rule: Rule) -> str:
+    """What a match becomes: the text that is left, then the entries the rule makes."""
+    entries = [(n, (_ANEW if n in JOINED else "") + _value(e)) for n, e in rule.put.items()]
+    entries += [(n, _value(e)) for n, e in (*rule.first.items(), *rule.add.items())] + [("warnings", _plain(vocab.WARNINGS[w])) for w in rule.warn]
+    return rule.become + "".join(f"{_ENTRY}{n}{_OF}{v}{_ENTRY}" for n, v in entries)
+
+
+def _table(rules: tuple[Rule, ...]) -> tuple[Column, dict[str, str]]:
+    """The rules as one array literal, and the patterns that stand among the needs, by their letter."""
+    patterns = {"[0-9]": "0"}
+    for n in (n for r in rules for n in r.needs if len(n) > 2 and n[0] == n[-1] == "/"):
+        patterns.setdefault(n[1:-1], chr(ord("A") + len(patterns)))
+
+    def need(n: str) -> str:
+        return "" if n == "*" else _FLAG + "0" if n == "0" else _FLAG + patterns[n[1:-1]] if n[1:-1] in patterns and n[0] == "/" else n
+
+    rows = [F.struct(F.array(*(F.lit(need(n)) for n in r.needs)).alias("needs"), F.lit(r.pattern).alias("pattern"), F.lit(_template(r)).alias("template"), F.lit(r.unless or "").alias("unless")) for r in rules]
+    return F.array(*rows), patterns
+
+
+def _step(state: Column, rule: Column) -> Column:
+    """The state (text and entries) after a rule: one replacement, which gives text and entries together."""
+    text = state["t"]
+
+    def after(new: Column) -> Column:
+        entries = F.transform(F.regexp_extract_all(new, F.lit(f"{_ENTRY}([^{_ENTRY}]*){_ENTRY}"), 1), lambda e: F.struct(F.substring_index(e, _OF, 1).alias("f"), F.substring_index(e, _OF, -1).alias("v")))
+        left = F.when(F.contains(new, F.lit(_ENTRY)), F.regexp_replace(new, f"{_ENTRY}[^{_ENTRY}]*{_ENTRY}", "")).otherwise(new)
+        return F.when(new == text, state).otherwise(F.struct(F.trim(left).alias("t"), F.concat(state["log"], entries).cast(_ENTRIES).alias("log")))
+
+    barred = (rule["unless"] != "") & F.regexp_like(text, rule["unless"])
+    return F.when(barred, state).otherwise(let(F.regexp_replace(text, rule["pattern"], rule["template"]), after))
 
 
 def fields(text: Column, wanted: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -186,14 +201,15 @@ def fields(text: Column, wanted: Column, rules: tuple[Rule, ...] = RULES) -> Col
 
     text holds no white space but single spaces."""
     none = F.array().cast(_ENTRIES)
+    table, patterns = _table(rules)
 
     def guarded(low: Column) -> Column:
-        digit = F.regexp_like(low, F.lit("[0-9]"))
-        return F.when(wanted, F.filter(F.array(*(F.when(_guard(low, digit, r), F.lit(k)) for k, r in enumerate(rules))), lambda k: k.isNotNull()))
+        flags = [F.when(F.regexp_like(low, F.lit(p)), F.lit(_FLAG + letter)).otherwise("") for p, letter in patterns.items()]
+        return F.when(wanted, let(F.concat(low, *flags), lambda x: F.filter(table, lambda r: F.exists(r["needs"], lambda n: F.contains(x, n)))))
 
     def worked(todo: Column) -> Column:
         begin = F.struct(text.alias("t"), none.alias("log"))
-        return F.when(F.size(todo) > 0, F.aggregate(todo, begin, lambda st, k: _step(rules, st, k))).otherwise(begin)
+        return F.when(F.size(todo) > 0, F.aggregate(todo, begin, _step)).otherwise(begin)
 
     return let(let(F.lower(text), guarded), lambda todo: let(worked(todo), lambda st: F.when(F.size(st["log"]) > 0, _told(st)).otherwise(_untold(st["t"]))))
 
@@ -203,10 +219,10 @@ def _untold(text: Column) -> Column:
 
 
 def _told(state: Column) -> Column:
-    """The fields from the entries that the rules made."""
+    """The fields from the entries that the rules made; an empty value is none."""
 
     def held(name: str) -> Column:
-        return F.transform(F.filter(state["log"], lambda e: (e["f"] == name) & e["v"].isNotNull()), lambda e: e["v"])
+        return F.transform(F.filter(state["log"], lambda e: (e["f"] == name) & (F.trim(e["v"]) != "")), lambda e: F.trim(e["v"]))
 
     def read(name: str, kind: str) -> Column:
         if kind == "array<string>":
@@ -214,7 +230,9 @@ def _told(state: Column) -> Column:
         if kind == "boolean":
             return F.size(held(name)) > 0
         if name in JOINED:
-            return F.nullif(F.regexp_replace(F.array_join(held(name), " "), f"^.*{_ANEW}", ""), F.lit(""))
+            # A group that took no part leaves the text between two parts at its end.
+            parts = F.transform(held(name), lambda v: F.regexp_replace(v, r",\s*\z", ""))
+            return F.nullif(F.regexp_replace(F.array_join(parts, " "), f"^.*{_ANEW}", ""), F.lit(""))
         return F.try_element_at(held(name), F.lit(1 if name in FIRST else -1))
 
     return F.struct(state["t"].alias("text"), *(read(name, kind).alias(name) for name, kind in FIELDS.items()))

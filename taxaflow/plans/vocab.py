@@ -59,6 +59,7 @@ WARNINGS = {
     "uncertain": "authorship marked as uncertain",
     "quadrinomial": "name was quadrinomial",
     "abbreviated": "abbreviated genus name",
+    "abbreviated_subgenus": "abbreviated subgenus name",
     "long": "unusually long name",
 }
 MAX_LENGTH, LONG_LENGTH = 1000, 250
