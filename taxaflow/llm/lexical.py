@@ -20,7 +20,6 @@ are ignored. Documents of any length are indexed whole.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -45,21 +44,28 @@ SEED_BLOCKS = 8
 #: Rows of a record batch of the index.
 BATCH_ROWS = 20_000
 
-_TERMS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
-#: The same for Spark, before lower-casing.
-_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Each byte as it stands in a term, space for those that part terms.
+_LETTERS = bytes(b if b >= 0x80 or bytes((b,)).isalnum() else 0x20 for b in range(256)).lower()
 
 
 def terms_of(text: str) -> list[bytes]:
     """The terms of a text in UTF-8; bytes are lower-cased in ASCII alone."""
-    return _TERMS(text.encode("utf-8", "replace").lower())
+    return text.encode("utf-8", "replace").translate(_LETTERS).split()
 
 
 def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """N and L: the documents with a term, and all their terms."""
-    n = docs.select(F.regexp_count(F.col(text), F.lit(_TERM)).alias("n"))
-    row = n.where("n > 0").agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L")).first()
-    return row.N, row.L or 0
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0
+        for part in parts:
+            for whole in part.column(0).to_pylist():
+                found = len(terms_of(whole or ""))
+                n, total = n + (found > 0), total + found
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], names=["n", "l"])
+
+    row = docs.select(text).mapInArrow(count, "n long, l long").agg(F.sum("n").alias("n"), F.sum("l").alias("l")).first()
+    return row.n or 0, row.l or 0
 
 
 def impacts(tf: np.ndarray, n: np.ndarray, docs: int, total: int) -> np.ndarray:
