@@ -3,12 +3,15 @@
 Lines are normalised (words joined by one space, lower case) and hashed. For each host (source) the
 distinct documents that hold a line are counted; lines above the host's limit are boilerplate and are
 removed; a document of which too little remains is rejected. Equal texts count as one, and so do near
-copies: texts that consist almost wholly of lines above the limits, and share the least of these by hash.
-Copies and near copies of a document thus don't make its lines boilerplate, they are left to the dedup
-stages; the lines of a block that stands in different documents are counted whatever their neighbours.
+copies by their whole texts: a text of which COPY_SHARE of the words stand in lines above the limits is
+held against one other of them, the least by hash that shares its least such line, and counts as this one
+if their five-word windows have a Jaccard similarity of COPY_SIMILARITY. Copies and near copies of a document
+thus don't make its lines boilerplate, they are left to the dedup stages; documents that share lines only
+are counted one by one, however much of them these lines are.
 
 Null text counts as empty (no words: base_failed). A null source is a host of its own. Repeated rows get
-equal results; an empty table gives none; extra columns are ignored.
+equal results, ties are no case; an empty table gives none; extra columns are carried along or ignored, whatever
+their names. Texts of any length are read whole: what is made of a text (lines, windows) is a few times its size.
 """
 
 from __future__ import annotations
@@ -22,11 +25,14 @@ from . import common
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A line is boilerplate for a host if its distinct documents are more than both limits.
+#: A line is boilerplate for a host if more than LINE_DOCS distinct documents hold it that are more than
+#: LINE_SHARE of the host's, or if more than MANY_DOCS do, however large the host.
 LINE_DOCS = 20
 LINE_SHARE = 0.1
-#: Texts with at least this share of words in lines above the limits may be near copies.
+MANY_DOCS = 200
+#: Texts with at least this share of words in lines above the limits may be near copies, and are if they are so similar.
 COPY_SHARE = 0.8
+COPY_SIMILARITY = 0.8
 #: A document is depleted if fewer words, or a smaller share of them, remain without boilerplate.
 KEEP_WORDS = 10
 KEEP_SHARE = 0.3
@@ -89,13 +95,18 @@ def _normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, _RUN, " ")))
 
 
+def line_key(line: Column) -> Column:
+    """A normalised line as a number of 60 bits: the head of its MD5, in an order that SQL has too."""
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
+
+
 def line_table(df: DataFrame) -> DataFrame:
     """One row for each line with words: its document, host, place, hash and words, and the words of its text."""
     held = df.select(F.col("doc_id").cast("long").alias("doc_id"), _host().alias("host"), common.text_of().alias("text"))
     normal = F.transform(F.split("text", "\n"), _normal)
     summary = F.transform(
         F.filter(normal, lambda x: x != ""),
-        lambda x: F.struct(F.xxhash64(x).alias("line"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")),
+        lambda x: F.struct(line_key(x).alias("line"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")),
     )
     arrays = held.select("doc_id", "host", F.xxhash64("text").alias("text_key"), summary.alias("lines"))
     total = F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"])
@@ -104,70 +115,89 @@ def line_table(df: DataFrame) -> DataFrame:
     return whole.select("doc_id", "host", "text_key", "of_words", F.inline_outer("lines")).where("line IS NOT NULL")
 
 
-def boilerplate(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """host, line of each line that more than line_docs distinct documents of its host hold, and more than
-    line_share of them. Counts are combined before they are shuffled; a frequent line is no hot key."""
-    hosts = lines.groupBy("host", "text_key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+def _windows(text: Column) -> Column:
+    """The distinct five-word windows of a text, hashed; of a shorter one its words as one window."""
+    w = words_of(text)
+    slid = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))))
+    return F.get(F.transform(F.array(w), lambda w: F.array_distinct(F.when(F.size(w) >= WINDOW, slid(w)).otherwise(F.array(F.xxhash64(F.concat_ws(" ", w)))))), F.lit(0))
 
-    def above(seen: DataFrame) -> DataFrame:
-        counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > line_docs)
-        return counts.join(hosts, "host").where(F.col("docs") > line_share * F.col("of")).select("host", "line", "of")
 
+def boilerplate(df: DataFrame, lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
+    """host, line of each line above the limits. df has the texts that lines, its line_table, came from.
+
+    Counts are combined before they are shuffled, so a frequent line is no hot key. A text is compared with
+    one other at most; a group of near copies, however large, is as many comparisons as it has texts."""
+    hosts = lines.groupBy("host", "text_key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    above = (F.col("docs") > line_docs) & ((F.col("docs") > line_share * F.col("of")) | (F.col("docs") > many_docs))
     # First by equal texts; near copies can only lower a count, so what is not frequent here never is.
-    frequent = common.cut(above(lines.groupBy("host", "line", "text_key").agg(F.lit(1).alias("one"))), "frequent")
+    counted = lines.groupBy("host", "line", "text_key").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > line_docs)
+    frequent = common.cut(counted.join(hosts, "host").where(above).select("host", "line", "of"), "frequent")
     texts = (
         lines.join(frequent, ["host", "line"])
         .groupBy("host", "text_key", "pos").agg(F.first("line").alias("line"), F.first("n").alias("n"), F.first("of_words").alias("of_words"), F.first("of").alias("of"))
         .groupBy("host", "text_key").agg(F.collect_set("line").alias("held"), (F.sum("n") >= COPY_SHARE * F.first("of_words")).alias("copy"), F.first("of").alias("of"))
     )
-    key = F.when(F.col("copy"), F.array_min("held")).otherwise(F.col("text_key"))
-    seen = texts.select("host", "of", "copy", key.alias("key"), F.explode_outer("held").alias("line")).groupBy("host", "line", "copy", "key").agg(F.first("of").alias("of"))
-    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.first("of").alias("of"))
-    return counts.where((F.col("docs") > line_docs) & (F.col("docs") > line_share * F.col("of"))).select("host", "line")
-
-
-def _judged(df: DataFrame, line_docs: int, line_share: float) -> DataFrame:
-    """quality_rules with host and key, which tell rows of one doc_id apart."""
+    texts = common.cut(texts, "texts")
+    likely = texts.where("copy").select("host", "text_key", F.array_min("held").alias("least"))
+    whole = df.select(_host().alias("host"), common.text_of().alias("text")).withColumn("text_key", F.xxhash64("text"))
+    whole = whole.join(likely, ["host", "text_key"]).groupBy("host", "text_key", "least").agg(F.first("text").alias("text"))
+    seen = common.cut(whole.select("host", "text_key", "least", F.md5("text").alias("order"), _windows(F.col("text")).alias("windows")), "likely")
+    lead = seen.groupBy("host", "least").agg(F.min(F.struct("order", "text_key", "windows")).alias("lead"))
+    shared = F.size(F.array_intersect("windows", "lead.windows"))
+    alike = shared >= COPY_SIMILARITY * (F.size("windows") + F.size("lead.windows") - shared)
+    folded = seen.join(lead, ["host", "least"]).where(alike & (F.col("lead.text_key") != F.col("text_key"))).select("host", "text_key", F.col("lead.text_key").alias("key"))
+    keyed = texts.join(folded, ["host", "text_key"], "left").select("host", "of", F.coalesce("key", "text_key").alias("key"), F.explode("held").alias("line"))
+    counts = keyed.groupBy("host", "line", "key").agg(F.first("of").alias("of")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.first("of").alias("of"))
+    return counts.where(above).select("host", "line")
+
+
+def _judged(df: DataFrame, line_docs: int, line_share: float, many_docs: int) -> DataFrame:
+    """quality_rules with own_host and own_key, which tell rows of one doc_id apart."""
     lines = line_table(df)
-    common_lines = common.cut(boilerplate(lines, line_docs, line_share), "boilerplate")
-    # Few lines reach the limits: at most 1 / line_share times the mean lines of a document for each host.
+    common_lines = common.cut(boilerplate(df, lines, line_docs, line_share, many_docs), "boilerplate")
     removed = (
         lines.join(common_lines, ["host", "line"])
         .groupBy("doc_id", "host", "text_key", "pos").agg(F.first("n").alias("n"))
-        .groupBy("doc_id", "host", "text_key").agg(F.sum("n").cast("long").alias("removed"))
+        .groupBy(F.col("doc_id").alias("of_doc"), "host", "text_key").agg(F.sum("n").cast("long").alias("removed"))
     )
-    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), _host().alias("__host"), F.xxhash64(common.text_of()).alias("__key"))
+    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), _host().alias("own_host"), F.xxhash64(common.text_of()).alias("own_key"))
     base = base_measures(keyed).drop("text")
-    on = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__host") == F.col("host")) & (F.col("__key") == F.col("text_key"))
+    on = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("own_host") == F.col("host")) & (F.col("own_key") == F.col("text_key"))
     left = F.col("n_words") - F.coalesce(F.col("removed"), F.lit(0))
     depleted = (left < KEEP_WORDS) | (left < KEEP_SHARE * F.col("n_words"))
-    return (
-        base.join(removed.withColumnRenamed("doc_id", "__doc"), on, "left")
-        .select("doc_id", "__host", "__key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", left.alias("n_kept_words"), (~F.col("base_failed") & ~depleted).alias("kept"))
+    return base.join(removed, on, "left").select(
+        "doc_id", "own_host", "own_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", left.alias("n_kept_words"), (~F.col("base_failed") & ~depleted).alias("kept")
     )
 
 
-def quality_rules(df: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+def quality_rules(df: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
     """doc_id, the base measures, base_failed, n_kept_words and kept for every row of df (doc_id, text, source)."""
-    return _judged(df, line_docs, line_share).drop("__host", "__key")
+    return _judged(df, line_docs, line_share, many_docs).drop("own_host", "own_key")
 
 
-def quality_filter(df: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+def quality_filter(df: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
     """The rows of df that the rules keep, with all their columns and whole texts."""
-    judged = _judged(df, line_docs, line_share)
-    gone = common.cut(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__doc"), "__host", "__key").distinct(), "rejected")
+    doc, host, key = (common.fresh_name(df, c) for c in ("of_doc", "of_host", "of_key"))
+    judged = _judged(df, line_docs, line_share, many_docs)
+    gone = common.cut(judged.where(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("own_host").alias(host), F.col("own_key").alias(key)).distinct(), "rejected")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (_host() == F.col("__host")) & (F.xxhash64(common.text_of()) == F.col("__key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (_host() == F.col(host)) & (F.xxhash64(common.text_of()) == F.col(key))
     return df.join(gone, same, "left_anti")
 
 
-def without_boilerplate(df: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """Every row of df, with all its columns, its text without the lines that are boilerplate for its host."""
-    held = boilerplate(line_table(df), line_docs, line_share).groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__lines"))
-    held = common.cut(held, "boilerplate")  # a row a host, with as few lines as _judged tells
-    if held.count() <= BROADCAST_ROWS:
-        held = F.broadcast(held)
-    left = F.filter(F.split(F.col("text"), "\n"), lambda x: ~F.array_contains("__lines", F.xxhash64(_normal(x))))
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return df.join(held, _host() == F.col("__host"), "left").select(*(text.alias(c) if c == "text" else F.col(c) for c in df.columns))
+def without_boilerplate(df: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
+    """Every row of df, with all its columns, its text without the lines that are boilerplate for its host.
+
+    The texts that hold such lines are taken apart, once for each host and text, and put together again."""
+    lines = line_table(df)
+    found = common.cut(boilerplate(df, lines, line_docs, line_share, many_docs), "boilerplate")
+    touched = common.cut(lines.join(found, ["host", "line"], "left_semi").select("host", "text_key").distinct(), "touched")
+    whole = df.select(_host().alias("host"), F.col("text")).withColumn("text_key", F.xxhash64("text"))
+    once = whole.join(touched, ["host", "text_key"]).groupBy("host", "text_key").agg(F.first("text").alias("text"))
+    cut = once.select("host", "text_key", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", line_key(_normal(F.col("raw"))))
+    left = cut.join(found, ["host", "line"], "left_anti").groupBy("host", "text_key").agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("left"))
+    host, key, new = (common.fresh_name(df, c) for c in ("of_host", "of_key", "new_text"))
+    cleaned = touched.join(left, ["host", "text_key"], "left").select(F.col("host").alias(host), F.col("text_key").alias(key), F.coalesce(F.array_join(F.transform("left", lambda x: x["raw"]), "\n"), F.lit("")).alias(new))
+    same = (_host() == F.col(host)) & (F.xxhash64("text") == F.col(key)) & F.col("text").isNotNull()
+    return df.join(cleaned, same, "left").select(*(F.coalesce(F.col(new), F.col("text")).alias(c) if c == "text" else F.col(c) for c in df.columns))

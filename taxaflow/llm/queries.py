@@ -148,14 +148,17 @@ def oracle_sql() -> dict[str, str]:
                  cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT doc_id, i, unnest(range(5)) AS k FROM rep WHERE c > 1) GROUP BY doc_id),
                  base AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
                                  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
-                 nl AS (SELECT doc_id, host, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')))), lambda x: x <> '') AS l FROM w),
-                 ln AS (SELECT doc_id, host, t, l, unnest(range(1, len(l) + 1)) AS pos FROM nl),
-                 lines AS (SELECT doc_id, host, t, pos, l[pos] AS line, hash(coalesce(CASE WHEN pos > 1 THEN l[pos - 1] END, ''), coalesce(l[pos + 1], '')) AS around, len(string_split(l[pos], ' ')) AS n FROM ln),
-                 firsts AS (SELECT host, line, t, first(around ORDER BY pos) AS around FROM lines GROUP BY ALL),
-                 counts AS (SELECT host, line, count(DISTINCT around) AS docs FROM firsts GROUP BY ALL),
+                 nl AS (SELECT host, t, w, list_filter(list_transform(string_split(t, chr(10)), lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')))), lambda x: x <> '') AS l FROM (SELECT DISTINCT host, t, w FROM w)),
+                 lines AS MATERIALIZED (SELECT host, t, l AS line, len(string_split(l, ' ')) AS n FROM (SELECT host, t, unnest(l) AS l FROM nl)),
                  hosts AS (SELECT host, count(DISTINCT t) AS n FROM lines GROUP BY host),
-                 bad AS (SELECT host, line FROM counts JOIN hosts USING (host) WHERE docs > 20 AND docs > 0.1 * n),
-                 removed AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS r FROM lines SEMI JOIN bad USING (host, line) GROUP BY doc_id)
+                 frequent AS MATERIALIZED (SELECT host, line, hosts.n AS o FROM (SELECT host, line, count(DISTINCT t) AS docs FROM lines GROUP BY ALL) JOIN hosts USING (host) WHERE docs > 20 AND (docs > 0.1 * hosts.n OR docs > 200)),
+                 likely AS (SELECT host, t, min(substr(md5(line), 1, 15)) AS least FROM lines JOIN frequent USING (host, line) GROUP BY host, t
+                            HAVING sum(lines.n) >= 0.8 * (SELECT sum(x.n) FROM lines x WHERE x.host = lines.host AND x.t = lines.t)),
+                 seen AS MATERIALIZED (SELECT host, t, least, md5(t) AS o, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) ELSE [array_to_string(w, ' ')] END AS s FROM likely JOIN nl USING (host, t)),
+                 lead AS (SELECT host, least, first(t ORDER BY o) AS t1, first(s ORDER BY o) AS s1 FROM seen GROUP BY ALL),
+                 folded AS (SELECT host, t, t1 FROM (SELECT *, len(list_intersect(s, s1)) AS k FROM seen JOIN lead USING (host, least)) WHERE k >= 0.8 * (len(s) + len(s1) - k)),
+                 bad AS (SELECT host, line FROM (SELECT DISTINCT host, line, o, coalesce(t1, t) AS t FROM lines JOIN frequent USING (host, line) LEFT JOIN folded USING (host, t)) GROUP BY host, line, o HAVING count(*) > 20 AND (count(*) > 0.1 * o OR count(*) > 200)),
+                 removed AS (SELECT doc_id, CAST(sum(r) AS BIGINT) AS r FROM d JOIN (SELECT host, t, sum(n) AS r FROM lines SEMI JOIN bad USING (host, line) GROUP BY ALL) USING (host, t) GROUP BY doc_id)
             SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words - coalesce(r, 0) AS n_kept_words,
                    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_words - coalesce(r, 0) < 10 OR n_words - coalesce(r, 0) < 0.3 * n_words) AS kept

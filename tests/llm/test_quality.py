@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -31,20 +32,42 @@ def test_base_measures(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(TEXTS[r.doc_id]), TEXTS[r.doc_id]
 
 
-def brute_rules(rows, docs, share):
+def brute_rules(rows, docs=20, share=0.1, many=200):
     norm = lambda t: [x for x in (" ".join(w for w in re.split("[\x20\x09-\x0d]+", line) if w).lower() for line in (t or "").split("\n")) if x]
-    around, hosts = defaultdict(set), defaultdict(set)
-    for _, t, s in rows:
-        lines = norm(t)
-        if lines:
-            hosts[s].add(t)
-        for i, x in enumerate(lines):
-            if x not in lines[:i]:
-                around[s, x].add((lines[i - 1] if i else None, lines[i + 1] if i + 1 < len(lines) else None))
+    key = lambda x: hashlib.md5(x.encode()).hexdigest()
+    above = lambda n, of: n > docs and (n > share * of or n > many)
+
+    def windows(t):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", t) if x]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    bad = set()
+    for s in {r[2] for r in rows}:
+        texts = {t for _, t, x in rows if x == s and norm(t)}
+        held = Counter(x for t in texts for x in set(norm(t)))
+        frequent = {x for x, n in held.items() if above(n, len(texts))}
+        size = lambda xs: sum(len(x.split(" ")) for x in xs)
+        groups = defaultdict(list)
+        for t in texts:
+            own = [x for x in norm(t) if x in frequent]
+            if own and size(own) >= 0.8 * size(norm(t)):
+                groups[min(key(x)[:15] for x in own)].append(t)
+        folded = {}
+        for group in groups.values():
+            lead = min(group, key=key)
+            for t in group:
+                a, b = windows(t), windows(lead)
+                if len(a & b) >= 0.8 * len(a | b):
+                    folded[t] = lead
+        counts = defaultdict(set)
+        for t in texts:
+            for x in set(norm(t)) & frequent:
+                counts[x].add(folded.get(t, t))
+        bad |= {(s, x) for x, c in counts.items() if above(len(c), len(texts))}
     out = []
     for d, t, s in rows:
         base = brute(t)
-        left = base[0] - sum(len(x.split(" ")) for x in norm(t) if len(around[s, x]) > docs and len(around[s, x]) > share * len(hosts[s]))
+        left = base[0] - sum(len(x.split(" ")) for x in norm(t) if (s, x) in bad)
         out.append((d, *base, left, not base[5] and left >= 10 and left >= 0.3 * base[0]))
     return out
 
@@ -58,12 +81,39 @@ def test_rules(spark):
     rows += [(200 + i, "copy one two three\nfour five six seven eight nine ten\neleven twelve", "b") for i in range(40)]
     rows += [(None, None, None), (None, "some words", "a"), (7, rows[7][1], "a"), (7, rows[7][1], "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("kept", quality.F.lit("x"))
+    for name in ("own_host", "own_key", "removed", "lines", "of_doc", "of_host", "of_key", "text_key", "host", "least"):
+        df = df.withColumn(name, quality.F.lit("x"))
     key = lambda r: (-1 if r[0] is None else r[0], *r[1:])
     got = sorted((tuple(r) for r in quality.quality_rules(df, line_docs=20, line_share=0.1).collect()), key=key)
     assert got == sorted(brute_rules(rows, 20, 0.1), key=key)
     by_id = {r[0]: r for r in got}
     assert by_id[3][-2] < by_id[3][1] and by_id[3][-1] and not by_id[101][-1] and by_id[205][-1]
     assert quality.quality_rules(df.limit(0)).count() == 0
+    kept = quality.quality_filter(df)
+    assert kept.columns == df.columns
+    plain = lambda rs: sorted(rs, key=repr)
+    assert plain((r.doc_id, r.text, r.source) for r in kept.collect()) == plain(r for r, v in zip(rows, brute_rules(rows), strict=True) if v[-1])
+
+
+def test_limits_of_small_and_large_hosts(spark):
+    own = lambda i, n: " ".join(f"w{i}_{k}" for k in range(n))
+    rows = [(i, f"{own(i, 12)}\n" + ("a line of thirty documents\n" if i < 30 else "") + ("a line of sixty ones\n" if i < 60 else ""), "large") for i in range(500)]
+    rows += [(1000 + i, f"{own(i, 12)}\n" + ("a line of thirty documents\n" if i < 30 else ""), "small") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for many in (200, 25):
+        got = {r.doc_id: r.n_words - r.n_kept_words for r in quality.quality_rules(df, many_docs=many).collect()}
+        assert got == {d: v[1] - v[-2] for (d, *_), v in zip(rows, brute_rules(rows, many=many), strict=True)}
+        assert (got[0], got[40], got[1000]) == ((5, 5, 5) if many == 200 else (10, 5, 5))
+
+
+def test_short_documents_of_shared_lines_are_depleted(spark):
+    own = lambda i, n: " ".join(f"w{i}_{k}" for k in range(n))
+    block = [" ".join(f"b{j}_{k}" for k in range(n)) for j, n in enumerate((14, 13, 13))]
+    rows = [(i, "\n".join([own(i, 5), *block]), "short") for i in range(200)]
+    rows += [(1000 + i, "\n".join([own(i, 60), *block]), "long") for i in range(200)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {r.n_words - r.n_kept_words for r in got.values()} == {40}
+    assert not any(got[i].kept or got[i].base_failed for i in range(200)) and all(got[1000 + i].kept for i in range(200))
 
 
 def test_blocks_of_lines(spark):
@@ -74,6 +124,7 @@ def test_blocks_of_lines(spark):
     rows += [(200, "\n".join([*block, "five words of its own"]), "foot")]
     lines = [own(900 + k, 6) for k in range(40)]  # near copies: one line of forty differs in each
     rows += [(300 + i, "\n".join([*lines[:i], f"changed in copy {i}", *lines[i + 1 :]]), "near") for i in range(40)]
+    assert sorted(map(tuple, quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())) == sorted(brute_rules(rows))
     got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     words = sum(len(x.split()) for x in block)
     assert {got[i].n_words - got[i].n_kept_words for i in (*range(60), *range(100, 160), 200)} == {words}
