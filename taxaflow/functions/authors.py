@@ -18,35 +18,44 @@ _EMPTY = "array<string>"
 
 
 def author(x: Column) -> Column:
-    """One author: initials before the surname, dotted, without spaces; shouted surnames in title case."""
-    dotted = r"^(\p{Lu}[\p{L}'-]*\p{Ll})\s+(?!(?:II|III|IV)\z)((?:\p{Lu}\.?-?){1,3})\z"
+    """One author: initials before the surname, dotted, without spaces; shouted words of four letters or more in title case."""
+    dotted = r"^(\p{Lu}[\p{L}'-]*\p{Ll})\s+(?!(?:II|III|IV)\z)((?:\p{Lu}\.?[\s-]?){1,4})\z"
+    shouted = r"^(?:\p{Lu}\.)*\p{Lu}{4,}(?:-\p{Lu}{2,})*\.?\z"
+    # Initials that hold a hyphen and no dot get one dot at their end, others one each.
+    first = lambda i: F.when(F.contains(i, F.lit("-")) & ~F.contains(i, F.lit(".")), F.concat(F.trim(i), F.lit("."))).otherwise(F.regexp_replace(F.regexp_replace(i, r"[.\s]", ""), r"(\p{Lu})", r"$1."))
+    turned = lambda x: F.when(F.regexp_like(x, F.lit(dotted)), F.concat(first(F.regexp_extract(x, dotted, 2)), F.regexp_extract(x, dotted, 1))).otherwise(x)
+    close = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?<![\p{L}.'-])(\p{Lu})\s+(?=\p{Lu}(?:\p{Ll}|\.))", "$1."), r"(?<=\.)\s+", "")
+    title = lambda w: F.replace(F.initcap(F.regexp_replace(F.lower(w), r"([.-])", "$1 ")), F.lit(" "), F.lit(""))
 
     def full(x: Column) -> Column:
-        initials = F.regexp_replace(F.regexp_replace(F.regexp_extract(x, dotted, 2), r"[.\s]", ""), r"(\p{Lu})", r"$1.")
-        turned = F.when(F.regexp_like(x, F.lit(dotted)), F.concat(initials, F.regexp_extract(x, dotted, 1))).otherwise(x)
-        lone = F.regexp_replace(turned, r"(?<![\p{L}.'-])(\p{Lu})\s+(?=\p{Lu}\p{Ll})", "$1.")
-        close = F.regexp_replace(lone, r"(?<=\.)\s+", "")
-        shout = F.regexp_like(close, F.lit(r"^(?:\p{Lu}\.)*\p{Lu}{4,}(?:-\p{Lu}{2,})*\z"))
-        titled = F.replace(F.initcap(F.regexp_replace(F.lower(close), r"([.-])", "$1 ")), F.lit(" "), F.lit(""))
-        return F.when(shout, titled).otherwise(close)
+        words = F.array_join(F.transform(F.split(x, " "), lambda w: F.when(F.regexp_like(w, F.lit(shouted)), title(w)).when(w.isin("Ii", "Iii", "Iv"), F.upper(w)).otherwise(w)), " ")
+        return F.when(F.regexp_like(x, F.lit(r"\p{Lu}{4}|\sI(?:ii?|v)\z")), words).otherwise(x)
 
-    return F.when(F.regexp_like(x, F.lit(r"^(?:\p{Lu}\.)*\p{Lu}\p{Ll}+\.?\z")), x).otherwise(full(x))
+    return F.when(F.regexp_like(x, F.lit(r"^(?:\p{Lu}\.)*\p{Lu}\p{Ll}+\.?\z")), x).otherwise(let(let(turned(x), close), full))
 
 
 def team(x: Column) -> Column:
     """The authors of a list, in order; suffixes such as f. and Jr. stay with the author before them, initials
     after every surname go before it."""
-
-    def parts(x: Column) -> Column:
-        listed = F.when(F.contains(x, F.lit(",")), F.regexp_replace(x, rf"\s*,\s*(?={_SUFFIX}\.?(?:\s|,|&|\z))", " ")).otherwise(x)
-        listed = F.when(F.contains(listed, F.lit(" f")), F.regexp_replace(listed, r"\s+(?=(?:f|fil)\.(?:\s|,|&|\z))", " ")).otherwise(listed)
-        turned = F.regexp_replace(listed, rf"(?<![\p{{L}}.'-])(\p{{Lu}}[\p{{L}}'-]*\p{{Ll}}),\s*({_INITIALS})(?=\s*(?:,|&|;|\z|and\s|et\s))", "$2$1")
-        listed = F.when(F.regexp_like(listed, F.lit(r",\s*\p{Lu}[a-z]?\.")), turned).otherwise(listed)
-        return F.filter(F.transform(F.split(listed, _SEPARATOR), lambda a: author(F.trim(a))), lambda a: a != "")
+    surname = r"(?<![\p{L}.'-])\p{Lu}[\p{L}'-]*\p{Ll}"
+    steps = (
+        # What a list must hold for a step, its pattern and what that becomes.
+        (r"[\[\]()\"]", r"[\[\]()\"]", ""),
+        (r",\s*(?:&|and\s|et\s)", r",\s*(?:&|and|et)\s+", " & "),
+        (r",", rf"\s*,\s*(?={_SUFFIX}\.?(?:\s|,|&|\z))", " "),
+        (r"\sf", r"\s+(?=(?:f|fil)\.(?:\s|,|&|\z))", " "),
+        (r",\s*\p{Lu}[a-z]?\.", rf"({surname}),\s*({_INITIALS})(?=\s*(?:,|&|;|\z|and\s|et\s))", "$2$1"),
+        (r"\s\p{Lu}{1,3}\s+\p{Lu}\p{Ll}", rf"({surname}\s+(?!II|IV)\p{{Lu}}{{1,3}})\s+(?=\p{{Lu}}\p{{Ll}}+\s+\p{{Lu}}{{1,3}}(?:\s|,|&|\z))", "$1, "),
+    )
+
+    def step(x: Column, k: int) -> Column:
+        if k == len(steps):
+            return F.filter(F.transform(F.split(x, _SEPARATOR), lambda a: author(F.trim(a))), lambda a: a != "")
+        needs, pattern, become = steps[k]
+        return let(F.when(F.regexp_like(x, F.lit(needs)), F.regexp_replace(x, pattern, become)).otherwise(x), lambda y: step(y, k + 1))
 
     none = F.array().cast(_EMPTY)
-    one = F.regexp_like(x, F.lit(r"^\p{Lu}[\p{L}.]*\z"))
-    return F.when(x == "", none).when(one, F.array(author(x))).otherwise(F.coalesce(parts(x), none))
+    return F.when(x == "", none).when(F.regexp_like(x, F.lit(r"^\p{Lu}[\p{L}.]*\p{Ll}[\p{L}.]*\z")), F.array(x)).otherwise(F.coalesce(step(x, 0), none))
 
 
 def has_range(x: Column) -> Column:
@@ -54,23 +63,42 @@ def has_range(x: Column) -> Column:
 
 
 def authorship(x: Column) -> Column:
-    """AUTHORSHIP of a string such as "Hook.f. ex Mill. & L., 1753" (null or empty: nothing)."""
+    """AUTHORSHIP of a string such as "Hook.f. ex Mill. & L., 1753" (null or empty: nothing).
+
+    A year in square brackets is an imprint year. Where the end is no year, the first number of three or four
+    digits is the year and a second one the imprint year, and numbers part the authors."""
     none = F.array().cast(_EMPTY)
-    text = F.coalesce(F.trim(x), F.lit(""))
+    number = r"(?<![0-9])([0-9]{3,4})(?![0-9])"
 
     def named(names: Column, year: Column, imprint: Column) -> Column:
-        has_ex = F.contains(names, F.lit(" ex")) & F.regexp_like(names, F.lit(r"\sex\.?\s"))
-        before = F.when(has_ex, F.regexp_extract(names, r"^(.*?)\sex\.?\s", 1)).otherwise("")
-        after = F.when(has_ex, F.regexp_extract(names, r"^.*?\sex\.?\s+(.*)\z", 1)).otherwise(names)
-        return F.struct(team(after).alias("authors"), team(before).alias("exAuthors"), year.alias("year"), imprint.alias("imprintYear"))
+        def both(p: Column) -> Column:
+            people = F.transform(p, team)
+            return let(people, lambda t: F.struct(F.get(t, F.size(t) - 1).alias("authors"), F.when(F.size(t) > 1, F.get(t, F.lit(0))).otherwise(none).alias("exAuthors"), year.alias("year"), imprint.alias("imprintYear")))
+
+        parts = F.when(F.contains(names, F.lit("ex")), F.split(F.regexp_replace(names, r"^ex\.?\s+", ""), r"\sex\.?\s+(?!.*\sex\.?\s)")).otherwise(F.array(names))
+        return let(parts, both)
 
     def read(t: Column) -> Column:
-        years = F.when(F.regexp_like(t, F.lit("[0-9]{3}")), groups(t, _YEAR, 4))
-        return let(years, lambda y: named(F.regexp_replace(F.replace(F.coalesce(F.get(y, F.lit(0)), t), F.lit("?"), F.lit("")), r"[\s,(\[]+\z", ""), filled(y, 2), F.coalesce(filled(y, 3), filled(y, 4))))
+        digits = F.regexp_like(t, F.lit("[0-9]{3}"))
+        return let(F.when(digits, groups(t, _YEAR, 4)), lambda y: F.when(digits & y.isNull(), scattered(t)).otherwise(dated(t, y)))
+
+    def dated(t: Column, y: Column) -> Column:
+        names = F.regexp_replace(F.replace(F.coalesce(F.get(y, F.lit(0)), t), F.lit("?"), F.lit("")), r"[\s,(\[]+\z", "")
+        bracket = F.coalesce(F.endswith(F.get(y, F.lit(0)), F.lit("[")), F.lit(False))
+        return named(names, F.when(~bracket, filled(y, 2)), F.coalesce(F.when(bracket, filled(y, 2)), filled(y, 3), filled(y, 4)))
+
+    def scattered(t: Column) -> Column:
+        left = F.trim(F.regexp_replace(t, r"[0-9][\p{L}0-9/–?.-]*", ","))
+        return let(F.regexp_extract_all(t, F.lit(number), 1), lambda n: named(F.regexp_replace(left, r"^[\s,]+|[\s,(\[\"]+\z", ""), F.get(n, F.lit(0)), F.get(n, F.lit(1))))
 
     null = F.lit(None).cast("string")
     nothing = F.struct(none.alias("authors"), none.alias("exAuthors"), null.alias("year"), null.alias("imprintYear"))
-    return F.when(text == "", nothing).otherwise(read(text))
+    return let(F.coalesce(F.trim(x), F.lit("")), lambda t: F.when(t == "", nothing).otherwise(read(t)))
+
+
+def authorships(*xs: Column) -> Column:
+    """An array with the AUTHORSHIP of each string: one expression, however many there are."""
+    return F.transform(F.array(*xs), authorship)
 
 
 def exists(a: Column) -> Column:

@@ -43,7 +43,7 @@ def coded(x: Column) -> Column:
         letter = lambda p: F.regexp_like(w, F.lit(p))
         lower = own.when(letter(r"^.\z"), F.lit("g")).when(letter(r"'\p{Lu}"), F.lit("p")).otherwise("l")
         upper = F.when(letter(r"^.\z"), F.when(w == "X", F.lit("h")).otherwise("I")).when(letter(r"\p{Ll}"), F.lit("C")).otherwise("U")
-        rest = F.when(letter("^[0-9]+-"), F.lit("l")).when(letter("^[0-9]"), F.lit("n")).when(w == "×", F.lit("H")).when(letter(r"^\p{L}"), F.lit("l")).when(w.isin(*".,&()?:'-"), w).otherwise("o")
+        rest = F.when(letter("^[0-9]+-"), F.lit("l")).when(letter("^[0-9]"), F.lit("n")).when(w.isin("×", "+"), F.lit("H")).when(letter(r"^\p{L}"), F.lit("l")).when(w.isin(*".,&()?:'-"), w).otherwise("o")
         return F.when(letter(r"^[\p{Ll}]"), lower).when(letter(r"^\p{Lu}"), upper).otherwise(rest)
 
     tokens = F.regexp_extract_all(x, F.lit(f"({_TOKEN})"), 1)
@@ -65,14 +65,14 @@ _DATED = rf"(?=.*n\s*[12][0-9]{{3}}{_END})"
 
 
 def _unit() -> str:
-    """A further epithet with its marker (author, marker, "sp", cross, epithet), or bare (qualifier, cross, epithet)."""
+    """A further epithet with its marker (qualifier, author, marker, "sp", cross, epithet), or bare (qualifier, cross, epithet)."""
     marked = rf"({_AMID})??((?:{_t('m')}|s\s*sp{_END})){_DOT}(?:({_t('sS')}){_DOT}(?=[lg]))?({_t('Hh')})?({_EPITHET}|I[^{_END}]*+{_END}(?!\.))"
-    return rf"(?:{marked}|({_t('q')}{_DOT}|{_t('?')})?({_t('Hh')})?({_t('l')}))?"
+    return rf"(?:({_t('q')}{_DOT}|{_t('?')})?(?:{marked}|({_t('Hh')})?({_t('l')})))?"
 
 
 _PARTS = (
     "hyb", "genus", "sub", "gauth", "imark", "isub", "qual", "indet", "spx", "sp",
-    *(f"{c}{k}" for k in (1, 2, 3) for c in ("by", "mark", "fsp", "x", "isp", "q", "bx", "bare")),
+    *(f"{c}{k}" for k in (1, 2, 3) for c in ("q", "by", "mark", "fsp", "x", "isp", "bx", "bare")),
     "extra", "agg", "late", "sauth", "last", "tag", "number", "more", "auth",
 )
 _GENUS = rf"({_t('Hh')})?(I[^{_END}]*+{_END}{_t('.')}|C\p{{L}}{{1,4}}{_END}{_t('.')}(?=[lgH])|{_t('CU')}|{_t('?')})"
@@ -98,7 +98,8 @@ def read(x: Column, particle: Column) -> Column:
     def plain(g: Column) -> Column:
         return F.transform(g, lambda v: F.when(v == "", v).otherwise(F.trim(F.translate(F.regexp_replace(v, f"(?:^|{_END})[^{_END}]", ""), _END, ""))))
 
-    return text.let(text.let(coded(x), parsed), plain)
+    glued = F.regexp_replace(x, r"^[xX×](?=\p{Lu}\p{Ll})", "× ")
+    return text.let(text.let(text.let(glued, coded), parsed), plain)
 
 
 def part(words: Column, name: str) -> Column:

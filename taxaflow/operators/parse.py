@@ -29,13 +29,13 @@ _NONE = "cast(null as string)"
 _SURNAME = r"\p{Lu}[\p{Ll}']*\p{Ll}(?:-\p{Lu}\p{Ll}+)?\.?|\p{Lu}\."
 _TEAM = rf"(?:{_SURNAME})(?:(?:\s?&\s|,\s|\s)?(?:{_SURNAME}))*+"
 _YEARS = r"(?:,? (?:1[5-9]|20)[0-9]{2})?"
-_PLAIN = rf"^(\p{{Lu}}\p{{Ll}}{{2,}}+)(?: \((\p{{Lu}}\p{{Ll}}{{2,}}+)\)(?= \p{{Ll}}))?(?: (\p{{Ll}}{{3,}}+(?:-\p{{Ll}}{{3,}}+)?)(?: (\p{{Ll}}{{4,}}+))?(?: \(({_TEAM}{_YEARS})\)(?= \p{{Lu}}|\z))?)?(?: ({_TEAM}{_YEARS}))?\z"
+_PLAIN = rf"^(?!.*(?:, P\. ?P\.|-(?:group|complex|aggregate)(?: |\z)))(\p{{Lu}}\p{{Ll}}{{2,}}+)(?: \((\p{{Lu}}\p{{Ll}}{{2,}}+)\)(?= \p{{Ll}}))?(?: (\p{{Ll}}{{3,}}+(?:-\p{{Ll}}{{3,}}+)?)(?: (\p{{Ll}}{{4,}}+))?(?: \(({_TEAM}{_YEARS})\)(?= \p{{Lu}}|\z))?)?(?: ({_TEAM}{_YEARS}))?\z"
 #: Words that mean something in a name; names with one of them are read in full.
 _WORDS = sorted(
     {*vocab.PARTICLES, *vocab.INFRASPECIFIC, *vocab.INFRAGENERIC}
     | set("sp spp spec species cf aff near indet undet hort anon apud non nec not null ex and sensu sec auct auctt fide emend ss sic corrig group complex aggregate agg lineage clade grex strain nov nomen nom comb orth ined ms msc".split())
     | set("unpublished press mihi delete unknown unassigned unaccepted unidentified undetermined uncultured undescribed indeterminate incertae sedis dummy temp Group Candidatus Missing Unident Unidentified Undescribed Undet Unknown Approved".split())
-    | set("Incertae Unassigned Uncultured Undetermined Not Anon Hort Auct Sensu Gen Anon. Hort. Auct. Nom. Comb. Gen. Fam. Vector Vectors Prion Prions Particle Particles Replicon Replicons Rna".split())
+    | set("Ms MS Incertae Unassigned Uncultured Undetermined Not Anon Hort Auct Sensu Gen Anon. Hort. Auct. Nom. Comb. Gen. Fam. Vector Vectors Prion Prions Particle Particles Replicon Replicons Rna".split())
 )
 _VIRAL_HINTS = ("vir", "phage", "satellite", "vector", "prion", "particle", "replicon")
 
@@ -89,34 +89,45 @@ def _read_words(t: Column, wanted: Column, rank: Column) -> Column:
             given(F.coalesce(of("x"), F.when(~marked, F.coalesce(three["bx"], two["bx"], one["bx"])))).alias("ispx"), F.when(given(of("fsp")), F.lit("fsp")).otherwise(bare_mark(mark)).alias("mark"), bare_mark(late).alias("late"),
             (~marked & F.contains(bare, F.lit(" "))).alias("four"), F.coalesce(of("isp"), F.nullif(F.substring_index(bare, " ", -1), F.lit(""))).alias("isp"), F.when(marked, F.nullif(rest, F.lit(""))).alias("unread"), dropped.alias("dropped"),
             F.when(given(own("number")), F.when(given(own("more")), F.concat_ws(" ", own("tag"), own("number"), own("more"))).when(own("tag") == "species", F.concat_ws(" ", own("tag"), own("number"))).otherwise(own("number"))).alias("tag"),
-            F.trim(F.regexp_replace(F.coalesce(own("auth"), F.lit("")), r"^[\s,]+", "")).alias("auth"),
+            F.trim(F.regexp_replace(F.coalesce(own("auth"), F.lit("")), r"^[\s,-]+", "")).alias("auth"),
         )
 
     particle = F.coalesce(rank.isin(*_SPECIES_DOWN), no)
     return text.let(F.when(wanted, words.read(_recover_case(t), particle)), lambda g: F.when(g.isNotNull(), found(g)))
 
 
-def _read_authors(given: Column, own: Column, wanted: Column, reference_year: Column, imprint_year: Column) -> Column:
-    """A struct of combination, basionym and sanctioning author; a separate authorship goes before the name's own."""
+def _read_authors(given: Column, own: Column, wanted: Column, reference_year: Column, imprint_year: Column, generic: Column, specific: Column) -> Column:
+    """A struct of combination, basionym and sanctioning author, and of the authors of genus and species; a separate
+    authorship goes before the name's own. Brackets that hold no author are unread text."""
     let, filled = text.let, text.filled
 
     def split(a: Column) -> Column:
-        return let(F.when(F.startswith(a, F.lit("(")) & ~F.contains(a, F.lit(")")), F.concat(a, F.lit(")"))).otherwise(a), closed)
+        tidy = F.when(F.regexp_like(a, F.lit(r"^\(\s*\(")), F.regexp_replace(F.regexp_replace(a, r"^\(\s*\(", "("), r"\)\s*\)", ")")).otherwise(a)
+        open_ = F.startswith(tidy, F.lit("(")) & ~F.contains(tidy, F.lit(")"))
+        # An open bracket is closed at the end; a doubled one that stays open is no bracket.
+        return let(F.when(open_ & (tidy != a), F.substring(tidy, 2, 999)).when(open_, F.concat(tidy, F.lit(")"))).otherwise(tidy), closed)
 
     def closed(a: Column) -> Column:
         return let(F.when(F.startswith(a, F.lit("(")), text.groups(a, _BASIONYM, 2)), lambda bas: let(F.coalesce(F.get(bas, F.lit(1)), a), lambda comb: sanctioned(a, bas, comb)))
 
     def sanctioned(a: Column, bas: Column, comb: Column) -> Column:
-        return let(F.when(F.contains(comb, F.lit(":")), text.groups(comb, _SANCTION, 2)), lambda s: let(F.struct(
-            authors.authorship(F.coalesce(F.get(s, F.lit(0)), comb)).alias("c"), authors.authorship(F.regexp_replace(F.get(bas, F.lit(0)), r"\s*:.*\z", "")).alias("b"),
-        ), lambda who: read(a, bas, s, who)))
+        inner = F.regexp_replace(F.get(bas, F.lit(0)), r"\s*:.*\z", "")
+        nobody = bas.isNotNull() & ~F.regexp_like(inner, F.lit(r"[\p{Lu}0-9]"))
 
-    def read(a: Column, bas: Column, s: Column, who: Column) -> Column:
-        comb = who["c"]
-        late = F.coalesce(comb["year"], F.when(~authors.exists(who["b"]), reference_year))
+        def people(s: Column) -> Column:
+            return authors.authorships(F.coalesce(F.get(s, F.lit(0)), comb), F.when(~nobody, inner), generic, specific)
+
+        return let(F.when(F.contains(comb, F.lit(":")), text.groups(comb, _SANCTION, 2)), lambda s: let(people(s), lambda who: read(a, bas, s, who, F.when(nobody, F.concat(F.lit("("), F.trim(inner), F.lit(")"))))))
+
+    def read(a: Column, bas: Column, s: Column, who: Column, unread: Column) -> Column:
+        comb, basionym = F.get(who, F.lit(0)), F.get(who, F.lit(1))
+        late = F.coalesce(comb["year"], F.when(basionym["year"].isNull(), reference_year))
         dated = F.struct(comb["authors"].alias("authors"), comb["exAuthors"].alias("exAuthors"), late.alias("year"), F.coalesce(comb["imprintYear"], imprint_year).alias("imprintYear"))
         filius = F.contains(a, F.lit("f")) & _like(a, r"(?<=\S)\s*(?:(?<=[\s.])f\.|\bfil\.)")
-        return F.struct(dated.alias("comb"), who["b"].alias("bas"), filled(s, 2).alias("sanct"), bas.isNotNull().alias("has_bas"), F.coalesce(filius, F.lit(False)).alias("filius"), authors.has_range(a).alias("ranged"))
+        return F.struct(
+            dated.alias("comb"), basionym.alias("bas"), F.when(generic.isNotNull(), F.get(who, F.lit(2))).alias("generic"), F.when(specific.isNotNull(), F.get(who, F.lit(3))).alias("specific"), filled(s, 2).alias("sanct"),
+            (bas.isNotNull() & unread.isNull()).alias("has_bas"), F.coalesce(filius, F.lit(False)).alias("filius"), authors.has_range(a).alias("ranged"), unread.alias("unread"),
+        )
 
     return let(F.when(wanted, F.coalesce(F.nullif(F.trim(given), F.lit("")), own, F.lit(""))), split)
 
@@ -144,10 +155,9 @@ def _struct(**known: Column) -> Column:
 def _plain_name(g: Column) -> Column:
     """The parsed struct of a plain name, from its groups; nothing in it needs the rules."""
     part = lambda k: text.filled(g, k)
-    people = text.let(F.struct(authors.authorship(part(6)).alias("c"), authors.authorship(part(5)).alias("b")), lambda x: x)
 
     def whole(who: Column) -> Column:
-        comb, bas = who["c"], who["b"]
+        comb, bas = F.get(who, F.lit(0)), F.get(who, F.lit(1))
         combined, based = F.size(comb["authors"]) > 0, F.size(bas["authors"]) > 0
         year = comb["year"].isNotNull() | bas["year"].isNotNull()
         code = F.when(year & ~(combined & based), F.lit("ZOOLOGICAL")).when(combined & based & ~year, F.lit("BOTANICAL")).when(based & ~combined, F.lit("ZOOLOGICAL"))
@@ -161,7 +171,7 @@ def _plain_name(g: Column) -> Column:
             combinationAuthorship=comb, basionymAuthorship=bas,
         )
 
-    return text.let(people, whole)
+    return text.let(authors.authorships(part(6), part(5)), whole)
 
 
 def _nobody() -> Column:
@@ -250,7 +260,7 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
     # The author within an autonym is that of the whole name.
     autonym = F.when((F.col("__w.isp") == F.col("__w.sp")) & (F.col("__w.auth") == ""), F.col("__w.sauth"))
     own = F.when(F.col("__f.phrase").isNull() & F.col("__w.iphrase").isNull(), F.coalesce(autonym, F.col("__w.auth")))
-    work = work.withColumn("__a", _read_authors(F.col("__given"), own, F.col("__open"), F.col("__f.reference_year"), F.col("__f.imprint_year")))
+    work = work.withColumn("__a", _read_authors(F.col("__given"), own, F.col("__open"), F.col("__f.reference_year"), F.col("__f.imprint_year"), F.col("__w.gauth"), F.col("__w.sauth")))
     work = _infer(work, F.col("__rankh"), F.col("__codeh"))
     rescue = F.col("__kind.rescue_taxon").isNotNull()
     has_sp = F.col("__w.sp").isNotNull()
@@ -295,16 +305,15 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
     )
     notho = F.when(F.coalesce(*crosses).isNotNull(), F.array_compact(F.array(*crosses)))
     sure = lambda c: F.when(~rescue, c)
-    combined = lambda c: F.when(F.col(c).isNotNull(), authors.authorship(F.col(c)))
     parsed = _struct(
         rank=F.when(rescue | lost, F.lit("UNRANKED")).when(unfinished | too_high | no_infra, known).otherwise(F.col("__i.rank")),
         code=sure(F.col("__i.code")),
         uninomial=sure(F.when(~as_genus & ~moved, F.concat(F.coalesce(quoted, F.lit("")), F.col("__w.genus"), F.coalesce(quoted, F.lit(""))))),
         genus=F.when(rescue, F.col("__kind.rescue_taxon")).otherwise(F.when(as_genus, F.col("__w.genus"))),
-        genericAuthorship=sure(combined("__w.gauth")),
+        genericAuthorship=sure(F.col("__a.generic")),
         infragenericEpithet=sure(F.coalesce("__w.isub", "__w.sub", F.when(moved, F.col("__w.genus")))),
         specificEpithet=sure(F.col("__w.sp")),
-        specificAuthorship=sure(combined("__w.sauth")),
+        specificAuthorship=sure(F.col("__a.specific")),
         infraspecificEpithet=sure(F.col("__w.isp")),
         cultivarEpithet=sure(F.col("__f.cultivar")),
         phrase=F.when(rescue, F.col("__kind.rescue_phrase")).otherwise(F.coalesce("__f.phrase", "__w.iphrase", "__w.tag")),
@@ -319,10 +328,10 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
         publishedIn=sure(F.col("__f.published_in")),
         publishedInYear=sure(text.published_year(F.coalesce("__f.published_in", F.lit("")))),
         publishedInPage=sure(F.col("__f.page")),
-        unparsed=sure(F.when(lost, F.trim("__raw")).otherwise(F.coalesce("__f.unparsed", "__w.unread"))),
+        unparsed=sure(F.when(lost, F.trim("__raw")).otherwise(F.coalesce("__f.unparsed", "__w.unread", "__a.unread"))),
         doubtful=(F.col("__f.doubtful") | too_high | F.col("__w.lowsub") | (F.col("__w.qual") == "?")),
         manuscript=F.col("__f.manuscript"),
-        state=F.when(~rescue & (lost | F.col("__f.unparsed").isNotNull() | F.col("__w.unread").isNotNull()), F.lit("PARTIAL")).otherwise("COMPLETE"),
+        state=F.when(~rescue & (lost | F.col("__f.unparsed").isNotNull() | F.col("__w.unread").isNotNull() | F.col("__a.unread").isNotNull()), F.lit("PARTIAL")).otherwise("COMPLETE"),
         warnings=F.when(warn.isNull() & (F.size("__f.warnings") < 2), F.col("__f.warnings")).otherwise(F.sort_array(F.array_union("__f.warnings", F.coalesce(warn, F.array().cast("array<string>"))))),
         combinationAuthorship=F.when(rescue | unfinished | lost, _nobody()).otherwise(F.col("__a.comb")),
         basionymAuthorship=F.when(rescue | unfinished | lost, _nobody()).otherwise(F.col("__a.bas")),

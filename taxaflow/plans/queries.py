@@ -278,8 +278,10 @@ def parse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each field looked at of each name in CASES, as parsed."""
-    held = spark.createDataFrame([(name, list(found)) for name, found in CASES], "name string, fields array<string>")
+    """For each document the name of CASES that its doc_id falls on, and each field looked at as parsed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.pmod("doc_id", F.lit(len(CASES))).cast("int").alias("k"))
+    listed = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, found)).alias("fields")) for name, found in CASES))
+    held = docs.select("doc_id", F.get(listed, F.col("k")).alias("case")).select("doc_id", "case.name", "case.fields")
     p = F.col("parsed")
     people = lambda c: F.array_join(p[f"{c}Authorship"]["authors"], "|")
     read = {
@@ -287,15 +289,15 @@ def name_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tax": p["taxonomicNote"], "nom": p["nomenclaturalNote"], "unparsed": p["unparsed"], "comb": people("combination"), "bas": people("basionym"), "year": p["combinationAuthorship"]["year"],
     }
     table = F.create_map(*(x for k, v in read.items() for x in (F.lit(k), F.coalesce(v, F.lit("")))))
-    return parse_names(held).select("name", F.explode("fields").alias("field"), table.alias("t")).select("name", "field", F.col("t")[F.col("field")].alias("value"))
+    return parse_names(held).select("doc_id", "name", F.explode("fields").alias("field"), table.alias("t")).select("doc_id", "name", "field", F.col("t")[F.col("field")].alias("value"))
 
 
 def rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rank with its groups, and how it compares with SPECIES."""
-    held = ranks.rank_dimension(spark)
-    species = F.lit("SPECIES")
-    return held.select(
-        "rank", F.col("ordinal").cast("long").alias("ordinal"), "code", "marker", "plural", "major", "infraspecific", "infrageneric_strictly", "family_group", "genus_group", "suprageneric", "ambiguous_marker",
+    """For each document the rank that its doc_id falls on, with its groups and how it compares with SPECIES."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.get(F.array(*map(F.lit, ranks.NAMES)), F.pmod("doc_id", F.lit(len(ranks.NAMES))).cast("int")).alias("rank"))
+    info, species = F.col("rank_info"), F.lit("SPECIES")
+    return ranks.with_rank(docs).select(
+        "doc_id", "rank", info["ordinal"].cast("long").alias("ordinal"), *(info[c].alias(c) for c in ("code", "marker", "plural", "major", "infraspecific", "infrageneric_strictly", "family_group", "genus_group", "suprageneric", "ambiguous_marker")),
         ranks.higher_than(F.col("rank"), species).alias("higher"), ranks.lower_than(F.col("rank"), species).alias("lower"), ranks.from_name(F.lower("rank")).isNull().alias("exact"),
     )
 
@@ -354,14 +356,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     found = {name: f"{_BASE} SELECT {cols}" + ("" if " FROM n" in cols else " FROM n") for name, cols in _SELECT.items()}
-    found["name_cases"] = "SELECT * FROM (VALUES " + _values([(name, k, v) for name, fields in CASES for k, v in fields.items()]) + ") AS t(name, field, value)"
+    cases = _values([(i, name, k, v) for i, (name, fields) in enumerate(CASES) for k, v in fields.items()])
+    found["name_cases"] = f"SELECT doc_id, name, field, value FROM documents JOIN (VALUES {cases}) AS t(i, name, field, value) ON doc_id % {len(CASES)} = i"
     found["rank_table"] = f"""
         WITH r AS (SELECT * FROM (VALUES {_values([tuple(i[c] for c in ("rank", "ordinal", "code", "marker", "plural", "major")) for i in ranks.INFO.values()])}) AS t(rank, ordinal, code, marker, plural, major)),
              o AS (SELECT max(ordinal) FILTER (rank = 'SPECIES') AS s, max(ordinal) FILTER (rank = 'GENUS') AS g, max(ordinal) FILTER (rank = 'SPECIES_AGGREGATE') AS a, max(ordinal) FILTER (rank = 'GIGAFAMILY') AS f,
                           max(ordinal) FILTER (rank = 'SUPRAGENERIC_NAME') AS u, max(ordinal) FILTER (rank = 'SUPERGENUS') AS v FROM r)
-        SELECT rank, CAST(ordinal AS BIGINT) AS ordinal, code, marker, plural, major, ordinal > s AND rank NOT IN ('OTHER', 'UNRANKED') AS infraspecific, ordinal > g AND ordinal < a AS infrageneric_strictly,
+        , k AS (SELECT rank, CAST(ordinal AS BIGINT) AS ordinal, code, marker, plural, major, ordinal > s AND rank NOT IN ('OTHER', 'UNRANKED') AS infraspecific, ordinal > g AND ordinal < a AS infrageneric_strictly,
                ordinal >= f AND ordinal < u AS family_group, ordinal >= v AND ordinal < a AS genus_group, ordinal < g AS suprageneric, marker IS NOT NULL AND count(*) OVER (PARTITION BY marker) > 1 AS ambiguous_marker,
-               ordinal < s AS higher, ordinal > s AND rank NOT IN ('OTHER', 'UNRANKED') AS lower, true AS exact FROM r, o"""
+               ordinal < s AS higher, ordinal > s AND rank NOT IN ('OTHER', 'UNRANKED') AS lower, true AS exact FROM r, o)
+        SELECT doc_id, k.* FROM documents JOIN (VALUES {_values(list(enumerate(ranks.NAMES)))}) AS n(i, rank) ON doc_id % {len(ranks.NAMES)} = i JOIN k USING (rank)"""
     found["quote_normalise"] = "SELECT doc_id, chr(39) || translate(coalesce(text, ''), '’‘“”', chr(39) || chr(39) || '\"\"') || '\"' AS quoted FROM documents"
     found["benchmark_percentiles"] = (
         "SELECT count(n_chars) AS n, CAST(sum(n_chars) AS BIGINT) AS total, min(n_chars) AS min, avg(n_chars) AS avg, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS max FROM documents"

@@ -131,12 +131,55 @@ def test_unread_text_is_partial_and_text_without_letters_is_no_name(spark):
     assert (got[1].result, got[1].error.type) == ("error", "OTHER")
 
 
-def test_name_cases(spark):
+def test_name_cases(spark, tmp_path):
     from taxaflow.plans import queries
     from taxaflow.plans.cases import CASES
 
-    want = {(name, field): value for name, fields in CASES for field, value in fields.items()}
-    assert {(r.name, r.field): r.value for r in queries.name_cases(spark, "").collect()} == want
+    spark.range(len(CASES)).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(i, name, field): value for i, (name, fields) in enumerate(CASES) for field, value in fields.items()}
+    assert {(r.doc_id, r.name, r.field): r.value for r in queries.name_cases(spark, str(tmp_path)).collect()} == want
+
+
+#: Names with odd tokens, and the fields that differ from their defaults.
+TOKENS = [
+    ("Aus bus subsp. sp. minor Mill.", {"specificEpithet": "bus", "infraspecificEpithet": "minor", "rank": "FORMA_SPECIALIS", "comb": ["Mill."]}),
+    ("Aus bus var.", {"specificEpithet": "bus", "rank": "VARIETY", "type": "INFORMAL", "comb": [], "warnings": ["indetermined name missing its terminal epithet"]}),
+    ("Aus bus var. Dus", {"specificEpithet": "bus", "infraspecificEpithet": None, "rank": "VARIETY", "comb": ["Dus"]}),
+    ("Aus bus Mill. var.", {"specificEpithet": "bus", "rank": "VARIETY", "spec": ["Mill."], "comb": []}),
+    ("Aus bus-group Mill.", {"specificEpithet": "bus", "rank": "SPECIES_AGGREGATE", "comb": ["Mill."]}),
+    ("Aus bus cus dus eus Mill.", {"specificEpithet": "bus", "infraspecificEpithet": "eus", "rank": "INFRASUBSPECIFIC_NAME", "comb": ["Mill."]}),
+    ("Aus bus var. cus dus Mill.", {"infraspecificEpithet": "cus", "unparsed": "dus", "state": "PARTIAL", "comb": ["Mill."]}),
+    ("Aus bus subsp. cus L. var. dus (L.) Mill.", {"infraspecificEpithet": "dus", "warnings": ["Removed: subsp. cus L.", "name was quadrinomial"], "bas": ["L."], "comb": ["Mill."]}),
+    ("Aus bus (L.) Mill. var. cus Dus", {"infraspecificEpithet": "cus", "rank": "VARIETY", "comb": ["Dus"]}),
+    ("Aus near bus", {"specificEpithet": "bus", "type": "INFORMAL", "epithetQualifier": {"SPECIFIC": "near"}}),
+    ("Aus bus cf. cus", {"infraspecificEpithet": "cus", "epithetQualifier": {"INFRASPECIFIC": "cf."}}),
+    ("Aus (Tin.) bus Mill.", {"infragenericEpithet": "Tin.", "specificEpithet": "bus", "warnings": ["abbreviated subgenus name"]}),
+    ("Aus (tin) bus Mill.", {"infragenericEpithet": "Tin", "doubtful": True}),
+    ("Aus bus DE LA CRUZ", {"comb": ["DE LA Cruz"]}),
+    ("Aus bus Balsamo M Todaro MA, 1999", {"comb": ["M.Balsamo", "M.A.Todaro"], "year": "1999"}),
+    ("Aus bus v. d. Beek", {"comb": ["v.d.Beek"]}),
+    ("Aus bus Mill. (in press)", {"comb": ["Mill."], "manuscript": True, "nomenclaturalNote": "in press"}),
+    ("&lt;i&gt;Abies&lt;/i&gt; alba", {"genus": "Abies", "specificEpithet": "alba"}),
+    ("Aus bus L. 'Nana", {"comb": ["L."], "cultivarEpithet": "Nana", "rank": "CULTIVAR"}),
+]
+
+
+def test_tokens(spark):
+    rows = parse_names(spark.createDataFrame([(n,) for n, _ in TOKENS], "name string")).select("name", F.to_json("parsed", {"ignoreNullFields": "false"}).alias("p")).collect()
+    wrong = []
+    for name, want in TOKENS:
+        p = json.loads(next(r.p for r in rows if r.name == name) or "{}")
+        p |= {k: (p.get(f"{c}Authorship") or {}).get("authors") for k, c in (("comb", "combination"), ("bas", "basionym"), ("spec", "specific"))} | {"year": (p.get("combinationAuthorship") or {}).get("year")}
+        got = {k: p.get(k) for k in want}
+        wrong += [(name, got, want)] if got != want else []
+    assert not wrong
+
+
+def test_particles_by_rank(spark):
+    df = spark.createDataFrame([("Zodarion van Bosmans, 2009", "SPECIES"), ("Zodarion van Bosmans, 2009", None)], "name string, r string")
+    got = {r.r: r.parsed for r in parse_names(df, rank="r").collect()}
+    assert (got["SPECIES"].specificEpithet, got["SPECIES"].combinationAuthorship.authors) == ("van", ["Bosmans"])
+    assert (got[None].uninomial, got[None].combinationAuthorship.authors) == ("Zodarion", ["van Bosmans"])
 
 
 def test_text_functions(spark):
