@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from taxaflow.functions import render, text
 from taxaflow.functions import sql as sql_functions
-from taxaflow.operators import reports
+from taxaflow.operators import ordered, reports
 from taxaflow.operators.flat import flat_view
 from taxaflow.operators.parse import parse_names
 from taxaflow.plans import ranks
@@ -277,6 +277,46 @@ def parse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(parsed.schema).parquet(f"{out}/out")
 
 
+#: doc_id and pos as one number, and how many documents one range of it holds.
+_RANGE = 1 << 32
+
+
+def _number() -> Column:
+    return F.col("doc_id") * (1 << 24) + F.col("pos")
+
+
+def compare_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists of names by place: of the second one the first of each hundred is missing and some have other white space or epithets."""
+    parts = _parts(spark, sf_dir).withColumn("number", _number())
+    left = parts.select("number", F.concat("genus", F.lit(" "), "species").alias("name"), "author")
+    spaced = F.when(F.col("k") == 0, F.concat("genus", F.lit("  "), "species")).when(F.col("k") == 1, F.concat("genus", F.lit(" "), "infra")).otherwise(F.concat("genus", F.lit(" "), "species"))
+    right = parts.where("doc_id % 100 <> 7 OR pos > 0").select("number", spaced.alias("name"), "author")
+    return ordered.compare_places(left, right, "number", ["name", "author"], ignore_whitespace=True, width=_RANGE).select("place", "change", F.array_join("paths", "|").alias("paths"))
+
+
+def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reservoir of 100 over all documents in the order of doc_id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    return ordered.reservoir(docs, 100, "doc_id", seed=42).select("slot", "doc_id", "place")
+
+
+def judge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without a label, in batches of 25."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    return ordered.judge_batches(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "doc_id")
+
+
+def verdict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts read from replies that hold the documents' texts as notes, with broken objects and thoughts between."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    one = lambda k, note: F.to_json(F.struct((F.col("doc_id") * 2 + k).alias("index"), F.lit("ok").alias("verdict"), F.lit("high").alias("confidence"), note.alias("note")))
+    reply = F.concat(
+        F.lit('<think>{"verdicts": [{</think>Here: {"verdicts": [ '), one(0, F.col("text")), F.lit(', {"index": "x", "verdict": {"a": 1}}, {"verdict": "ok"}, '), one(1, F.lit('} ] { \\ "')),
+        F.when(F.col("doc_id") % 2 == 0, F.lit(', {"index": 5, "verdict": "ok", "no')).otherwise(F.lit(']} {"index": 9, "verdict": "ok", "confidence": "low"}')),
+    )
+    return ordered.read_verdicts(docs.select("doc_id", reply.alias("reply"))).select("doc_id", "index", "verdict", "confidence", F.md5("note").alias("note_md5"))
+
+
 def name_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document the name of CASES that its doc_id falls on, and each field looked at as parsed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.pmod("doc_id", F.lit(len(CASES))).cast("int").alias("k"))
@@ -350,7 +390,7 @@ _SELECT = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: globals()[name] for name in _SELECT if name in globals() and name not in ("flat_view",)}
-    others = (name_cases, rank_table, quote_normalise, benchmark_percentiles, html_strip)
+    others = (compare_places, reservoir_sample, judge_batches, verdict_scan, name_cases, rank_table, quote_normalise, benchmark_percentiles, html_strip)
     return own | {"flat_view": flat} | {f.__name__: f for f in others}
 
 
@@ -366,6 +406,24 @@ def oracle_sql() -> dict[str, str]:
                ordinal >= f AND ordinal < u AS family_group, ordinal >= v AND ordinal < a AS genus_group, ordinal < g AS suprageneric, marker IS NOT NULL AND count(*) OVER (PARTITION BY marker) > 1 AS ambiguous_marker,
                ordinal < s AS higher, ordinal > s AND rank NOT IN ('OTHER', 'UNRANKED') AS lower, true AS exact FROM r, o)
         SELECT doc_id, k.* FROM documents JOIN (VALUES {_values(list(enumerate(ranks.NAMES)))}) AS n(i, rank) ON doc_id % {len(ranks.NAMES)} = i JOIN k USING (rank)"""
+    found["compare_places"] = f"""{_BASE}, a AS (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS place, genus || species AS name, author FROM n),
+             b AS (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS place, genus || CASE k WHEN 1 THEN infra ELSE species END AS name, author FROM n WHERE doc_id % 100 <> 7 OR pos > 0)
+        SELECT place, CASE WHEN b.name IS NULL THEN 'left only' WHEN a.name IS NULL THEN 'right only' ELSE 'fields' END AS change,
+               CASE WHEN a.name IS NULL OR b.name IS NULL THEN '' ELSE concat_ws('|', CASE WHEN a.name <> b.name THEN 'name' END, CASE WHEN a.author <> b.author THEN 'author' END) END AS paths
+        FROM a FULL JOIN b USING (place) WHERE a.name IS DISTINCT FROM b.name OR a.author IS DISTINCT FROM b.author"""
+    found["reservoir_sample"] = """
+        WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents),
+             g AS (SELECT CAST(100 AS BIGINT) AS place, CAST(xor(42, 25214903917) AS HUGEINT) AS before
+                   UNION ALL SELECT place + 1, (((before * 25214903917 + 11) % 281474976710656) * 25214903917 + 11) % 281474976710656 FROM g WHERE place + 1 < (SELECT count(*) FROM documents)),
+             r AS (SELECT place, (before * 25214903917 + 11) % 281474976710656 AS one FROM g),
+             t AS (SELECT place, one, (one * 25214903917 + 11) % 281474976710656 AS two FROM r),
+             s AS (SELECT place, CAST(floor(CAST((one // 4194304) * 134217728 + two // 2097152 AS DOUBLE) * (1.0::DOUBLE / 9007199254740992) * (place + 1)) AS BIGINT) AS slot FROM t),
+             u AS (SELECT place, place AS slot FROM p WHERE place < 100 UNION ALL SELECT place, slot FROM s WHERE slot < 100)
+        SELECT slot, doc_id, place FROM (SELECT slot, max(place) AS place FROM u GROUP BY slot) JOIN p USING (place)"""
+    found["judge_batches"] = """
+        SELECT doc_id, lang, (place // 25) AS batch, place % 25 AS "index" FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"""
+    found["verdict_scan"] = """
+        SELECT doc_id, doc_id * 2 + k AS "index", 'ok' AS verdict, 'high' AS confidence, md5(CASE k WHEN 0 THEN coalesce(text, '') ELSE '} ] { \\ "' END) AS note_md5 FROM documents, (VALUES (0), (1)) AS t(k)"""
     found["quote_normalise"] = "SELECT doc_id, chr(39) || translate(coalesce(text, ''), '’‘“”', chr(39) || chr(39) || '\"\"') || '\"' AS quoted FROM documents"
     found["benchmark_percentiles"] = (
         "SELECT count(n_chars) AS n, CAST(sum(n_chars) AS BIGINT) AS total, min(n_chars) AS min, avg(n_chars) AS avg, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS max FROM documents"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from taxaflow.functions import authors, render, text
 from taxaflow.functions import sql as sql_functions
-from taxaflow.operators import reports
+from taxaflow.operators import ordered, reports
 from taxaflow.operators.flat import flat_view
 from taxaflow.operators.parse import parse_names
 from taxaflow.plans import ranks
@@ -215,7 +215,7 @@ def test_reports(spark):
     b = parse_names(spark.createDataFrame([(1, "Abies alba"), (2, "Poa annua"), (3, "unknown"), (5, "Poa annua")], "line long, name string"))
     assert {r.result: r.n for r in reports.summary(a).collect()} == {"parsed": 2, "informal": 1, "error": 1}
     assert {r.line: r.change for r in reports.compare_runs(a, b).collect()} == {2: "informal -> parsed", 4: "left only", 5: "right only"}
-    assert reports.sample_for_review(a, 3, 1).count() == 3
+    assert ordered.review_sample(a, reports.is_interesting(), 3, 1, "line").count() == 3
     assert reports.path_counts(reports.compare_runs(a, b)).count() > 0
     assert [r[0] for r in a.orderBy("line").select(reports.canonical_or_input()).collect()] == ["Abies alba", "Poa", "unknown", "Poa annua"]
     assert flat_view(a).where("result = 'error'").first().error == "Unparsable PLACEHOLDER name: unknown"
