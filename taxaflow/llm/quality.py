@@ -5,9 +5,10 @@ distinct documents that hold a line are counted; lines above the host's limit ar
 removed; a document of which too little remains is rejected. Equal texts count as one, and so do near
 copies by their whole texts: a text of which COPY_SHARE of the words stand in lines above the limits is
 held against one other of them, the least by hash that shares its least such line, and counts as this one
-if their five-word windows have a Jaccard similarity of COPY_SIMILARITY. Copies and near copies of a document
-thus don't make its lines boilerplate, they are left to the dedup stages; documents that share lines only
-are counted one by one, however much of them these lines are.
+if their five-word windows have a Jaccard similarity of COPY_SIMILARITY. It is found by the SKETCH least
+hashes of all windows of either text, exactly if both have no more windows together. Copies and near copies
+of a document thus don't make its lines boilerplate, they are left to the dedup stages; documents that share
+lines only are counted one by one, however much of them these lines are.
 
 Null text counts as empty (no words: base_failed). A null source is a host of its own. Repeated rows get
 equal results, ties are no case; an empty table gives none; extra columns are carried along or ignored, whatever
@@ -30,9 +31,11 @@ MAX_REPEAT_PERCENT = 20
 LINE_DOCS = 20
 LINE_SHARE = 0.1
 MANY_DOCS = 200
-#: Texts with at least this share of words in lines above the limits may be near copies, and are if they are so similar.
-COPY_SHARE = 0.8
+#: Texts with at least this share of words in lines above the limits, so that they may be depleted, may be near copies,
+#: and are if they are so similar; hashes of windows that this is found by.
+COPY_SHARE = 0.7
 COPY_SIMILARITY = 0.8
+SKETCH = 64
 #: A document is depleted if fewer words, or a smaller share of them, remain without boilerplate.
 KEEP_WORDS = 10
 KEEP_SHARE = 0.3
@@ -53,8 +56,9 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, _RUN), lambda w: w != "")
 
 
-def base_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+def base_measures(df: DataFrame, text: str = "text", sketch: str | None = None) -> DataFrame:
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, and on demand with a
+    column for the least hashes of its distinct windows (of a text without one, the hash of all its words).
 
     Steps whose results are used more than once are columns of their own, so that each is computed once.
     """
@@ -86,6 +90,7 @@ def base_measures(df: DataFrame, text: str = "text") -> DataFrame:
             F.char_length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"),
             F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+            *([F.slice(F.sort_array(F.array_distinct(F.when(F.size(h) > 0, h).otherwise(F.array(F.xxhash64(F.concat_ws(" ", w)))))), 1, SKETCH).alias(sketch)] if sketch else []),
         )
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     )
@@ -115,15 +120,9 @@ def line_table(df: DataFrame) -> DataFrame:
     return whole.select("doc_id", "host", "text_key", "of_words", F.inline_outer("lines")).where("line IS NOT NULL")
 
 
-def _windows(text: Column) -> Column:
-    """The distinct five-word windows of a text, hashed; of a shorter one its words as one window."""
-    w = words_of(text)
-    slid = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))))
-    return F.get(F.transform(F.array(w), lambda w: F.array_distinct(F.when(F.size(w) >= WINDOW, slid(w)).otherwise(F.array(F.xxhash64(F.concat_ws(" ", w)))))), F.lit(0))
-
-
-def boilerplate(df: DataFrame, lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
-    """host, line of each line above the limits. df has the texts that lines, its line_table, came from.
+def boilerplate(sketches: DataFrame, lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
+    """host, line of each line above the limits. sketches has host, text_key, order and sketch of the texts that
+    lines came from.
 
     Counts are combined before they are shuffled, so a frequent line is no hot key. A text is compared with
     one other at most; a group of near copies, however large, is as many comparisons as it has texts."""
@@ -139,12 +138,10 @@ def boilerplate(df: DataFrame, lines: DataFrame, line_docs: int = LINE_DOCS, lin
     )
     texts = common.cut(texts, "texts")
     likely = texts.where("copy").select("host", "text_key", F.array_min("held").alias("least"))
-    whole = df.select(_host().alias("host"), common.text_of().alias("text")).withColumn("text_key", F.xxhash64("text"))
-    whole = whole.join(likely, ["host", "text_key"]).groupBy("host", "text_key", "least").agg(F.first("text").alias("text"))
-    seen = common.cut(whole.select("host", "text_key", "least", F.md5("text").alias("order"), _windows(F.col("text")).alias("windows")), "likely")
-    lead = seen.groupBy("host", "least").agg(F.min(F.struct("order", "text_key", "windows")).alias("lead"))
-    shared = F.size(F.array_intersect("windows", "lead.windows"))
-    alike = shared >= COPY_SIMILARITY * (F.size("windows") + F.size("lead.windows") - shared)
+    seen = common.cut(sketches.join(likely, ["host", "text_key"]).groupBy("host", "text_key", "least").agg(F.first("order").alias("order"), F.first("sketch").alias("sketch")), "likely")
+    lead = seen.groupBy("host", "least").agg(F.min(F.struct("order", "text_key", "sketch")).alias("lead"))
+    both = F.slice(F.sort_array(F.array_union("sketch", "lead.sketch")), 1, SKETCH)
+    alike = F.size(F.array_intersect(F.array_intersect(both, "sketch"), F.col("lead.sketch"))) >= COPY_SIMILARITY * F.size(both)
     folded = seen.join(lead, ["host", "least"]).where(alike & (F.col("lead.text_key") != F.col("text_key"))).select("host", "text_key", F.col("lead.text_key").alias("key"))
     keyed = texts.join(folded, ["host", "text_key"], "left").select("host", "of", F.coalesce("key", "text_key").alias("key"), F.explode("held").alias("line"))
     counts = keyed.groupBy("host", "line", "key").agg(F.first("of").alias("of")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.first("of").alias("of"))
@@ -154,14 +151,15 @@ def boilerplate(df: DataFrame, lines: DataFrame, line_docs: int = LINE_DOCS, lin
 def _judged(df: DataFrame, line_docs: int, line_share: float, many_docs: int) -> DataFrame:
     """quality_rules with own_host and own_key, which tell rows of one doc_id apart."""
     lines = line_table(df)
-    common_lines = common.cut(boilerplate(df, lines, line_docs, line_share, many_docs), "boilerplate")
+    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), _host().alias("own_host"), F.xxhash64(common.text_of()).alias("own_key"), line_key(common.text_of()).alias("order"))
+    base = common.cut(base_measures(keyed, sketch="sketch").drop("text"), "measures")  # a few hundred bytes a document
+    sketches = base.select(F.col("own_host").alias("host"), F.col("own_key").alias("text_key"), "order", "sketch")
+    common_lines = common.cut(boilerplate(sketches, lines, line_docs, line_share, many_docs), "boilerplate")
     removed = (
         lines.join(common_lines, ["host", "line"])
         .groupBy("doc_id", "host", "text_key", "pos").agg(F.first("n").alias("n"))
         .groupBy(F.col("doc_id").alias("of_doc"), "host", "text_key").agg(F.sum("n").cast("long").alias("removed"))
     )
-    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), _host().alias("own_host"), F.xxhash64(common.text_of()).alias("own_key"))
-    base = base_measures(keyed).drop("text")
     on = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("own_host") == F.col("host")) & (F.col("own_key") == F.col("text_key"))
     left = F.col("n_words") - F.coalesce(F.col("removed"), F.lit(0))
     depleted = (left < KEEP_WORDS) | (left < KEEP_SHARE * F.col("n_words"))
@@ -191,7 +189,9 @@ def without_boilerplate(df: DataFrame, line_docs: int = LINE_DOCS, line_share: f
 
     The texts that hold such lines are taken apart, once for each host and text, and put together again."""
     lines = line_table(df)
-    found = common.cut(boilerplate(df, lines, line_docs, line_share, many_docs), "boilerplate")
+    texts = df.select(_host().alias("host"), F.xxhash64(common.text_of()).alias("text_key"), line_key(common.text_of()).alias("order"), common.text_of().alias("text"))
+    sketches = common.cut(base_measures(texts, sketch="sketch").select("host", "text_key", "order", "sketch"), "sketches")
+    found = common.cut(boilerplate(sketches, lines, line_docs, line_share, many_docs), "boilerplate")
     touched = common.cut(lines.join(found, ["host", "line"], "left_semi").select("host", "text_key").distinct(), "touched")
     whole = df.select(_host().alias("host"), F.col("text")).withColumn("text_key", F.xxhash64("text"))
     once = whole.join(touched, ["host", "text_key"]).groupBy("host", "text_key").agg(F.first("text").alias("text"))

@@ -153,8 +153,8 @@ def oracle_sql() -> dict[str, str]:
                  hosts AS (SELECT host, count(DISTINCT t) AS n FROM lines GROUP BY host),
                  frequent AS MATERIALIZED (SELECT host, line, hosts.n AS o FROM (SELECT host, line, count(DISTINCT t) AS docs FROM lines GROUP BY ALL) JOIN hosts USING (host) WHERE docs > 20 AND (docs > 0.1 * hosts.n OR docs > 200)),
                  likely AS (SELECT host, t, min(substr(md5(line), 1, 15)) AS least FROM lines JOIN frequent USING (host, line) GROUP BY host, t
-                            HAVING sum(lines.n) >= 0.8 * (SELECT sum(x.n) FROM lines x WHERE x.host = lines.host AND x.t = lines.t)),
-                 seen AS MATERIALIZED (SELECT host, t, least, md5(t) AS o, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) ELSE [array_to_string(w, ' ')] END AS s FROM likely JOIN nl USING (host, t)),
+                            HAVING sum(lines.n) >= 0.7 * (SELECT sum(x.n) FROM lines x WHERE x.host = lines.host AND x.t = lines.t)),
+                 seen AS MATERIALIZED (SELECT host, t, least, substr(md5(t), 1, 15) AS o, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) ELSE [array_to_string(w, ' ')] END AS s FROM likely JOIN nl USING (host, t)),
                  lead AS (SELECT host, least, first(t ORDER BY o) AS t1, first(s ORDER BY o) AS s1 FROM seen GROUP BY ALL),
                  folded AS (SELECT host, t, t1 FROM (SELECT *, len(list_intersect(s, s1)) AS k FROM seen JOIN lead USING (host, least)) WHERE k >= 0.8 * (len(s) + len(s1) - k)),
                  bad AS (SELECT host, line FROM (SELECT DISTINCT host, line, o, coalesce(t1, t) AS t FROM lines JOIN frequent USING (host, line) LEFT JOIN folded USING (host, t)) GROUP BY host, line, o HAVING count(*) > 20 AND (count(*) > 0.1 * o OR count(*) > 200)),

@@ -50,11 +50,11 @@ def brute_rules(rows, docs=20, share=0.1, many=200):
         groups = defaultdict(list)
         for t in texts:
             own = [x for x in norm(t) if x in frequent]
-            if own and size(own) >= 0.8 * size(norm(t)):
+            if own and size(own) >= 0.7 * size(norm(t)):
                 groups[min(key(x)[:15] for x in own)].append(t)
         folded = {}
         for group in groups.values():
-            lead = min(group, key=key)
+            lead = min(group, key=lambda t: key(t)[:15])
             for t in group:
                 a, b = windows(t), windows(lead)
                 if len(a & b) >= 0.8 * len(a | b):
