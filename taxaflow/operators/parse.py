@@ -254,13 +254,13 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
     open_ = F.col("__plain").isNull() & F.col("__kind.type").isNull() & F.col("__kind.rescue_taxon").isNull()
     repaired = text.let(F.col("__s"), lambda x: text.collapse_space(text.repair_win1252(text.fold_lookalikes(x))))
     work = work.withColumns({"__open": open_, "__clean": F.when(open_, F.when(tidy, F.col("__s")).otherwise(repaired))})
-    work = work.withColumn("__f", strip.fields(F.col("__clean"), F.col("__open")))
+    work = work.withColumn("__f", strip.fields(F.col("__clean"), F.col("__open"), F.nullif(F.trim(F.col("__given")), F.lit(""))))
     odd = F.col("__open") & ~tidy & (text.collapse_space(F.col("__s")) != F.col("__clean"))
     work = work.withColumns({"__w": _read_words(F.col("__f.text"), F.col("__open"), F.col("__rankh")), "__odd": odd}).drop("__clean", "__s")
     # The author within an autonym is that of the whole name.
     autonym = F.when((F.col("__w.isp") == F.col("__w.sp")) & (F.col("__w.auth") == ""), F.col("__w.sauth"))
     own = F.when(F.col("__f.phrase").isNull() & F.col("__w.iphrase").isNull(), F.coalesce(autonym, F.col("__w.auth")))
-    work = work.withColumn("__a", _read_authors(F.col("__given"), own, F.col("__open"), F.col("__f.reference_year"), F.col("__f.imprint_year"), F.col("__w.gauth"), F.col("__w.sauth")))
+    work = work.withColumn("__a", _read_authors(F.col("__f.given"), own, F.col("__open"), F.col("__f.reference_year"), F.col("__f.imprint_year"), F.col("__w.gauth"), F.col("__w.sauth")))
     work = _infer(work, F.col("__rankh"), F.col("__codeh"))
     rescue = F.col("__kind.rescue_taxon").isNotNull()
     has_sp = F.col("__w.sp").isNotNull()

@@ -204,8 +204,22 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def canonical_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark, sf_dir, "genus", " ", "species", " var. ", "infra", " (L.) ", "author")
+    return p.select("doc_id", "pos", render.forms(F.col("parsed")).alias("f")).select("doc_id", "pos", "f.full", "f.bare", "f.minimal", "f.authorship")
+
+
+def render_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six renderings of names with a species author, a cross, notes, no last epithet or a subgenus."""
+    name = F.when(F.col("k") == 0, F.concat("genus", F.lit(" "), "species", F.lit(" Mill. subsp. "), "infra", F.lit(" (L.) "), "author", F.lit(" sensu Ræus, nom. illeg."))).when(F.col("k") == 1, F.concat("genus", F.lit(" ×"), "species", F.lit(" "), "author"))
+    p = _parsed(spark, sf_dir, name.otherwise(F.concat("genus", F.lit(" (Ærus) "), "species", F.lit(" "), "author", F.lit(", "), "y")))
+    return p.select("doc_id", "pos", render.forms(F.col("parsed")).alias("f")).select("doc_id", "pos", "f.*")
+
+
+def parse_separate_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes within a separate authorship."""
+    given = F.when(F.col("k") == 0, F.concat("author", F.lit(", "), "y", F.lit(", nom. nud."))).when(F.col("k") == 1, F.concat("author", F.lit(" [sic] sensu Mill."))).otherwise("auct. non L.")
+    p = _parsed(spark, sf_dir, "genus", " ", "species", authorship=given)
     n = F.col("parsed")
-    return p.select("doc_id", "pos", render.canonical(n).alias("full"), render.canonical(n, with_authorship=False).alias("bare"), render.canonical(n, minimal=True).alias("minimal"), render.authorship_complete(n).alias("authorship"))
+    return p.select("doc_id", "pos", n["nomenclaturalNote"].alias("nom_note"), n["taxonomicNote"].alias("tax_note"), n["originalSpelling"].alias("spelling"), F.array_join(n["combinationAuthorship"]["authors"], "|").alias("authors"), n["combinationAuthorship"]["year"].alias("y"))
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,6 +386,14 @@ _SELECT = {
     "preflight_rescue": "doc_id, pos, 'informal' AS result, genus AS taxon, 'group' AS phrase, 'UNRANKED' AS rank",
     "hybrid_formula": "doc_id, pos, 'error' AS result, 'FORMULA' AS type, genus || ' ' || species || ' × ' || genus || ' ' || infra AS name",
     "canonical_name": "doc_id, pos, genus || ' ' || species || ' var. ' || infra || ' (L.) ' || author AS \"full\", genus || ' ' || species || ' var. ' || infra AS bare, genus || ' ' || species || ' ' || infra AS minimal, '(L.) ' || author AS authorship",
+    "render_forms": (
+        "doc_id, pos, CASE k WHEN 0 THEN genus || ' ' || species || ' subsp. ' || infra || ' (L.) ' || author WHEN 1 THEN genus || ' × ' || species || ' ' || author ELSE genus || ' ' || species || ' ' || author || ', ' || y END AS \"full\", "
+        "CASE k WHEN 0 THEN genus || ' ' || species || ' subsp. ' || infra WHEN 1 THEN genus || ' × ' || species ELSE genus || ' ' || species END AS bare, CASE k WHEN 0 THEN genus || ' ' || species || ' ' || infra ELSE genus || ' ' || species END AS minimal, "
+        "CASE k WHEN 0 THEN genus || ' ' || species || ' Mill. subsp. ' || infra || ' (L.) ' || author || ' sensu Raeus, nom. illeg.' WHEN 1 THEN genus || ' × ' || species || ' ' || author ELSE genus || ' (AErus) ' || species || ' ' || author || ', ' || y END AS complete, "
+        "CASE k WHEN 0 THEN '<i>' || genus || '</i> <i>' || species || '</i> Mill. subsp. <i>' || infra || '</i> (L.) ' || author || ' sensu Raeus, nom. illeg.' WHEN 1 THEN '<i>' || genus || '</i> × <i>' || species || '</i> ' || author ELSE '<i>' || genus || '</i> (<i>AErus</i>) <i>' || species || '</i> ' || author || ', ' || y END AS html, "
+        "CASE k WHEN 0 THEN '(L.) ' || author WHEN 1 THEN author ELSE author || ', ' || y END AS authorship"
+    ),
+    "parse_separate_notes": "doc_id, pos, CASE k WHEN 0 THEN 'nom. nud.' END AS nom_note, CASE k WHEN 1 THEN 'sensu Mill.' WHEN 2 THEN 'auct. non L.' END AS tax_note, CASE k WHEN 1 THEN true END AS spelling, CASE k WHEN 2 THEN '' ELSE author END AS authors, CASE k WHEN 0 THEN y END AS y",
     "flat_view": "genus || ' ' || species || ' ' || author || ', ' || y AS \"scientificName\", 'parsed' AS result, 'SPECIES' AS rank, genus, species AS \"specificEpithet\", author AS \"combinationAuthors\", y AS \"combinationYear\", genus || ' ' || species AS \"canonicalWithoutAuthorship\"",
     "rank_dimension_join": "doc_id, pos, CASE k WHEN 0 THEN 'VARIETY' WHEN 1 THEN 'SUBSPECIES' ELSE 'FORM' END AS rank, CASE k WHEN 0 THEN 'var.' WHEN 1 THEN 'subsp.' ELSE 'f.' END AS marker, 'INFRASPECIFIC_NAME' AS major, true AS infraspecific",
     "suffix_rank": "doc_id, pos, CASE k WHEN 2 THEN 'ORDER' ELSE 'FAMILY' END AS rank",

@@ -144,6 +144,13 @@ MARKER_RANKS = (
     | dict.fromkeys(("supersect", "suprasect"), "SUPERSECTION_BOTANY") | dict.fromkeys(("ser", "series"), "SERIES_BOTANY") | dict.fromkeys(("subser", "subseries"), "SUBSERIES_BOTANY")
 )
 
+#: Rules that a separate authorship goes through as well.
+OF_AUTHORSHIPS = {
+    "sic with a comment", "sic", "corrected", "question mark in a word", "hortulanorum", "homonym in brackets", "concept in brackets", "status in brackets", "status", "status before a concept", "broad sense before a rest",
+    "strict sense", "concept", "manuscript", "authorship placeholder", "markup", "entity amp",
+}
+#: Stands before a separate authorship, so that what begins it has something before it.
+_BEGIN = "\u0006"
 _ENTRIES = "array<struct<f:string,v:string>>"
 #: In a joined field, what stands before this mark is overwritten.
 _ANEW = "\u0001"
@@ -188,7 +195,7 @@ def _table(rules: tuple[Rule, ...]) -> tuple[Column, dict[str, str]]:
     def need(n: str) -> str:
         return "" if n == "*" else _FLAG + "0" if n == "0" else _FLAG + patterns[n[1:-1]] if n[1:-1] in patterns and n[0] == "/" else n
 
-    rows = [F.struct(F.array(*(F.lit(need(n)) for n in r.needs)).alias("needs"), F.lit(r.pattern).alias("pattern"), F.lit(_template(r)).alias("template"), F.lit(r.unless or "").alias("unless")) for r in rules]
+    rows = [F.struct(F.array(*(F.lit(need(n)) for n in r.needs)).alias("needs"), F.lit(r.pattern).alias("pattern"), F.lit(_template(r)).alias("template"), F.lit(r.unless or "").alias("unless"), F.lit(r.name in OF_AUTHORSHIPS).alias("authors")) for r in rules]
     return F.array(*rows), patterns
 
 
@@ -205,26 +212,35 @@ def _step(state: Column, rule: Column) -> Column:
     return F.when(barred, state).otherwise(let(F.regexp_replace(text, rule["pattern"], rule["template"]), after))
 
 
-def fields(text: Column, wanted: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """A struct of text and FIELDS after all rules; where wanted is false none is tried.
+def fields(text: Column, wanted: Column, given: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of text, FIELDS and given (a separate authorship) after all rules; where wanted is false none is tried.
 
-    text holds no white space but single spaces."""
+    text holds no white space but single spaces. What the authorship's rules find is added to the name's."""
     none = F.array().cast(_ENTRIES)
     table, patterns = _table(rules)
 
-    def guarded(low: Column) -> Column:
+    def guarded(low: Column, own: Column) -> Column:
         flags = [F.when(F.regexp_like(low, F.lit(p)), F.lit(_FLAG + letter)).otherwise("") for p, letter in patterns.items()]
-        return F.when(wanted, let(F.concat(low, *flags), lambda x: F.filter(table, lambda r: F.exists(r["needs"], lambda n: F.contains(x, n)))))
+        return F.when(wanted, let(F.concat(low, *flags), lambda x: F.filter(table, lambda r: (own | r["authors"]) & F.exists(r["needs"], lambda n: F.contains(x, n)))))
+
+    def worked(pair: Column) -> Column:
+        begin = F.struct(pair["t"].alias("t"), none.alias("log"))
+        return let(guarded(F.lower(pair["t"]), pair["own"]), lambda todo: F.when(F.size(todo) > 0, F.aggregate(todo, begin, _step)).otherwise(begin))
 
-    def worked(todo: Column) -> Column:
-        begin = F.struct(text.alias("t"), none.alias("log"))
-        return F.when(F.size(todo) > 0, F.aggregate(todo, begin, _step)).otherwise(begin)
+    def merged(both: Column) -> Column:
+        own, other = F.get(both, F.lit(0)), F.get(both, F.lit(1))
+        log = F.when(other.isNull(), own["log"]).otherwise(F.array_distinct(F.concat(own["log"], F.transform(other["log"], lambda e: F.struct(e["f"].alias("f"), F.replace(e["v"], F.lit(_ANEW), F.lit("")).alias("v"))))))
+        left = F.trim(F.replace(other["t"], F.lit(_BEGIN), F.lit("")))
+        state = F.struct(own["t"].alias("t"), log.cast(_ENTRIES).alias("log"), F.regexp_replace(left, r"[\s,]+\z", "").alias("given"))
+        return let(state, lambda st: F.when(F.size(st["log"]) > 0, _told(st)).otherwise(_untold(st)))
 
-    return let(let(F.lower(text), guarded), lambda todo: let(worked(todo), lambda st: F.when(F.size(st["log"]) > 0, _told(st)).otherwise(_untold(st["t"]))))
+    one = F.struct(text.alias("t"), F.lit(True).alias("own"))
+    two = F.struct(F.concat(F.lit(_BEGIN + " "), given).alias("t"), F.lit(False).alias("own"))
+    return let(F.transform(F.when(given.isNull(), F.array(one)).otherwise(F.array(one, two)), worked), merged)
 
 
-def _untold(text: Column) -> Column:
-    return F.struct(text.alias("text"), *((F.array().cast(kind) if kind == "array<string>" else F.lit(False if kind == "boolean" else None).cast(kind)).alias(name) for name, kind in FIELDS.items()))
+def _untold(state: Column) -> Column:
+    return F.struct(state["t"].alias("text"), state["given"].alias("given"), *((F.array().cast(kind) if kind == "array<string>" else F.lit(False if kind == "boolean" else None).cast(kind)).alias(name) for name, kind in FIELDS.items()))
 
 
 def _told(state: Column) -> Column:
@@ -248,4 +264,4 @@ def _told(state: Column) -> Column:
             return F.nullif(tidy, F.lit(""))
         return F.try_element_at(held(name), F.lit(1 if name in FIRST else -1))
 
-    return F.struct(state["t"].alias("text"), *(read(name, kind).alias(name) for name, kind in FIELDS.items()))
+    return F.struct(state["t"].alias("text"), state["given"].alias("given"), *(read(name, kind).alias(name) for name, kind in FIELDS.items()))
