@@ -93,13 +93,12 @@ def read(x: Column, particle: Column) -> Column:
 
     def parsed(c: Column) -> Column:
         free = F.when(particle, F.regexp_replace(c, rf"^((?:{_t('Hh')})?[CU][^{_END}]*+{_END})p([^{_END}]*+{_END})(?![.lg])", "$1l$2")).otherwise(c)
-        return text.let(free, lambda c: text.groups(c, _GRAMMAR, len(_PARTS)))
-
-    def plain(g: Column) -> Column:
-        return F.transform(g, lambda v: F.when(v == "", v).otherwise(F.trim(F.translate(F.regexp_replace(v, f"(?:^|{_END})[^{_END}]", ""), _END, ""))))
+        # One match of the grammar gives all parts, with tabs between them; then kinds, marks and outer spaces go.
+        parts = F.regexp_replace(free, _GRAMMAR, "\t".join(f"${k}" for k in range(1, len(_PARTS) + 1)))
+        return text.let(parts, lambda p: F.when(F.contains(p, F.lit("\t")), F.split(F.regexp_replace(p, f"(^|\t)[^\t{_END}]\\s*|{_END}[^\t{_END}]?", "$1"), "\t")))
 
     glued = F.regexp_replace(x, r"^[xX×](?=\p{Lu}\p{Ll})", "× ")
-    return text.let(text.let(text.let(glued, coded), parsed), plain)
+    return text.let(text.let(glued, coded), parsed)
 
 
 def part(words: Column, name: str) -> Column:
