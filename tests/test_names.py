@@ -217,7 +217,7 @@ def test_reports(spark):
     assert {r.line: r.change for r in reports.compare_runs(a, b).collect()} == {2: "informal -> parsed", 4: "left only", 5: "right only"}
     assert ordered.review_sample(a, reports.is_interesting(), 3, 1, "line").count() == 3
     assert reports.path_counts(reports.compare_runs(a, b)).count() > 0
-    assert [r[0] for r in a.orderBy("line").select(reports.canonical_or_input()).collect()] == ["Abies alba", "Poa", "unknown", "Poa annua"]
+    assert [r[0] for r in a.orderBy("line").select(reports.canonical_or_input()).collect()] == ["Abies alba", "Poa sp.", "unknown", "Poa annua"]
     assert flat_view(a).where("result = 'error'").first().error == "Unparsable PLACEHOLDER name: unknown"
 
 
