@@ -6,11 +6,16 @@ The text lengths are summed over sliding windows of lines; a surge point is wher
 nothing, a dive point where they return to it. The run between the surge and the dive with the most
 text finds the main text, short paragraphs in between included: the runs of the same container (the
 nearest common box, and boxes beside it that are named alike) are joined with it, with the lists of links
-between them. Where a page marks its article, the marked part alone has weight, and all of it is between
-surge and dive.
+between them. Where a page marks articles, the lines of the heaviest one alone have weight (of an element
+"main" where its articles hold less than half of it), and the text is what lies between the first surge and
+the last dive in it, so that lists of links at its ends go and all between stays.
 
-Null or empty html, and pages without text that has weight, give an empty text. Rows are independent: repeated rows
-give repeated results, nulls in other columns stay, extra columns are ignored, nothing is shuffled.
+Tags are read in one pass by the rules of the HTML standard, except that a tag which meets another "<" before
+its end, outside quotes, is text; so is a "<" that begins none. Form controls count as forms.
+
+Null or empty html, and pages without text that has weight, give an empty text. Pages of any length are read whole,
+in time in proportion to their length. Rows are independent: repeated rows and ties give repeated results, nulls in
+other columns stay, an empty table gives none, extra columns are ignored whatever their names, nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -31,14 +36,51 @@ SURGE = 80
 #: Share of link text from which a line weighs nothing.
 LINKS = 0.6
 
-_TOKEN = regex.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/][^>]*+(?:>|\Z)",
-    regex.S | regex.I,
+_WS = r"[ \t\n\f\r]"
+#: A tag: its slash, name and attributes. Quantifiers are possessive, so that a failing match ends where it fails.
+_TAG = regex.compile(
+    rf"<(/?)([a-zA-Z][^ \t\n\f\r/><]*+)"
+    rf"((?:[ \t\n\f\r/]++|[^ \t\n\f\r/>=<\"'][^ \t\n\f\r/>=<]*+(?:{_WS}*+={_WS}*+(?:\"[^\"]*+\"|'[^']*+'|[^ \t\n\f\r\"'<>][^ \t\n\f\r<>]*+|(?=[ \t\n\f\r>])))?+|[\"'=])*+)>"
 )
+#: Elements whose content is no text of the page.
+_RAW = {name: regex.compile(rf"</{name}(?=[ \t\n\f\r/>])[^>]*+>?+", regex.I) for name in "script style template textarea svg select".split()}
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """The page's tokens: ("text", text, ""), ("data", text, ""), ("raw", "", ""), ("open" or "close", name, attributes)."""
+    at, text, size = 0, 0, len(page)
+    while (at := page.find("<", at)) >= 0:
+        after = page[at + 1 : at + 2]
+        if after == "!" or after == "?" or (after == "/" and not page[at + 2 : at + 3].isalpha()):
+            if page.startswith("<!--", at):
+                ends = [k for k in (page.find("-->", at + 2), page.find("--!>", at + 4)) if k >= 0]
+                end = page.index(">", min(ends)) + 1 if ends else size
+                found = None
+            elif page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at)
+                found = ("data", page[at + 9 : end if end >= 0 else size], "")
+                end = end + 3 if end >= 0 else size
+            else:
+                end, found = page.find(">", at) + 1 or size, None
+        else:
+            tag = _TAG.match(page, at)
+            if not tag:
+                at += 1
+                continue
+            end, name = tag.end(), tag[2].lower()
+            found = ("close" if tag[1] else "open", name, tag[3])
+            if not tag[1] and name in _RAW:
+                closed = _RAW[name].search(page, end)
+                end, found = closed.end() if closed else size, ("raw", "", "")
+        if at > text:
+            yield "text", page[text:at], ""
+        if found:
+            yield found
+        at = text = end
+    if text < size:
+        yield "text", page[text:], ""
+
+
 _NAMES = regex.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", regex.I)
 _HIDDEN = regex.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", regex.I)
 _DROPPED_NAMES = regex.compile(
@@ -56,15 +98,31 @@ _BLOCK = frozenset(
 )
 #: Elements that set parts of a page apart; others, such as lists and sections, are parts of a text.
 _BOXES = frozenset("body div html td".split())
+#: Elements that hold text itself: their names must say in one word that they are dropped.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption em strong b i".split())
+_PARTS = regex.compile("[-_]")
 _DIGITS = regex.compile("[0-9]+")
 #: Elements whose start ends an open one of the same kind.
 _ENDS = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}}
 
 
+#: Open elements that an end tag may close.
+DEPTH = 500
+#: Level (article 2, main 1, none 0) of the mark a line is under, the outermost mark around it, and its own.
+_UNMARKED = (0, 0, 0)
+
+
+def _named_away(name: str, names: str) -> bool:
+    """Whether an element's names say that it is no part of a text."""
+    if not _DROPPED_NAMES.search(names):
+        return False
+    return name not in _TEXT or any(not _PARTS.search(x) and _DROPPED_NAMES.search(x) for x in names.split())
+
+
 class _Line:
     __slots__ = ("box", "dropped", "links", "marked", "text")
 
-    def __init__(self, text: str, links: int, dropped: bool, marked: bool, box: int) -> None:
+    def __init__(self, text: str, links: int, dropped: bool, marked: tuple[int, int, int], box: int) -> None:
         self.text, self.links, self.dropped, self.marked, self.box = text, links, dropped, marked, box
 
     @property
@@ -77,7 +135,9 @@ def lines(page: str) -> tuple[list[_Line], list[tuple[int, str, str]]]:
     outer box, name, and class and id without digits. The first box is the page."""
     out: list[_Line] = []
     boxes = [(0, "", "")]
-    stack: list[tuple[str, bool, bool, int]] = []  # name, dropped, marked as article, box
+    stack: list[tuple[str, bool, tuple[int, int, int], int]] = []  # name, dropped, mark, box
+    outside = (False, _UNMARKED, 0)
+    marks = 0
     parts: list[str] = []
     links = 0
     linked = 0  # open links
@@ -87,7 +147,7 @@ def lines(page: str) -> tuple[list[_Line], list[tuple[int, str, str]]]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append(_Line(text, links, *(stack[-1][1:] if stack else (False, False, 0))))
+            out.append(_Line(text, links, *(stack[-1][1:] if stack else outside)))
         links = 0
 
     def take(text: str) -> None:
@@ -96,60 +156,58 @@ def lines(page: str) -> tuple[list[_Line], list[tuple[int, str, str]]]:
         if linked:
             links += len(text.strip())
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            take(page[at : m.start()])
-        at = m.end()
-        if m["data"] is not None:
-            take(m["data"].replace("&", "&amp;"))
+    for kind, name, attrs in tokens(page):
+        if kind == "text":
+            take(name)
             continue
-        name = (m["name"] or "").lower()
-        if not name:
-            if m["raw"]:
-                parts.append(" ")
+        if kind == "data":
+            take(name.replace("&", "&amp;"))
+            continue
+        if kind == "raw":
+            parts.append(" ")
             continue
         if name == "br":
             parts.append(" ")
             continue
         if name == "a":
-            linked = 0 if m["close"] else 1
+            linked = 0 if kind == "close" else 1
             continue
         if name == "hr":
             flush()
         if name in _VOID:
             continue
-        dropped, marked, box = stack[-1][1:] if stack else (False, False, 0)
-        if m["close"]:
+        dropped, marked, box = stack[-1][1:] if stack else outside
+        if kind == "close":
             if name in _BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
                 if stack[k][0] == name:
                     if any(s[1] for s in stack[k:]) and name not in _BLOCK:
                         flush()
                     del stack[k:]
                     break
             continue
-        attrs = m["attrs"]
         if attrs.endswith("/") and name not in _BLOCK:
             continue
         names = " ".join(x.strip("\"'") for x in _NAMES.findall(attrs)) if attrs else ""
         # A page's header is dropped, an article's holds its heading.
-        drop = dropped or name in _DROPPED or (name == "header" and not marked) or bool(names and name not in ("html", "body", "article", "main") and _DROPPED_NAMES.search(names)) or bool(attrs and _HIDDEN.search(attrs))
+        drop = dropped or name in _DROPPED or (name == "header" and not marked[0]) or bool(names and name not in ("html", "body", "article", "main") and _named_away(name, names)) or bool(attrs and _HIDDEN.search(attrs))
         if name in _BLOCK or drop != dropped:
             flush()
         if name in _BLOCK:
             while stack and stack[-1][0] in _ENDS.get(name, ()) or (stack and stack[-1][0] not in _BLOCK and not stack[-1][1]):
                 stack.pop()
-            dropped, marked, box = stack[-1][1:] if stack else (False, False, 0)
+            dropped, marked, box = stack[-1][1:] if stack else outside
             drop = drop and (dropped or name in _DROPPED or name == "header" or bool(names or attrs))
         if name in _BLOCK or drop != dropped:
             if name in _BOXES:
                 boxes.append((box, name, _DIGITS.sub("", names)))
                 box = len(boxes) - 1
-            stack.append((name, drop, marked or name in ("article", "main") or bool(names and _ARTICLE_NAMES.search(names)), box))
-    if at < len(page):
-        take(page[at:])
+            level = 2 if name == "article" else 1 if name == "main" or (names and _ARTICLE_NAMES.search(names)) else 0
+            if level > marked[0]:
+                marks += 1
+                marked = (level, marked[1] if marked[0] else marks, marks)
+            stack.append((name, drop, marked, box))
     flush()
     return out, boxes
 
@@ -182,15 +240,37 @@ def _container(found: list[_Line], weight: list[int], boxes: list[tuple[int, str
     return way[at], inside
 
 
+def _article(found: list[_Line]) -> list[_Line]:
+    """The lines of the marked article, those at its ends that no window reaches left out; none if nothing is marked."""
+    weight: Counter[int] = Counter()
+    for x in found:
+        if x.marked[0] and not x.dropped:
+            for mark in {x.marked[1], x.marked[2]}:
+                weight[mark] += len(x.text)
+    if not weight:
+        return []
+    outer = max(sorted(weight), key=weight.__getitem__)
+    inner = {x.marked[2] for x in found if x.marked[0] == 2 and not x.dropped}
+    best = max(sorted(inner), key=weight.__getitem__, default=outer)
+    mark = best if 2 * weight[best] >= weight[outer] else outer
+    held = [x for x in found if mark in x.marked[1:] and not x.dropped]
+    sums = [sum(x.weight for x in held[k : k + WINDOW]) for k in range(len(held))]
+    surging = [k for k, total in enumerate(sums) if total]
+    if not surging:
+        return held
+    end = surging[-1] + 1
+    return held[surging[0] : len(held) if len(held) - end < WINDOW else end]
+
+
 def main_text(page: str | None) -> str:
     """The text between the surge and the dive point of the heaviest run of lines."""
     found, boxes = lines(page or "")
-    marked = any(x.marked and not x.dropped for x in found)
-    weight = [x.weight if not marked or x.marked else 0 for x in found]
-    if marked:  # inside a marked article, link lines are part of it
-        weight = [len(x.text) if x.marked and not x.dropped else 0 for x in found]
+    own = _article(found)
+    if own:
+        return "\n\n".join(x.text for x in own)
+    weight = [x.weight for x in found]
     sums = [sum(weight[k : k + WINDOW]) for k in range(len(weight))]
-    need = SURGE if not marked and max(sums, default=0) >= SURGE else 1  # a page of short lines may surge lower
+    need = SURGE if max(sums, default=0) >= SURGE else 1  # a page of short lines may surge lower
     best, best_sum, k = (0, 0), 0, 0
     runs = []
     while k < len(sums):
@@ -202,13 +282,11 @@ def main_text(page: str | None) -> str:
             k += 1
         dive = k
         runs.append((surge, dive))
-        if marked and best_sum:  # an article has one start and one end, whatever lies within
-            best, best_sum = (best[0], dive), best_sum + sum(weight[surge:dive])
-        elif sum(weight[surge:dive]) > best_sum:
+        if sum(weight[surge:dive]) > best_sum:
             best, best_sum = (surge, dive), sum(weight[surge:dive])
     start, end = best
-    if marked or not best_sum:
-        return "\n\n".join(x.text for x, w in zip(found[start:end], weight[start:end], strict=True) if w)
+    if not best_sum:
+        return ""
     box, inside = _container(found, weight, boxes, start, end)
     if boxes[box][1] == "div":  # a part of the page: all of it
         joined = [k for k, x in enumerate(found) if weight[k] and inside[x.box]]

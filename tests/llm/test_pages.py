@@ -41,6 +41,35 @@ def test_unmarked_article_with_lists():
     assert html_extract.main_text(f"<body><div>{tags(first)}{advert}{tags(last)}</div></body>") == "\n\n".join([*first, *last])
 
 
+LONG = "A paragraph of the article that is long enough to surge, with many words of plain text in it."
+MARKED = [
+    ("<article><p data-x=it's>First one.</p><p>It's more text</p><p>Third</p></article>", "First one.\n\nIt's more text\n\nThird"),
+    ("<article><p>x<y z</p><p>a < b & c > d</p></article>", "x<y z\n\na < b & c > d"),
+    ("<article><p>One</p><math><mi>E</mi></math><object><p>Two</p></object><noscript><p>Three</p></noscript><iframe>Four</iframe></article>", "One\n\nE\n\nTwo\n\nThree\n\nFour"),
+    (f'<article><p class="lead search-and-rescue">{LONG}</p><p>End</p></article>', f"{LONG}\n\nEnd"),
+    (f"<main><div class=x><p>A teaser beside it.</p></div><article><p>{LONG}</p></article></main>", LONG),
+    (f"<main><p>{LONG}</p><article><p>A card.</p></article><p>More {LONG}</p></main>", f"{LONG}\n\nA card.\n\nMore {LONG}"),
+    (f"<article><p>{LONG}</p></article><article><p>Another, shorter one.</p></article>", LONG),
+    (f"<article><ul>{''.join(f'<li><a href=/{k}>Link {k}</a></li>' for k in range(5))}</ul><p>{LONG}</p><p><a href=/s>The source</a></p><p>{LONG}</p></article>", f"Link 3\n\nLink 4\n\n{LONG}\n\nThe source\n\n{LONG}"),
+    ('<article><p title="a > b">One</p><p title=">">Two</p><!-- <p>no</p> --><!--> x --><p>Three</p></article>', "One\n\nTwo\n\nx -->\n\nThree"),
+    ('<article><p>One</p><form><p>Name</p></form><select><option>x</select><p>Two</p></article><script>"</article>"</script>', "One\n\nTwo"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), MARKED)
+def test_marked_pages(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for piece in ('<a b="', "<a b='", "<a b='x\" ", "<!--", "<![CDATA[", "</", "<p", "<script>", "<div><b>", "</b></i>", "<p class='", "&amp", "<a =", "<a b=c"):
+        began = time.time()
+        html_extract.main_text(piece * (1_000_000 // len(piece)))
+        assert time.time() - began < 5, piece
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<!--", "<script>x", "<article></article>", "<nav>only</nav>"])
 def test_nothing(page):
     assert html_extract.main_text(page) in ("", "<", "<p")
