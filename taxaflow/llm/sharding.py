@@ -1,12 +1,17 @@
 """Sharding by a two-pass external shuffle, under a consistent key law.
 
-Pass 1 scatters whole records uniformly into buckets that fit a task's memory, by seeded hashes. Pass 2
+Pass 1 scatters whole records uniformly into buckets that fit a task's memory, by seeded hashes of what
+tells them apart and, so that one row repeated without end is spread too, of their place in the input. Pass 2
 puts each bucket in a canonical order, Fisher-Yates shuffles it with a generator seeded by the bucket,
 and writes it. A bucket's place in its shard is the sum of the counts before it, so slots have no gaps.
+The input is a table as read (a stored one, see common.cut), whose rows come in the same order when read again.
 
 The law is `key`: doc_id and the number of shards alone decide the shard, by the highest of one seeded
 hash per shard. With one more shard a row moves only into the new one. Null doc_ids hash as a value of
-their own; repeated rows are rows of their own; null text has size 1. Extra columns are carried along.
+their own; rows of equal doc_id share a shard; repeated rows are rows of their own, whose order among
+themselves is any; null text has size 1. Texts of any length are one record; a bucket holds a longer one
+than BUCKET_BYTES by itself or with few others. Extra columns are carried along, whatever their names: a new
+column gets underscores before its name where there is one of that name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import random
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +31,8 @@ SHARDS = 8
 SEED = 20_240_917
 #: Text bytes that a bucket should hold.
 BUCKET_BYTES = 16 << 20
+#: Places in the input that are told apart when rows are dealt.
+SALT = 64
 #: Bucket starts are broadcast up to so many.
 BROADCAST_BUCKETS = 200_000
 
@@ -45,15 +53,16 @@ def shard_records(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_
     total = df.agg(F.sum(size_of(F.col("text"))).alias("b")).first()["b"] or 0
     buckets = max(1, -(-total // (bucket_bytes * shards)))
     shard, bucket, place = (common.fresh_name(df, c) for c in ("shard", "bucket", "in_bucket"))
-    # Rows are dealt by what tells them apart, so that copies and a hot source spread over the buckets.
-    deal = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")), F.lit(buckets)).cast("int")
+    deal = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text"), F.pmod(F.monotonically_increasing_id(), F.lit(SALT))), F.lit(buckets)).cast("int")
     placed = df.withColumn(shard, key_shard(F.col("doc_id"), shards, seed)).withColumn(bucket, deal)
+    doc_at, text_at = df.columns.index("doc_id"), df.columns.index("text")
     schema = T.StructType([*placed.schema.fields, T.StructField(place, T.LongType())])
 
     def shuffle(key: tuple, rows: pa.Table) -> pa.Table:
         n = rows.num_rows
-        at = rows.schema.get_field_index("doc_id")
-        order = rows.append_column("__crc", rows.column("text").cast(pa.binary())).sort_by([(rows.column_names[at], "ascending"), ("__crc", "ascending")]).drop_columns("__crc")
+        # In the order of doc_id and text, columns by number since names may differ in case alone.
+        keys = pa.table({"id": rows.column(doc_at), "text": rows.column(text_at).cast(pa.large_binary())})
+        order = rows.take(pc.sort_indices(keys, sort_keys=[("id", "ascending"), ("text", "ascending")]))
         draw = random.Random(f"{seed}/{key[0].as_py()}/{key[1].as_py()}")
         perm = list(range(n))
         for i in range(n - 1, 0, -1):
@@ -67,7 +76,8 @@ def shard_records(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write the shuffled shards below path, one folder a shard, and read them back with their slots.
 
-    Rewriting after a lost executor gives the same rows in the same places.
+    Rewriting after a lost executor gives the same rows in the same places, but for rows of equal doc_id and text
+    whose other columns differ, which may change places among themselves.
     """
     spark = df.sparkSession
     shuffled = shard_records(df, shards, seed, bucket_bytes)
@@ -75,10 +85,11 @@ def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEE
     shuffled.write.parquet(path)
     back = spark.read.schema(shuffled.schema).parquet(path)
     # Counts per bucket: one row for each bucket_bytes of text.
-    counts = back.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(shard, bucket, F.coalesce(F.sum("__rows").over(before), F.lit(0)).cast("long").alias("__start"))
+    of_shard, of_bucket, start, slot = (common.fresh_name(back, c) for c in ("of_shard", "of_bucket", "start", "slot"))
+    counts = back.groupBy(F.col(shard).alias(of_shard), F.col(bucket).alias(of_bucket)).agg(F.count(F.lit(1)).alias("rows_of"))
+    before = Window.partitionBy(of_shard).orderBy(of_bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(of_shard, of_bucket, F.coalesce(F.sum("rows_of").over(before), F.lit(0)).cast("long").alias(start))
     if starts.count() <= BROADCAST_BUCKETS:  # 24 bytes each; beyond that both sides are shuffled
         starts = F.broadcast(starts)
-    slot = common.fresh_name(back, "slot")
-    return back.join(starts, [shard, bucket]).withColumn(slot, F.col("__start") + F.col(place)).drop("__start")
+    on = (F.col(shard) == F.col(of_shard)) & (F.col(bucket) == F.col(of_bucket))
+    return back.join(starts, on).select(*back.columns, (F.col(start) + F.col(place)).alias(slot))
