@@ -10,12 +10,17 @@ if and only if every two neighbours encode to themselves, so each prefix has one
 States and transitions are compiled when first met, kept in dense tables, and compiled anew when the
 tables are full, so memory is bounded whatever the vocabulary of the corpus.
 
-A batch of texts is cut into chunks. A chunk's state map has two parts: up to its first synchronising
-place (white space after another character, where the next state depends on that character alone) it is
-run from whatever state precedes it; from there on it is a constant, known without any other chunk. The
-constants of all chunks are run side by side in lanes; then maps are composed: each head runs from its
-predecessor's end state, all that are ready at once. Chunks without a synchronising place compose with
-the next in further rounds. The split at synchronising places makes every composition exact.
+A batch of texts is cut into chunks, and all chunks are run side by side in lanes. A chunk's state map has two
+parts. From its first synchronising place on (white space after another character, where the next state
+depends on that character alone) it is a constant, known without any other chunk. Up to there it is known at
+single states: at the state that its predecessor's constant ends in, or, where that has none, at the one that
+a few characters before the chunk lead to. Maps then compose by a scan in which all neighbours meet at once:
+where the state that a map is known at is the one its predecessor ends in, the two compose; where not, the map
+is run at that state, all such chunks side by side, and they meet again. States forget what is far behind them,
+so a run of letters of any length takes a few rounds, not one a chunk. The scan ends when each map is known at
+its predecessor's end, so counts are exact however many guesses were wrong.
+
+Very long texts and texts without white space are chunks as others are; an empty table gives no rows, ties are no case.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters in a chunk.
-CHUNK = 512
+#: Characters in a chunk, and characters before it that lead to the state its map is first run at.
+CHUNK, LEAD = 512, 48
 #: States and characters in the dense tables, 5 bytes a pair; rarer characters' transitions are in a dict.
 STATES, SYMBOLS = 400_000, 64
 #: Token pairs and transitions of rarer characters that a worker keeps.
@@ -316,17 +321,24 @@ class Transducer:
             enter = {c: self.intern((IN_WHITE, EMPTY, chr(c))) for c in np.unique(codes[head_end[own]]).tolist()}
             enter_at = np.array([enter[c] for c in codes[head_end[own]].tolist()], dtype=np.int64)
             exit_[own], change[own] = self.run(codes, head_end[own] + 1, end[own], enter_at)
-        # Composition: heads run from their predecessors' exits as soon as these are known.
+        # Heads: run at the state before them where it is known, else at the one that a few characters lead to.
         opening = np.arange(len(begin)) == first[piece_of]
-        waiting = np.ones(len(begin), dtype=bool)
-        while waiting.any():
+        entry = np.where(opening, self.start, np.roll(exit_, 1))
+        guess = np.flatnonzero(entry < 0)
+        if len(guess):
+            lead = np.maximum(begin[guess] - LEAD, starts[piece_of[guess]])
+            entry[guess], _ = self.run(codes, lead, begin[guess], np.full(len(guess), self.start))
+        heads, todo = np.zeros(len(begin), dtype=np.int64), np.arange(len(begin))
+        self.rounds = 0
+        while len(todo):
+            self.rounds += 1
+            last, heads[todo] = self.run(codes, begin[todo], head_end[todo], entry[todo])
+            open_ = ~constant[todo]
+            exit_[todo[open_]] = last[open_]
             before = np.where(opening, self.start, np.roll(exit_, 1))
-            ready = np.flatnonzero(waiting & (before >= 0))
-            last, more = self.run(codes, begin[ready], head_end[ready], before[ready])
-            change[ready] += more
-            open_ends = ready[~constant[ready]]
-            exit_[open_ends] = last[~constant[ready]]
-            waiting[ready] = False
+            todo = np.flatnonzero(before != entry)
+            entry[todo] = before[todo]
+        change += heads
         total = np.zeros(len(pieces), dtype=np.int64)
         np.add.at(total, piece_of, change)
         closing = np.flatnonzero(lengths > 0)

@@ -45,3 +45,17 @@ def test_rows(spark):
     assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=key) == sorted(want, key=key)
     assert all(r.over_limit == (r.n_tokens > 1024) for r in got) and any(r.over_limit for r in got)
     assert tc.token_counts(df.limit(0), PATH, 1024).count() == 0
+
+
+def test_long_runs_take_few_rounds():
+    import random
+    import time
+
+    draw = random.Random(1)
+    own = tc.transducer(PATH)
+    texts = ["".join(draw.choices("etaoinshrdlu", k=200_000)), "a" * 100_000, "ab" * 50_000, "é日" * 20_000, "1" * 30_000, "=-" * 30_000, "x" * 511 + "'s" * 400, "\n" * 5000, "word " * 5000 + "z" * 4000]
+    began = time.time()
+    found = own.counts(texts)
+    assert found == [len(e.ids) for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    print(own.rounds, time.time() - began)
+    assert own.rounds < 60 and time.time() - began < 60
