@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from taxaflow.functions.text import BARCODE
 from taxaflow.plans import vocab
 
 
@@ -13,7 +14,7 @@ def register(spark: SparkSession) -> None:
     quotes = q(vocab.SINGLE_QUOTES + vocab.DOUBLE_QUOTES)
     plain = q("'" * len(vocab.SINGLE_QUOTES) + '"' * len(vocab.DOUBLE_QUOTES))
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalise_quotes(x STRING) RETURNS STRING RETURN translate(x, '{quotes}', '{plain}')")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION is_barcode_otu(x STRING) RETURNS BOOLEAN RETURN regexp_like(x, '(?i)^(?:SH[0-9]{6,}\\\\.[0-9]+FU|BOLD:[A-Z]{3}[0-9]+)')")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_barcode_otu(x STRING) RETURNS BOOLEAN RETURN regexp_like(x, '{q(BARCODE)}')")
     cases = " ".join(
         f"WHEN code = '{code}' THEN CASE " + " ".join(f"WHEN endswith(lower(name), '{s}') THEN '{r}'" for s, r in sorted(table.items(), key=lambda x: -len(x[0]))) + " END"
         for code, table in vocab.SUFFIX_RANKS.items()

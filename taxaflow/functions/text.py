@@ -97,9 +97,12 @@ def code_vote(votes: Column) -> Column:
     return F.when(F.size(cast) == 1, F.get(cast, F.lit(0)))
 
 
+#: A UNITE species hypothesis or a BOLD index number at the start.
+BARCODE = r"(?i)^(?:SH[0-9]{6,}\.[0-9]+FU|BOLD:[A-Z]{3}[0-9]+)"
+
+
 def is_barcode_otu(x: Column) -> Column:
-    """Starts like a UNITE species hypothesis or a BOLD index number."""
-    return F.regexp_like(x, F.lit(r"(?i)^(?:SH[0-9]{6,}\.[0-9]+FU|BOLD:[A-Z]{3}[0-9]+)"))
+    return F.regexp_like(x, F.lit(BARCODE))
 
 
 def strip_html(x: Column) -> Column:

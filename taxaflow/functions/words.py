@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from taxaflow.functions import text
 from taxaflow.plans import vocab
 
-_END = "\u0001"
+END = "\u0001"
 _TOKEN = r"\s*(?:[0-9]+-\p{Ll}[\p{L}\p{M}0-9'!-]*+|\p{L}[\p{L}\p{M}0-9'!]*+(?:[-_]\p{L}[\p{L}\p{M}0-9'!]*+)*+|[0-9]+|\S)"
 
 # ---- Fixed values: words with a kind of their own. ----
@@ -47,26 +47,26 @@ def coded(x: Column) -> Column:
         return F.when(letter(r"^[\p{Ll}]"), lower).when(letter(r"^\p{Lu}"), upper).otherwise(rest)
 
     tokens = F.regexp_extract_all(x, F.lit(f"({_TOKEN})"), 1)
-    return F.array_join(F.transform(tokens, lambda t: text.let(F.trim(t), lambda w: F.concat(kind(w), t, F.lit(_END)))), "")
+    return F.array_join(F.transform(tokens, lambda t: text.let(F.trim(t), lambda w: F.concat(kind(w), t, F.lit(END)))), "")
 
 
 def _t(kinds: str) -> str:
     """One token of one of these kinds."""
-    return rf"[{kinds}][^{_END}]*+{_END}"
+    return rf"[{kinds}][^{END}]*+{END}"
 
 
 _DOT = rf"(?:{_t('.')})?"
 #: An author between the parts of a name: surnames, particles, initials; or one in brackets and what follows it.
-_PEOPLE = rf"(?:[CUIpv.,&'][^{_END}]*+{_END})"
-_AMID = rf"(?:[CUIp][^{_END}]*+{_END}{_PEOPLE}*?|\([^{_END}]*+{_END}(?:[^()][^{_END}]*+{_END})*+\)[^{_END}]*+{_END}{_PEOPLE}*?)"
+_PEOPLE = rf"(?:[CUIpv.,&'][^{END}]*+{END})"
+_AMID = rf"(?:[CUIp][^{END}]*+{END}{_PEOPLE}*?|\([^{END}]*+{END}(?:[^()][^{END}]*+{END})*+\)[^{END}]*+{END}{_PEOPLE}*?)"
 _EPITHET = _t("lg")
 #: A year somewhere in what follows.
-_DATED = rf"(?=.*n\s*[12][0-9]{{3}}{_END})"
+_DATED = rf"(?=.*n\s*[12][0-9]{{3}}{END})"
 
 
 def _unit() -> str:
     """A further epithet with its marker (qualifier, author, marker, "sp", cross, epithet), or bare (qualifier, cross, epithet)."""
-    marked = rf"({_AMID})??((?:{_t('m')}|s\s*sp{_END})){_DOT}(?:({_t('sS')}){_DOT}(?=[lg]))?({_t('Hh')})?({_EPITHET}|I[^{_END}]*+{_END}(?!\.))"
+    marked = rf"({_AMID})??((?:{_t('m')}|s\s*sp{END})){_DOT}(?:({_t('sS')}){_DOT}(?=[lg]))?({_t('Hh')})?({_EPITHET}|I[^{END}]*+{END}(?!\.))"
     return rf"(?:({_t('q')}{_DOT}|{_t('?')})?(?:{marked}|({_t('Hh')})?({_t('l')})))?"
 
 
@@ -75,14 +75,14 @@ _PARTS = (
     *(f"{c}{k}" for k in (1, 2, 3) for c in ("q", "by", "mark", "fsp", "x", "isp", "bx", "bare")),
     "extra", "agg", "late", "sauth", "last", "tag", "number", "more", "auth",
 )
-_GENUS = rf"({_t('Hh')})?(I[^{_END}]*+{_END}{_t('.')}|C\p{{L}}{{1,4}}{_END}{_t('.')}(?=[lgH])|{_t('CU')}|{_t('?')})"
+_GENUS = rf"({_t('Hh')})?(I[^{END}]*+{END}{_t('.')}|C\p{{L}}{{1,4}}{END}{_t('.')}(?=[lgH])|{_t('CU')}|{_t('?')})"
 #: A bracketed word is a subgenus before an epithet, at the end, before a year, or if it repeats the genus.
-_SUBGENUS = rf"(?<!aceae{_END})(?<!oideae{_END}){_t('(')}(?:(?=[CUl][^{_END}]*+{_END}\)[^{_END}]*+{_END}(?:[lgHhqsSmi]|\z|{_DATED})|(?:\2)\)|[CUI][^{_END}]*+{_END}\.[^{_END}]*+{_END}\)[^{_END}]*+{_END}[lgHhqsS]))((?:{_t('CUIl')}){_DOT}){_t(')')}"
+_SUBGENUS = rf"(?<!aceae{END})(?<!oideae{END}){_t('(')}(?:(?=[CUl][^{END}]*+{END}\)[^{END}]*+{END}(?:[lgHhqsSmi]|\z|{_DATED})|(?:\2)\)|[CUI][^{END}]*+{END}\.[^{END}]*+{END}\)[^{END}]*+{END}[lgHhqsS]))((?:{_t('CUIl')}){_DOT}){_t(')')}"
 _GRAMMAR = (
     rf"^{_GENUS}(?:{_SUBGENUS}|({_AMID})??({_t('i')}){_DOT}({_t('CUI')}))?"
     rf"(?:({_t('q')}{_DOT}(?:{_t('CUI')}{_DOT}(?=[lg]))?|{_t('?')}(?=[lgHh])))?"
-    rf"(?:({_t('s')}{_DOT}.*+|S(?![^{_END}]*+{_END}[CUI(]).*+)|({_t('Hh')})?({_t('l')}|S[^{_END}]*+{_END}|[mi][^{_END}]*+{_END}(?!\.|[lg]))"
-    rf"{_unit()}{_unit()}{_unit()}((?:{_EPITHET})*+)(?:({_t('z')}){_DOT})?(?:(?:({_t('m')}){_DOT}(?=[CUI(]|\z)|({_AMID})(m(?!\s*f{_END})[^{_END}]*+{_END}){_DOT}\z)|({_t('sS')}){_DOT}({_t('n')})(.*+)|{_t('sS')}{_DOT}\z)?)?(.*)\z"
+    rf"(?:({_t('s')}{_DOT}.*+|S(?![^{END}]*+{END}[CUI(]).*+)|({_t('Hh')})?({_t('l')}|S[^{END}]*+{END}|[mi][^{END}]*+{END}(?!\.|[lg]))"
+    rf"{_unit()}{_unit()}{_unit()}((?:{_EPITHET})*+)(?:({_t('z')}){_DOT})?(?:(?:({_t('m')}){_DOT}(?=[CUI(]|\z)|({_AMID})(m(?!\s*f{END})[^{END}]*+{END}){_DOT}\z)|({_t('sS')}){_DOT}({_t('n')})(.*+)|{_t('sS')}{_DOT}\z)?)?(.*)\z"
 )
 
 
@@ -92,10 +92,10 @@ def read(x: Column, particle: Column) -> Column:
     particle tells whether a particle in the place of the epithet is one."""
 
     def parsed(c: Column) -> Column:
-        free = F.when(particle, F.regexp_replace(c, rf"^((?:{_t('Hh')})?[CU][^{_END}]*+{_END})p([^{_END}]*+{_END})(?![.lg])", "$1l$2")).otherwise(c)
+        free = F.when(particle, F.regexp_replace(c, rf"^((?:{_t('Hh')})?[CU][^{END}]*+{END})p([^{END}]*+{END})(?![.lg])", "$1l$2")).otherwise(c)
         # One match of the grammar gives all parts, with tabs between them; then kinds, marks and outer spaces go.
         parts = F.regexp_replace(free, _GRAMMAR, "\t".join(f"${k}" for k in range(1, len(_PARTS) + 1)))
-        return text.let(parts, lambda p: F.when(F.contains(p, F.lit("\t")), F.split(F.regexp_replace(p, f"(^|\t)[^\t{_END}]\\s*|{_END}[^\t{_END}]?", "$1"), "\t")))
+        return text.let(parts, lambda p: F.when(F.contains(p, F.lit("\t")), F.split(F.regexp_replace(p, f"(^|\t)[^\t{END}]\\s*|{END}[^\t{END}]?", "$1"), "\t")))
 
     glued = F.regexp_replace(x, r"^[xX×](?=\p{Lu}\p{Ll})", "× ")
     return text.let(text.let(glued, coded), parsed)

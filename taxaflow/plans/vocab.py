@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 # ---- Fixed values: results depend on exactly these words, characters and texts. ----
 
 SINGLE_QUOTES = "`´ʹʻʼʽˊˋ\u0091\u0092‘’‚‛′‵❛❜＇"
@@ -12,6 +14,9 @@ WIN1252 = {"¡": "i", "¢": "c", "£": "L", "‚": "e", "„": "a", "‰": "e"}
 #: Cyrillic and Greek letters that look like Latin ones, in alphabetical order.
 LOOKALIKES = {"ſ": "s"} | dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTYXaesijopcyxhdqw", strict=True)) | dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo", strict=True)) | {chr(0xFEE0 + k): chr(k) for k in range(0x21, 0x7F)}
 
+#: Letters and digits of mathematical alphabets, letter-like signs and Roman numerals, by Unicode's compatibility forms.
+LOOKALIKES |= {chr(c): plain for c in (*range(0x2100, 0x2150), *range(0x2160, 0x2180), *range(0x1D400, 0x1D800)) if len(plain := normalize("NFKC", chr(c))) == 1 and plain.isascii() and plain.isalnum()}
+
 PARTICLES = (
     "a ab af ap auf d da dal dalla dalle dallo das de degli dei del della delle delli dello der des di do dos du el in la las le les lo los of ofver te ten ter und v van vd ven "
     "vom von y zu zum zur"
