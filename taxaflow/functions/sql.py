@@ -1,4 +1,4 @@
-"""SQL names for the expressions: register(spark), then parse_taxon_suffix_rank(name, code) and others."""
+"""SQL names: register(spark) for functions such as suffix_rank(name, code), parsed_view for the parser over a table."""
 
 from __future__ import annotations
 
@@ -21,3 +21,13 @@ def register(spark: SparkSession) -> None:
     )
     bare = " ".join(f"WHEN endswith(lower(name), '{s}') THEN '{r}'" for s, r in vocab.PLAIN_SUFFIX_RANKS.items())
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION suffix_rank(name STRING, code STRING) RETURNS STRING RETURN CASE WHEN code IS NULL THEN CASE {bare} END {cases} END")
+
+
+def parsed_view(spark: SparkSession, table: str, view: str, **columns: str) -> None:
+    """A temporary view with the columns of a table or view and result, parsed, informal and error of its names.
+
+    columns are those of parse_names (name, authorship, rank, code). The view is the parse's plan, no copy: SQL over
+    it prunes and filters as over any other, and joins or LATERAL views take it apart."""
+    from taxaflow.operators.parse import parse_names
+
+    parse_names(spark.table(table), **columns).createOrReplaceTempView(view)

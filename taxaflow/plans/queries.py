@@ -291,6 +291,14 @@ def parse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(parsed.schema).parquet(f"{out}/out")
 
 
+def parse_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser read by SQL alone, authors taken apart by a LATERAL view."""
+    parts = _parts(spark, sf_dir)
+    parts.select("doc_id", "pos", F.concat("genus", F.lit(" "), "species", F.lit(" "), "author", F.lit(" & Mill., "), "y").alias("name")).createOrReplaceTempView("listed_names")
+    sql_functions.parsed_view(spark, "listed_names", "parsed_names")
+    return spark.sql("SELECT doc_id, pos, parsed.genus, CAST(place AS BIGINT) AS place, author FROM parsed_names LATERAL VIEW posexplode(parsed.combinationAuthorship.authors) a AS place, author WHERE result = 'parsed' AND parsed.code = 'ZOOLOGICAL'")
+
+
 #: doc_id and pos as one number, and how many documents one range of it holds.
 _RANGE = 1 << 32
 
@@ -394,6 +402,7 @@ _SELECT = {
         "CASE k WHEN 0 THEN '(L.) ' || author WHEN 1 THEN author ELSE author || ', ' || y END AS authorship"
     ),
     "parse_separate_notes": "doc_id, pos, CASE k WHEN 0 THEN 'nom. nud.' END AS nom_note, CASE k WHEN 1 THEN 'sensu Mill.' WHEN 2 THEN 'auct. non L.' END AS tax_note, CASE k WHEN 1 THEN true END AS spelling, CASE k WHEN 2 THEN '' ELSE author END AS authors, CASE k WHEN 0 THEN y END AS y",
+    "parse_in_sql": "doc_id, pos, genus, place, CASE place WHEN 0 THEN author ELSE 'Mill.' END AS author FROM n, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) AS t(place)",
     "flat_view": "genus || ' ' || species || ' ' || author || ', ' || y AS \"scientificName\", 'parsed' AS result, 'SPECIES' AS rank, genus, species AS \"specificEpithet\", author AS \"combinationAuthors\", y AS \"combinationYear\", genus || ' ' || species AS \"canonicalWithoutAuthorship\"",
     "rank_dimension_join": "doc_id, pos, CASE k WHEN 0 THEN 'VARIETY' WHEN 1 THEN 'SUBSPECIES' ELSE 'FORM' END AS rank, CASE k WHEN 0 THEN 'var.' WHEN 1 THEN 'subsp.' ELSE 'f.' END AS marker, 'INFRASPECIFIC_NAME' AS major, true AS infraspecific",
     "suffix_rank": "doc_id, pos, CASE k WHEN 2 THEN 'ORDER' ELSE 'FAMILY' END AS rank",
