@@ -40,7 +40,7 @@ SKETCH = 64
 KEEP_WORDS = 10
 KEEP_SHARE = 0.3
 
-#: Rows of rejected documents that may be broadcast; beyond that both sides of the join are shuffled.
+#: Rows of rejected documents, or keys of texts, that may be broadcast; beyond that both sides of the join are shuffled.
 BROADCAST_ROWS = 200_000
 
 _RUN = f"{common.WS}+"
@@ -58,7 +58,7 @@ def words_of(text: Column) -> Column:
 
 def base_measures(df: DataFrame, text: str = "text", sketch: str | None = None) -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, and on demand with a
-    column for the least hashes of its distinct windows (of a text without one, the hash of all its words).
+    column for the least hashes, of 32 bits, of its distinct windows (of a text without one, the hash of all its words).
 
     Steps whose results are used more than once are columns of their own, so that each is computed once.
     """
@@ -90,7 +90,7 @@ def base_measures(df: DataFrame, text: str = "text", sketch: str | None = None)
             F.char_length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"),
             F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-            *([F.slice(F.sort_array(F.array_distinct(F.when(F.size(h) > 0, h).otherwise(F.array(F.xxhash64(F.concat_ws(" ", w)))))), 1, SKETCH).alias(sketch)] if sketch else []),
+            *([F.slice(F.sort_array(F.array_distinct(F.transform(F.when(F.size(h) > 0, h).otherwise(F.array(F.xxhash64(F.concat_ws(" ", w)))), lambda x: F.shiftright(x, 32).cast("int")))), 1, SKETCH).alias(sketch)] if sketch else []),
         )
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     )
@@ -137,7 +137,9 @@ def boilerplate(sketches: DataFrame, lines: DataFrame, line_docs: int = LINE_DOC
         .groupBy("host", "text_key").agg(F.collect_set("line").alias("held"), (F.sum("n") >= COPY_SHARE * F.first("of_words")).alias("copy"), F.first("of").alias("of"))
     )
     texts = common.cut(texts, "texts")
-    likely = texts.where("copy").select("host", "text_key", F.array_min("held").alias("least"))
+    likely = common.cut(texts.where("copy").select("host", "text_key", F.array_min("held").alias("least")), "copies")
+    if likely.count() <= BROADCAST_ROWS:  # a host and two longs each; beyond that the sketches are shuffled as well
+        likely = F.broadcast(likely)
     seen = common.cut(sketches.join(likely, ["host", "text_key"]).groupBy("host", "text_key", "least").agg(F.first("order").alias("order"), F.first("sketch").alias("sketch")), "likely")
     lead = seen.groupBy("host", "least").agg(F.min(F.struct("order", "text_key", "sketch")).alias("lead"))
     both = F.slice(F.sort_array(F.array_union("sketch", "lead.sketch")), 1, SKETCH)
