@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Segments whose ids a worker keeps; then it starts anew. Longer ones aren't kept.
 CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
+#: Segments whose agenda is a list; longer ones have a heap.
+SHORT = 24
 #: New segments that go to the library in one call.
 CHECK_SEGMENTS = 20_000
 
@@ -65,9 +67,36 @@ class Pieces:
         self.unchecked: list[tuple[str, list[int]]] = []
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
 
+    def merge_short(self, segment: str) -> list[int]:
+        """The ids of a short segment; its agenda is a list in the order of places, whose first least entry is next."""
+        rank_of, none = self.rank.get, len(self.ids)
+        symbols = list(segment)
+        agenda = [rank_of(pair, none) for pair in map(add, segment, segment[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            symbol = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank_of(symbol + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = rank_of(symbols[i - 1] + symbol, none)
+        ids, known = [], self.ids.get
+        for symbol in symbols:
+            k = known(symbol)
+            if k is None:
+                ids += map(self.byte_ids.__getitem__, symbol.encode())
+            else:
+                ids.append(k)
+        return ids
+
     def merge(self, segment: str) -> list[int]:
         """The ids of one segment."""
         rank_of, n = self.rank.get, len(segment)
+        if n <= SHORT:
+            return self.merge_short(segment)
         bits = n.bit_length()
         low = (1 << bits) - 1
         ends = list(range(1, n + 1))  # of the symbol that starts at a place, also the next one's start; 0 once merged away

@@ -34,6 +34,15 @@ def test_any_text(text):
     assert piece_bpe.pieces(PATH).encode(text) == LIBRARY.encode(text)
 
 
+@pytest.mark.parametrize("short", [0, 5, 10**9])
+def test_both_forms_of_the_agenda(monkeypatch, short):
+    monkeypatch.setattr(piece_bpe, "SHORT", short)
+    own = piece_bpe.Pieces(PATH)
+    for text in TEXTS:
+        if short < 100 or len(text or "") < 5000:
+            assert own.encode(text or "") == LIBRARY.encode(text or "")
+
+
 def test_one_segment_gives_the_same():
     own = piece_bpe.Pieces(PATH)
     own.segments = __import__("re").compile("(?s).+").findall
