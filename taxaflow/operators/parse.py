@@ -83,7 +83,7 @@ def _read_words(t: Column, wanted: Column, rank: Column) -> Column:
             given(own("hyb")).alias("hyb"), own("genus").alias("genus"), F.concat(F.upper(F.substring(sub, 1, 1)), F.substring(sub, 2, 999)).alias("sub"), F.coalesce(F.regexp_like(sub, F.lit(r"^\p{Ll}")), no).alias("lowsub"),
             F.coalesce(F.endswith(sub, F.lit(".")), no).alias("shortsub"), own("gauth").alias("gauth"), F.coalesce(F.startswith(own("imark"), F.lit("notho")), no).alias("inotho"), bare_mark(own("imark")).alias("imark"), own("isub").alias("isub"),
             F.when(F.startswith(qualifier, F.lit("?")), F.lit("?")).when(F.startswith(qualifier, F.lit("near")), F.lit("near")).otherwise(F.concat(F.regexp_extract(qualifier, r"^\p{L}+", 0), F.lit("."))).alias("qual"),
-            (given(own("indet")) | given(late) | F.coalesce(F.regexp_like(of("isp"), F.lit(r"^\p{Lu}\z")), no)).alias("indet"), F.when(F.regexp_like(own("indet"), F.lit(r"^\p{L}+\.?\s*\S")) & ~F.regexp_like(own("indet"), F.lit(r"^\p{L}+\.\z")), own("indet")).alias("iphrase"),
+            (given(own("indet")) | given(late) | F.coalesce(F.regexp_like(of("isp"), F.lit(r"^\p{Lu}\z")), no)).alias("indet"), F.when(~F.regexp_like(own("indet"), F.lit(r"^indet\.?\z")), own("indet")).alias("iphrase"), F.coalesce(F.regexp_like(own("indet"), F.lit(r"^\p{L}+\.?\z")), no).alias("bare"),
             F.when(grouped, F.regexp_replace(epithet, ending, "")).otherwise(F.coalesce(F.when(F.regexp_like(own("sp"), F.lit(r"^\p{Lu}")), epithet), own("sp"))).alias("sp"), given(own("spx")).alias("spx"), (grouped | given(own("agg"))).alias("grouped"),
             F.coalesce(of("by"), own("sauth"), one["by"]).alias("sauth"), F.coalesce(F.startswith(of("mark"), F.lit("notho")) | of("mark").isin(*_NOTHO), no).alias("notho"),
             given(F.coalesce(of("x"), F.when(~marked, F.coalesce(three["bx"], two["bx"], one["bx"])))).alias("ispx"), F.when(given(of("fsp")), F.lit("fsp")).otherwise(bare_mark(mark)).alias("mark"), bare_mark(late).alias("late"),
@@ -289,7 +289,7 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
     quoted = F.col("__f.quoted")
     found = (
         F.when(F.char_length("__raw") > vocab.LONG_LENGTH, F.lit(vocab.WARNINGS["long"])),
-        F.when((F.col("__w.indet") & F.col("__w.iphrase").isNull() & F.col("__w.isp").isNull()) | unfinished | no_infra, F.lit(vocab.WARNINGS["indet"])),
+        F.when((F.col("__w.indet") & (F.col("__w.iphrase").isNull() | F.col("__w.bare")) & F.col("__w.isp").isNull()) | unfinished | no_infra, F.lit(vocab.WARNINGS["indet"])),
         F.col("__w.dropped"), F.when(F.col("__w.dropped").isNotNull(), F.lit(vocab.WARNINGS["quadrinomial"])), F.when(F.col("__odd"), F.lit(vocab.WARNINGS["homoglyphs"])),
         F.when(too_high, F.lit(vocab.WARNINGS["rank_mismatch"])), F.when(F.col("__i.misfit"), F.lit(vocab.WARNINGS["code_mismatch"])), F.when(F.col("__a.ranged"), F.lit(vocab.WARNINGS["year"])),
         F.when((known == "SPECIES") & F.col("__w.isp").isNotNull(), F.lit(vocab.WARNINGS["subspecies"])),

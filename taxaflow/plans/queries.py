@@ -186,7 +186,7 @@ def type_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def band_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(F.col("k") == 0, F.concat("genus", F.lit(" cf. "), "species")).when(F.col("k") == 1, F.concat("genus", F.lit(" sp."))).otherwise(F.concat("genus", F.lit(" sp. A"), "y"))
+    name = F.when(F.col("k") == 0, F.concat("genus", F.lit(" cf. "), "species")).when(F.col("k") == 1, F.concat("genus", F.lit(" indet."))).otherwise(F.concat("genus", F.lit(" sp. A"), "y"))
     return reports.band_report(_parsed(spark, sf_dir, name))
 
 
