@@ -329,7 +329,7 @@ def _steps(blacklist: tuple[str, ...]) -> Steps:
         publishedInYear=sure(text.published_year(F.coalesce("__f.published_in", F.lit("")))),
         publishedInPage=sure(F.col("__f.page")),
         unparsed=sure(F.when(lost, F.trim("__raw")).otherwise(F.coalesce("__f.unparsed", "__w.unread", "__a.unread"))),
-        doubtful=(F.col("__f.doubtful") | too_high | F.col("__w.lowsub") | (F.col("__w.qual") == "?")),
+        doubtful=(F.col("__f.doubtful") | too_high | F.col("__w.lowsub") | F.coalesce(F.col("__w.qual") == "?", F.lit(False))),
         manuscript=F.col("__f.manuscript"),
         state=F.when(~rescue & (lost | F.col("__f.unparsed").isNotNull() | F.col("__w.unread").isNotNull() | F.col("__a.unread").isNotNull()), F.lit("PARTIAL")).otherwise("COMPLETE"),
         warnings=F.when(warn.isNull() & (F.size("__f.warnings") < 2), F.col("__f.warnings")).otherwise(F.sort_array(F.array_union("__f.warnings", F.coalesce(warn, F.array().cast("array<string>"))))),
