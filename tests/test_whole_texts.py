@@ -5,6 +5,9 @@ import re
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from taxaflow.operators.parse import parse_names
 from taxaflow.plans import queries as names
 
 TEXTS = [
@@ -48,3 +51,14 @@ def test_parts_are_those_of_the_sql(spark, tmp_path):
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     found = names._parts(spark, str(tmp_path)).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in found} == {doc: n for doc, n in enumerate(_names()) if n}
+
+
+def test_bands_and_errors_are_all_names(spark, tmp_path, db):
+    """Names that are errors have no band; all others of the band report's names have one."""
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    k = F.col("k")
+    name = F.when(k == 0, F.concat("genus", F.lit(" cf. "), "species")).when(k == 1, F.concat("genus", F.lit(" indet."))).otherwise(F.concat("genus", F.lit(" sp. A"), "y"))
+    errors = parse_names(names._parts(spark, str(tmp_path)).select(name.alias("name"))).where("result = 'error'").count()
+    found = names.band_report(spark, str(tmp_path)).collect()
+    assert 0 < errors and sum(r["n"] for r in found) + errors == sum(_names())
+    assert sorted(map(tuple, found)) == sorted(db.sql(names.oracle_sql()["band_report"]).fetchall())
