@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from taxaflow.functions import classify, words
 from taxaflow.operators import parse
-from taxaflow.plans import strip
+from taxaflow.plans import queries, strip
 
 
 def test_tokens_need_no_function_over_arrays(spark):
@@ -30,3 +30,10 @@ def test_no_need_is_hidden_by_a_gate(spark):
     found = {r["x"]: r for r in rows.select("x", "hint", strip.gates(F.col("x"), F.col("hint")).alias("g")).collect()}
     assert all(found[n]["g"][strip._gate(n)] for n in needs if strip._gate(n))
     assert all(found[h]["hint"] for h in {*classify.HINTS, *strip.HINTS, *parse._VIRAL_HINTS})
+
+
+def test_one_file_is_parsed_by_all_cores(spark, tmp_path):
+    spark.createDataFrame([(k, "lorem ipsum dolor amets") for k in range(200)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    parts = queries._parts(spark, str(tmp_path))
+    assert parts.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert parts.count() == 200
