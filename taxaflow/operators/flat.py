@@ -25,15 +25,14 @@ def flat_view(df: DataFrame, name: str = "name") -> DataFrame:
     people = [
         _joined(own(f"{kind}Authorship")[part]).alias(f"{kind}{part[0].upper()}{part[1:]}") for kind in ("combination", "basionym") for part in ("authors", "exAuthors")
     ] + [own(f"{kind}Authorship")[part].alias(f"{kind}{part[0].upper()}{part[1:]}") for kind in ("combination", "basionym") for part in ("year", "imprintYear")]
-    # All renderings in one column, which is what they share.
-    names = F.when(plain, render.forms(p))
-    return df.withColumn("__forms", names).select(
+    form = lambda c: F.when(plain, F.col(f"__form_{c}"))
+    return render.with_forms(df, "parsed", "__form_").select(
         F.col(name).alias("scientificName"), "result", plain.alias("parsed"),
         F.coalesce(p["type"], e["type"]).alias("type"), i["taxon"].alias("taxon"), i["taxonRank"].alias("taxonRank"), p["rank"].alias("rank"), p["code"].alias("code"), p["phrase"].alias("phrase"),
-        F.when(F.col("result") == "informal", render.informal_canonical(i)).otherwise(F.col("__forms.full")).alias("canonical"),
+        F.when(F.col("result") == "informal", render.informal_canonical(i)).otherwise(form("full")).alias("canonical"),
         *(own(c).alias(c) for c in _TEXT), *(own(c).alias(c) for c in _FLAGS), *people,
         _joined(own("notho")).alias("notho"),
         F.nullif(F.array_join(F.array_sort(F.transform(F.map_entries(own("epithetQualifier")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ", "), F.lit("")).alias("epithetQualifier"),
-        _joined(own("warnings")).alias("warnings"), F.col("__forms.bare").alias("canonicalWithoutAuthorship"),
-        F.col("__forms.minimal").alias("canonicalMinimal"), F.col("__forms.authorship").alias("authorship"), e["message"].alias("error"),
+        _joined(own("warnings")).alias("warnings"), form("bare").alias("canonicalWithoutAuthorship"),
+        form("minimal").alias("canonicalMinimal"), form("authorship").alias("authorship"), e["message"].alias("error"),
     )
