@@ -9,7 +9,7 @@ from taxaflow.operators import parse
 
 TEXTS = [
     None, "", "L.", "L., 1753", "Mill.", "Hook.f.", "DC.", "Hook.f. & Thomson", "Lorem & Mill., 1850", "A.B.Smith & C.Jones, Miller 1900", "Miller, Fr.", "Smith, Jr., 1900", "Smith, Ab. & Jones", "Smith Jones", "Smith ex Jones",
-    "Mexia ex Bexar, 1899", "Smith, Jones, Miller", "Smith & Jones III", "Smith 1850a", "Smith, [1850]", "McDonald & O'Brien", "SMITH, 1850", "Ræus, 1901", "Smith, II & Jones", "A. Smith", "Miller, A.B., 1850", "Et, 1850",
+    "Mexia ex Bexar, 1899", "Smith, Jones, Miller", "Smith & Jones III", "Smith 1850a", "Smith, [1850]", "McDonald & O'Brien", "SMITH, 1850", "Ræus, 1901", "Smith, II & Jones", "A. Smith", "Smith JB", "Smith JB, 1900", "Smith J 1900", "Smith II", "Smith IV, 1900", "Smith JBC, 1900", "Smith JB & Jones", "Smith Jr", "Miller, A.B., 1850", "Et, 1850",
 ]
 
 
